@@ -43,7 +43,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_scan.scan_secrets(documents(spark, sf_dir))
     joined = lambda spans: F.array_join(F.transform(spans, lambda x: F.concat_ws(":", x["kind"], x["start"], x["end"])), ",")
     base = F.filter("found", lambda x: x["kind_no"] < len(secret_scan.BASE_KINDS))
-    counts = [F.size(F.filter("found", lambda x, k=k: x["kind_no"] == k)).cast("long").alias(f"n_{name}") for k, name in enumerate(secret_scan.BASE_KINDS)]
+    of_kind = lambda name: F.size(F.filter("found", lambda x: x["kind"] == name)).cast("long").alias(f"n_{name}")
+    counts = [of_kind(name) for name in secret_scan.BASE_KINDS]
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
