@@ -14,7 +14,7 @@ from docweave.llm.common import IS_SPACE, blocks, text_buffer, text_or_empty, wo
 
 #: Buckets for words; above them come the statistics' buckets.
 WORD_BUCKETS = 1 << 14
-STATS = ("symbols", "digits", "capitals", "wide", "line_ends", "mean_word", "n_words", "n_bytes", "symbol_words", "distinct")
+STATS = ("symbols", "digits", "capitals", "wide", "line_ends", "mean_word", "n_words", "n_bytes", "symbol_words", "distinct", "echoes")
 STEPS = 16
 FEATURES = WORD_BUCKETS + len(STATS) * STEPS
 RANK = 8
@@ -65,10 +65,13 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     shares = [per_doc(kind == k) / solid for k in (1, 2, 3, 4)] + [per_doc(buf == 10) / np.maximum(words, 1)]
     odd_words = np.bincount(doc[odd], minlength=n) / np.maximum(words, 1)
     distinct = np.bincount(row, minlength=n) / np.maximum(words, 1)
+    echo = np.zeros(len(starts), bool)
+    echo[1:] = (hashes[1:] == hashes[:-1]) & (doc[1:] == doc[:-1])
+    echoes = np.bincount(doc[echo], minlength=n) / np.maximum(words, 1)
     steps = [np.minimum((np.sqrt(s) * STEPS).astype(np.int64), STEPS - 1) for s in shares]
     steps.append(np.minimum((solid / np.maximum(words, 1)).astype(np.int64), STEPS - 1))
     steps += [np.minimum(np.log2(x + 1).astype(np.int64), STEPS - 1) for x in (words, size)]
-    steps += [np.minimum((np.sqrt(odd_words) * STEPS).astype(np.int64), STEPS - 1), np.minimum((distinct * STEPS).astype(np.int64), STEPS - 1)]
+    steps += [np.minimum((np.sqrt(odd_words) * STEPS).astype(np.int64), STEPS - 1), np.minimum((distinct * STEPS).astype(np.int64), STEPS - 1), np.minimum((np.sqrt(echoes) * STEPS).astype(np.int64), STEPS - 1)]
     stat = np.stack([WORD_BUCKETS + i * STEPS + s for i, s in enumerate(steps)], axis=1)
     rows = np.concatenate([row, np.repeat(np.arange(n), len(STATS))])
     cols = np.concatenate([bucket, stat.reshape(-1)])
@@ -88,8 +91,8 @@ def scores(model: Model, offsets: np.ndarray, cols: np.ndarray, vals: np.ndarray
     return model.bias + np.add.reduceat(model.linear[cols] * vals, at) + pairs
 
 
-def fit(offsets: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, epochs: int = 6, batch: int = 64, rate: float = 0.05, decay: float = 1e-5, seed: int = 1) -> Model:
-    """Logistic loss, AdaGrad on small batches in a seeded order. Without both classes the model is a constant."""
+def fit(offsets: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray, visits: int = 120_000, batch: int = 64, rate: float = 0.05, decay: float = 1e-5, seed: int = 1) -> Model:
+    """Logistic loss, AdaGrad on small batches in a seeded order: about ``visits`` rows in all, each row 8 to 200 times. Without both classes the model is a constant."""
     rng = np.random.default_rng(seed)
     share = float(np.clip(y.mean() if len(y) else 0.5, 1e-3, 1 - 1e-3))
     m = Model(float(np.log(share / (1 - share))), np.zeros(FEATURES, np.float32), rng.normal(0, 0.02, (FEATURES, RANK)).astype(np.float32))
@@ -97,7 +100,7 @@ def fit(offsets: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray,
         m.factors[:] = 0
         return m
     g_lin, g_fac = np.full(FEATURES, 1e-2, np.float32), np.full((FEATURES, RANK), 1e-2, np.float32)
-    for _ in range(epochs):
+    for _ in range(min(200, max(8, visits // len(y)))):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             size = (offsets[rows + 1] - offsets[rows]).astype(np.int64)
             local = np.concatenate([[0], np.cumsum(size)])
