@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact_dedup, fingerprint, quality, secret_scan, sentencepiece_bpe
+from docweave.llm import exact_dedup, fingerprint, ngram_join, quality, repeats, secret_scan, sentencepiece_bpe
 from docweave.llm.common import documents
 
 
@@ -15,6 +15,15 @@ def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.fingerprint_edits(documents(spark, sf_dir))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = repeats.remove_repeats(documents(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.ngram_join(documents(spark, sf_dir), k=3, percent=90)
+
+
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sentencepiece_bpe.encode(documents(spark, sf_dir).select("doc_id", "text"))
     return out.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"), "lossless")
@@ -51,6 +60,8 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_fingerprints": op2_fingerprints,
+        "op3_substring_dedup": op3_substring_dedup,
+        "op4_ngram_join": op4_ngram_join,
         "op5_sentencepiece": op5_sentencepiece,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality": op9_quality,
