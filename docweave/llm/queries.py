@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact_dedup, fingerprint, ngram_join, quality, repeats, secret_scan, sentencepiece_bpe
-from docweave.llm.common import documents
+from docweave.llm import exact_dedup, fingerprint, line_dedup, ngram_join, quality, repeats, secret_scan, sentencepiece_bpe
+from docweave.llm.common import documents, text_or_empty
 
 
 def op2_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,11 @@ def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_tokens").cast("long").alias("n_tokens"), F.sha2(F.array_join("token_ids", ","), 256).alias("ids_sha256"), "lossless")
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = line_dedup.dedup_lines(documents(spark, sf_dir).select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_removed", F.sha2(text_or_empty(), 256).alias("kept_sha256"))
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = exact_dedup.exact_dedup(documents(spark, sf_dir), digest_all=True)
     return out.select("doc_id", "keep_id", "group_size", "kept", F.col("full_hash").alias("text_sha256"))
@@ -63,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_substring_dedup": op3_substring_dedup,
         "op4_ngram_join": op4_ngram_join,
         "op5_sentencepiece": op5_sentencepiece,
+        "op7_line_dedup": op7_line_dedup,
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality": op9_quality,
         "op10_secret_scan": op10_secret_scan,
