@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import search
+from docweave.plans import conversation, search
 
 FLAGSHIP = "topk_hybrid"
-_ALL = search.QUERIES
+_ALL = search.QUERIES | conversation.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
