@@ -221,7 +221,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         for block in blocks([batch]):
             yield np.concatenate([*_sets(block.column(1), k), np.zeros(0, np.uint64)])
 
-    sketch = count_min(rows, items_of, expected, depth=1, load=1.0)
+    sketch = count_min(rows, items_of, expected, depth=1, load=1.0, levels=(1, 2, 16))
     signed = stored(rows.mapInArrow(_signatures(sketch, k, percent), _SIGNED), "ngram-sets")
     classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     able = signed.filter("home is not null").select("doc_id", "set_key", "home", "n", "prefix", "rest")

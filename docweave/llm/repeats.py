@@ -85,7 +85,7 @@ def _candidates(sketch: Broadcast, window: int, bucket_bits: int):  # noqa: ANN2
                 block = block.take(pa.compute.sort_indices(block.column(0)))
                 ids = block.column(0).to_numpy()
                 h1, h2, row, pos = windows(block.column(1), window, True)
-                maybe = np.flatnonzero(sketch.value.levels(h1) >= 2)
+                maybe = np.flatnonzero(sketch.value.levels(h1))
                 if not len(maybe):
                     continue
                 h1, h2, doc, pos = h1[maybe], h2[maybe], ids[row[maybe]], pos[maybe]

@@ -16,26 +16,31 @@ from docweave.llm.common import mix, partitions
 SLICE_BITS = 18
 #: Items that a task sketches at a time.
 FLUSH = 2 << 20
-#: Cells a sketch may have, at two bits each 128 MB. More items than cells make estimates coarser, never too low.
+#: Cells a sketch may have, in all its rows: 64 MB at one bit each, 128 MB at two. More items than cells make
+#: estimates coarser, never too low.
 MOST_BITS = 29
-#: A merged cell holds the level of its count: 0, 1, 2 to 15, or more.
-LEVELS = (1, 2, 16)
 
 
 @dataclass
 class Sketch:
-    """``depth`` rows of ``2 ** bits`` cells of two bits, packed."""
+    """``depth`` rows of ``2 ** bits`` cells of ``width`` (1 or 2) bits; kept compressed until a worker needs it."""
 
     bits: int
     depth: int
-    packed: np.ndarray
+    width: int
+    packed: bytes
 
     def levels(self, items: np.ndarray) -> np.ndarray:
         """For each item the least level over the rows: at least the level of its true count."""
-        out = np.full(len(items), 3, np.uint8)
+        if not hasattr(self, "_cells"):
+            self._cells = np.frombuffer(pa.decompress(self.packed, self.depth * self.width << self.bits >> 3, "zstd", asbytes=True), np.uint8)
+        shift = 3 if self.width == 1 else 2
+        most = np.uint8((1 << self.width) - 1)
+        out = np.full(len(items), most, np.uint8)
         for row in range(self.depth):
             at = cells(items, row, self.bits)
-            np.minimum(out, self.packed[at >> np.uint64(2)] >> (at & np.uint64(3)).astype(np.uint8) * np.uint8(2) & np.uint8(3), out=out)
+            inner = (at & np.uint64((1 << shift) - 1)).astype(np.uint8) * np.uint8(self.width)
+            np.minimum(out, self._cells[at >> np.uint64(shift)] >> inner & most, out=out)
         return out
 
 
@@ -103,37 +108,46 @@ def _sketch(items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: in
     return run
 
 
-def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _merge(levels: tuple[int, ...]) -> Callable:
     """Rows come sorted by slice; only one slice is held."""
-    at, total = None, None
-
-    def done() -> pa.RecordBatch:
-        level = np.searchsorted(np.array(LEVELS), total, side="right").astype(np.uint8).reshape(-1, 4)
-        packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
-        return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed.astype(np.uint8).tobytes()], pa.binary())], names=["slice", "packed"])
-
-    for batch in batches:
-        for s, gaps, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if s != at:
-                if at is not None:
-                    yield done()
-                at, total = s, np.zeros(1 << SLICE_BITS, np.int32)
-            where = unpack_gaps(gaps)
-            total[where] = np.minimum(total[where] + np.frombuffer(pa.decompress(counts, len(where), "zstd", asbytes=True), np.uint8), 1 << 20)
-    if at is not None:
-        yield done()
-
-
-def count_min(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], items: int, depth: int = 2, load: float = 0.5) -> Broadcast:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, None
+
+        def done() -> pa.RecordBatch:
+            level = np.searchsorted(np.array(levels), total, side="right").astype(np.uint8)
+            if len(levels) == 1:
+                packed = np.packbits(level, bitorder="little")
+            else:
+                level = level.reshape(-1, 4)
+                packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed.astype(np.uint8).tobytes()], pa.binary())], names=["slice", "packed"])
+
+        for batch in batches:
+            for s, gaps, counts in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                if s != at:
+                    if at is not None:
+                        yield done()
+                    at, total = s, np.zeros(1 << SLICE_BITS, np.int32)
+                where = unpack_gaps(gaps)
+                total[where] = np.minimum(total[where] + np.frombuffer(pa.decompress(counts, len(where), "zstd", asbytes=True), np.uint8), 1 << 20)
+        if at is not None:
+            yield done()
+
+    return run
+
+
+def count_min(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], items: int, depth: int = 2, load: float = 0.5, levels: tuple[int, ...] = (2,)) -> Broadcast:
     """Sketches all 64-bit items that ``items_of`` finds in the rows of ``df`` (``items`` is their expected number, for
-    sizing) and broadcasts the result: at most ``2 ** MOST_BITS`` cells of two bits, whatever the input. Estimates are
-    never below the true level."""
+    sizing) and broadcasts the result, at most ``2 ** MOST_BITS`` cells whatever the input. A cell keeps which of
+    ``levels`` (one or three ascending counts) its count has reached. Estimates are never below the true level."""
     spark = df.sparkSession
+    width = 1 if len(levels) == 1 else 2
     bits = sizes(items, depth, load)
     parts = df.mapInArrow(_sketch(items_of, bits, depth), "slice int, gaps binary, counts binary")
     parts = parts.repartition(partitions(spark), "slice").sortWithinPartitions("slice")
-    packed = np.zeros(depth << bits >> 2, np.uint8)
-    merged = parts.mapInArrow(_merge, "slice int, packed binary").toArrow()
+    packed, size = np.zeros(depth * width << bits >> 3, np.uint8), width << SLICE_BITS >> 3
+    merged = parts.mapInArrow(_merge(levels), "slice int, packed binary").toArrow()
     for s, raw in zip(merged["slice"].to_pylist(), merged["packed"], strict=True):
-        packed[s << SLICE_BITS >> 2 : (s + 1) << SLICE_BITS >> 2] = np.frombuffer(raw.as_buffer(), np.uint8)
-    return spark.sparkContext.broadcast(Sketch(bits, depth, packed))
+        packed[s * size : (s + 1) * size] = np.frombuffer(raw.as_buffer(), np.uint8)
+    return spark.sparkContext.broadcast(Sketch(bits, depth, width, pa.compress(packed.tobytes(), "zstd", asbytes=True)))
