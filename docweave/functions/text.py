@@ -49,7 +49,7 @@ def message_text(s: Column, most: int, suffix: str = "...") -> Column:
 def sentences(s: Column, ends: str) -> Column:
     """Split after each of ``ends`` and the whitespace behind it; blank parts are left out."""
     parts = F.split(s, f"(?<=[{ends}])\\s*")
-    return F.filter(F.transform(parts, F.trim), lambda x: x != "")
+    return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
 def words(s: Column) -> Column:
