@@ -223,12 +223,14 @@ def heading_prefix(path: Column, content: Column) -> Column:
 
 
 def chunk_elements(elements: DataFrame, id_col: str = "doc_id", target: int = TARGET, most: int = MOST) -> DataFrame:
-    """Chunks of sections: tables and code stand alone, other blocks are packed, each chunk under its heading."""
+    """Chunks of sections: a table stands alone, code goes with code only, other blocks are packed, each chunk under its
+    heading."""
     check_options(target, most, 0)
     e = sections(elements, id_col).filter("not context_only and not (kind = 'heading')")
     w = Window.partitionBy(id_col).orderBy("n")
-    alone = F.col("kind").isin("table", "code")
-    change = F.coalesce((F.lag("section_no").over(w) != F.col("section_no")) | (F.lag("kind").over(w).isin("table", "code") != alone) | (alone & (F.col("kind") == "table")), F.lit(True))
+    before = F.lag("kind").over(w)
+    apart = (F.col("kind") == "table") | (before == "table") | ((F.col("kind") == "code") != (before == "code"))
+    change = F.coalesce((F.lag("section_no").over(w) != F.col("section_no")) | apart, F.lit(True))
     e = e.withColumn("run", F.sum(change.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     runs = e.groupBy(id_col, "run").agg(F.min("n").alias("at"), F.first("heading_path").alias("heading_path"), F.array_sort(F.collect_list(F.struct("n", split_units(F.col("text"), most).alias("units")))).alias("blocks"))
     units = F.flatten(F.transform("blocks", lambda b: b["units"]))

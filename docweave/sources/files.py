@@ -15,6 +15,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 # Limits of office containers.
 MOST_MEMBERS, MOST_BYTES, MOST_RATIO = 5000, 512 << 20, 200
@@ -47,7 +48,7 @@ def decode_text(files: DataFrame) -> DataFrame:
     return files.withColumn("valid", ok).withColumn("text", F.when(ok, text))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def zip_problem(content: pd.Series, file_type: pd.Series) -> pd.Series:
     """Why an office container is refused, else null."""
 
