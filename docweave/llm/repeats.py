@@ -6,6 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -82,7 +83,7 @@ def _candidates(sketch: Broadcast, window: int, bucket_bits: int):  # noqa: ANN2
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks([batch], limit=BLOCK):
-                block = block.take(pa.compute.sort_indices(block.column(0)))
+                block = block.take(pc.sort_indices(block.column(0)))
                 ids = block.column(0).to_numpy()
                 h1, h2, row, pos = windows(block.column(1), window, True)
                 maybe = np.flatnonzero(sketch.value.levels(h1))
@@ -128,7 +129,7 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.binary())], schema=schema)
 
     for batch in batches:
-        decided = batch.filter(pa.compute.is_valid(batch.column(2)))
+        decided = batch.filter(pc.is_valid(batch.column(2)))
         if decided.num_rows:
             yield pa.RecordBatch.from_arrays([decided.column(2), decided.column(3)], schema=schema)
         for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
