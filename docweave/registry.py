@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docweave.plans import conversation, documents, search, service, streams
+from docweave.plans import conversation, documents, search, service, streams, tools
 
 FLAGSHIP = "topk_hybrid"
-_ALL = search.QUERIES | conversation.QUERIES | service.QUERIES | documents.QUERIES | streams.QUERIES
+_ALL = search.QUERIES | conversation.QUERIES | service.QUERIES | documents.QUERIES | streams.QUERIES | tools.QUERIES
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
