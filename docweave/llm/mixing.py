@@ -12,10 +12,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from docweave.llm.common import blocks, stored, text_buffer, text_or_empty, word_bounds
-from docweave.llm.quality import FEATURES, features
+from docweave.llm.quality import STATS, STEPS, features
 
 #: The classifier is fitted on so many labelled rows at most, those with the smallest hashes of their ids.
 MAX_TRAIN_ROWS = 12_000
+#: Words are told apart in so many buckets; the structure statistics lie above them.
+BUCKETS = 1 << 18
+_FEATURES = BUCKETS + len(STATS) * STEPS
+#: What a word's presence counts. Lengths do not scale it: one word can tell the domain of a long text.
+PRESENT = 0.3
 MOST_ROUNDS = 60
 TOLERANCE = 1e-6
 
@@ -31,10 +36,10 @@ def _fit(offsets: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray,
     """Softmax regression, AdaGrad on small batches in a seeded order. Rows of each domain count as in the sample."""
     d = len(names)
     share = (np.bincount(y, minlength=d) + 1) / (len(y) + d)
-    m = Domains(names, np.zeros((FEATURES, d), np.float32), np.log(share).astype(np.float32))
+    m = Domains(names, np.zeros((_FEATURES, d), np.float32), np.log(share).astype(np.float32))
     if d < 2 or not len(y):
         return m
-    rng, seen_sq = np.random.default_rng(seed), np.full((FEATURES, d), 1e-2, np.float32)
+    rng, seen_sq = np.random.default_rng(seed), np.full((_FEATURES, d), 1e-2, np.float32)
     for _ in range(min(100, max(4, visits // len(y)))):
         for rows in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
             size = (offsets[rows + 1] - offsets[rows]).astype(np.int64)
@@ -53,6 +58,11 @@ def _fit(offsets: np.ndarray, cols: np.ndarray, vals: np.ndarray, y: np.ndarray,
     return m
 
 
+def _present(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    offsets, cols, vals = features(texts, BUCKETS)
+    return offsets, cols, np.where(cols < BUCKETS, np.float32(PRESENT), vals)
+
+
 def _softmax(z: np.ndarray) -> np.ndarray:
     e = np.exp(z - z.max(1, keepdims=True))
     return e / e.sum(1, keepdims=True)
@@ -61,7 +71,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for block in blocks([batch]):
-            offsets, cols, vals = features(block.column(1))
+            offsets, cols, vals = _present(block.column(1))
             offs = pa.array(offsets, pa.int32())
             yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offs, pa.array(cols)), pa.ListArray.from_arrays(offs, pa.array(vals))], names=["domain", "cols", "vals"])
 
@@ -90,7 +100,7 @@ def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col
         for batch in batches:
             for block in blocks([batch], "__text"):
                 texts = block.column(block.num_columns - 1)
-                offsets, cols, vals = features(texts)
+                offsets, cols, vals = _present(texts)
                 p = _softmax((np.add.reduceat(m.weights[cols] * vals[:, None], offsets[:-1]) + m.bias).astype(np.float64))
                 words = np.diff(word_bounds(*text_buffer(texts))[2])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.reshape(-1)))

@@ -36,7 +36,7 @@ class Model:
     factors: np.ndarray
 
 
-def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def features(texts: pa.Array, buckets: int = WORD_BUCKETS) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Sparse rows as (row offsets, feature numbers, values). A row's word values are square roots of counts, scaled to
     length 1; each statistic is one feature, the step it falls in. The words' case and their text alone count:
     no label, language, source or id is read."""
@@ -45,8 +45,8 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     starts, ends, upto = word_bounds(buf, offsets)
     hashes = word_hashes(buf, starts, ends, seed=9)
     doc = np.repeat(np.arange(n), np.diff(upto))
-    key, count = np.unique(doc * WORD_BUCKETS + (hashes % np.uint64(WORD_BUCKETS)).astype(np.int64), return_counts=True)
-    row, bucket = key // WORD_BUCKETS, key % WORD_BUCKETS
+    key, count = np.unique(doc * buckets + (hashes % np.uint64(buckets)).astype(np.int64), return_counts=True)
+    row, bucket = key // buckets, key % buckets
     value = np.sqrt(count)
     norm = np.sqrt(np.bincount(row, value * value, n))
     value /= np.maximum(norm, 1)[row]
@@ -72,7 +72,7 @@ def features(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     steps.append(np.minimum((solid / np.maximum(words, 1)).astype(np.int64), STEPS - 1))
     steps += [np.minimum(np.log2(x + 1).astype(np.int64), STEPS - 1) for x in (words, size)]
     steps += [np.minimum((np.sqrt(odd_words) * STEPS).astype(np.int64), STEPS - 1), np.minimum((distinct * STEPS).astype(np.int64), STEPS - 1), np.minimum((np.sqrt(echoes) * STEPS).astype(np.int64), STEPS - 1)]
-    stat = np.stack([WORD_BUCKETS + i * STEPS + s for i, s in enumerate(steps)], axis=1)
+    stat = np.stack([buckets + i * STEPS + s for i, s in enumerate(steps)], axis=1)
     rows = np.concatenate([row, np.repeat(np.arange(n), len(STATS))])
     cols = np.concatenate([bucket, stat.reshape(-1)])
     vals = np.concatenate([value, np.full(n * len(STATS), 0.5)])
