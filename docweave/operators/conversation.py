@@ -141,3 +141,53 @@ def compact_refs(refs: DataFrame, group: list[str], key: str, order: str, protec
     one = refs.withColumn("__n", F.row_number().over(Window.partitionBy(*group, key).orderBy(F.desc(order)))).filter("__n = 1").drop("__n")
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc(protected), F.desc(order)))
     return one.withColumn("__r", rank).filter(F.col(protected) | (F.col("__r") <= most)).drop("__r")
+
+
+def hard_limit(items: DataFrame, group: list[str], used: str, budget: int) -> DataFrame:
+    """Items (kind tool/history/evidence, protected, score, n) that stay when a context runs over: from 95 % of the budget
+    three tools, three of history, evidence by (protected, score); still over 75 % then, 1, 1 and 2."""
+    rank = F.row_number().over(Window.partitionBy(*group, "kind").orderBy(F.desc("protected"), F.desc_nulls_last("score"), F.desc("n")))
+    share = F.col(used) / F.lit(float(budget))
+    most = F.when(share < 0.95, 1 << 30).when(F.col("kind").isin("tool", "history"), 3).otherwise(1 << 30)
+    r = items.withColumn("__rank", rank).filter(F.col("__rank") <= most)
+    left = F.sum("tokens").over(Window.partitionBy(*group))
+    second = F.when(share < 0.95, 1 << 30).when(left / F.lit(float(budget)) <= 0.75, 1 << 30).when(F.col("kind").isin("tool", "history"), 1).otherwise(2)
+    return r.withColumn("__second", second).filter(F.col("__rank") <= F.col("__second")).drop("__rank", "__second")
+
+
+#: The order in which a pack's regions are filled.
+REGIONS = ("system", "memory", "summary", "message", "history", "evidence", "tool")
+
+
+def context_pack(items: DataFrame, group: list[str], budget: int, caps: dict[str, int] | None = None) -> DataFrame:
+    """Items (kind, n, tokens, pinned, importance) that go into a request, region by region, whole items in order (messages
+    newest first), each region within its cap and all within the budget. What does not fit is skipped, and named."""
+    caps = caps or {}
+    region = F.array_position(F.array(*map(F.lit, REGIONS)), F.col("kind")).cast("int")
+    cap = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in caps.items()], F.lit(budget))
+    order = F.row_number().over(Window.partitionBy(*group).orderBy(region, F.desc("pinned"), F.desc("importance"), F.when(F.col("kind") == "message", -F.col("n")).otherwise(F.col("n"))))
+    rows = items.select(*group, F.struct(order.alias("o"), region.alias("r"), F.col("n").cast("long").alias("n"), "kind", F.col("tokens").cast("long").alias("tokens"), cap.cast("long").alias("cap")).alias("i"))
+    kind = "array<struct<kind:string,n:long,tokens:long,selected:boolean>>"
+    start = F.struct(F.lit(0).cast("long").alias("used"), F.lit(0).alias("r"), F.lit(0).cast("long").alias("here"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, i: Column) -> Column:
+        here = F.when(a["r"] == i["r"], a["here"]).otherwise(0)
+        fits = (a["used"] + i["tokens"] <= budget) & (here + i["tokens"] <= i["cap"])
+        add = F.when(fits, i["tokens"]).otherwise(0)
+        one = F.struct(i["kind"].alias("kind"), i["n"].alias("n"), i["tokens"].alias("tokens"), fits.alias("selected"))
+        return F.struct((a["used"] + add).alias("used"), i["r"].alias("r"), (here + add).cast("long").alias("here"), F.concat(a["out"], F.array(one)).cast(kind).alias("out"))
+
+    packed = rows.groupBy(*group).agg(F.array_sort(F.collect_list("i")).alias("rows")).select(*group, F.aggregate("rows", start, step).alias("p"))
+    return packed.select(*group, F.col("p.used").alias("used"), F.explode("p.out").alias("x")).select(*group, "used", "x.kind", "x.n", "x.tokens", "x.selected")
+
+
+def labelled_summary(goal: Column, facts: Column, decisions: Column, open_questions: Column) -> Column:
+    """A summary's parts under their labels; empty parts are left out."""
+    part = lambda label, c: F.when(F.coalesce(F.length(c), F.lit(0)) > 0, F.concat(F.lit(f"{label}: "), c))
+    return F.concat_ws("\n", part("Goal", goal), part("Facts", facts), part("Decisions", decisions), part("Open", open_questions))
+
+
+def top_memories(memories: DataFrame, group: list[str], limit: int) -> DataFrame:
+    """Active memories by importance, then newest; the limit is held within 1 and 50."""
+    rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("importance"), F.desc("updated_at"), F.desc("memory_id")))
+    return memories.filter("status = 'active'").withColumn("rank", rank).filter(F.col("rank") <= max(1, min(limit, 50)))

@@ -70,3 +70,36 @@ def outside_tables(lines: DataFrame, tables: DataFrame, by: list[str]) -> DataFr
 
 def reading_order(lines: DataFrame, by: list[str], column: Column) -> DataFrame:
     return lines.withColumn("position", F.row_number().over(Window.partitionBy(*by).orderBy(column, "top", "x0")))
+
+
+def lines_of_words(words: DataFrame, by: list[str], apart: float = 4.0) -> DataFrame:
+    """Adds line: words from top to bottom start a new line when they lie more than ``apart`` below the line's first word.
+    A fold over one page's words."""
+    order = F.array_sort(F.collect_list(F.struct("top", "x0", "x1", "bottom", "word")))
+    page = words.groupBy(*by).agg(order.alias("ws"))
+    kind = "array<struct<line:int,top:double,x0:double,x1:double,bottom:double,word:string>>"
+    start = F.struct(F.lit(None).cast("double").alias("anchor"), F.lit(-1).alias("line"), F.array().cast(kind).alias("out"))
+
+    def step(a: Column, w: Column) -> Column:
+        new = F.coalesce(w["top"] - a["anchor"] > apart, F.lit(True))
+        line = (a["line"] + new.cast("int")).cast("int")
+        item = F.struct(line.alias("line"), *[w[c].alias(c) for c in ("top", "x0", "x1", "bottom", "word")])
+        return F.struct(F.when(new, w["top"]).otherwise(a["anchor"]).alias("anchor"), line.alias("line"), F.concat(a["out"], F.array(item)).cast(kind).alias("out"))
+
+    return page.select(*by, F.explode(F.aggregate("ws", start, step)["out"]).alias("w")).select(*by, "w.*")
+
+
+def page_elements(lines: DataFrame, doc: str, page: str = "page") -> DataFrame:
+    """Lines (doc, page, position, text, size, top, bottom) as headings and paragraphs: a line is a heading if it is short
+    and larger than its page's median by 1.2; a paragraph ends at a heading, a new page, or a wide gap."""
+    p = Window.partitionBy(doc, page)
+    w = Window.partitionBy(doc).orderBy(page, "position")
+    m = lines.withColumns({"median": F.median("size").over(p), "height": F.median(F.col("bottom") - F.col("top")).over(p)})
+    m = m.withColumn("heading", (F.col("size") >= F.col("median") + 1.2) & (F.length("text") <= 40))
+    gap = F.col("top") - F.lag("bottom").over(w)
+    tall = F.greatest(F.col("bottom") - F.col("top"), F.col("height"))
+    new = F.coalesce(F.col("heading") | F.lag("heading").over(w) | (F.lag(page).over(w) != F.col(page)) | (gap > 1.65 * tall), F.lit(True))
+    m = m.withColumn("__new", new.cast("int")).withColumn("element", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
+    glued = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "position", "text"))), lambda x: x["text"]), " ")
+    joined = F.regexp_replace(glued, "(?<=[一-鿿，。；：！？]) (?=[一-鿿，。；：！？])", "")
+    return m.groupBy(doc, "element").agg(F.when(F.first("heading"), "heading").otherwise("paragraph").alias("kind"), joined.alias("text"), F.min(page).alias("page_start"), F.max(page).alias("page_end"))

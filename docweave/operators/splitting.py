@@ -267,3 +267,90 @@ def header_votes(first: Column, second: Column) -> Column:
     full = F.forall(first, lambda c: F.trim(c) != "")
     words_then_numbers = F.forall(first, lambda c: ~fx.is_number(c)) & F.exists(second, fx.is_number)
     return full.cast("int") + words_then_numbers.cast("int") + (first != second).cast("int") >= 2
+
+
+_ENDS = "。！？；.!?;\\n，, "
+
+
+def windows(text: Column, most: int = MOST, overlap: int = OVERLAP, near: int = 80) -> Column:
+    """A long text in windows: each ends at the last boundary within ``near`` signs before ``most``, else at the first one
+    as far behind it, else right there; the next begins ``overlap`` earlier, moved on to a boundary, and always
+    further than the last one began."""
+    check_options(most, most, overlap)
+    n = F.length(text)
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+
+    def step(a: Column, _: Column) -> Column:
+        left = F.length(F.regexp_extract(F.substring(text, a["at"] + most - near + 1, F.lit(near)), f"(?s)^(.*[{_ENDS}])", 1))
+        right = F.length(F.regexp_extract(F.substring(text, a["at"] + most + 1, F.lit(near)), f"(?s)^([^{_ENDS}]*[{_ENDS}])", 1))
+        end = F.when(a["at"] + most >= n, n).when(left > 0, a["at"] + most - near + left).when(right > 0, a["at"] + most + right).otherwise(a["at"] + most)
+        back = F.greatest(end - overlap, F.lit(0))
+        skip = F.length(F.regexp_extract(F.substring(text, back + 1, F.lit(max(overlap, 1))), f"(?s)^([^{_ENDS}]*[{_ENDS}]\\s*)", 1))
+        nxt = F.when(end >= n, n).when(back + skip > a["at"], F.least(back + skip, end)).otherwise(end)
+        piece = F.regexp_replace(F.substring(text, a["at"] + 1, end - a["at"]), r"(?U)^\s+|\s+$", "")
+        more = F.when(piece != "", F.concat(a["out"], F.array(piece))).otherwise(a["out"])
+        return F.when(a["at"] >= n, a).otherwise(F.struct(nxt.cast("int").alias("at"), more.alias("out")))
+
+    rounds = F.floor(n / max(1, most - overlap - near)).cast("int") + 2
+    return F.aggregate(F.sequence(F.lit(1), rounds), start, step, lambda a: a["out"])
+
+
+def split_table(text: Column, most: int = MOST) -> Column:
+    """A Markdown table in parts that each keep the header; rows stay whole, a row that is too long is cut in windows. No
+    row comes twice."""
+    rows = F.split(text, "\n")
+    has = F.get(rows, F.lit(1)).rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$")
+    head = F.when(has, F.concat(F.get(rows, F.lit(0)), F.lit("\n"), F.get(rows, F.lit(1)), F.lit("\n"))).otherwise("")
+    body = F.slice(rows, F.when(has, 3).otherwise(1), F.greatest(F.size(rows), F.lit(1)))
+    room = F.greatest(F.lit(most) - F.length(head), F.lit(1))
+    cut = F.flatten(F.transform(body, lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.length(r) - 1) / room).cast("int")), lambda i: F.substring(r, i * room + 1, room))))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.transform(_pack_to(cut, room, "\n"), lambda p: F.concat(head, p)))
+
+
+def split_code(text: Column, most: int = MOST) -> Column:
+    """A fenced block in parts that each keep the fences; lines stay whole unless one is too long. No line comes twice."""
+    lines_ = F.split(text, "\n")
+    fenced = F.get(lines_, F.lit(0)).startswith("```")
+    first = F.when(fenced, F.concat(F.get(lines_, F.lit(0)), F.lit("\n"))).otherwise("")
+    closed = fenced & F.trim(F.element_at(lines_, -1)).eqNullSafe("```") & (F.size(lines_) > 1)
+    last = F.when(fenced, "\n```").otherwise("")
+    body = F.slice(lines_, F.when(fenced, 2).otherwise(1), F.size(lines_) - F.when(fenced, 1).otherwise(0) - F.when(closed, 1).otherwise(0))
+    room = F.greatest(F.lit(most) - F.length(first) - F.length(last), F.lit(1))
+    cut = F.flatten(F.transform(body, lambda r: F.when(F.length(r) <= room, F.array(r)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(r) - 1) / room).cast("int")), lambda i: F.substring(r, i * room + 1, room)))))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.transform(_pack_to(cut, room, "\n"), lambda p: F.concat(first, p, last)))
+
+
+def _pack_to(units: Column, room: Column, glue: str) -> Column:
+    """Units joined as long as they fit in ``room``; blank ones count, for lines of code may be blank."""
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+
+    def step(a: Column, u: Column) -> Column:
+        fits = F.length(a["cur"]) + len(glue) + F.length(u) <= room
+        return F.struct(
+            F.when(a["cur"].isNotNull() & ~fits, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]).alias("done"),
+            F.when(a["cur"].isNotNull() & fits, F.concat(a["cur"], F.lit(glue), u)).otherwise(u).alias("cur"),
+        )
+
+    return F.aggregate(units, start, step, lambda a: F.when(a["cur"].isNotNull(), F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+
+
+def merged_metadata(blocks: DataFrame, by: list[str]) -> DataFrame:
+    """Metadata of chunks from that of their blocks: first starts, last ends, the most rows, the first table keys, and the
+    distinct heading paths and kinds in order."""
+    paths = F.transform(F.array_sort(F.collect_list(F.struct("n", "heading_path"))), lambda x: x["heading_path"])
+    kinds = F.transform(F.array_sort(F.collect_list(F.struct("n", "kind"))), lambda x: x["kind"])
+    return blocks.groupBy(*by).agg(
+        F.min("page_start").alias("page_start"), F.max("page_end").alias("page_end"), F.min("row_start").alias("row_start"), F.max("row_end").alias("row_end"), F.max("row_count").alias("row_count"),
+        F.min_by("sheet_name", F.when(F.col("sheet_name").isNotNull(), F.col("n"))).alias("sheet_name"), F.array_distinct(paths).alias("heading_paths"), F.array_distinct(kinds).alias("block_types"),
+    )
+
+
+def text_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+    """Plain text as sections: headings that stay (``least`` of them, else the document is one section without heading),
+    with all lines up to the next one; what stands before the first is a preface."""
+    rows = lines(docs, id_col, text_col)
+    kept = headings(rows, id_col).filter("keep").withColumn("__n", F.count("*").over(Window.partitionBy(id_col))).filter(F.col("__n") >= least).select(id_col, "line_no", "heading", "level")
+    w = Window.partitionBy(id_col).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
+    r = rows.join(kept, [id_col, "line_no"], "left").withColumn("section_no", F.sum(F.col("heading").isNotNull().cast("int")).over(w))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("heading").isNull() & (F.trim("line") != ""), F.struct("line_no", F.trim("line").alias("line"))))), lambda x: x["line"]), "\n")
+    return r.groupBy(id_col, "section_no").agg(F.max("heading").alias("heading"), F.max("level").alias("level"), body.alias("text")).filter("heading is not null or text <> ''")
