@@ -40,6 +40,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, key: str) -> DataFrame:
+    """Writes ``df`` to the shared folder in buckets of ``key``: later joins on it read the rows where they belong and
+    shuffle the other side only."""
+    spark = df.sparkSession
+    path = shared_dir(spark, name)
+    made = f"{name.replace('-', '_')}_{path[-32:]}"
+    df.write.bucketBy(partitions(spark), key).option("path", path).option("compression", "zstd").saveAsTable(made)
+    return spark.table(made)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 

@@ -16,14 +16,18 @@ from docweave.llm.common import mix, partitions
 SLICE_BITS = 18
 #: Items that a task sketches at a time.
 FLUSH = 2 << 20
-#: Cells a sketch may have, in all its rows: 64 MB at one bit each, 128 MB at two. More items than cells make
+#: Cells a sketch may have, in all its rows: 64 MB at one bit each, 256 MB at four. More items than cells make
 #: estimates coarser, never too low.
 MOST_BITS = 29
 
 
+#: Bits of a cell, by how many levels it tells apart; and the cells of a byte, as a power of two.
+_WIDTH, _SHIFT = {1: 1, 3: 2, 15: 4}, {1: 3, 2: 2, 4: 1}
+
+
 @dataclass
 class Sketch:
-    """``depth`` rows of ``2 ** bits`` cells of ``width`` (1 or 2) bits; kept compressed until a worker needs it."""
+    """``depth`` rows of ``2 ** bits`` cells of ``width`` (1, 2 or 4) bits; kept compressed until a worker needs it."""
 
     bits: int
     depth: int
@@ -34,7 +38,7 @@ class Sketch:
         """For each item the least level over the rows: at least the level of its true count."""
         if not hasattr(self, "_cells"):
             self._cells = np.frombuffer(pa.decompress(self.packed, self.depth * self.width << self.bits >> 3, "zstd", asbytes=True), np.uint8)
-        shift = 3 if self.width == 1 else 2
+        shift = _SHIFT[self.width]
         most = np.uint8((1 << self.width) - 1)
         out = np.full(len(items), most, np.uint8)
         for row in range(self.depth):
@@ -78,7 +82,7 @@ def _sketch(items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], bits: in
         for row in range(depth):
             found = np.sort(cells(items, row, bits).astype(np.uint32))
             new = np.flatnonzero(np.concatenate([[True], found[1:] != found[:-1]])) if len(found) else np.zeros(0, np.int64)
-            count = np.minimum(np.diff(np.append(new, len(found))), 255).astype(np.uint8)
+            count = np.minimum(np.diff(np.append(new, len(found))), 65535).astype(np.uint16)
             found = found[new]
             cuts = np.searchsorted(found, np.arange(row << bits >> SLICE_BITS, (row + 1 << bits >> SLICE_BITS) + 1, dtype=np.int64) << SLICE_BITS)
             rows = [(s + (row << bits >> SLICE_BITS), a, b) for s, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)) if b > a]
@@ -116,11 +120,11 @@ def _merge(levels: tuple[int, ...]) -> Callable:
 
         def done() -> pa.RecordBatch:
             level = np.searchsorted(np.array(levels), total, side="right").astype(np.uint8)
-            if len(levels) == 1:
-                packed = np.packbits(level, bitorder="little")
-            else:
-                level = level.reshape(-1, 4)
-                packed = level[:, 0] | level[:, 1] << 2 | level[:, 2] << 4 | level[:, 3] << 6
+            width = _WIDTH[len(levels)]
+            level = level.reshape(-1, 1 << _SHIFT[width])
+            packed = np.zeros(len(level), np.uint8)
+            for i in range(level.shape[1]):
+                packed |= level[:, i] << np.uint8(width * i)
             return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([packed.astype(np.uint8).tobytes()], pa.binary())], names=["slice", "packed"])
 
         for batch in batches:
@@ -128,9 +132,9 @@ def _merge(levels: tuple[int, ...]) -> Callable:
                 if s != at:
                     if at is not None:
                         yield done()
-                    at, total = s, np.zeros(1 << SLICE_BITS, np.int32)
+                    at, total = s, np.zeros(1 << SLICE_BITS, np.int64)
                 where = unpack_gaps(gaps)
-                total[where] = np.minimum(total[where] + np.frombuffer(pa.decompress(counts, len(where), "zstd", asbytes=True), np.uint8), 1 << 20)
+                total[where] += np.frombuffer(pa.decompress(counts, 2 * len(where), "zstd", asbytes=True), np.uint16)
         if at is not None:
             yield done()
 
@@ -140,9 +144,9 @@ def _merge(levels: tuple[int, ...]) -> Callable:
 def count_min(df: DataFrame, items_of: Callable[[pa.RecordBatch], Iterator[np.ndarray]], items: int, depth: int = 2, load: float = 0.5, levels: tuple[int, ...] = (2,)) -> Broadcast:
     """Sketches all 64-bit items that ``items_of`` finds in the rows of ``df`` (``items`` is their expected number, for
     sizing) and broadcasts the result, at most ``2 ** MOST_BITS`` cells whatever the input. A cell keeps which of
-    ``levels`` (one or three ascending counts) its count has reached. Estimates are never below the true level."""
+    ``levels`` (1, 3 or 15 ascending counts) its count has reached. Estimates are never below the true level."""
     spark = df.sparkSession
-    width = 1 if len(levels) == 1 else 2
+    width = _WIDTH[len(levels)]
     bits = sizes(items, depth, load)
     parts = df.mapInArrow(_sketch(items_of, bits, depth), "slice int, gaps binary, counts binary")
     parts = parts.repartition(partitions(spark), "slice").sortWithinPartitions("slice")

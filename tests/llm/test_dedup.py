@@ -180,7 +180,7 @@ def test_sketch_never_estimates_low(spark):
 
     df = spark.range(3000).select((F.col("id") % 1500).alias("x")).repartition(5)
     items_of = lambda batch: iter([batch.column(0).to_numpy().astype(np.uint64)])
-    for levels, want in (((2,), 1), ((1, 2, 16), 2)):
+    for levels, want in (((2,), 1), ((1, 2, 16), 2), (tuple(range(1, 16)), 2)):
         s = sketch.count_min(df, items_of, 3000, levels=levels).value
         assert (s.levels(np.arange(1500, dtype=np.uint64)) >= want).all()
         assert (s.levels(np.arange(10**6, 10**6 + 1000, dtype=np.uint64)) > 0).mean() < 0.05
