@@ -60,10 +60,11 @@ def resolve_revisits(records: DataFrame) -> DataFrame:
     # A response of the same date is no earlier one: revisits come first.
     before = Window.partitionBy("url", "range").orderBy("at", (F.col("warc_type") == "response").cast("int"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = able.withColumn("near", F.last("full", ignorenulls=True).over(before)).filter("warc_type = 'revisit'")
-    ends = able.filter("full is not null").groupBy("url", "range").agg(F.max_by("full", F.struct("at", "record_id")).alias("final"))
-    # Ranges with a response, each handed to the ranges after it up to the next that has one.
-    nxt = F.lead("range").over(Window.partitionBy("url").orderBy("range"))
-    reach = ends.withColumn("to", F.coalesce(nxt, F.lit(RANGES + 1))).select("url", "final", F.explode(F.sequence(F.col("range") + 1, F.col("to"))).alias("range"))
+    stamp = F.when(F.col("full").isNotNull(), F.struct("at", "record_id"))
+    ends = able.groupBy("url", "range").agg(F.max_by("full", stamp).alias("last"))
+    # What each range that the URL has is handed by those before it.
+    earlier = Window.partitionBy("url").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    reach = ends.select("url", "range", F.last("last", ignorenulls=True).over(earlier).alias("final"))
     met = seen.join(reach, ["url", "range"], "left").withColumn("base", F.coalesce("near", "final"))
     theirs, own = F.col("base.headers"), F.col("headers")
     tags = (_validator(own, "etag"), _validator(theirs, "etag"))
