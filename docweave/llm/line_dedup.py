@@ -2,169 +2,108 @@
 
 from __future__ import annotations
 
-import hashlib
-from collections.abc import Iterator
+import math
 
-import numpy as np
-import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import blocks, bucketed, input_bytes, mix, stored, text_or_empty, word_bounds, word_hashes
-from docweave.llm.sketch import count_min
+from docweave.llm.common import bucketed, input_bytes, stored, text_or_empty
 
 PERCENT = 80
 WORD_BYTES = 6
-#: Occurrences from which a word is of the next level: rarity is told apart in factors of two, then of four.
-LEVELS = (2, 3, 4, 6, 8, 16, 32, 64, 128, 512, 2048, 8192, 32768, 131072, 524288)
+#: Words are counted in 2 ** CELL_BITS cells at most: one byte each, 1 MB whatever the input.
+MIN_CELL_BITS, CELL_BITS = 12, 20
+#: Bits of a word that hold its level of rarity; the others hold its hash.
+LEVEL_BITS = 7
+#: Sets of at least this size have their bitmap in two halves.
+WIDE = 64
 _NO_ID = -(1 << 63)
-_LINE_FEED = 10
-
-
-def _line_sets(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, int]], np.ndarray]:
-    """Sorted distinct word hashes of every line with words, one line after the other: (hashes, offsets of the lines,
-    (text, line) of each, bytes of the lines' texts in hashed form for equality)."""
-    lower = [t.lower().encode() for t in texts]
-    buf = np.frombuffer(b"\n".join(lower) + b"\n", np.uint8)
-    feeds = np.flatnonzero(buf == _LINE_FEED)
-    offsets = np.concatenate([[0], feeds + 1])
-    starts, ends, upto = word_bounds(buf, offsets)
-    hashes = word_hashes(buf, starts, ends, seed=6)
-    line = np.repeat(np.arange(len(feeds)), np.diff(upto))
-    order = np.lexsort((hashes, line))
-    h, at = hashes[order], line[order]
-    new = np.concatenate([[True], (h[1:] != h[:-1]) | (at[1:] != at[:-1])])[: len(h)]
-    h, at = h[new], at[new]
-    used = np.unique(at)
-    cuts = np.concatenate([np.searchsorted(at, used), [len(at)]])
-    per_text = np.array([t.count(b"\n") + 1 for t in lower])
-    text_no = np.repeat(np.arange(len(texts)), per_text)
-    line_no = np.arange(len(feeds)) - np.repeat(np.cumsum(per_text) - per_text, per_text)
-    return h, cuts, text_no[used], line_no[used]
-
-
-_SIGNED = "doc_id long, pos int, n int, bits_a long, bits_b long, keys array<long>, prefix array<int>, place array<int>"
-
-
-def _signatures(sketch: Broadcast, percent: int):  # noqa: ANN202
-    schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("n", pa.int32()), ("bits_a", pa.int64()), ("bits_b", pa.int64()), ("keys", pa.list_(pa.int64())), ("prefix", pa.list_(pa.int32())), ("place", pa.list_(pa.int32()))])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for block in blocks([batch]):
-                ids = block.column(0).to_numpy()
-                h, cuts, text_no, line_no = _line_sets(block.column(1).to_pylist())
-                if not len(text_no):
-                    continue
-                n = np.diff(cuts)
-                line = np.repeat(np.arange(len(n)), n)
-                level = sketch.value.levels(h)
-                # bits: each word flips one of 64 in two bitmaps; what two sets do not share shows as differing bits
-                flip = mix(h + np.uint64(77))
-                bits = [np.bitwise_xor.reduceat(np.uint64(1) << (flip >> np.uint64(s) & np.uint64(63)), cuts[:-1]) for s in (0, 6)]
-                turned = mix(h + np.uint64(99))
-                low = np.minimum.reduceat(turned, cuts[:-1])
-                high = np.maximum.reduceat(turned, cuts[:-1])
-                low_2 = np.minimum.reduceat(mix(h + np.uint64(101)), cuts[:-1])
-                high_2 = np.minimum.reduceat(mix(h + np.uint64(103)), cuts[:-1])
-                same = np.array([int.from_bytes(hashlib.blake2b(h[a:b].tobytes(), digest_size=8).digest(), "little") for a, b in zip(cuts, cuts[1:], strict=False)], np.uint64)
-                # the last bit of a key tells whether it stands for the whole set
-                keys = np.stack([same | np.uint64(1)] + [x & ~np.uint64(1) for x in (mix(low * np.uint64(3) + low_2), mix(high * np.uint64(5) + high_2))], axis=1)
-                # rarest first: by level, then by hash (the order within a line already)
-                order = np.lexsort((level, line))
-                rank = np.arange(len(h)) - np.repeat(cuts[:-1], n)
-                # a set that no unequal set can be like (n shared of n + 1) has no prefix: equal ones meet by their key
-                able = (100 * n >= percent * (n + 1)) | (percent == 100)
-                keep = (rank < (n - -(-percent * n // 100) + 1)[line]) & (level[order] >= 1) & able[line]
-                owner = line[keep]
-                sizes = np.bincount(owner, minlength=len(n))
-                offs = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
-                word = (mix(h[order][keep]) & np.uint64(0xFFFFFFFF)).astype(np.uint32).view(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids[text_no]), pa.array(line_no, pa.int32()), pa.array(n, pa.int32()), *[pa.array(x.view(np.int64)) for x in bits]]
-                    + [pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1) * 3, pa.int32()), pa.array(keys.reshape(-1).view(np.int64)))]
-                    + [pa.ListArray.from_arrays(offs, pa.array(x, pa.int32())) for x in (word, rank[keep].astype(np.int32))],
-                    schema=schema,
-                )
-
-    return run
-
-
-def _size_class(n: np.ndarray, percent: int) -> np.ndarray:
-    """Sets of classes that are neither equal nor next to each other differ too much in size to be alike."""
-    return np.floor(np.log(n) / np.log(100 / percent) + 1e-9).astype(np.int64) if percent < 100 else n.astype(np.int64) * 3
-
-
-def _word_items(words: np.ndarray, size_class: np.ndarray) -> np.ndarray:
-    return mix(words.view(np.uint32).astype(np.uint64) + (size_class.astype(np.uint64) + np.uint64(64) << np.uint64(33)))
-
-
-def _columns(batch: pa.RecordBatch, percent: int) -> tuple[dict, np.ndarray, np.ndarray, np.ndarray]:
-    """The batch by name, its keys, its prefix words, and the size class of each word's line."""
-    col = {name: batch.column(i) for i, name in enumerate(batch.schema.names)}
-    keys, words = (col[c].flatten().to_numpy() for c in ("keys", "prefix"))
-    per_line = np.array(col["prefix"].value_lengths())
-    return col, keys.view(np.uint64), words, np.repeat(_size_class(col["n"].to_numpy(), percent), per_line)
-
-
-def _shared_only(sketch: Broadcast, percent: int):  # noqa: ANN202
-    """Leaves out keys that surely occur once, and prefix words that surely no other line of fitting size has."""
-
-    def cut(lists: pa.ListArray, keep: np.ndarray) -> pa.Array:
-        upto = np.concatenate([[0], np.cumsum(keep)])
-        offsets = lists.offsets.to_numpy()
-        return pa.array(upto[offsets - offsets[0]], pa.int32())
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            col, keys, words, size_class = _columns(batch, percent)
-            levels = sketch.value.levels
-            shared = levels(_word_items(words, size_class)) >= 2
-            for near in (-1, 1):
-                shared |= levels(_word_items(words, size_class + near)) >= 1
-            for names, kept in ((["keys"], levels(keys) >= 2), (["prefix", "place"], shared)):
-                offsets = cut(col[names[0]], kept)
-                for name in names:
-                    col[name] = pa.ListArray.from_arrays(offsets, col[name].flatten().filter(pa.array(kept)))
-            yield pa.RecordBatch.from_arrays(list(col.values()), names=list(col))
-
-    return run
-
-
-def _words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(doc_id, text, wanted lines) -> (doc_id, pos, words): the sorted distinct word hashes of those lines."""
-    schema = pa.schema([("doc_id", pa.int64()), ("pos", pa.int32()), ("words", pa.list_(pa.int64()))])
-    for batch in batches:
-        for block in blocks([batch]):
-            where, lines = [], []
-            for doc_id, text, wanted in zip(*(block.column(i).to_pylist() for i in range(3)), strict=True):
-                parts = text.split("\n")
-                for pos in wanted:
-                    where.append((doc_id, pos))
-                    lines.append(parts[pos] if pos < len(parts) else "")
-            h, cuts, text_no, _ = _line_sets(lines)
-            rows = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(h.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([pa.array([where[i][0] for i in text_no], pa.int64()), pa.array([where[i][1] for i in text_no], pa.int32()), rows], schema=schema)
+_PLACE = ["doc_id", "pos"]
+
+
+def _lines(text: Column) -> Column:
+    """Lower-cased lines, with blanks for other white space (looked for first: few texts have any)."""
+    low = F.lower(text)
+    other = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
+    return F.split(F.when(other, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), "\n")
+
+
+def _cell(word: Column, bits: int) -> Column:
+    return F.xxhash64(word).bitwiseAND((1 << bits) - 1)
+
+
+def _rarity(texts: DataFrame, bits: int) -> Column:
+    """How often words occur, over all texts: a byte for each cell of word hashes, the rounded logarithm of its count."""
+    words = texts.select(F.explode(F.split(F.array_join(_lines(F.col("text")), " "), " ")).alias("w"))
+    counts = words.groupBy(_cell(F.col("w"), bits).alias("cell")).count()
+    level = F.least(F.floor(F.log2("count") * 1.5), F.lit((1 << LEVEL_BITS - 1) - 1)).cast("int")
+    table = bytearray(1 << bits)
+    found = counts.select(F.col("cell").cast("int"), level.alias("level")).toArrow()
+    for cell, of in zip(found["cell"].to_pylist(), found["level"].to_pylist(), strict=True):
+        table[cell] = of
+    return F.lit(table)
+
+
+def _sets(line: Column, levels: Column, bits: int) -> Column:
+    """A line's distinct words as longs, rarest first: level above, hash below."""
+
+    def word(w: Column) -> Column:
+        level = F.ascii(F.substring(levels, _cell(w, bits).cast("int") + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("long"), 64 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), LEVEL_BITS))
+
+    return F.sort_array(F.array_except(F.transform(F.split(line, " "), word), F.array(word(F.lit("")))))
+
+
+def _plain_sets(line: Column) -> Column:
+    return F.array_except(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+
+
+def _signed(texts: DataFrame, levels: Column, bits: int, percent: int) -> DataFrame:
+    """A row for each line with words: two hashes of its set, its size, its bitmap and its prefix."""
+    lines = texts.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    sets = lines.select(*_PLACE, _sets(F.col("line"), levels, bits).alias("s")).withColumn("n", F.size("s")).filter("n > 0")
+    n = F.col("n")
+    flip = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(63).cast("int"))
+    all_bits = F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(flip(F.lit(1).cast("long"), x)))
+    odd_bits = F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(flip(F.shiftright(x, 6).bitwiseAND(1), x)))
+    # A set that no unequal set can be like (n shared of n + 1) has no prefix: equal ones meet by their hashes.
+    able = (n * 100 >= (n + 1) * percent) | F.lit(percent == 100)
+    length = F.when(able, n - F.ceil(n * percent / 100).cast("int") + 1).otherwise(0)
+    prefix = F.transform(F.slice("s", F.lit(1), length), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
+    return sets.select(*_PLACE, "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), all_bits.alias("bits"), F.when(n >= WIDE, odd_bits).otherwise(F.lit(0).cast("long")).alias("odd"), prefix.alias("prefix"))
+
+
+def _may_match(percent: int) -> Column:
+    """Length and bitmap filters: the sizes allow it, and the words that differ are not too many. Each word flips one bit,
+    so the bits that differ never outnumber the words that do."""
+    n, m = F.col("a.n"), F.col("b.n")
+    # shared <= (n + m - apart) / 2, and shared * (100 + percent) >= percent * (n + m) is asked for
+    close = lambda apart: (n + m - apart) * (100 + percent) >= (n + m) * (2 * percent)
+    whole = F.col("a.bits").bitwiseXOR(F.col("b.bits"))
+    odd = F.col("a.odd").bitwiseXOR(F.col("b.odd"))
+    halves = F.bit_count(odd) + F.bit_count(whole.bitwiseXOR(odd))
+    return (m * 100 >= n * percent) & (n * 100 >= m * percent) & close(F.bit_count(whole)) & ((F.least(n, m) < WIDE) | close(halves))
+
+
+def _later() -> Column:
+    return (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.pos") < F.col("a.pos")))
+
+
+_PAIR = ["a.doc_id", "a.pos", "b.doc_id as doc_0", "b.pos as pos_0"]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Of ``pairs`` (doc_id, pos, doc_0, pos_0) the lines whose word sets really are that alike. The words are read again
     from the texts, for the lines in question only."""
-    ends = pairs.select("doc_id", "pos").union(pairs.select("doc_0", "pos_0")).groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_set("pos").alias("wanted"))
-    words = texts.join(ends, F.col("doc_id") == F.col("in_doc")).select("doc_id", "text", "wanted").mapInArrow(_words_of, "doc_id long, pos int, words array<long>")
+    ends = pairs.select(*_PLACE).union(pairs.select("doc_0", "pos_0")).groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_set("pos").alias("wanted"))
+    asked = texts.select("doc_id", "text").join(ends, F.col("doc_id") == F.col("in_doc"))
+    numbered = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
+    asked = asked.select("doc_id", F.explode(F.filter(numbered, lambda x: F.array_contains("wanted", x["pos"]))).alias("x"))
+    words = asked.select("doc_id", F.col("x.pos").alias("pos"), _plain_sets(F.col("x.line")).alias("words"))
     first = words.select(F.col("doc_id").alias("doc_0"), F.col("pos").alias("pos_0"), F.col("words").alias("words_0"))
-    met = pairs.join(words, ["doc_id", "pos"]).join(first, ["doc_0", "pos_0"])
+    met = pairs.join(words, _PLACE).join(first, ["doc_0", "pos_0"])
     shared = F.size(F.array_intersect("words", "words_0"))
-    return met.filter(shared * 100 >= (F.size("words") + F.size("words_0") - shared) * percent).select("doc_id", "pos").distinct()
-
-
-def _may_match(a: str, b: str, percent: int, bits: tuple[str, ...]) -> Column:
-    """Length and bitmap filters: the sizes allow it, and the words that differ are not too many."""
-    n, m = F.col(f"{a}.n"), F.col(f"{b}.n")
-    apart = F.array_max(F.array(*[F.bit_count(F.col(f"{a}.{c}").bitwiseXOR(F.col(f"{b}.{c}"))) for c in bits]))
-    # shared <= (n + m - apart) / 2, and shared * (100 + percent) >= percent * (n + m) is asked for
-    return (m * 100 >= n * percent) & (n * 100 >= m * percent) & ((n + m - apart) * (100 + percent) >= 2 * percent * (n + m))
+    return met.filter(shared * 100 >= (F.size("words") + F.size("words_0") - shared) * percent).select(*_PLACE).distinct()
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -174,64 +113,48 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     (smaller id, or same id and earlier line) has a set with ``100 * intersection >= percent * union``; earlier lines
     count whether they stay or not. Lines without words always stay.
 
-    1. A count-min sketch over all words orders a line's words by rarity. Two sets that alike share a word among the
-       rarest ``n - ceil(n * percent / 100) + 1`` of each; a second sketch tells which of those words, and which of the
-       keys of step 2, are surely alone and need not be sent.
-    2. Equal sets, and sets with the same pair of minimum hashes, meet the earliest of them. That pair is verified, so
-       nearly all members of a large family are settled by one row each.
-    3. Lines still open join all distinct lines on each prefix word, with length, positional and bitmap filters; what is
+    1. Counts of all words, in a table of bounded size, order a line's words by rarity. Two sets that alike share a word
+       among the rarest ``n - ceil(n * percent / 100) + 1`` of each: the prefix.
+    2. Equal sets meet the earliest of them, which stands for all from then on.
+    3. Lines meet the earliest line that chose the same word of its prefix (the rarest, the least and the greatest by hash).
+       That pair is verified, so nearly all members of a large family are settled by a few rows each.
+    4. Lines still open join all distinct lines on each prefix word, with positional, length and bitmap filters; what is
        left is verified on the words themselves.
 
-    Signatures and word sets are made with numpy in the tasks (see the README for the figures of the purely native
-    form); everything else is DataFrame operations. Joins are plain equality joins, which adaptive execution splits where a
-    key is hot; no list of a key's lines is ever built. Texts are written once in buckets of their id, so that no
-    later step shuffles them. Null texts stay null. A null id comes before all others; rows repeated with the same id
-    are one document, none earlier than the other. Columns named n_lines or n_removed are replaced.
+    Everything is DataFrame operations. Joins are plain equality joins, which adaptive execution splits where a key is
+    hot; no list of a key's lines is ever built. Texts are written once in buckets of their id, so that no later step
+    shuffles them. Null texts stay null. A null id comes before all others; rows repeated with the same id are one
+    document, none earlier than the other. Columns named n_lines or n_removed are replaced.
     """
     rest = [c for c in df.columns if c not in (id_col, text_col, "n_lines", "n_removed")]
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(text_col).isNull().alias("void"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)])
-    expected = input_bytes(df, text_col) // WORD_BYTES
-
-    def items_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        for block in blocks([batch], limit=8 << 20):
-            yield _line_sets(block.column(1).to_pylist())[0]
-
+    bits = min(max(math.ceil(math.log2(input_bytes(df, text_col) / WORD_BYTES / 256 + 1)), MIN_CELL_BITS), CELL_BITS)
     plain = rows.select("doc_id", "text")
-    sketch = count_min(plain, items_of, expected, depth=1, load=4.0, levels=LEVELS)
-    signed = bucketed(plain.mapInArrow(_signatures(sketch, percent), _SIGNED), "line-signatures", "doc_id")
+    signed = bucketed(_signed(plain, _rarity(plain, bits), bits, percent), "line-signatures", *_PLACE)
     texts = bucketed(rows, "line-texts", "doc_id")
-    place = ["doc_id", "pos"]
-
-    def both(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
-        _, keys, words, size_class = _columns(batch, percent)
-        yield np.concatenate([keys, _word_items(words, size_class)])
-
-    shared = count_min(signed.select("n", "keys", "prefix"), both, 11 * signed.count(), depth=1, load=0.25, levels=(1, 2, 16))
-    common = signed.mapInArrow(_shared_only(shared, percent), _SIGNED)
-    keyed = common.select(*place, "n", "bits_a", F.explode("keys").alias("key"))
-    heads = keyed.groupBy("key").agg(F.min(F.struct(*place, "n", "bits_a")).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select("key", "h.*")
-    later = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.pos") < F.col("a.pos")))
-    near = keyed.alias("a").join(heads.alias("b"), (F.col("a.key") == F.col("b.key")) & later & _may_match("a", "b", percent, ("bits_a",)))
-    equal = (F.col("a.key").bitwiseAND(F.lit(1)) == 1) & (F.col("a.n") == F.col("b.n")) & (F.col("a.bits_a") == F.col("b.bits_a"))
-    near = near.select("a.doc_id", "a.pos", F.col("b.doc_id").alias("doc_0"), F.col("b.pos").alias("pos_0"), equal.alias("equal"))
-    near = stored(near.groupBy(*place).agg(F.max("equal").alias("equal"), F.min(F.when(~F.col("equal"), F.struct("doc_0", "pos_0"))).alias("head"), F.max(F.when(~F.col("equal"), F.struct("doc_0", "pos_0"))).alias("head_2")), "line-heads")
-    equal = near.filter("equal").select(*place)
-    pairs = near.filter("not equal").select(*place, F.explode(F.array_distinct(F.array("head", "head_2"))).alias("h")).select(*place, "h.doc_0", "h.pos_0")
-    settled = stored(equal.withColumn("equal", F.lit(True)).union(_verified(pairs, texts, percent).withColumn("equal", F.lit(False))), "line-settled")
-
-    # An equal line adds nothing as a partner: the first of its kind is there.
-    by_doc = settled.groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_set("pos").alias("closed"), F.collect_set(F.when(F.col("equal"), F.col("pos"))).alias("same"))
-    lines = signed.join(by_doc, F.col("doc_id") == F.col("in_doc"), "left").filter(~F.coalesce(F.array_contains("same", F.col("pos")), F.lit(False)))
-    lines = lines.withColumn("pos", F.when(F.coalesce(F.array_contains("closed", F.col("pos")), F.lit(False)), -1 - F.col("pos")).otherwise(F.col("pos")))
-    entry = lines.select("doc_id", "pos", "n", "bits_a", "bits_b", "keys", "prefix", "place").mapInArrow(_shared_only(shared, percent), _SIGNED)
-    entry = entry.select("doc_id", "pos", "n", "bits_a", F.explode(F.arrays_zip("prefix", "place")).alias("w")).select("doc_id", "pos", "n", "bits_a", F.col("w.prefix").alias("word"), F.col("w.place").alias("i"))
-    # A closed line's number is stored as -1 - number: it is a partner only, no later line any more.
-    pos_b = F.when(F.col("b.pos") < 0, -1 - F.col("b.pos")).otherwise(F.col("b.pos"))
-    earlier = (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (pos_b < F.col("a.pos")))
+
+    same = ["h1", "h2", "n"]
+    heads = signed.groupBy(*same).agg(F.min(F.struct(*_PLACE)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select(*same, F.col("h.doc_id").alias("doc_0"), F.col("h.pos").alias("pos_0"))
+    copies = signed.select(*_PLACE, *same).join(heads, same).filter("doc_id <> doc_0 or pos <> pos_0")
+    copies = stored(copies.select(*_PLACE).distinct(), "line-copies")
+    kinds = signed.join(copies, _PLACE, "left_anti")
+
+    traits = [*_PLACE, "n", "bits", "odd"]
+    chosen = F.array_distinct(F.array(F.get("prefix", F.lit(0)), F.array_min("prefix"), F.array_max("prefix")))
+    keyed = kinds.filter(F.size("prefix") > 0).select(*traits, F.explode(chosen).alias("key"), F.floor(F.log2("n") * 2).alias("of_size"))
+    first = keyed.groupBy("key", "of_size").agg(F.min(F.struct(*traits)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select("key", "of_size", "h.*")
+    near = keyed.alias("a").join(first.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.of_size") == F.col("b.of_size")) & _later() & _may_match(percent))
+    near = stored(near.selectExpr(*_PAIR).distinct(), "line-heads")
+    settled = stored(_verified(near, texts, percent), "line-settled")
+
+    marked = kinds.join(settled.withColumn("closed", F.lit(1)), _PLACE, "left").withColumn("open", F.when(F.col("closed").isNull(), 1).otherwise(0))
+    entry = marked.select(*traits, "open", F.posexplode("prefix").alias("i", "word"))
     room = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
-    met = entry.alias("a").join(entry.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.pos") >= 0) & earlier & room & _may_match("a", "b", percent, ("bits_a",)))
-    met = stored(met.select("a.doc_id", "a.pos", F.col("b.doc_id").alias("doc_0"), pos_b.alias("pos_0")).distinct(), "line-pairs")
-    gone = settled.select(*place).union(_verified(met, texts, percent)).groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_set("pos").alias("gone"))
+    # Both sides are written alike, so that one shuffle serves both; a settled line is a partner only, no later line any more.
+    asks = F.col("a.open") * 2 + F.col("b.open") >= 2
+    met = entry.alias("a").join(entry.alias("b"), (F.col("a.word") == F.col("b.word")) & room & asks & _later() & _may_match(percent))
+    met = stored(met.selectExpr(*_PAIR).distinct(), "line-pairs")
+    gone = copies.union(settled).union(_verified(met, texts, percent)).groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_set("pos").alias("gone"))
 
     out = texts.join(gone, F.col("doc_id") == F.col("in_doc"), "left").withColumn("lines", F.split("text", "\n"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n"))
