@@ -40,13 +40,13 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+def bucketed(df: DataFrame, name: str, *keys: str, buckets: int | None = None) -> DataFrame:
     """Writes ``df`` to the shared folder in buckets of ``keys``: later joins on them read the rows where they belong and
     shuffle the other side only."""
     spark = df.sparkSession
     path = shared_dir(spark, name)
     made = f"{name.replace('-', '_')}_{path[-32:]}"
-    df.write.bucketBy(partitions(spark), *keys).option("path", path).option("compression", "zstd").saveAsTable(made)
+    df.write.bucketBy(buckets or partitions(spark), *keys).option("path", path).option("compression", "zstd").saveAsTable(made)
     return spark.table(made)
 
 

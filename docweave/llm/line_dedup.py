@@ -7,10 +7,12 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import bucketed, input_bytes, stored, text_or_empty
+from docweave.llm.common import bucketed, input_bytes, partitions, stored, text_or_empty
 
 PERCENT = 80
 WORD_BYTES = 6
+#: Bytes of text in a bucket, as long as there are no more buckets than shuffle partitions.
+BUCKET_BYTES = 16 << 20
 #: Words are counted in 2 ** CELL_BITS cells at most: one byte each, 1 MB whatever the input.
 MIN_CELL_BITS, CELL_BITS = 12, 20
 #: Bits of a word that hold its level of rarity; the others hold its hash.
@@ -23,9 +25,8 @@ _PLACE = ["doc_id", "pos"]
 
 def _lines(text: Column) -> Column:
     """Lower-cased lines, with blanks for other white space (looked for first: few texts have any)."""
-    low = F.lower(text)
-    other = F.contains(low, F.lit("\t")) | F.contains(low, F.lit("\r")) | F.contains(low, F.lit("\x0b")) | F.contains(low, F.lit("\x0c"))
-    return F.split(F.when(other, F.translate(low, "\t\r\x0b\x0c", "    ")).otherwise(low), "\n")
+    other = F.contains(text, F.lit("\t")) | F.contains(text, F.lit("\r")) | F.contains(text, F.lit("\x0b")) | F.contains(text, F.lit("\x0c"))
+    return F.split(F.lower(F.when(other, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)), "\n")
 
 
 def _cell(word: Column, bits: int) -> Column:
@@ -34,7 +35,8 @@ def _cell(word: Column, bits: int) -> Column:
 
 def _rarity(texts: DataFrame, bits: int) -> Column:
     """How often words occur, over all texts: a byte for each cell of word hashes, the rounded logarithm of its count."""
-    words = texts.select(F.explode(F.split(F.array_join(_lines(F.col("text")), " "), " ")).alias("w"))
+    lines = texts.select(F.explode(_lines(F.col("text"))).alias("line"))
+    words = lines.select(F.explode(F.split("line", " ")).alias("w"))
     counts = words.groupBy(_cell(F.col("w"), bits).alias("cell")).count()
     level = F.least(F.floor(F.log2("count") * 1.5), F.lit((1 << LEVEL_BITS - 1) - 1)).cast("int")
     table = bytearray(1 << bits)
@@ -60,8 +62,8 @@ def _plain_sets(line: Column) -> Column:
 
 def _signed(texts: DataFrame, levels: Column, bits: int, percent: int) -> DataFrame:
     """A row for each line with words: two hashes of its set, its size, its bitmap and its prefix."""
-    lines = texts.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    sets = lines.select(*_PLACE, _sets(F.col("line"), levels, bits).alias("s")).withColumn("n", F.size("s")).filter("n > 0")
+    lines = texts.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).filter(F.trim("line") != "")
+    sets = lines.select(*_PLACE, _sets(F.col("line"), levels, bits).alias("s")).withColumn("n", F.size("s"))
     n = F.col("n")
     flip = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(63).cast("int"))
     all_bits = F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(flip(F.lit(1).cast("long"), x)))
@@ -99,7 +101,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     asked = texts.select("doc_id", "text").join(ends, F.col("doc_id") == F.col("in_doc"))
     numbered = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
     asked = asked.select("doc_id", F.explode(F.filter(numbered, lambda x: F.array_contains("wanted", x["pos"]))).alias("x"))
-    words = asked.select("doc_id", F.col("x.pos").alias("pos"), _plain_sets(F.col("x.line")).alias("words"))
+    words = stored(asked.select("doc_id", F.col("x.pos").alias("pos"), _plain_sets(F.col("x.line")).alias("words")), "line-words")
     first = words.select(F.col("doc_id").alias("doc_0"), F.col("pos").alias("pos_0"), F.col("words").alias("words_0"))
     met = pairs.join(words, _PLACE).join(first, ["doc_0", "pos_0"])
     shared = F.size(F.array_intersect("words", "words_0"))
@@ -116,7 +118,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     1. Counts of all words, in a table of bounded size, order a line's words by rarity. Two sets that alike share a word
        among the rarest ``n - ceil(n * percent / 100) + 1`` of each: the prefix.
     2. Equal sets meet the earliest of them, which stands for all from then on.
-    3. Lines meet the earliest line that chose the same word of its prefix (the rarest, the least and the greatest by hash).
+    3. Lines meet the earliest line that chose the same word of its prefix (the rarest, the least by hash).
        That pair is verified, so nearly all members of a large family are settled by a few rows each.
     4. Lines still open join all distinct lines on each prefix word, with positional, length and bitmap filters; what is
        left is verified on the words themselves.
@@ -128,10 +130,12 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """
     rest = [c for c in df.columns if c not in (id_col, text_col, "n_lines", "n_removed")]
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(text_col).isNull().alias("void"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)])
-    bits = min(max(math.ceil(math.log2(input_bytes(df, text_col) / WORD_BYTES / 256 + 1)), MIN_CELL_BITS), CELL_BITS)
+    size = input_bytes(df, text_col)
+    bits = min(max(math.ceil(math.log2(size / WORD_BYTES / 256 + 1)), MIN_CELL_BITS), CELL_BITS)
+    buckets = min(partitions(df.sparkSession), max(2 * df.sparkSession.sparkContext.defaultParallelism, size // BUCKET_BYTES))
     plain = rows.select("doc_id", "text")
-    signed = bucketed(_signed(plain, _rarity(plain, bits), bits, percent), "line-signatures", *_PLACE)
-    texts = bucketed(rows, "line-texts", "doc_id")
+    signed = bucketed(_signed(plain, _rarity(plain, bits), bits, percent), "line-signatures", *_PLACE, buckets=buckets)
+    texts = bucketed(rows, "line-texts", "doc_id", buckets=buckets)
 
     same = ["h1", "h2", "n"]
     heads = signed.groupBy(*same).agg(F.min(F.struct(*_PLACE)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select(*same, F.col("h.doc_id").alias("doc_0"), F.col("h.pos").alias("pos_0"))
@@ -140,7 +144,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     kinds = signed.join(copies, _PLACE, "left_anti")
 
     traits = [*_PLACE, "n", "bits", "odd"]
-    chosen = F.array_distinct(F.array(F.get("prefix", F.lit(0)), F.array_min("prefix"), F.array_max("prefix")))
+    chosen = F.array_distinct(F.array(F.get("prefix", F.lit(0)), F.array_min("prefix")))
     keyed = kinds.filter(F.size("prefix") > 0).select(*traits, F.explode(chosen).alias("key"), F.floor(F.log2("n") * 2).alias("of_size"))
     first = keyed.groupBy("key", "of_size").agg(F.min(F.struct(*traits)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select("key", "of_size", "h.*")
     near = keyed.alias("a").join(first.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.of_size") == F.col("b.of_size")) & _later() & _may_match(percent))
