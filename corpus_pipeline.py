@@ -35,14 +35,14 @@ def near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as their rate says: the domains' expected tokens stand as TARGETS."""
+    """Documents as often as their rate says, their copies numbered: the domains' expected tokens stand as TARGETS."""
     mixed = mixing.mix(docs.select(*COLUMNS), labelled_domains(spark, sf_dir), TARGETS)
-    return mixing.realise(mixed).select(*COLUMNS)
+    return mixing.realise(mixed).select(*COLUMNS, "copy")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their token ids under merge-dropout."""
-    return sentencepiece_bpe.encode(docs.select(*COLUMNS))
+    """The documents with their token ids under merge-dropout; each copy of a document has its own."""
+    return sentencepiece_bpe.encode(docs.select(*COLUMNS, "copy"), copy_col="copy")
 
 
 STAGES = [

@@ -198,7 +198,8 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
 
 def realise(mixed: DataFrame, id_col: str = "doc_id", seed: int = 11) -> DataFrame:
     """Each row as often as its rate says: the whole part, and one more with the probability of the rest, by a hash of
-    the id. A null id draws as one id."""
+    the id. A null id draws as one id. ``copy`` (int) numbers the copies of a row from 1; a column of that name is
+    replaced."""
     draw = F.pmod(F.xxhash64(F.lit(seed), id_col), F.lit(1 << 30)) / float(1 << 30)
     times = (F.floor("rate") + (draw < F.col("rate") - F.floor("rate")).cast("long")).cast("int")
-    return mixed.withColumn("__copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>")))).drop("__copy")
+    return mixed.withColumn("copy", F.explode(F.when(times > 0, F.sequence(F.lit(1), times)).otherwise(F.array().cast("array<int>"))))

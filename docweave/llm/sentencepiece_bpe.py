@@ -6,7 +6,7 @@ import hashlib
 import heapq
 import re
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -14,17 +14,100 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import text_or_empty
+from docweave.llm.common import blocks, mix, text_or_empty
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for that sign itself in a text; as two signs at one place it is never part of a piece.
 _LITERAL = "\ue000\ue001"
-#: Segmentations of words that a worker keeps; the oldest go first.
-CACHE = 400_000
+#: Segmentations of words that a worker keeps; beyond it starts anew.
+CACHE = 300_000
 _M64 = (1 << 64) - 1
-#: Signs of a unit that is segmented together with others, and units that go together.
-_LONG, _TOGETHER = 64, 20_000
+#: Signs of a unit that is segmented together with others, and units that go together (fewer than _FEW go one by one).
+_LONG, _TOGETHER, _FEW = 64, 20_000, 100
+#: Signs of a unit whose segmentations are kept; longer ones are segmented for each occurrence.
+_KEPT = 20
+#: Bytes of text that are encoded at a time.
+_BLOCK = 1 << 20
+#: A run of accepted candidates is drawn up to this length at once.
+_RUN = 1024
+_STEP, _PLACE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD1B54A32D192ED03)
+
+
+class Draws:
+    """Runs of accepted candidates between two skipped ones, each candidate skipped with probability ``dropout`` apart from
+    all others: the i-th run of a place is a function of its key and i."""
+
+    def __init__(self, dropout: float) -> None:
+        self.dropout = dropout
+        at_least, chance = [], 1.0
+        for _ in range(_RUN):
+            chance *= 1 - dropout
+            at_least.append(int(chance * (1 << 53)))
+        self.at_least = np.array(at_least[::-1], np.uint64)
+
+    def runs(self, keys: np.ndarray, i: np.ndarray | int) -> np.ndarray:
+        """The i-th run of each key; _RUN stands for so many accepted and no skip yet."""
+        draw = mix(keys + np.asarray(i, np.uint64) * _STEP) >> np.uint64(11)
+        return _RUN - np.searchsorted(self.at_least, draw, side="right")
+
+    def drops(self, key: np.uint64, tests: int) -> list[int]:
+        """Numbers of the skipped candidates among the first ``tests`` of one place."""
+        out: list[int] = []
+        at, i = 0, 0
+        while self.dropout and at < tests:
+            for run in self.runs(np.full(64, key), np.arange(i, i + 64)).tolist():
+                at += run
+                if at >= tests:
+                    break
+                if run < _RUN:
+                    out.append(at)
+                    at += 1
+            i += 64
+        return out
+
+
+class Memo:
+    """Segmentations of short units as trees. A node is a unit and the numbers of its skipped candidates; it has the ids and
+    how many candidates come after the last skip. An occurrence walks from the unit's root by its own draws, so what is
+    kept saves work and ties no two occurrences together."""
+
+    def __init__(self) -> None:
+        self.root: dict[str, int] = {}
+        self.child: dict[int, int] = {}
+        self.made: list[tuple[str, tuple[int, ...]]] = []
+        self.ids: list[bytes] = []
+        self.more = np.zeros(1024, np.int64)
+
+    def add(self, pieces: Pieces, made: list[tuple[str, tuple[int, ...]]]) -> range:
+        first = len(self.made)
+        for lo in range(0, len(made), _TOGETHER):
+            units, drops = zip(*made[lo : lo + _TOGETHER], strict=True)
+            ids, tests = pieces.segment_many(units, drops)
+            at = len(self.ids)
+            self.ids += ids
+            if len(self.ids) > len(self.more):
+                self.more = np.concatenate([self.more, np.zeros(len(self.ids), np.int64)])
+            self.more[at : len(self.ids)] = [n - d[-1] - 1 if d else n for n, d in zip(tests, drops, strict=True)]
+        self.made += made
+        return range(first, len(self.made))
+
+    def roots(self, pieces: Pieces, units: list[str]) -> np.ndarray:
+        """Nodes of the units, -1 for those that are too long to be kept."""
+        new = [u for u in set(units).difference(self.root) if len(u) <= _KEPT]
+        self.root.update(zip(new, self.add(pieces, [(u, ()) for u in new]), strict=True))
+        return np.array([self.root.get(u, -1) for u in units], np.int64)
+
+    def children(self, pieces: Pieces, nodes: np.ndarray, runs: np.ndarray) -> np.ndarray:
+        """Nodes where after those of ``nodes`` so many more candidates are accepted and the next one is skipped."""
+        keys = (nodes << 8 | runs).tolist()
+        new = list(set(keys).difference(self.child))
+        made = []
+        for key in new:
+            unit, drops = self.made[key >> 8]
+            made.append((unit, (*drops, (drops[-1] + 1 if drops else 0) + (key & 255))))
+        self.child.update(zip(new, self.add(pieces, made), strict=True))
+        return np.array([self.child[k] for k in keys], np.int64)
 
 
 class Pieces:
@@ -60,16 +143,15 @@ class Pieces:
         by_word = not any(re.search(rf"[^{SPACE}]{SPACE}|\n", p) for p in self.ids)
         self.units = re.compile(r"\n| +[^ \n]*|[^ \n]+" if by_word else r"(?s).+")
 
-    def segment(self, unit: str, dropout: float, key: int) -> list[int]:
-        """Ids of one unit (spaces still spaces). The agenda holds neighbours whose union is a piece, best score first,
-        leftmost on ties; a candidate whose keyed hash falls below ``dropout`` is skipped when its turn comes, and
-        its neighbours go on."""
+    def segment(self, unit: str, drops: Sequence[int] = ()) -> tuple[list[int], int]:
+        """Ids of one unit (spaces still spaces), and how many candidates had their turn. The agenda holds neighbours whose
+        union is a piece, best score first, leftmost on ties; a candidate whose number (in order of turns, from 0) is
+        in ``drops``, which ascend, is skipped, and its neighbours go on."""
         # A literal U+2581 must not turn into a space when decoded: it goes through byte fallback, whole.
         sign = [SPACE if c == " " else c if c != SPACE else _LITERAL for c in unit]
         n = len(sign)
         prev, nxt = list(range(-1, n - 1)), [*range(1, n), -1]
-        limit = int(dropout * (1 << 32))
-        base = int.from_bytes(hashlib.blake2b(unit.encode(), digest_size=4, key=key.to_bytes(8, "little")).digest(), "little") if limit else 0
+        turn, skips = 0, set(drops)
         rank, push, pop = self.rank, heapq.heappush, heapq.heappop
         # An entry is rank and left place; it holds as long as that place and its neighbour still make that piece.
         agenda = [r << 32 | i for i in range(n - 1) if (r := rank.get(sign[i] + sign[i + 1], -1)) >= 0]
@@ -83,10 +165,9 @@ class Pieces:
             piece = sign[a] + sign[b]
             if rank.get(piece, -1) != entry >> 32:
                 continue
-            if limit:
-                x = (base + a * 961 + len(sign[a]) * 31 + len(sign[b])) * 0x9E3779B1 & 0xFFFFFFFF
-                if (x ^ x >> 15) * 0x85EBCA77 & 0xFFFFFFFF < limit:
-                    continue
+            turn += 1
+            if turn - 1 in skips:
+                continue
             sign[a] = piece
             after = nxt[a] = nxt[b]
             nxt[b] = -1
@@ -106,37 +187,38 @@ class Pieces:
             else:
                 out += [self.bytes_ids[x] for x in (SPACE if sign[i] == _LITERAL else sign[i]).encode()]
             i = nxt[i]
-        return out
+        return out, turn
 
-    def segment_many(self, units: list[str], dropout: float, key: int) -> list[bytes]:
-        """What segment() gives for each unit, as int32 bytes: all units step together, each taking the first entry of its
-        own agenda at every step. Long units and those with signs outside of the vocabulary go one by one."""
+    def segment_many(self, units: Sequence[str], drops: Sequence[Sequence[int]]) -> tuple[list[bytes], list[int]]:
+        """What segment() gives for each unit and its drops, the ids as int32 bytes: all units step together, each taking the
+        first entry of its own agenda at every step. Long units and those with signs outside of the vocabulary go one by one."""
         out: list[bytes] = [b""] * len(units)
+        turns = [0] * len(units)
         points = np.frombuffer("".join(units).encode("utf-32-le"), np.uint32)
         size = np.array([len(u) for u in units], np.int64)
         sign = self.sign_id[points]
         at = np.cumsum(size) - size
         known = np.minimum.reduceat(sign, at) >= 0 if len(units) else np.zeros(0, bool)
-        some = np.flatnonzero(known & (size <= _LONG))
-        for i in np.setdiff1d(np.arange(len(units)), some, assume_unique=True):
-            out[i] = array("i", self.segment(units[i], dropout, key)).tobytes()
+        some = np.flatnonzero(known & (size <= _LONG)) if len(units) >= _FEW else np.zeros(0, np.int64)
+        for i in np.setdiff1d(np.arange(len(units)), some, assume_unique=True).tolist():
+            ids, turns[i] = self.segment(units[i], drops[i])
+            out[i] = array("i", ids).tobytes()
         if not len(some):
-            return out
+            return out, turns
         size, old = size[some], at[some]
         at = np.cumsum(size) - size
         place = np.arange(size.sum()) - np.repeat(at, size)
         sign = sign[np.repeat(old, size) + place].astype(np.int64)
         n = len(sign)
         # one position more, so that a missing neighbour can be written to and never makes a pair
-        sign, length = np.append(sign, -1), np.ones(n + 1, np.int64)
+        sign = np.append(sign, -1)
         nxt, prev = np.arange(1, n + 2), np.arange(-1, n)
         last = at + size - 1
         nxt[last], prev[at], nxt[n], prev[n] = n, n, n, n
-        place = np.append(place, 0)
-        limit = int(dropout * (1 << 32))
-        if limit:
-            salt = key.to_bytes(8, "little")
-            base = np.repeat([int.from_bytes(hashlib.blake2b(units[i].encode(), digest_size=4, key=salt).digest(), "little") for i in some], size).astype(np.uint64)
+        due = np.full((len(some), max(len(drops[i]) for i in some.tolist()) + 1), -1)
+        for k, i in enumerate(some.tolist()):
+            due[k, : len(drops[i])] = drops[i]
+        upto, taken, step = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), 0
         none = np.int64((1 << 62) - 1)
         entry, makes = np.full(n + 1, none), np.zeros(n + 1, np.int64)
 
@@ -152,17 +234,18 @@ class Pieces:
         offer(np.arange(n))
         while True:
             first = np.minimum.reduceat(entry[:n], at)
-            a = first[first < none] & 0xFFFFFFFF
+            live = np.flatnonzero(first < none)
+            a = first[live] & 0xFFFFFFFF
             if not len(a):
                 break
+            taken[live] += 1
+            skip = due[live, upto[live]] == step
+            upto[live[skip]] += 1
+            step += 1
+            entry[a[skip]] = none
+            a = a[~skip]
             b = nxt[a]
-            if limit:
-                x = (base[a] + (place[a] * 961 + length[a] * 31 + length[b]).astype(np.uint64)) * np.uint64(0x9E3779B1) & np.uint64(0xFFFFFFFF)
-                skip = (x ^ x >> np.uint64(15)) * np.uint64(0x85EBCA77) & np.uint64(0xFFFFFFFF) < limit
-                entry[a[skip]] = none
-                a, b = a[~skip], b[~skip]
             sign[a] = makes[a]
-            length[a] += length[b]
             entry[b], sign[b] = none, -1
             nxt[a] = nxt[b]
             prev[nxt[a]] = a
@@ -173,30 +256,39 @@ class Pieces:
         flat = sign[:n][live].astype(np.int32).tobytes()
         ends = np.cumsum(np.add.reduceat(live, at)) * 4
         lo = 0
-        for i, hi in zip(some.tolist(), ends.tolist(), strict=True):
-            out[i] = flat[lo:hi]
+        for i, hi, n in zip(some.tolist(), ends.tolist(), taken.tolist(), strict=True):
+            out[i], turns[i] = flat[lo:hi], n
             lo = hi
-        return out
+        return out, turns
 
-    def encode_many(self, texts: list[str], dropout: float = 0.0, key: int = 0, cache: dict | None = None) -> list[np.ndarray]:
-        """Ids of each text behind the usual leading space. An empty text has no ids."""
-        cache = {} if cache is None else cache
+    def encode_many(self, texts: list[str], draws: Draws | None = None, keys: Sequence[int] = (), memo: Memo | None = None) -> list[np.ndarray]:
+        """Ids of each text behind the usual leading space; ``keys`` has a number for each text, from which the draws of its
+        words follow by their places. An empty text has no ids."""
+        draws, memo = draws or Draws(0.0), memo or Memo()
         cut = [self.units.findall(" " + t) if t else [] for t in texts]
-        new = list(set().union(*cut).difference(cache)) if cut else []
-        for lo in range(0, len(new), _TOGETHER):
-            some = new[lo : lo + _TOGETHER]
-            cache.update(zip(some, self.segment_many(some, dropout, key), strict=True))
-        out = [np.frombuffer(b"".join([cache[u] for u in units]), np.int32) for units in cut]
-        if len(cache) > CACHE:
-            for unit in list(cache)[: CACHE // 2]:
-                del cache[unit]
-        for unit in new:
-            if len(unit) > _LONG:
-                cache.pop(unit, None)
-        return out
-
-    def encode(self, text: str, dropout: float = 0.0, key: int = 0, cache: dict | None = None) -> np.ndarray:
-        return self.encode_many([text], dropout, key, cache)[0]
+        units = [u for mine in cut for u in mine]
+        size = np.array([len(mine) for mine in cut], np.int64)
+        nodes = memo.roots(self, units)
+        place = np.zeros(len(units), np.uint64)
+        if draws.dropout:
+            at = (np.arange(len(units)) - np.repeat(np.cumsum(size) - size, size)).astype(np.uint64)
+            place = np.repeat(np.array(keys, np.uint64), size) + at * _PLACE
+            open_, i = np.flatnonzero(nodes >= 0), 0
+            while len(open_):
+                run = draws.runs(place[open_], i)
+                hit = run < memo.more[nodes[open_]]
+                open_ = open_[hit]
+                nodes[open_] = memo.children(self, nodes[open_], run[hit])
+                i += 1
+        long = np.flatnonzero(nodes < 0).tolist()
+        found = [memo.ids[k] for k in nodes.tolist()] if memo.ids else [b""] * len(units)
+        alone = [units[k] for k in long]
+        drops = [draws.drops(place[k], 3 * len(units[k])) for k in long]  # each union offers two new pairs at most
+        for lo in range(0, len(long), _TOGETHER):
+            for k, got in zip(long[lo : lo + _TOGETHER], self.segment_many(alone[lo : lo + _TOGETHER], drops[lo : lo + _TOGETHER])[0], strict=True):
+                found[k] = got
+        ends = np.cumsum(size).tolist()
+        return [np.frombuffer(b"".join(found[hi - len(mine) : hi]), np.int32) for mine, hi in zip(cut, ends, strict=True)]
 
     def decode(self, ids) -> str:  # noqa: ANN001
         """The text again, byte by byte, less the leading space."""
@@ -214,37 +306,38 @@ def _pieces(name: str) -> Pieces:
     return _LOADED[name]
 
 
-def variant_of(doc_id: int | None, variants: int) -> int:
-    return 0 if doc_id is None else ((doc_id * 0x9E3779B97F4A7C15 & _M64) >> 40) % variants
+def key_of(doc_id: int | None, text: str | None, copy: int | None, seed: int) -> int:
+    """What the draws of a row follow from."""
+    head = repr((doc_id, copy)).encode()
+    return int.from_bytes(hashlib.blake2b(head + b"\0" + (text or "").encode(), digest_size=8, key=(seed & _M64).to_bytes(8, "little")).digest(), "little")
 
 
-def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 7, variants: int = 2, verify: bool = True) -> DataFrame:
+def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model: str = MODEL, dropout: float = 0.1, seed: int = 7, copy_col: str | None = None, verify: bool = True) -> DataFrame:
     """All columns of ``df`` and ``token_ids`` array<int>, ``n_tokens`` int, ``lossless`` boolean.
 
-    The model file goes to the executors once, through Spark's own files. Every candidate merge is skipped with
-    probability ``dropout`` by a hash keyed with ``seed``, the document's variant (one of ``variants``, from its id)
-    and the word, so a rerun or a lost executor gives the same ids, and another seed gives another segmentation.
-    ``dropout=0`` is plain encoding. With ``verify`` each text is decoded and compared. There is no shuffle; a
-    worker's cache of words is bounded. Null texts have no ids (an empty array), as empty ones; a null id takes variant
-    0. Columns of ``df`` with one of the new names are replaced.
+    The model file goes to the executors once, through Spark's own files. Every candidate merge of every occurrence of
+    a word is skipped with probability ``dropout``, apart from all others, by a hash keyed with ``seed``, the row (its
+    id, its text and, if ``copy_col`` is given, its number among the copies of a document) and the word's place in it:
+    a rerun or a lost executor gives the same ids, and another seed, document, copy or place another segmentation.
+    Rows that are equal in all of these get equal ids.
+    ``dropout=0`` is plain encoding. With ``verify`` each text is decoded and compared. There is no shuffle; what a
+    worker keeps of words is bounded. Null texts have no ids (an empty array), as empty ones. Columns of ``df`` with one
+    of the new names are replaced.
     """
     spark = df.sparkSession
     spark.sparkContext.addFile(model)
     name = model.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, caches = _pieces(name), [{} for _ in range(variants)]
+        pieces, draws, memo = _pieces(name), Draws(dropout), Memo()
         for batch in batches:
-            for lo in range(0, batch.num_rows, 256):
-                part = batch.slice(lo, 256)
-                kept = part.select(range(part.num_columns - 2))
-                ids, texts = (part.column(part.num_columns - k).to_pylist() for k in (2, 1))
-                which = np.array([variant_of(x, variants) for x in ids])
-                ids_of: list[np.ndarray] = [np.zeros(0, np.int32)] * len(texts)
-                for v in range(variants):
-                    mine = np.flatnonzero(which == v).tolist()
-                    for i, got in zip(mine, pieces.encode_many([texts[i] for i in mine], dropout, (seed * 1000003 + v) & _M64, caches[v]), strict=True):
-                        ids_of[i] = got
+            for part in blocks([batch], "__text", limit=_BLOCK):
+                kept = part.select(range(part.num_columns - 3))
+                ids, copies, texts = (part.column(part.num_columns - k).to_pylist() for k in (3, 2, 1))
+                keys = [key_of(i, t, c, seed) for i, t, c in zip(ids, texts, copies, strict=True)]
+                ids_of = pieces.encode_many(texts, draws, keys, memo)
+                if len(memo.made) > CACHE:
+                    memo = Memo()
                 ok = [not verify or pieces.decode(got.tolist()) == text for got, text in zip(ids_of, texts, strict=True)]
                 flat = np.concatenate(ids_of) if ids_of else np.zeros(0, np.int32)
                 sizes = np.array([len(x) for x in ids_of])
@@ -253,7 +346,8 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
 
     new = ("token_ids", "n_tokens", "lossless")
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
-    fed = kept.withColumns({"__id": F.col(id_col).cast("long"), "__text": text_or_empty(text_col)})
+    copy = F.col(copy_col).cast("long") if copy_col else F.lit(None).cast("long")
+    fed = kept.withColumns({"__id": F.col(id_col).cast("long"), "__copy": copy, "__text": text_or_empty(text_col)})
     from pyspark.sql import types as T
 
     schema = T.StructType([*kept.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("lossless", T.BooleanType())])

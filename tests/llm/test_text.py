@@ -85,6 +85,44 @@ def test_encoding_is_lossless_and_seeded(docs):
     assert sentencepiece_bpe.encode(docs.limit(0)).count() == 0
 
 
+def test_every_occurrence_is_segmented_by_itself(spark):
+    rows = [(i // 2, "international " * 30, i % 2) for i in range(400)] + [(None, "international a", 0), (None, "international b", 0)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, copy int").repartition(3)
+    got = {(r.doc_id, r.text, r.copy): r.token_ids for r in sentencepiece_bpe.encode(d, copy_col="copy").collect()}
+    assert {(r.doc_id, r.text, r.copy): r.token_ids for r in sentencepiece_bpe.encode(d.repartition(5), copy_col="copy").collect()} == got
+    pieces = sentencepiece_bpe.Pieces(open(sentencepiece_bpe.MODEL, "rb").read())
+    assert len({tuple(x) for x in got.values()}) > 390  # documents and copies
+    words = [[], set()]
+    for ids in got.values():
+        text = "|".join(pieces.raw[i].decode() for i in ids)
+        words[0].append({w.strip("|") for w in text.split(" ") if w.strip("|")})
+        words[1] |= words[0][-1]
+    assert len(words[1]) > 20  # one word across documents
+    assert sum(len(w) > 1 for w in words[0]) > 300  # one word within a document
+
+
+def test_draws_and_kept_segmentations_are_plain_dropout():
+    pieces = sentencepiece_bpe.Pieces(open(sentencepiece_bpe.MODEL, "rb").read())
+    draws, memo = sentencepiece_bpe.Draws(0.3), sentencepiece_bpe.Memo()
+    texts = ["the quick brown fox internationalisation unbelievably-long-hyphenated-word 日本語 x" + "ab" * 60] * 40
+    got = pieces.encode_many(texts, draws, list(range(40)), memo)
+    for key, (text, ids) in enumerate(zip(texts, got)):
+        want = []
+        for j, unit in enumerate(pieces.units.findall(" " + text)):
+            place = np.array([key], np.uint64) + np.array([j], np.uint64) * sentencepiece_bpe._PLACE
+            drops = draws.drops(place[0], 3 * len(unit))
+            want += pieces.segment(unit, drops)[0]
+        assert ids.tolist() == want
+    drops = [draws.drops(np.uint64(k * 7919), 500) for k in range(400)]
+    assert abs(sum(map(len, drops)) / 200_000 - 0.3) < 0.01
+    assert sentencepiece_bpe.Draws(1.0).drops(np.uint64(3), 50) == list(range(50)) and sentencepiece_bpe.Draws(0.0).drops(np.uint64(3), 50) == []
+    r = random.Random(8)
+    many = ["".join(r.choice("aeinrst") for _ in range(r.randrange(1, 50))) for _ in range(300)]
+    some = [draws.drops(np.uint64(i), 120) for i in range(300)]
+    flat, turns = pieces.segment_many(many, some)
+    assert [(np.frombuffer(f, np.int32).tolist(), t) for f, t in zip(flat, turns)] == [pieces.segment(u, x) for u, x in zip(many, some)]
+
+
 def test_encoding_without_dropout_is_the_librarys(docs):
     import sentencepiece
 
