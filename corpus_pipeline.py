@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import line_dedup, mixing, ngram_join, quality, sentencepiece_bpe
-from docweave.llm.common import documents, stored
+from docweave.llm.common import documents, stored, text_or_empty
 from docweave.llm.queries import TARGETS, labelled_domains
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -28,10 +28,12 @@ def near_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id."""
+    """One document of each group of near copies (five-word shingles, similarity 0.8): the one with the smallest id, a null
+    id before all others, and among texts of one id the one with the smallest hash."""
     groups = ngram_join.ngram_join(docs.select("doc_id", "text"))
-    later = groups.filter("component_id < doc_id").select("doc_id")
-    return docs.select(*COLUMNS).join(later, "doc_id", "left_anti").select(*COLUMNS)
+    later = groups.filter("not first").select(F.col("doc_id").alias("later_id"), "text_key").distinct()
+    is_later = F.col("doc_id").eqNullSafe(F.col("later_id")) & (F.xxhash64(text_or_empty()) == F.col("text_key"))
+    return docs.select(*COLUMNS).join(later, is_later, "left_anti")
 
 
 def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

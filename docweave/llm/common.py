@@ -58,6 +58,25 @@ def text_or_empty(col: str = "text") -> Column:
     return F.coalesce(F.col(col).cast("string"), F.lit(""))
 
 
+#: Ids are told to be shared by different texts in so many cells.
+_ID_CELLS = 1 << 16
+
+
+def row_key(rows: DataFrame) -> Column:
+    """What tells rows (doc_id, text; neither null) of one id apart: the hash of the text where the id may be shared by
+    different texts, else 0, which costs next to nothing where it is written many times. Equal rows have equal keys. The
+    ids are looked up in a table of bounded size; an id that falls in another's cell is only keyed without need."""
+    cell, told = F.pmod(F.xxhash64("doc_id"), F.lit(_ID_CELLS)).cast("int"), F.xxhash64("text")
+    each = rows.groupBy("doc_id").agg(F.min(told).alias("lo"), F.max(told).alias("hi"))
+    found = each.filter("lo <> hi").select(cell.alias("cell")).distinct().toArrow()["cell"].to_pylist()
+    if not found:
+        return F.lit(0).cast("long")
+    table = bytearray(_ID_CELLS)
+    for i in found:
+        table[i] = 1
+    return F.when(F.substring(F.lit(table), cell + 1, F.lit(1)) == F.lit(bytearray(b"\x01")), told).otherwise(0).cast("long")
+
+
 def input_bytes(df: DataFrame, text_col: str = "text") -> int:
     """UTF-8 bytes of all texts, counted over every row. Sizes sketches and partition counts."""
     return int(df.agg(F.sum(F.octet_length(F.col(text_col))).alias("b")).first().b or 0)

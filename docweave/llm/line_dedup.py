@@ -7,7 +7,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import bucketed, input_bytes, partitions, stored, text_or_empty
+from docweave.llm.common import bucketed, input_bytes, partitions, row_key, stored, text_or_empty
 
 PERCENT = 80
 WORD_BYTES = 6
@@ -20,7 +20,10 @@ LEVEL_BITS = 7
 #: Sets of at least this size have their bitmap in two halves.
 WIDE = 64
 _NO_ID = -(1 << 63)
-_PLACE = ["doc_id", "pos"]
+#: A document is an id and what tells its text from others of that id (see row_key).
+_DOC = ["doc_id", "key"]
+_PLACE = [*_DOC, "pos"]
+_PLACE_0 = ["doc_0", "key_0", "pos_0"]
 
 
 def _lines(text: Column) -> Column:
@@ -62,7 +65,7 @@ def _plain_sets(line: Column) -> Column:
 
 def _signed(texts: DataFrame, levels: Column, bits: int, percent: int) -> DataFrame:
     """A row for each line with words: two hashes of its set, its size, its bitmap and its prefix."""
-    lines = texts.select("doc_id", F.posexplode(_lines(F.col("text"))).alias("pos", "line")).filter(F.trim("line") != "")
+    lines = texts.select(*_DOC, F.posexplode(_lines(F.col("text"))).alias("pos", "line")).filter(F.trim("line") != "")
     sets = lines.select(*_PLACE, _sets(F.col("line"), levels, bits).alias("s")).withColumn("n", F.size("s"))
     n = F.col("n")
     flip = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(63).cast("int"))
@@ -88,22 +91,23 @@ def _may_match(percent: int) -> Column:
 
 
 def _later() -> Column:
-    return (F.col("b.doc_id") < F.col("a.doc_id")) | ((F.col("b.doc_id") == F.col("a.doc_id")) & (F.col("b.pos") < F.col("a.pos")))
+    less, same = (lambda c: F.col(f"b.{c}") < F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}") == F.col(f"a.{c}"))
+    return less("doc_id") | (same("doc_id") & (less("key") | (same("key") & less("pos"))))
 
 
-_PAIR = ["a.doc_id", "a.pos", "b.doc_id as doc_0", "b.pos as pos_0"]
+_PAIR = ["a.doc_id", "a.key", "a.pos", "b.doc_id as doc_0", "b.key as key_0", "b.pos as pos_0"]
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (doc_id, pos, doc_0, pos_0) the lines whose word sets really are that alike. The words are read again
+    """Of ``pairs`` (doc_id, key, pos, doc_0, key_0, pos_0) the lines whose word sets really are that alike. The words are read again
     from the texts, for the lines in question only."""
-    ends = pairs.select(*_PLACE).union(pairs.select("doc_0", "pos_0")).groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_set("pos").alias("wanted"))
-    asked = texts.select("doc_id", "text").join(ends, F.col("doc_id") == F.col("in_doc"))
+    ends = pairs.select(*_PLACE).union(pairs.select(*_PLACE_0)).groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.collect_set("pos").alias("wanted"))
+    asked = texts.select(*_DOC, "text").join(ends, (F.col("doc_id") == F.col("in_doc")) & (F.col("key") == F.col("in_key")))
     numbered = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
-    asked = asked.select("doc_id", F.explode(F.filter(numbered, lambda x: F.array_contains("wanted", x["pos"]))).alias("x"))
-    words = stored(asked.select("doc_id", F.col("x.pos").alias("pos"), _plain_sets(F.col("x.line")).alias("words")), "line-words")
-    first = words.select(F.col("doc_id").alias("doc_0"), F.col("pos").alias("pos_0"), F.col("words").alias("words_0"))
-    met = pairs.join(words, _PLACE).join(first, ["doc_0", "pos_0"])
+    asked = asked.select(*_DOC, F.explode(F.filter(numbered, lambda x: F.array_contains("wanted", x["pos"]))).alias("x"))
+    words = stored(asked.select(*_DOC, F.col("x.pos").alias("pos"), _plain_sets(F.col("x.line")).alias("words")), "line-words")
+    first = words.select(*[F.col(c).alias(c_0) for c, c_0 in zip(_PLACE, _PLACE_0, strict=True)], F.col("words").alias("words_0"))
+    met = pairs.join(words, _PLACE).join(first, _PLACE_0)
     shared = F.size(F.array_intersect("words", "words_0"))
     return met.filter(shared * 100 >= (F.size("words") + F.size("words_0") - shared) * percent).select(*_PLACE).distinct()
 
@@ -112,7 +116,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     """All columns of ``df`` with ``text_col`` less its removed lines, and ``n_lines`` and ``n_removed`` (longs).
 
     Texts are split at line feeds; a line's set holds its words, lower-cased. A line is removed if an earlier line
-    (smaller id, or same id and earlier line) has a set with ``100 * intersection >= percent * union``; earlier lines
+    (smaller id, or same document and earlier line) has a set with ``100 * intersection >= percent * union``; earlier lines
     count whether they stay or not. Lines without words always stay.
 
     1. Counts of all words, in a table of bounded size, order a line's words by rarity. Two sets that alike share a word
@@ -124,30 +128,32 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
        left is verified on the words themselves.
 
     Everything is DataFrame operations. Joins are plain equality joins, which adaptive execution splits where a key is
-    hot; no list of a key's lines is ever built. Texts are written once in buckets of their id, so that no later step
-    shuffles them. Null texts stay null. A null id comes before all others; rows repeated with the same id are one
-    document, none earlier than the other. Columns named n_lines or n_removed are replaced.
+    hot; no list of a key's lines is ever built. Texts are written once in buckets of their id and key, so that no later step
+    shuffles them. Null texts stay null. A null id comes before all others; rows repeated with the same id and
+    text are one document, none earlier than the other. Different texts of one id (null too) are documents of their
+    own, in the order of a hash of the text. Columns named n_lines or n_removed are replaced.
     """
     rest = [c for c in df.columns if c not in (id_col, text_col, "n_lines", "n_removed")]
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(text_col).isNull().alias("void"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)])
+    rows = rows.withColumn("key", row_key(rows))
     size = input_bytes(df, text_col)
     bits = min(max(math.ceil(math.log2(size / WORD_BYTES / 256 + 1)), MIN_CELL_BITS), CELL_BITS)
     buckets = min(partitions(df.sparkSession), max(2 * df.sparkSession.sparkContext.defaultParallelism, size // BUCKET_BYTES))
-    plain = rows.select("doc_id", "text")
+    plain = rows.select(*_DOC, "text")
     signed = bucketed(_signed(plain, _rarity(plain, bits), bits, percent), "line-signatures", *_PLACE, buckets=buckets)
-    texts = bucketed(rows, "line-texts", "doc_id", buckets=buckets)
+    texts = bucketed(rows, "line-texts", *_DOC, buckets=buckets)
 
     same = ["h1", "h2", "n"]
-    heads = signed.groupBy(*same).agg(F.min(F.struct(*_PLACE)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select(*same, F.col("h.doc_id").alias("doc_0"), F.col("h.pos").alias("pos_0"))
-    copies = signed.select(*_PLACE, *same).join(heads, same).filter("doc_id <> doc_0 or pos <> pos_0")
+    heads = signed.groupBy(*same).agg(F.min(F.struct(*_PLACE)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select(*same, *[F.col(f"h.{c}").alias(c_0) for c, c_0 in zip(_PLACE, _PLACE_0, strict=True)])
+    copies = signed.select(*_PLACE, *same).join(heads, same).filter("doc_id <> doc_0 or key <> key_0 or pos <> pos_0")
     copies = stored(copies.select(*_PLACE).distinct(), "line-copies")
     kinds = signed.join(copies, _PLACE, "left_anti")
 
     traits = [*_PLACE, "n", "bits", "odd"]
     chosen = F.array_distinct(F.array(F.get("prefix", F.lit(0)), F.array_min("prefix")))
-    keyed = kinds.filter(F.size("prefix") > 0).select(*traits, F.explode(chosen).alias("key"), F.floor(F.log2("n") * 2).alias("of_size"))
-    first = keyed.groupBy("key", "of_size").agg(F.min(F.struct(*traits)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select("key", "of_size", "h.*")
-    near = keyed.alias("a").join(first.alias("b"), (F.col("a.key") == F.col("b.key")) & (F.col("a.of_size") == F.col("b.of_size")) & _later() & _may_match(percent))
+    keyed = kinds.filter(F.size("prefix") > 0).select(*traits, F.explode(chosen).alias("word"), F.floor(F.log2("n") * 2).alias("of_size"))
+    first = keyed.groupBy("word", "of_size").agg(F.min(F.struct(*traits)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select("word", "of_size", "h.*")
+    near = keyed.alias("a").join(first.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.of_size") == F.col("b.of_size")) & _later() & _may_match(percent))
     near = stored(near.selectExpr(*_PAIR).distinct(), "line-heads")
     settled = stored(_verified(near, texts, percent), "line-settled")
 
@@ -158,9 +164,9 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     asks = F.col("a.open") * 2 + F.col("b.open") >= 2
     met = entry.alias("a").join(entry.alias("b"), (F.col("a.word") == F.col("b.word")) & room & asks & _later() & _may_match(percent))
     met = stored(met.selectExpr(*_PAIR).distinct(), "line-pairs")
-    gone = copies.union(settled).union(_verified(met, texts, percent)).groupBy(F.col("doc_id").alias("in_doc")).agg(F.collect_set("pos").alias("gone"))
+    gone = copies.union(settled).union(_verified(met, texts, percent)).groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.collect_set("pos").alias("gone"))
 
-    out = texts.join(gone, F.col("doc_id") == F.col("in_doc"), "left").withColumn("lines", F.split("text", "\n"))
+    out = texts.join(gone, (F.col("doc_id") == F.col("in_doc")) & (F.col("key") == F.col("in_key")), "left").withColumn("lines", F.split("text", "\n"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n"))
     own = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).cast(df.schema[id_col].dataType)
     new = {id_col: own, text_col: F.when(~F.col("void"), kept)} | {c: F.col(f"_{i}") for i, c in enumerate(rest)}

@@ -52,11 +52,11 @@ def least_overlap(n: int, percent: int) -> int:
     return -(-percent * n // 100)
 
 
-_SIGNED = "doc_id long, n int, set_key binary, home long, prefix array<long>, rest array<int>, tokens binary"
+_SIGNED = "doc_id long, text_key long, n int, set_key binary, home long, prefix array<long>, rest array<int>, tokens binary"
 
 
 def _signatures(sketch: Broadcast, k: int, percent: int):  # noqa: ANN202
-    schema = pa.schema([("doc_id", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("home", pa.int64()), ("prefix", pa.list_(pa.int64())), ("rest", pa.list_(pa.int32())), ("tokens", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("text_key", pa.int64()), ("n", pa.int32()), ("set_key", pa.binary()), ("home", pa.int64()), ("prefix", pa.list_(pa.int64())), ("rest", pa.list_(pa.int32())), ("tokens", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -67,9 +67,9 @@ def _signatures(sketch: Broadcast, k: int, percent: int):  # noqa: ANN202
                 levels = sketch.value.levels(flat)
                 upto = np.concatenate([[0], np.cumsum(sizes)])
                 rows = []
-                for i, (doc_id, s) in enumerate(zip(block.column(0).to_pylist(), sets, strict=True)):
+                for i, (doc_id, told, s) in enumerate(zip(block.column(0).to_pylist(), block.column(2).to_pylist(), sets, strict=True)):
                     if not len(s):
-                        rows.append((doc_id, 0, None, None, None, None, None))
+                        rows.append((doc_id, told, 0, None, None, None, None, None))
                         continue
                     raw = s.tobytes()
                     key = hashlib.blake2b(raw, digest_size=16).digest()
@@ -80,9 +80,9 @@ def _signatures(sketch: Broadcast, k: int, percent: int):  # noqa: ANN202
                     at = np.flatnonzero(level[head] >= 2)  # a token that is surely alone links with nothing
                     if len(at):
                         home = int(mix(s).min() >> np.uint64(1))
-                        rows.append((doc_id, len(s), key, home, s[head[at]].view(np.int64), (len(s) - at).astype(np.int32), raw))
+                        rows.append((doc_id, told, len(s), key, home, s[head[at]].view(np.int64), (len(s) - at).astype(np.int32), raw))
                     else:
-                        rows.append((doc_id, len(s), key, None, None, None, None))
+                        rows.append((doc_id, told, len(s), key, None, None, None, None))
                 yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
 
     return run
@@ -193,9 +193,11 @@ def _open_groups(percent: int):  # noqa: ANN202
 
 
 def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, percent: int = PERCENT, group_size: int = GROUP) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id``, ``n_links`` of every row: two documents link when
+    """``doc_id``, ``n_shingles``, ``component_id``, ``n_links``, ``text_key``, ``first`` of every row: two documents link when
     ``100 * intersection >= percent * union`` of their sets of k-word shingles; a component is named by its smallest id;
-    ``n_links`` counts the other *different* sets that a document's set links with.
+    ``n_links`` counts the other *different* sets that a document's set links with. ``text_key`` (the text's xxhash64)
+    tells documents of one id apart, and ``first`` is true for the first document of each component, by id and then
+    by ``text_key``.
 
     1. Every whole text becomes a set of 64-bit shingle hashes. A count-min sketch of all of them gives each a level of
        frequency; sets list their tokens rarest first, and only a prefix can hold the first token shared with a
@@ -210,11 +212,13 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
        meet in connected components.
 
     A group holds at most about ``group_size`` sets in a task; its visitors pass by. Texts without words have no
-    shingle, no link and are their own component. Rows repeated with the same id are one class if equal. A null id is
+    shingle, no link and are their own component. Rows repeated with the same id are one class if equal. Sets are
+    told apart by what they hold, never by ids, so texts that share an id (null too) are documents of their own. A null id is
     the smallest and comes back as null. An empty table gives no rows.
     """
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = rows.withColumn("text_key", F.xxhash64("text"))
     expected = input_bytes(df, text_col) // WORD_BYTES
 
     def items_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -223,12 +227,12 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
 
     sketch = count_min(rows, items_of, expected, depth=1, load=1.0, levels=(1, 2, 16))
     signed = stored(rows.mapInArrow(_signatures(sketch, k, percent), _SIGNED), "ngram-sets")
-    classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
-    able = signed.filter("home is not null").select("doc_id", "set_key", "home", "n", "prefix", "rest")
-    small = able.select("doc_id", "set_key", "home", "n").groupBy("set_key", "home", "n").agg(F.min("doc_id").alias("rep"))
+    classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("head")).withColumn("rep", F.xxhash64("set_key"))
+    able = signed.filter("home is not null").select("doc_id", "text_key", "set_key", "home", "n")
+    small = able.groupBy("set_key", "home", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("head")).withColumn("rep", F.xxhash64("set_key"))
     crowded = small.groupBy("home").agg(F.count("*").alias("size")).filter(F.col("size") > group_size)
-    homes = small.join(crowded, "home", "left").select("set_key", "rep", "n", F.xxhash64("home", F.when(F.col("size").isNotNull(), F.pmod(F.xxhash64("set_key"), F.ceil(F.col("size") / group_size)))).alias("grp"))
-    reps = stored(homes.join(signed.select("set_key", F.col("doc_id").alias("rep"), "prefix", "rest", "tokens").filter("tokens is not null"), ["set_key", "rep"]).dropDuplicates(["rep", "set_key"]), "ngram-reps")
+    homes = small.join(crowded, "home", "left").select("set_key", "rep", "head.doc_id", "head.text_key", "n", F.xxhash64("home", F.when(F.col("size").isNotNull(), F.pmod(F.xxhash64("set_key"), F.ceil(F.col("size") / group_size)))).alias("grp"))
+    reps = stored(homes.join(signed.select("set_key", "doc_id", "text_key", "prefix", "rest", "tokens").filter("tokens is not null"), ["set_key", "doc_id", "text_key"]).drop("doc_id", "text_key").dropDuplicates(["rep", "set_key"]), "ngram-reps")
     entry = reps.select("rep", "grp", "n", F.explode(F.arrays_zip("prefix", "rest")).alias("t")).select("rep", "grp", "n", F.col("t.prefix").alias("token"), F.col("t.rest").alias("rest"))
     matrix = entry.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("left"))
     shared = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
@@ -242,7 +246,10 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     found = stored(seats.mapInArrow(_open_groups(percent), "u long, v long, links int, opened int"), "ngram-links")
     parts = connected_components(found.filter("v is not null").select("u", "v"))
     links = found.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("n_links"))
-    named = classes.join(parts, F.col("rep") == F.col("node"), "left").join(links, "rep", "left").select("set_key", F.coalesce("component", "rep").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    out = signed.select("doc_id", "n", "set_key").join(named, "set_key", "left")
+    joined = parts.join(classes.select("rep", "head"), F.col("rep") == F.col("node")).groupBy("component").agg(F.min("head").alias("least"))
+    parts = parts.join(joined, "component").select("node", "least")
+    named = classes.join(parts, F.col("rep") == F.col("node"), "left").join(links, "rep", "left").select("set_key", F.coalesce("least", "head").alias("least"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    out = signed.select("doc_id", "text_key", "n", "set_key").join(named, "set_key", "left")
+    first = F.col("set_key").isNull() | ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
     own = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.withColumn("component", F.coalesce("component", "doc_id")).select(own("doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), own("component").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    return out.withColumn("component", F.coalesce("least.doc_id", "doc_id")).select(own("doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), own("component").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", first.alias("first"))

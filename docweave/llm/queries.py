@@ -36,7 +36,7 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.ngram_join(documents(spark, sf_dir), k=3, percent=90)
+    return ngram_join.ngram_join(documents(spark, sf_dir), k=3, percent=90).drop("text_key", "first")
 
 
 def op5_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

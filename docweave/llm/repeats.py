@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import blocks, input_bytes, partitions, text_buffer, text_or_empty, word_bounds, word_hashes
+from docweave.llm.common import blocks, input_bytes, partitions, row_key, text_buffer, text_or_empty, word_bounds, word_hashes
 from docweave.llm.sketch import count_min
 
 WINDOW = 20
@@ -57,48 +57,48 @@ def windows(texts: pa.Array, window: int, second: bool) -> tuple[np.ndarray, np.
     return one, two, row, pos
 
 
-_COLS = "bucket int, payload binary, doc_id long, starts binary"
-_SCHEMA = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("starts", pa.binary())])
+_COLS = "bucket int, payload binary, doc_id long, key long, starts binary"
+_SCHEMA = pa.schema([("bucket", pa.int32()), ("payload", pa.binary()), ("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary())])
 
 
-def _later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(first occurrence or not, the order by hash): entries must come in order of (doc, pos)."""
+def _later(h1: np.ndarray, h2: np.ndarray, doc: np.ndarray, key: np.ndarray, pos: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first occurrence or not, the order by hash): entries must come in order of (doc, key, pos)."""
     order = np.lexsort((h2, h1))
-    a, b, d, p = h1[order], h2[order], doc[order], pos[order]
+    a, b, d, k, p = h1[order], h2[order], doc[order], key[order], pos[order]
     new = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])
     head = np.maximum.accumulate(np.where(new, np.arange(len(a)), 0))
-    first = (d == d[head]) & (p == p[head])  # a row repeated with its id is no earlier than itself
+    first = (d == d[head]) & (k == k[head]) & (p == p[head])  # a row repeated with its id and text is no earlier than itself
     return first, order
 
 
-def _by_doc(doc: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, bytes]]:
-    order = np.lexsort((pos, doc))
-    doc, pos = doc[order], pos[order]
-    cuts = np.flatnonzero(np.concatenate([[True], doc[1:] != doc[:-1], [True]]))
+def _by_doc(doc: np.ndarray, key: np.ndarray, pos: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
+    order = np.lexsort((pos, key, doc))
+    doc, key, pos = doc[order], key[order], pos[order]
+    cuts = np.flatnonzero(np.concatenate([[True], (doc[1:] != doc[:-1]) | (key[1:] != key[:-1]), [True]]))
     for a, b in zip(cuts, cuts[1:], strict=False):
-        yield int(doc[a]), pos[a:b].astype(np.int32).tobytes()
+        yield int(doc[a]), int(key[a]), pos[a:b].astype(np.int32).tobytes()
 
 
 def _candidates(sketch: Broadcast, window: int, bucket_bits: int):  # noqa: ANN202
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block in blocks([batch], limit=BLOCK):
-                block = block.take(pc.sort_indices(block.column(0)))
-                ids = block.column(0).to_numpy()
+                block = block.take(pc.sort_indices(block, sort_keys=[("doc_id", "ascending"), ("key", "ascending")]))
+                ids, keys = block.column(0).to_numpy(), block.column(2).to_numpy()
                 h1, h2, row, pos = windows(block.column(1), window, True)
                 maybe = np.flatnonzero(sketch.value.levels(h1))
                 if not len(maybe):
                     continue
-                h1, h2, doc, pos = h1[maybe], h2[maybe], ids[row[maybe]], pos[maybe]
-                first, order = _later(h1, h2, doc, pos)
-                rows = [(d & (1 << bucket_bits) - 1, None, d, s) for d, s in _by_doc(doc[order[~first]], pos[order[~first]])] if not first.all() else []
+                h1, h2, doc, key, pos = h1[maybe], h2[maybe], ids[row[maybe]], keys[row[maybe]], pos[maybe]
+                first, order = _later(h1, h2, doc, key, pos)
+                rows = [((d ^ k) & (1 << bucket_bits) - 1, None, d, k, s) for d, k, s in _by_doc(*(x[order[~first]] for x in (doc, key, pos)))] if not first.all() else []
                 heads = order[first]
                 bucket = (h1[heads] >> np.uint64(64 - bucket_bits)).astype(np.int64) if bucket_bits else np.zeros(len(heads), np.int64)
                 cuts = np.flatnonzero(np.concatenate([[True], bucket[1:] != bucket[:-1], [True]]))
                 for a, b in zip(cuts, cuts[1:], strict=False):
                     w = heads[a:b]
-                    where = pa.compress(doc[w].tobytes() + pos[w].tobytes(), "zstd", asbytes=True)
-                    rows.append((int(bucket[a]), len(w).to_bytes(4, "little") + h1[w].tobytes() + h2[w].tobytes() + where, None, None))
+                    where = pa.compress(doc[w].tobytes() + key[w].tobytes() + pos[w].tobytes(), "zstd", asbytes=True)
+                    rows.append((int(bucket[a]), len(w).to_bytes(4, "little") + h1[w].tobytes() + h2[w].tobytes() + where, None, None, None))
                 for lo in range(0, len(rows), 4096):
                     yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows[lo : lo + 4096], strict=True), _SCHEMA, strict=True)], schema=_SCHEMA)
 
@@ -108,7 +108,7 @@ def _candidates(sketch: Broadcast, window: int, bucket_bits: int):  # noqa: ANN2
 def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows come sorted by bucket. A window is in a bucket once for each block at most, so no window's popularity makes
     a bucket large."""
-    schema = pa.schema([("doc_id", pa.int64()), ("starts", pa.binary())])
+    schema = pa.schema([("doc_id", pa.int64()), ("key", pa.int64()), ("starts", pa.binary())])
     at, held = None, []
 
     def done() -> Iterator[pa.RecordBatch]:
@@ -117,21 +117,21 @@ def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = []
         for raw in held:
             n = int.from_bytes(raw[:4], "little")
-            where = pa.decompress(raw[4 + 12 * n :], 12 * n, "zstd", asbytes=True)
-            parts.append((np.frombuffer(raw, np.uint64, n, 4), np.frombuffer(raw, np.uint32, n, 4 + 8 * n), np.frombuffer(where, np.int64, n), np.frombuffer(where, np.int32, n, 8 * n)))
-        h1, h2, doc, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
-        start = np.lexsort((pos, doc))
-        h1, h2, doc, pos = h1[start], h2[start], doc[start], pos[start]
-        first, order = _later(h1, h2, doc, pos)
-        rows = list(_by_doc(doc[order[~first]], pos[order[~first]])) if not first.all() else []
+            where = pa.decompress(raw[4 + 12 * n :], 20 * n, "zstd", asbytes=True)
+            parts.append((np.frombuffer(raw, np.uint64, n, 4), np.frombuffer(raw, np.uint32, n, 4 + 8 * n), np.frombuffer(where, np.int64, n), np.frombuffer(where, np.int64, n, 8 * n), np.frombuffer(where, np.int32, n, 16 * n)))
+        h1, h2, doc, key, pos = (np.concatenate(x) for x in zip(*parts, strict=True))
+        start = np.lexsort((pos, key, doc))
+        h1, h2, doc, key, pos = h1[start], h2[start], doc[start], key[start], pos[start]
+        first, order = _later(h1, h2, doc, key, pos)
+        rows = list(_by_doc(*(x[order[~first]] for x in (doc, key, pos)))) if not first.all() else []
         for lo in range(0, len(rows), 8192):
-            d, s = zip(*rows[lo : lo + 8192], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(s, pa.binary())], schema=schema)
+            d, k, s = zip(*rows[lo : lo + 8192], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(k, pa.int64()), pa.array(s, pa.binary())], schema=schema)
 
     for batch in batches:
         decided = batch.filter(pc.is_valid(batch.column(2)))
         if decided.num_rows:
-            yield pa.RecordBatch.from_arrays([decided.column(2), decided.column(3)], schema=schema)
+            yield pa.RecordBatch.from_arrays([decided.column(2), decided.column(3), decided.column(4)], schema=schema)
         for bucket, raw in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             if raw is None:
                 continue
@@ -166,7 +166,7 @@ def _keep(window: int):  # noqa: ANN202
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW) -> DataFrame:
     """``doc_id``, ``n_words``, ``n_removed`` and ``kept_text`` of every row: each word that a window of ``window`` words
-    covers is removed if the window's words also start earlier (smaller id, or same id and earlier word). Windows are
+    covers is removed if the window's words also start earlier (smaller id, or same document and earlier word). Windows are
     judged on the input.
 
     A first pass counts all windows in a count-min sketch whose estimates are never too low; the second sends only
@@ -175,11 +175,13 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     of all documents share is no larger in its bucket than any other. The sketch's size is bounded; beyond its
     capacity more windows go to the exact pass, none are lost.
 
-    Null texts have no words. A null id comes before all others. Rows repeated with the same id are one document: none
-    is earlier than the other. Texts shorter than a window lose nothing. Other columns are not read.
+    Null texts have no words. A null id comes before all others. Rows repeated with the same id and text are one document:
+    none is earlier than the other. Different texts of one id (null too) are documents of their own, in the order of a
+    hash of the text. Texts shorter than a window lose nothing. Other columns are not read.
     """
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = rows.withColumn("key", row_key(rows))
     expected = input_bytes(df, text_col) // WORD_BYTES
 
     def items_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
@@ -189,7 +191,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     sketch = count_min(rows, items_of, expected)
     bucket_bits = min(30, max(4, int(expected // BUCKET_WINDOWS).bit_length()))
     found = rows.mapInArrow(_candidates(sketch, window, bucket_bits), _COLS)
-    found = found.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_exact, "doc_id long, starts binary")
-    found = found.groupBy(F.col("doc_id").alias("gone_id")).agg(F.collect_list("starts").alias("found"))
-    met = rows.join(found, F.col("doc_id") == F.col("gone_id"), "left").select("doc_id", "text", "found")
+    found = found.repartition(partitions(spark), "bucket").sortWithinPartitions("bucket").mapInArrow(_exact, "doc_id long, key long, starts binary")
+    found = found.groupBy(F.col("doc_id").alias("gone_id"), F.col("key").alias("gone_key")).agg(F.collect_list("starts").alias("found"))
+    met = rows.join(found, (F.col("doc_id") == F.col("gone_id")) & (F.col("key") == F.col("gone_key")), "left").select("doc_id", "text", "found")
     return met.mapInArrow(_keep(window), "doc_id long, n_words long, n_removed long, kept_text string")

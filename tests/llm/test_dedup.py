@@ -155,6 +155,42 @@ def test_line_dedup_edges(spark, docs):
     assert got == [(0, "a b\n\n\n", 1), (2, "c", 1), (3, "z z", 0), (3, "z z", 0)]
 
 
+SHARED = [(None, "p q r s t u v w x y z " * 3 + "a b c d"), (None, "k l"), (None, "a b c d"), (None, None), (4, "m n o p q r s t u"), (4, "e f g\nh i j"), (4, "e f g\nh i j"), (9, "h i j"), (9, "1 2 3 4 5\ne f g")]
+
+
+def test_texts_that_share_an_id_are_apart(spark):
+    """Each id and text goes by an id of its own in the plain versions, in the order of id and hash."""
+    d = spark.createDataFrame(SHARED, "doc_id long, text string").repartition(3)
+    order = d.distinct().orderBy(F.coalesce("doc_id", F.lit(-1)), F.xxhash64(F.coalesce("text", F.lit("")))).collect()
+    number = {(r.doc_id, r.text): i for i, r in enumerate(order)}
+    rows = [(i, t) for (_, t), i in number.items()]
+    count = lambda xs: sorted(map(str, xs))
+
+    plain = plain_repeats(rows, 3)
+    got = repeats.remove_repeats(d, window=3).collect()
+    assert count((r.doc_id, r.n_words, r.n_removed, r.kept_text) for r in got) == count((i, *plain[number[i, t]]) for i, t in SHARED)
+    assert any(r.doc_id is None and r.n_removed for r in got)
+
+    plain = plain_lines(rows, 80)
+    got = line_dedup.dedup_lines(d).collect()
+    assert count((r.doc_id, r.n_lines, r.n_removed, r.text) for r in got) == count((i, *plain[number[i, t]]) for i, t in SHARED)
+
+    near = [*SHARED, (None, "K l"), (12, "k L"), (13, "M n o p q r s t u"), (14, "A b c d")]
+    out = ngram_join.ngram_join(spark.createDataFrame(near, "doc_id long, text string").repartition(3), k=2).collect()
+    assert count((r.doc_id, r.n_shingles) for r in out) == count((i, len(set(zip(w, w[1:])))) for i, t in near for w in [words_of(lowered(t))])
+    assert {(r.doc_id, r.component_id) for r in out if r.doc_id and r.doc_id != r.component_id} == {(12, None), (13, 4), (14, None)}
+    assert sum(r.first for r in out) == 9 and not any(r.first for r in out if r.doc_id in (12, 13, 14))
+
+
+def test_near_documents_of_shared_ids(spark):
+    import corpus_pipeline as cp
+
+    rows = [(None, "A b c d e f"), (None, "a b c d e f"), (None, "u v w x y z"), (5, "a b c d e f"), (5, "q r s t u v"), (6, "Q r s t u v")]
+    d = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text.lower()) for r in cp.near_documents(spark, d, "").collect()]
+    assert sorted(got, key=str) == sorted([(None, "a b c d e f"), (None, "u v w x y z"), (5, "q r s t u v")], key=str)
+
+
 def test_components(spark):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(120)] + [(i, i + 1) for i in range(300, 340)] + [(500, i) for i in range(501, 560)] + [(7, 7)]
