@@ -156,6 +156,13 @@ def test_secrets_against_brute_force(spark, tmp_path):
     assert secret_scan.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_urls_with_long_credentials():
+    for user, password in (("u", "abc"), ("u" * 101, "abc"), ("u", "p" * 5000), ("u" * 300, "p" * 300)):
+        text = f"see https://{user}:{password}@host/x"
+        assert [x for x in secret_scan.find_secrets(text) if x[2] == "url"] == [(4, 5, "url", len(text) - 6)]
+    assert not [x for t in ("https://u:ab@host", "https://u:" + "p" * 10**6, "https://" + "u" * 10**6) for x in secret_scan.find_secrets(t) if x[2] == "url"]
+
+
 def test_classifier_on_held_out_rows(spark):
     r = random.Random(2)
     word = lambda: "".join(r.choice("aeionrst") for _ in range(r.randrange(2, 8)))
