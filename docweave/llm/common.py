@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import hashlib
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
+from typing import ClassVar
 
 import numpy as np
 import pyarrow as pa
@@ -23,31 +26,67 @@ BLOCK_BYTES = 4 << 20
 _LONG_WORD = 256
 
 
+#: By application: the folder that stands in for the shared one on a local master.
+_OWN: dict[str, str] = {}
+
+
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path under the folder that driver and executors share: spark.checkpoint.dir. Only where that is unset
-    (tests on one machine) a temporary folder of this machine serves."""
+    """A fresh path under the folder that driver and executors share: spark.checkpoint.dir. Where that is unset a
+    temporary folder of this machine serves a local master (tests); any other master is refused, as its executors would
+    write to disks that nobody else reads."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='docweave-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = _OWN.setdefault(spark.sparkContext.applicationId, f"file://{tempfile.mkdtemp(prefix='docweave-')}")
     return f"{base.rstrip('/')}/docweave/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it again: a cut in the lineage that outlives any executor."""
-    path = shared_dir(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark's own setting: the shuffle files of a write go when it has ended, not when the driver next collects garbage.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+class Scratch:
+    """The tables that one call of an operator keeps between its steps: each a cut in the lineage, in a folder of its own
+    in the shared one, that outlives any executor. Those that no later step reads are to be dropped."""
+
+    made: ClassVar[list[str]] = []
+
+    def __init__(self, spark: SparkSession, name: str) -> None:
+        self.spark, self.path = spark, shared_dir(spark, name)
+        self.made.append(self.path)
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        """Writes ``df`` and reads it again."""
+        path, before = f"{self.path}/{name}", self.spark.conf.get(_CLEANUP, "false")
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            self.spark.conf.set(_CLEANUP, before)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            delete(self.spark, f"{self.path}/{name}")
+
+
+@contextmanager
+def passing(spark: SparkSession) -> Iterator[None]:
+    """For results that are written before its end: the folders of scratch tables that were made inside are deleted."""
+    before = len(Scratch.made)
+    try:
+        yield
+    finally:
+        for path in Scratch.made[before:]:
+            delete(spark, path)
+        del Scratch.made[before:]
 
 
-def bucketed(df: DataFrame, name: str, *keys: str, buckets: int | None = None) -> DataFrame:
-    """Writes ``df`` to the shared folder in buckets of ``keys``: later joins on them read the rows where they belong and
-    shuffle the other side only."""
-    spark = df.sparkSession
-    path = shared_dir(spark, name)
-    made = f"{name.replace('-', '_')}_{path[-32:]}"
-    df.write.bucketBy(buckets or partitions(spark), *keys).option("path", path).option("compression", "zstd").saveAsTable(made)
-    return spark.table(made)
+def delete(spark: SparkSession, path: str) -> None:
+    """Removes a path of any file system that Spark knows; one that is not there is no error."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,15 +101,18 @@ def text_or_empty(col: str = "text") -> Column:
 _ID_CELLS = 1 << 16
 
 
-def row_key(rows: DataFrame) -> Column:
+def row_key(rows: DataFrame) -> Column | None:
     """What tells rows (doc_id, text; neither null) of one id apart: the hash of the text where the id may be shared by
     different texts, else 0, which costs next to nothing where it is written many times. Equal rows have equal keys. The
-    ids are looked up in a table of bounded size; an id that falls in another's cell is only keyed without need."""
+    ids are looked up in a table of bounded size; an id that falls in another's cell is only keyed without need. None
+    if the id alone tells all texts apart."""
+    if rows.groupBy("doc_id").count().filter("count > 1").isEmpty():  # reads no texts
+        return None
     cell, told = F.pmod(F.xxhash64("doc_id"), F.lit(_ID_CELLS)).cast("int"), F.xxhash64("text")
     each = rows.groupBy("doc_id").agg(F.min(told).alias("lo"), F.max(told).alias("hi"))
     found = each.filter("lo <> hi").select(cell.alias("cell")).distinct().toArrow()["cell"].to_pylist()
     if not found:
-        return F.lit(0).cast("long")
+        return None
     table = bytearray(_ID_CELLS)
     for i in found:
         table[i] = 1

@@ -2,28 +2,21 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import bucketed, input_bytes, partitions, row_key, stored, text_or_empty
+from docweave.llm.common import Scratch, row_key, text_or_empty
 
 PERCENT = 80
-WORD_BYTES = 6
-#: Bytes of text in a bucket, as long as there are no more buckets than shuffle partitions.
-BUCKET_BYTES = 16 << 20
-#: Words are counted in 2 ** CELL_BITS cells at most: one byte each, 1 MB whatever the input.
-MIN_CELL_BITS, CELL_BITS = 12, 20
+#: Words are counted in 2 ** CELL_BITS cells: a byte each, whatever the input.
+CELL_BITS = 16
 #: Bits of a word that hold its level of rarity; the others hold its hash.
 LEVEL_BITS = 7
 #: Sets of at least this size have their bitmap in two halves.
 WIDE = 64
+#: Lines of about one size that chose the same word are first held against a few of them if they are so many.
+CROWD, HEADS = 64, 4
 _NO_ID = -(1 << 63)
-#: A document is an id and what tells its text from others of that id (see row_key).
-_DOC = ["doc_id", "key"]
-_PLACE = [*_DOC, "pos"]
-_PLACE_0 = ["doc_0", "key_0", "pos_0"]
 
 
 def _lines(text: Column) -> Column:
@@ -32,41 +25,42 @@ def _lines(text: Column) -> Column:
     return F.split(F.lower(F.when(other, F.translate(text, "\t\r\x0b\x0c", "    ")).otherwise(text)), "\n")
 
 
-def _cell(word: Column, bits: int) -> Column:
-    return F.xxhash64(word).bitwiseAND((1 << bits) - 1)
+def _cell(told: Column) -> Column:
+    return told.bitwiseAND((1 << CELL_BITS) - 1).cast("int")
 
 
-def _rarity(texts: DataFrame, bits: int) -> Column:
+def _rarity(texts: DataFrame) -> Column:
     """How often words occur, over all texts: a byte for each cell of word hashes, the rounded logarithm of its count."""
-    lines = texts.select(F.explode(_lines(F.col("text"))).alias("line"))
-    words = lines.select(F.explode(F.split("line", " ")).alias("w"))
-    counts = words.groupBy(_cell(F.col("w"), bits).alias("cell")).count()
+    words = texts.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
+    counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).count()
     level = F.least(F.floor(F.log2("count") * 1.5), F.lit((1 << LEVEL_BITS - 1) - 1)).cast("int")
-    table = bytearray(1 << bits)
-    found = counts.select(F.col("cell").cast("int"), level.alias("level")).toArrow()
+    table = bytearray(1 << CELL_BITS)
+    found = counts.select("cell", level.alias("level")).toArrow()
     for cell, of in zip(found["cell"].to_pylist(), found["level"].to_pylist(), strict=True):
         table[cell] = of
     return F.lit(table)
 
 
-def _sets(line: Column, levels: Column, bits: int) -> Column:
-    """A line's distinct words as longs, rarest first: level above, hash below."""
+def _told(line: Column) -> Column:
+    return F.transform(F.split(line, " "), lambda w: F.xxhash64(w))
 
-    def word(w: Column) -> Column:
-        level = F.ascii(F.substring(levels, _cell(w, bits).cast("int") + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 64 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(F.xxhash64(w), LEVEL_BITS))
 
-    return F.sort_array(F.array_except(F.transform(F.split(line, " "), word), F.array(word(F.lit("")))))
+def _set(line: Column, levels: Column) -> Column:
+    """A line's distinct words as longs, rarest first: level above, hash below."""
 
+    def ranked(told: Column) -> Column:
+        level = F.ascii(F.substring(levels, _cell(told) + 1, F.lit(1)).cast("string"))
+        return F.shiftleft(level.cast("long"), 64 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(told, LEVEL_BITS))
 
-def _plain_sets(line: Column) -> Column:
-    return F.array_except(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)), F.array(F.xxhash64(F.lit(""))))
+    return F.sort_array(F.array_remove(F.array_distinct(F.transform(_told(line), ranked)), ranked(F.xxhash64(F.lit("")))))
 
 
-def _signed(texts: DataFrame, levels: Column, bits: int, percent: int) -> DataFrame:
-    """A row for each line with words: two hashes of its set, its size, its bitmap and its prefix."""
-    lines = texts.select(*_DOC, F.posexplode(_lines(F.col("text"))).alias("pos", "line")).filter(F.trim("line") != "")
-    sets = lines.select(*_PLACE, _sets(F.col("line"), levels, bits).alias("s")).withColumn("n", F.size("s"))
+def _signed(texts: DataFrame, levels: Column, percent: int) -> DataFrame:
+    """A row for each line with words: its place, two hashes of its set, its size, its bitmap and its prefix."""
+    place = [c for c in texts.columns if c != "text"]
+    lines = texts.select(*place, F.posexplode(_lines(F.col("text"))).alias("pos", "line")).filter(F.trim("line") != "")
+    # Exploding an array of one set makes each set once, where a projection would make it for every use.
+    sets = lines.select(*place, "pos", F.explode(F.array(_set(F.col("line"), levels))).alias("s")).withColumn("n", F.size("s"))
     n = F.col("n")
     flip = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(63).cast("int"))
     all_bits = F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(flip(F.lit(1).cast("long"), x)))
@@ -75,13 +69,13 @@ def _signed(texts: DataFrame, levels: Column, bits: int, percent: int) -> DataFr
     able = (n * 100 >= (n + 1) * percent) | F.lit(percent == 100)
     length = F.when(able, n - F.ceil(n * percent / 100).cast("int") + 1).otherwise(0)
     prefix = F.transform(F.slice("s", F.lit(1), length), lambda x: x.bitwiseAND(0x7FFFFFFF).cast("int"))
-    return sets.select(*_PLACE, "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), all_bits.alias("bits"), F.when(n >= WIDE, odd_bits).otherwise(F.lit(0).cast("long")).alias("odd"), prefix.alias("prefix"))
+    wide = F.when(n >= WIDE, odd_bits).otherwise(F.lit(0).cast("long"))
+    return sets.select(*place, "pos", "n", F.xxhash64("s").alias("h1"), F.xxhash64(F.lit(7), "s").alias("h2"), all_bits.alias("bits"), wide.alias("odd"), prefix.alias("prefix"))
 
 
-def _may_match(percent: int) -> Column:
+def _may_match(percent: int, n: Column, m: Column) -> Column:
     """Length and bitmap filters: the sizes allow it, and the words that differ are not too many. Each word flips one bit,
     so the bits that differ never outnumber the words that do."""
-    n, m = F.col("a.n"), F.col("b.n")
     # shared <= (n + m - apart) / 2, and shared * (100 + percent) >= percent * (n + m) is asked for
     close = lambda apart: (n + m - apart) * (100 + percent) >= (n + m) * (2 * percent)
     whole = F.col("a.bits").bitwiseXOR(F.col("b.bits"))
@@ -90,26 +84,75 @@ def _may_match(percent: int) -> Column:
     return (m * 100 >= n * percent) & (n * 100 >= m * percent) & close(F.bit_count(whole)) & ((F.least(n, m) < WIDE) | close(halves))
 
 
-def _later() -> Column:
-    less, same = (lambda c: F.col(f"b.{c}") < F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}") == F.col(f"a.{c}"))
-    return less("doc_id") | (same("doc_id") & (less("key") | (same("key") & less("pos"))))
-
-
-_PAIR = ["a.doc_id", "a.key", "a.pos", "b.doc_id as doc_0", "b.key as key_0", "b.pos as pos_0"]
-
-
-def _verified(pairs: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
-    """Of ``pairs`` (doc_id, key, pos, doc_0, key_0, pos_0) the lines whose word sets really are that alike. The words are read again
-    from the texts, for the lines in question only."""
-    ends = pairs.select(*_PLACE).union(pairs.select(*_PLACE_0)).groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.collect_set("pos").alias("wanted"))
-    asked = texts.select(*_DOC, "text").join(ends, (F.col("doc_id") == F.col("in_doc")) & (F.col("key") == F.col("in_key")))
-    numbered = F.transform(_lines(F.col("text")), lambda x, i: F.struct(i.alias("pos"), x.alias("line")))
-    asked = asked.select(*_DOC, F.explode(F.filter(numbered, lambda x: F.array_contains("wanted", x["pos"]))).alias("x"))
-    words = stored(asked.select(*_DOC, F.col("x.pos").alias("pos"), _plain_sets(F.col("x.line")).alias("words")), "line-words")
-    first = words.select(*[F.col(c).alias(c_0) for c, c_0 in zip(_PLACE, _PLACE_0, strict=True)], F.col("words").alias("words_0"))
-    met = pairs.join(words, _PLACE).join(first, _PLACE_0)
+def _earlier(parts: list[tuple[Column, Column]]) -> Column:
+    """Whether the second of each pair comes before the first, in order of the pairs."""
+    (mine, other), *rest = parts
+    return (other < mine) | ((other == mine) & _earlier(rest)) if rest else other < mine
+
+
+def _before(names: list[str]) -> Column:
+    return _earlier([(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in names])
+
+
+def _near_heads(reps: DataFrame, place: list[str], percent: int, scratch: Scratch) -> DataFrame | None:
+    """Pairs of a line and a few earlier ones where lines crowd: those that chose the same word (the least or the greatest
+    hash of their prefix) and are of about one size. None where none crowd."""
+    traits = [*place, "n", "bits", "odd"]
+    step = F.log2("n") * 2
+    chosen = F.array_distinct(F.array(*[F.struct(w.alias("word"), F.floor(s).cast("int").alias("of_size")) for w, s in ((F.array_min("prefix"), step), (F.array_max("prefix"), step + 0.5))]))
+    keyed = reps.filter(F.size("prefix") > 0).select(*traits, F.explode(chosen).alias("x")).select(*traits, "x.word", "x.of_size")
+    on = ["word", "of_size"]
+    crowds = scratch.put("crowds", keyed.groupBy(*on).count().filter(F.col("count") >= CROWD).select(*on))
+    if crowds.isEmpty():
+        return None
+    part = F.pmod(F.xxhash64(*place), F.lit(HEADS)).alias("part")
+    heads = keyed.join(crowds, on).groupBy(*on, part).agg(F.min(F.struct(*traits)).alias("h")).select(*on, "h.*")
+    near = keyed.alias("a").join(heads.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.of_size") == F.col("b.of_size")) & _before(place) & _may_match(percent, F.col("a.n"), F.col("b.n")))
+    return scratch.put("heads", _pairs(near, [(f"a.{c}", f"b.{c}") for c in place], place))
+
+
+def _pairs(met: DataFrame, columns: list[tuple[str, str]], place: list[str]) -> DataFrame:
+    """(place, place_0) of joined lines, each pair once."""
+    return met.select(*[F.col(a).alias(c) for (a, _), c in zip(columns, place, strict=True)], *[F.col(b).alias(f"{c}_0") for (_, b), c in zip(columns, place, strict=True)]).distinct()
+
+
+def _word_pairs(marked: DataFrame, place: list[str], percent: int) -> DataFrame:
+    """Pairs of an open line and an earlier one that share a word of their prefixes and pass the filters. A row for each
+    word of a prefix crosses the network, so it is narrow: word and index, position, size and mark share two longs."""
+    high = lambda c: F.shiftleft(c.cast("long"), 32)
+    of_word = high(F.col("word")).bitwiseOR(F.col("i").cast("long"))
+    of_line = high(F.col("pos")).bitwiseOR(F.col("n").cast("long") * 2 + F.col("open"))
+    doc = place[:-1]
+    entry = marked.select(*place, "n", "bits", "odd", "open", F.posexplode("prefix").alias("i", "word"))
+    entry = entry.select(*doc, "bits", "odd", of_word.alias("of_word"), of_line.alias("of_line"))
+    top = lambda c: F.shiftright(F.col(c), 32)
+    low = lambda c: F.col(c).bitwiseAND(0xFFFFFFFF)
+    n, m = F.shiftright(low("a.of_line"), 1), F.shiftright(low("b.of_line"), 1)
+    room = F.least(n - low("a.of_word"), m - low("b.of_word")) * (100 + percent) >= (n + m) * percent
+    # Both sides are written alike, so that one shuffle serves both; a settled line is a partner only, no later line any more.
+    asks = F.col("a.of_line").bitwiseAND(1) * 2 + F.col("b.of_line").bitwiseAND(1) >= 2
+    before = _earlier([*[(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in doc], (top("a.of_line"), top("b.of_line"))])
+    met = entry.alias("a").join(entry.alias("b"), (top("a.of_word") == top("b.of_word")) & room & asks & before & _may_match(percent, n, m))
+    met = met.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in doc], *[top(f"{s}.of_line").cast("int").alias(f"{s}_pos") for s in "ab"])
+    return _pairs(met, [(f"a_{c}", f"b_{c}") for c in place], place)
+
+
+def _verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
+    """Of ``pairs`` (place, place_0) the lines whose word sets really are that alike. The words are read again from the
+    texts, for the lines in question only."""
+    place = [c for c in pairs.columns if not c.endswith("_0")]
+    doc, other = place[:-1], [f"{c}_0" for c in place]
+    ends = pairs.select(*place).union(pairs.select(*other)).groupBy(*doc).agg(F.collect_set("pos").alias("wanted"))
+    lines = F.transform(F.sort_array("wanted"), lambda i: F.struct(i.alias("pos"), F.get(F.col("lines"), i).alias("line")))
+    asked = texts.join(ends, doc).select(*doc, "wanted", _lines(F.col("text")).alias("lines")).select(*doc, F.explode(lines).alias("x"))
+    words = F.array_remove(F.array_distinct(_told(F.col("x.line"))), F.xxhash64(F.lit("")))
+    words = scratch.put(f"{name}-words", asked.select(*doc, F.col("x.pos").alias("pos"), words.alias("words")))
+    first = words.select(*[F.col(c).alias(f"{c}_0") for c in place], F.col("words").alias("words_0"))
+    met = pairs.join(words, place).join(first, other)
     shared = F.size(F.array_intersect("words", "words_0"))
-    return met.filter(shared * 100 >= (F.size("words") + F.size("words_0") - shared) * percent).select(*_PLACE).distinct()
+    out = scratch.put(name, met.filter(shared * 100 >= (F.size("words") + F.size("words_0") - shared) * percent).select(*place).distinct())
+    scratch.drop(f"{name}-words")
+    return out
 
 
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", percent: int = PERCENT) -> DataFrame:
@@ -121,53 +164,46 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
 
     1. Counts of all words, in a table of bounded size, order a line's words by rarity. Two sets that alike share a word
        among the rarest ``n - ceil(n * percent / 100) + 1`` of each: the prefix.
-    2. Equal sets meet the earliest of them, which stands for all from then on.
-    3. Lines meet the earliest line that chose the same word of its prefix (the rarest, the least by hash).
-       That pair is verified, so nearly all members of a large family are settled by a few rows each.
+    2. Equal sets (by a 128-bit hash) meet the earliest of them, which stands for all from then on.
+    3. Where many lines choose the same word of their prefix, they meet a few early ones of them, and those pairs are
+       verified: nearly all members of a large family are settled by a few rows each, never by pairs among themselves.
     4. Lines still open join all distinct lines on each prefix word, with positional, length and bitmap filters; what is
        left is verified on the words themselves.
 
     Everything is DataFrame operations. Joins are plain equality joins, which adaptive execution splits where a key is
-    hot; no list of a key's lines is ever built. Texts are written once in buckets of their id and key, so that no later step
-    shuffles them. Null texts stay null. A null id comes before all others; rows repeated with the same id and
-    text are one document, none earlier than the other. Different texts of one id (null too) are documents of their
-    own, in the order of a hash of the text. Columns named n_lines or n_removed are replaced.
+    hot; no list of a key's lines is ever built. Tables between the steps are dropped when the next ones stand. Null texts
+    stay null. A null id comes before all others; rows repeated with the same id and text are one document, none earlier
+    than the other. Different texts of one id (null too) are documents of their own, in the order of a hash of the text.
+    Texts of any length are split whole. An empty table gives no rows. Other columns pass through, whatever their names;
+    those named n_lines or n_removed are replaced.
     """
     rest = [c for c in df.columns if c not in (id_col, text_col, "n_lines", "n_removed")]
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"), F.col(text_col).isNull().alias("void"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(rest)])
-    rows = rows.withColumn("key", row_key(rows))
-    size = input_bytes(df, text_col)
-    bits = min(max(math.ceil(math.log2(size / WORD_BYTES / 256 + 1)), MIN_CELL_BITS), CELL_BITS)
-    buckets = min(partitions(df.sparkSession), max(2 * df.sparkSession.sparkContext.defaultParallelism, size // BUCKET_BYTES))
-    plain = rows.select(*_DOC, "text")
-    signed = bucketed(_signed(plain, _rarity(plain, bits), bits, percent), "line-signatures", *_PLACE, buckets=buckets)
-    texts = bucketed(rows, "line-texts", *_DOC, buckets=buckets)
-
-    same = ["h1", "h2", "n"]
-    heads = signed.groupBy(*same).agg(F.min(F.struct(*_PLACE)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select(*same, *[F.col(f"h.{c}").alias(c_0) for c, c_0 in zip(_PLACE, _PLACE_0, strict=True)])
-    copies = signed.select(*_PLACE, *same).join(heads, same).filter("doc_id <> doc_0 or key <> key_0 or pos <> pos_0")
-    copies = stored(copies.select(*_PLACE).distinct(), "line-copies")
-    kinds = signed.join(copies, _PLACE, "left_anti")
-
-    traits = [*_PLACE, "n", "bits", "odd"]
-    chosen = F.array_distinct(F.array(F.get("prefix", F.lit(0)), F.array_min("prefix")))
-    keyed = kinds.filter(F.size("prefix") > 0).select(*traits, F.explode(chosen).alias("word"), F.floor(F.log2("n") * 2).alias("of_size"))
-    first = keyed.groupBy("word", "of_size").agg(F.min(F.struct(*traits)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select("word", "of_size", "h.*")
-    near = keyed.alias("a").join(first.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.of_size") == F.col("b.of_size")) & _later() & _may_match(percent))
-    near = stored(near.selectExpr(*_PAIR).distinct(), "line-heads")
-    settled = stored(_verified(near, texts, percent), "line-settled")
-
-    marked = kinds.join(settled.withColumn("closed", F.lit(1)), _PLACE, "left").withColumn("open", F.when(F.col("closed").isNull(), 1).otherwise(0))
-    entry = marked.select(*traits, "open", F.posexplode("prefix").alias("i", "word"))
-    room = F.least(F.col("a.n") - F.col("a.i"), F.col("b.n") - F.col("b.i")) * (100 + percent) >= (F.col("a.n") + F.col("b.n")) * percent
-    # Both sides are written alike, so that one shuffle serves both; a settled line is a partner only, no later line any more.
-    asks = F.col("a.open") * 2 + F.col("b.open") >= 2
-    met = entry.alias("a").join(entry.alias("b"), (F.col("a.word") == F.col("b.word")) & room & asks & _later() & _may_match(percent))
-    met = stored(met.selectExpr(*_PAIR).distinct(), "line-pairs")
-    gone = copies.union(settled).union(_verified(met, texts, percent)).groupBy(F.col("doc_id").alias("in_doc"), F.col("key").alias("in_key")).agg(F.collect_set("pos").alias("gone"))
-
-    out = texts.join(gone, (F.col("doc_id") == F.col("in_doc")) & (F.col("key") == F.col("in_key")), "left").withColumn("lines", F.split("text", "\n"))
-    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)), "\n"))
+    key = row_key(rows)
+    doc = ["doc_id"] if key is None else ["doc_id", "key"]
+    rows = rows if key is None else rows.withColumn("key", key)
+    texts, place = rows.select(*doc, "text"), [*doc, "pos"]
+    scratch = Scratch(df.sparkSession, "line-dedup")
+
+    signed = scratch.put("signed", _signed(texts, _rarity(texts), percent))
+    same = ["h1", "h2"]
+    shared = signed.groupBy(*same).agg(F.min(F.struct(*place)).alias("h"), F.count("*").alias("lines")).filter("lines > 1").select(*same, "h")
+    lines = signed.join(shared, same, "left").withColumn("copy", F.col("h").isNotNull() & (F.struct(*place) != F.col("h")))
+    lines = scratch.put("lines", lines.select(*place, "n", "bits", "odd", F.when(~F.col("copy"), F.col("prefix")).alias("prefix"), "copy"))
+    scratch.drop("signed")
+    reps = lines.filter("not copy")
+    near = _near_heads(reps, place, percent, scratch)
+    settled = _verified(near, texts, percent, scratch, "settled") if near is not None else None
+    marked = reps.withColumn("open", F.lit(1)) if settled is None else reps.join(settled.withColumn("closed", F.lit(0)), place, "left").withColumn("open", F.coalesce("closed", F.lit(1)))
+    met = scratch.put("pairs", _word_pairs(marked, place, percent))
+    found = _verified(met, texts, percent, scratch, "found")
+    gone = lines.filter("copy").select(*place).union(found)
+    gone = scratch.put("gone", (gone if settled is None else gone.union(settled)).groupBy(*doc).agg(F.collect_set("pos").alias("gone")))
+    scratch.drop("lines", "crowds", "heads", "pairs", "settled", "found")
+
+    out = rows.join(gone, doc, "left").withColumn("lines", F.split("text", "\n"))
+    stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
+    kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
     own = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).cast(df.schema[id_col].dataType)
     new = {id_col: own, text_col: F.when(~F.col("void"), kept)} | {c: F.col(f"_{i}") for i, c in enumerate(rest)}
     return out.select(*[new[c].alias(c) for c in df.columns if c in new], F.size("lines").cast("long").alias("n_lines"), F.coalesce(F.size("gone"), F.lit(0)).cast("long").alias("n_removed"))

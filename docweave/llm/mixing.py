@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import blocks, stored, text_buffer, text_or_empty, word_bounds
+from docweave.llm.common import Scratch, blocks, text_buffer, text_or_empty, word_bounds
 from docweave.llm.quality import STATS, STEPS, features
 
 #: The classifier is fitted on so many labelled rows at most, those with the smallest hashes of their ids.
@@ -182,7 +182,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     """
     names = list(targets)
     model = fit_domains(docs, labelled, names, id_col, text_col)
-    soft = stored(posteriors(docs, model, id_col, text_col), "mixing-posteriors")
+    soft = Scratch(docs.sparkSession, "mixing").put("posteriors", posteriors(docs, model, id_col, text_col))
     start, steps, _ = fit_rates(soft, [targets[n] for n in names], budget)
     d = len(names)
 

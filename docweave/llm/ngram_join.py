@@ -11,7 +11,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import LOWER, blocks, input_bytes, mix, partitions, stored, text_buffer, text_or_empty, word_bounds, word_hashes
+from docweave.llm.common import LOWER, Scratch, blocks, input_bytes, mix, partitions, text_buffer, text_or_empty, word_bounds, word_hashes
 from docweave.llm.components import connected_components
 from docweave.llm.sketch import count_min
 
@@ -226,13 +226,14 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
             yield np.concatenate([*_sets(block.column(1), k), np.zeros(0, np.uint64)])
 
     sketch = count_min(rows, items_of, expected, depth=1, load=1.0, levels=(1, 2, 16))
-    signed = stored(rows.mapInArrow(_signatures(sketch, k, percent), _SIGNED), "ngram-sets")
+    scratch = Scratch(spark, "ngram-join")
+    signed = scratch.put("sets", rows.mapInArrow(_signatures(sketch, k, percent), _SIGNED))
     classes = signed.filter("set_key is not null").groupBy("set_key").agg(F.min(F.struct("doc_id", "text_key")).alias("head")).withColumn("rep", F.xxhash64("set_key"))
     able = signed.filter("home is not null").select("doc_id", "text_key", "set_key", "home", "n")
     small = able.groupBy("set_key", "home", "n").agg(F.min(F.struct("doc_id", "text_key")).alias("head")).withColumn("rep", F.xxhash64("set_key"))
     crowded = small.groupBy("home").agg(F.count("*").alias("size")).filter(F.col("size") > group_size)
     homes = small.join(crowded, "home", "left").select("set_key", "rep", "head.doc_id", "head.text_key", "n", F.xxhash64("home", F.when(F.col("size").isNotNull(), F.pmod(F.xxhash64("set_key"), F.ceil(F.col("size") / group_size)))).alias("grp"))
-    reps = stored(homes.join(signed.select("set_key", "doc_id", "text_key", "prefix", "rest", "tokens").filter("tokens is not null"), ["set_key", "doc_id", "text_key"]).drop("doc_id", "text_key").dropDuplicates(["rep", "set_key"]), "ngram-reps")
+    reps = scratch.put("reps", homes.join(signed.select("set_key", "doc_id", "text_key", "prefix", "rest", "tokens").filter("tokens is not null"), ["set_key", "doc_id", "text_key"]).drop("doc_id", "text_key").dropDuplicates(["rep", "set_key"]))
     entry = reps.select("rep", "grp", "n", F.explode(F.arrays_zip("prefix", "rest")).alias("t")).select("rep", "grp", "n", F.col("t.prefix").alias("token"), F.col("t.rest").alias("rest"))
     matrix = entry.groupBy("token", "grp").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.max("rest").alias("left"))
     shared = matrix.groupBy("token").agg(F.count("*").alias("groups")).filter("groups > 1").select("token")
@@ -243,7 +244,8 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     tokens = reps.select("rep", "tokens")
     seats = reps.select("grp", F.lit(False).alias("visitor"), "rep", "tokens").union(visits.join(tokens, "rep").select("other", F.lit(True), "rep", "tokens"))
     seats = seats.repartition(4 * partitions(spark), "grp").sortWithinPartitions("grp", "visitor")
-    found = stored(seats.mapInArrow(_open_groups(percent), "u long, v long, links int, opened int"), "ngram-links")
+    found = scratch.put("links", seats.mapInArrow(_open_groups(percent), "u long, v long, links int, opened int"))
+    scratch.drop("reps")
     parts = connected_components(found.filter("v is not null").select("u", "v"))
     links = found.filter("v is null").groupBy(F.col("u").alias("rep")).agg(F.sum("links").alias("n_links"))
     joined = parts.join(classes.select("rep", "head"), F.col("rep") == F.col("node")).groupBy("component").agg(F.min("head").alias("least"))
@@ -252,4 +254,7 @@ def ngram_join(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     out = signed.select("doc_id", "text_key", "n", "set_key").join(named, "set_key", "left")
     first = F.col("set_key").isNull() | ((F.col("doc_id") == F.col("least.doc_id")) & (F.col("text_key") == F.col("least.text_key")))
     own = lambda c: F.when(F.col(c) != _NO_ID, F.col(c))
-    return out.withColumn("component", F.coalesce("least.doc_id", "doc_id")).select(own("doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), own("component").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", first.alias("first"))
+    out = out.withColumn("component", F.coalesce("least.doc_id", "doc_id")).select(own("doc_id").alias("doc_id"), F.col("n").cast("long").alias("n_shingles"), own("component").alias("component_id"), F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), "text_key", first.alias("first"))
+    out = scratch.put("groups", out)
+    scratch.drop("sets", "links")
+    return out

@@ -181,7 +181,8 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    rows = rows.withColumn("key", row_key(rows))
+    key = row_key(rows)
+    rows = rows.withColumn("key", F.lit(0).cast("long") if key is None else key)
     expected = input_bytes(df, text_col) // WORD_BYTES
 
     def items_of(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
