@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.llm import line_dedup, mixing, ngram_join, quality, sentencepiece_bpe
-from docweave.llm.common import documents, stored, text_or_empty
+from docweave.llm.common import Scratch, documents, passing, text_or_empty
 from docweave.llm.queries import TARGETS, labelled_domains
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
@@ -60,7 +60,13 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = documents(spark, sf_dir)
+    """All stages over the documents table. A stage's output is written; what the stage kept in between, and the output
+    before it, are deleted then."""
+    docs, scratch, last = documents(spark, sf_dir), Scratch(spark, "pipeline"), None
     for name, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        with passing(spark):
+            docs = scratch.put(name, stage(spark, docs, sf_dir))
+        if last:
+            scratch.drop(last)
+        last = name
     return STAGES[-1][1](spark, docs, sf_dir)
