@@ -91,32 +91,76 @@ def summary_batch(df: DataFrame, group: list[str], id_col: str, cost: str, keep:
     return m.filter((F.col("__rn") <= F.col("__n") - keep) & (F.col("__rn") <= most) & ((F.col("__rn") - 1 < least) | (F.col("__freed") < need))).drop("__rn", "__freed", "__n")
 
 
-def history(df: DataFrame, group: list[str], order: str, text: str, terms: str, last: int, most: int) -> DataFrame:
+def history(df: DataFrame, group: list[str], order: str, text: str, query: str, age_days: Column, last: int, most: int) -> DataFrame:
+    """Of the last ``last`` messages of each group the ``most`` that answer ``query`` best: 5 for the whole phrase, and for
+    each of its terms 1 and an eighth for each sign up to 8; newer ones win where that is equal."""
     w = Window.partitionBy(*group).orderBy(F.desc(order))
-    m = df.withColumn("age", F.row_number().over(w)).filter(F.col("age") <= last)
-    low = F.lower(text)
-    matched = F.aggregate(F.filter(terms, lambda t: F.contains(low, t)), F.lit(0), lambda a, t: a + F.length(t))
-    m = m.withColumn("matched", matched).filter("matched > 0").withColumn("score", F.round(F.col("matched") + 1.0 / F.col("age"), 6))
+    m = df.withColumns({"__n": F.row_number().over(w), "__days": F.greatest(age_days, F.lit(0.0))}).filter(F.col("__n") <= last)
+    low, asked = fx.squeeze(F.col(text)), fx.squeeze(F.col(query))
+    matched = F.filter(fx.history_terms(asked), lambda t: F.contains(low, t))
+    weight = F.aggregate(matched, F.lit(0.0), lambda a, t: a + 1 + F.least(F.length(t), F.lit(8)) / 8)
+    score = F.when((low != "") & (asked != ""), F.when(F.contains(low, asked), 5.0).otherwise(0.0) + weight + 1 / (1 + F.col("__days"))).otherwise(0.0)
+    m = m.withColumn("score", F.round(score, 4)).filter("score > 0")
     m = m.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("score"), F.desc(order)))).filter(F.col("rank") <= most)
     return m.select(*group, order, "score", "rank")
 
 
-def route(s: Column) -> Column:
-    """direct (greetings), tool (questions about the documents themselves) or rag."""
-    t = F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
-    return F.when((t == "") | t.rlike("^(hi|hello|hey|thanks|thank you|你好|谢谢)[!. ]*$"), "direct").when(t.rlike("(list|show|which) (all )?(the )?documents|which file|源文件|哪些文档"), "tool").otherwise("rag")
-
-
-def rewrite_needed(s: Column, has_history: Column) -> Column:
-    """A question that leans on what was said: short, or with a word that points back."""
-    t = F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
-    return has_history & ((F.length(t) <= 8) | t.rlike(r"(\b(it|that|this|they|those|these|above|former|latter)\b|它|这个|那个|上面)"))
-
-
-def gap(s: Column) -> Column:
-    """Whether the question needs more history than the window holds."""
-    t = F.lower(F.trim(F.regexp_replace(s, r"\s+", " ")))
-    return (F.length(t) < 6) | t.rlike("(earlier|previous|before|last time|之前|刚才|上次)") | t.rlike(r"^(and|so|then|also|继续|然后)\b")
+# Marker words and patterns of the rules below.
+SOURCE_MARKERS = ("出处", "来源", "哪个文件", "哪份文件", "来自哪个", "原文位置", "具体文件", "文件名")
+LIST_MARKERS = ("有哪些文档", "文档列表", "所有文档", "文件列表")
+TOOL_MARKERS = ("前后文", "上下文", "相邻", "上一段", "下一段", "展开原文", "完整原文", "全文", "详细内容", "整份文档", *LIST_MARKERS, "知识条目详情", "条目内容", "这个知识条目", *SOURCE_MARKERS)
+DIRECT = (r"^(你好|您好|hi|hello)($|[^\p{L}\p{N}_])", "^(早上好|中午好|下午好|晚上好)", "^什么是(rag|agent|docker|langgraph)[？?]?$")
+POINTING = ("这个", "那个", "它", "他们", "上述", "前面提到", "刚才", "该流程", "该制度", "这个流程", "这个制度")
+LEANING = ("^(那|然后|继续|还有|除此之外)", "(多久|谁负责|怎么处理|可以吗|是否一样|需要什么)(呢|吗)?[？?]?$")
+BACK = ("它", "这个", "那个", "上面", "之前", "刚才", "上次", "前面", "上述", "该问题", "该流程", "这个条件", "之前说过", "上次提到", "刚才说的")
+SAID = ("之前说过", "上次提到", "刚才说的", "历史消息", "前面提到", "之前的对话")
+GOING_ON = ("那", "然后", "继续", "还要", "为什么", "怎么")
+
+
+def mentions(s: Column, markers: tuple[str, ...]) -> Column:
+    return s.rlike("|".join(markers))
+
+
+def route(question: Column, in_base: Column, cited: Column) -> Column:
+    """direct, tool or rag. ``in_base``: a knowledge base is chosen; ``cited``: the last answer had citations."""
+    q = fx.squeeze(question)
+    direct = (q == "") | mentions(q, DIRECT)
+    tool = (cited & mentions(q, TOOL_MARKERS)) | (in_base & mentions(q, LIST_MARKERS))
+    return F.when(direct, "direct").when(tool, "tool").when(~in_base, "direct").otherwise("rag")
+
+
+def rewrite(question: Column, has_history: Column) -> Column:
+    """struct(needed, reason): whether a question leans on what was said before."""
+    q = fx.squeeze(question)
+    rules = (
+        (q == "", False, "empty_question"),
+        (~has_history, False, "no_conversation_context"),
+        (mentions(q, POINTING), True, "contains_context_reference"),
+        (F.length(q) <= 8, True, "question_is_too_short"),
+        (mentions(q, LEANING), True, "matches_context_dependent_pattern"),
+        (F.lit(True), False, "question_is_self_contained"),
+    )
+    return F.coalesce(*[F.when(when, F.struct(F.lit(needed).alias("needed"), F.lit(reason).alias("reason"))) for when, needed, reason in rules])
+
+
+def gap(question: Column, context: Column) -> Column:
+    """struct(needed, triggers, missing): whether a question needs history that ``context`` (summary and recent messages as
+    one text) does not hold."""
+    q, known = fx.squeeze(question), fx.squeeze(context)
+    for marker in BACK:
+        known = F.replace(known, F.lit(marker), F.lit(""))
+    bare = F.regexp_replace(known, r"[\s，。！？、,:：;；]+", "") == ""
+    pronouns = [m for m in BACK if m not in SAID]
+    points = F.filter(F.array(*map(F.lit, pronouns)), lambda m: F.contains(q, m))
+    rules = (
+        (mentions(q, SAID), "explicit_history_reference"),
+        ((F.size(points) > 0) & bare, "pronoun_without_antecedent"),
+        ((F.length(q) <= 8) & bare, "short_question_without_context"),
+        (bare & q.rlike(f"^({'|'.join(GOING_ON)})"), "continuation_without_context"),
+    )
+    hit = F.when(q != "", F.array_compact(F.array(*[F.when(when, name) for when, name in rules]))).otherwise(F.array().cast("array<string>"))
+    missing = F.when(F.size(hit) > 0, points).otherwise(F.array().cast("array<string>"))
+    return F.struct((F.size(hit) > 0).alias("needed"), hit.alias("triggers"), missing.alias("missing"))
 
 
 def memory(s: Column) -> Column:

@@ -26,22 +26,47 @@ def list_documents(docs: DataFrame, scope: Column, order: list[Column], limit: i
     return docs.filter(scope).orderBy(*order).limit(max(1, min(limit, MOST_ROWS)))
 
 
-def plan(question: Column) -> Column:
-    """struct(tool, args) of a question about documents themselves, else null."""
-    q = F.lower(fx.collapse(question))
-    number = F.regexp_extract(q, "([0-9]+)", 1)
-
-    def call(tool: str, arg: str | None = None) -> Column:
-        args = F.create_map(F.lit(arg), number) if arg else F.create_map().cast("map<string,string>")
-        return F.struct(F.lit(tool).alias("tool"), args.alias("args"))
-
-    return (
-        F.when(q.rlike("(next|previous|around|neighbou?r|上下文|前后).*chunk|chunk.*(next|previous|around|neighbou?r)|片段.*前后"), call("get_chunk_neighbors", "chunk_id"))
-        .when(q.rlike("(document|文档)\\s*#?[0-9]+"), call("get_document", "document_id"))
-        .when(q.rlike("(item|条目)\\s*#?[0-9]+"), call("get_knowledge_item", "knowledge_item_id"))
-        .when(q.rlike("(list|show|which) (all )?(the )?(documents|files)|哪些文档|文档列表"), call("list_knowledge_base_documents"))
-        .when(q.rlike("(earlier|before|last time).*(said|asked|say|ask)|之前(说|问)"), call("search_conversation_history"))
+# Words that ask for a tool, besides those that conversation.py has.
+NEIGHBOUR_MARKERS = ("上一段", "下一段", "相邻", "前后文", "上下文")
+WHOLE_MARKERS = ("完整原文", "全文", "详细内容", "整份文档", "这份文档内容")
+ITEM_MARKERS = ("知识条目详情", "条目内容", "这个知识条目")
+#: Questions and the tool that they must get, given a first hit.
+CASES = {
+    "请给我这份文档的完整原文": "get_document",
+    "请补充上一段和下一段上下文": "get_chunk_neighbors",
+    "这个片段的相邻内容是什么": "get_chunk_neighbors",
+    "这个知识库有哪些文档？": "list_knowledge_base_documents",
+    "请看一下这个知识条目详情": "get_knowledge_item",
+    "采购复核的触发条件是什么？": None,
+}
+
+
+def plan(question: Column, first: Column, cited_doc: Column) -> Column:
+    """struct(tool, args) of a question that asks for a tool, else null. Ids come from the first hit (struct of doc_id,
+    chunk_id, knowledge_item_id; null without hits), for the source of an answer also from the last answer's first
+    citation. A tool whose id is missing leaves the question to the next rule."""
+    q = fx.squeeze(question)
+
+    def call(tool: str, **args: Column | int) -> Column:
+        flat = [x for k, v in args.items() for x in (F.lit(k), (v if isinstance(v, Column) else F.lit(v)).cast("string"))]
+        return F.struct(F.lit(tool).alias("tool"), F.create_map(*flat).alias("args"))
+
+    source = F.coalesce(first["doc_id"], cited_doc)
+    rules = (
+        (conversation.SOURCE_MARKERS, source, call("get_document", document_id=source)),
+        (NEIGHBOUR_MARKERS, first["chunk_id"], call("get_chunk_neighbors", chunk_id=first["chunk_id"], radius=2)),
+        (conversation.LIST_MARKERS, F.lit(1), call("list_knowledge_base_documents", limit=20)),
+        (WHOLE_MARKERS, first["doc_id"], call("get_document", document_id=first["doc_id"])),
+        (ITEM_MARKERS, first["knowledge_item_id"], call("get_knowledge_item", knowledge_item_id=first["knowledge_item_id"])),
     )
+    return F.coalesce(*[F.when(conversation.mentions(q, markers) & wants.isNotNull(), made) for markers, wants, made in rules])
+
+
+def get_knowledge_item(items: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The wanted items' details: as get_document, with title (first line, cut at 120 signs) and length."""
+    title = F.left(fx.collapse(F.substring_index(F.coalesce(text_col, F.lit("")), "\n", 1)), F.lit(120))
+    cut = get_document(items, wanted, id_col, text_col)
+    return items.select(id_col, title.alias("title"), F.length(text_col).alias("length")).join(cut, id_col)
 
 
 def authorised(calls: DataFrame) -> DataFrame:
@@ -120,11 +145,14 @@ def index_documents(chunks: DataFrame) -> DataFrame:
 
 def workflow(questions: DataFrame, hits: DataFrame, threshold: float = 0.78) -> DataFrame:
     """One row per question (id, question, role) with its route and status: direct ones are answered, tool ones need the
-    right to call, all others pass the gate on their hits (id, rank, score, content)."""
+    right to call, all others pass the gate on their hits (id, rank, score, content; doc_id, chunk_id and
+    knowledge_item_id if there are any). Questions may have ``cited_doc``, the last answer's first cited document."""
     from docweave.operators import retrieval
 
-    q = questions.withColumn("p", plan(F.col("question")))
-    route = F.when(F.col("p").isNotNull(), "tool").otherwise(conversation.route(F.col("question")))
+    top = F.min_by(F.struct(*[(F.col(c) if c in hits.columns else F.lit(None)).cast("long").alias(c) for c in ("doc_id", "chunk_id", "knowledge_item_id")]), "rank")
+    q = questions if "cited_doc" in questions.columns else questions.withColumn("cited_doc", F.lit(None).cast("long"))
+    q = q.join(hits.groupBy("id").agg(top.alias("first")), "id", "left").withColumn("p", plan(F.col("question"), F.col("first"), F.col("cited_doc")))
+    route = F.when(F.col("p").isNotNull(), "tool").otherwise(conversation.route(F.col("question"), F.lit(True), F.col("cited_doc").isNotNull()))
     q = authorised(q.select("id", "question", "role", route.alias("route"), F.col("p.tool").alias("tool"), fx.entities(F.col("question")).alias("wanted")))
     seen = hits.groupBy("id").agg(F.count("*").alias("n_hits"), F.max("score").alias("top_score"), F.array_join(F.collect_list(F.when(F.col("rank") <= 3, F.col("content"))), "\n").alias("evidence"))
     found = q.join(seen, "id", "left").withColumn("n_hits", F.coalesce("n_hits", F.lit(0))).withColumn("tool_ok", (F.col("route") == "tool") & F.col("allowed"))

@@ -136,31 +136,49 @@ FLT_CURSOR = "select conv_id, turn from (select conv_id, turn, floor(max(turn) o
 
 
 def topk_history(spark: SparkSession, d: str) -> DataFrame:
-    """In each conversation the messages that match its first message's terms: longer terms weigh more, newer ones a
-    little too; the last 200 messages, ten at most."""
+    """In each conversation the messages that answer its first message best, a turn standing for a day; the last 200
+    messages, ten at most."""
     m = _messages(spark, d)
-    asked = m.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question")).select("conv_id", fx.history_terms(F.col("question")).alias("terms"))
-    return conv.history(m.join(asked, "conv_id"), ["conv_id"], "turn", "text", "terms", 200, 10)
+    asked = m.groupBy("conv_id").agg(F.min_by("text", "turn").alias("question"), F.max("turn").alias("last"))
+    return conv.history(m.join(asked, "conv_id"), ["conv_id"], "turn", "text", "question", (F.col("last") - F.col("turn")).cast("double"), 200, 10)
 
 
-TOPK_HISTORY = """
-with q as (select conv_id, list_distinct(list_filter(regexp_extract_all(lower(arg_min(text, turn)), '[a-z0-9_]+'), lambda x : length(x) >= 2)) as terms from conversations group by 1),
-m as (select conv_id, turn, text, row_number() over (partition by conv_id order by turn desc) as age from conversations),
-s as (select conv_id, turn, age, coalesce(list_sum(list_transform(list_filter(terms, lambda t : contains(lower(text), t)), lambda t : length(t))), 0) as matched from m join q using (conv_id) where age <= 200)
-select conv_id, turn, round(matched + 1.0 / age, 6)::double as score, (row_number() over (partition by conv_id order by round(matched + 1.0 / age, 6) desc, turn desc))::int as rank from s where matched > 0 qualify rank <= 10
+TOPK_HISTORY = r"""
+with q as (select conv_id, lower(regexp_replace(arg_min(text, turn), '\s+', '', 'g')) as q, max(turn) as last from conversations group by 1),
+w as (select conv_id, q, last, list_distinct(list_filter(regexp_extract_all(q, '[a-z0-9_]+'), lambda x : length(x) >= 2)) as terms from q),
+m as (select conv_id, turn, lower(regexp_replace(text, '\s+', '', 'g')) as t, row_number() over (partition by conv_id order by turn desc) as n from conversations),
+s as (select conv_id, turn, round(case when t = '' or q = '' then 0 else (case when contains(t, q) then 5 else 0 end) + coalesce(list_sum(list_transform(list_filter(terms, lambda x : contains(t, x)), lambda x : 1 + least(length(x), 8) / 8.0)), 0) + 1 / (1.0 + last - turn) end, 4)::double as score
+  from m join w using (conv_id) where n <= 200)
+select conv_id, turn, score, (row_number() over (partition by conv_id order by score desc, turn desc))::int as rank from s where score > 0 qualify rank <= 10
 """
 
-
-def fn_route_rule(spark: SparkSession, d: str) -> DataFrame:
-    m = _messages(spark, d).filter("role = 'user'")
-    return m.select("conv_id", "turn", conv.route(F.col("text")).alias("route"), conv.rewrite_needed(F.col("text"), F.col("turn") > 0).alias("rewrite"), conv.gap(F.col("text")).alias("gap"))
+_QUESTIONS = ["你好", "hello, 在吗", "什么是 RAG？", "这个流程需要多少天才能完成审批", "那谁负责呢？", "有哪些文档", "这段话的来源在哪里", "", "之前说过的条件还有效吗", "采购复核的触发条件是什么？", "历史消息里的结论是什么来着", "合同审批需要什么"]
 
 
-FN_ROUTE_RULE = """
-with m as (select conv_id, turn, lower(trim(regexp_replace(text, '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'))) as t from conversations where role = 'user')
-select conv_id, turn, case when t = '' or regexp_matches(t, '^(hi|hello|hey|thanks|thank you|你好|谢谢)[!. ]*$') then 'direct' when regexp_matches(t, '(list|show|which) (all )?(the )?documents|which file|源文件|哪些文档') then 'tool' else 'rag' end as route,
-  turn > 0 and (length(t) <= 8 or regexp_matches(t, '(\\b(it|that|this|they|those|these|above|former|latter)\\b|它|这个|那个|上面)')) as rewrite,
-  length(t) < 6 or regexp_matches(t, '(earlier|previous|before|last time|之前|刚才|上次)') or regexp_matches(t, '^(and|so|then|also|继续|然后)\\b') as gap from m
+def fn_route_rule(spark: SparkSession, d: str) -> DataFrame:
+    """Routes, rewriting and gaps of questions, one for each message: the context is the message before (none at first,
+    and for every fifth conversation only a word that points back)."""
+    q = F.element_at(F.array(*map(F.lit, _QUESTIONS)), ((F.col("conv_id") * 5 + F.col("turn")) % len(_QUESTIONS) + 1).cast("int"))
+    before = F.lag("text").over(Window.partitionBy("conv_id").orderBy("turn"))
+    m = _messages(spark, d).select("conv_id", "turn", q.alias("q"), F.when(F.col("conv_id") % 5 == 0, "这个 上面。").otherwise(F.coalesce(before, F.lit(""))).alias("context"))
+    m = m.select("conv_id", "turn", conv.route("q", F.col("conv_id") % 7 != 0, F.col("turn") > 2).alias("route"), conv.rewrite("q", F.col("turn") > 0).alias("r"), conv.gap("q", F.col("context")).alias("g"))
+    return m.select("conv_id", "turn", "route", F.col("r.needed").alias("rewrite"), F.col("r.reason").alias("reason"), F.array_join("g.triggers", ",").alias("triggers"), F.array_join("g.missing", ",").alias("missing"))
+
+
+_HAS = lambda marks: "(" + " or ".join(f"contains(q, '{m}')" for m in marks) + ")"
+FN_ROUTE_RULE = rf"""
+with m as (select conv_id, turn, lower(regexp_replace({_QUESTIONS}[(conv_id * 5 + turn) % {len(_QUESTIONS)} + 1], '\s+', '', 'g')) as q,
+   conv_id % 5 = 0 or coalesce(regexp_replace(lag(text) over (partition by conv_id order by turn), '[\s，。！？、,:：;；]+', '', 'g'), '') = '' as bare from conversations),
+p as (select *, list_filter(['它', '这个', '那个', '上面', '之前', '刚才', '上次', '前面', '上述', '该问题', '该流程', '这个条件'], lambda x : contains(q, x)) as points,
+   {_HAS(["之前说过", "上次提到", "刚才说的", "历史消息", "前面提到", "之前的对话"])} as said from m),
+t as (select *, list_filter([case when said then 'explicit_history_reference' end, case when len(points) > 0 and bare then 'pronoun_without_antecedent' end,
+   case when length(q) <= 8 and bare then 'short_question_without_context' end, case when bare and regexp_matches(q, '^(那|然后|继续|还要|为什么|怎么)') then 'continuation_without_context' end], lambda x : x is not null and q <> '') as hit from p)
+select conv_id, turn, case when q = '' or regexp_matches(q, '^(你好|您好|hi|hello)($|[^\p{{L}}\p{{N}}_])') or regexp_matches(q, '^什么是(rag|agent|docker|langgraph)[？?]?$') then 'direct'
+    when turn > 2 and {_HAS(conv.TOOL_MARKERS)} or conv_id % 7 <> 0 and {_HAS(["有哪些文档", "文档列表", "所有文档", "文件列表"])} then 'tool' when conv_id % 7 = 0 then 'direct' else 'rag' end as route,
+  case when q = '' then 'empty_question' when turn = 0 then 'no_conversation_context' when {_HAS(conv.POINTING)} then 'contains_context_reference' when length(q) <= 8 then 'question_is_too_short'
+    when regexp_matches(q, '^(那|然后|继续|还有|除此之外)') or regexp_matches(q, '(多久|谁负责|怎么处理|可以吗|是否一样|需要什么)(呢|吗)?[？?]?$') then 'matches_context_dependent_pattern' else 'question_is_self_contained' end as reason,
+  reason in ('contains_context_reference', 'question_is_too_short', 'matches_context_dependent_pattern') as rewrite,
+  array_to_string(hit, ',') as triggers, case when len(hit) > 0 then array_to_string(points, ',') else '' end as missing from t
 """
 
 

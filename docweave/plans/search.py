@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as fx
@@ -30,17 +30,18 @@ select query_id, vec_id, score, (row_number() over (partition by query_id order
 from s qualify rank <= 5
 """
 
-_TERMS = """
+_TOKENS = """
 terms as (select doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),
 tf as (select doc_id, lang, term, count(*) as tf from terms group by all),
 dl as (select doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as dl from documents),
-q as (select distinct item_id as query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark),
+q as (select distinct query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from asked),
 st as (select count(*) as n, avg(dl) as avgdl from dl),
 df as (select term, count(*) as df from tf group by 1),
 scored as (select query_id, tf.doc_id, any_value(lang) as lang, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score
   from q join tf using (term) join df using (term) join dl on dl.doc_id = tf.doc_id cross join st group by 1, 2),
 bm25 as (select query_id, doc_id, score, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from scored qualify rank <= 20)
 """
+_TERMS = f"asked as (select item_id as query_id, text from benchmark), {_TOKENS}"
 
 
 def _bm25(spark: SparkSession, d: str, k: int = K) -> DataFrame:
@@ -61,23 +62,42 @@ def topk_bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
 TOPK_BM25_SCOPED = f"with {_TERMS} select query_id, doc_id, score, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from scored where lang = 'en' qualify rank <= 5"
 
 
-def _coverage(spark: SparkSession, d: str) -> DataFrame:
-    """The second ranking of the fused queries: how many distinct terms of the question a document has, against its own
-    number of distinct terms."""
-    q = _questions(spark, d).select(F.col("item_id").alias("query_id"), F.explode(F.array_distinct(fx.words(F.col("text")))).alias("term"))
-    docs = table(spark, d, "documents").select("doc_id", F.array_distinct(fx.words(F.col("text"))).alias("terms"))
-    hits = docs.select("doc_id", F.size("terms").alias("n"), F.explode("terms").alias("term")).join(q, "term").groupBy("query_id", "doc_id", "n").agg(F.count("*").alias("m"))
-    scored = hits.select("query_id", "doc_id", F.round(F.col("m") / F.sqrt(F.col("n").cast("double")), 6).alias("score"))
-    return retrieval.top(scored, ["query_id"], [F.desc("score"), F.col("doc_id")], K)
+def _variants(spark: SparkSession, d: str) -> DataFrame:
+    """Every question, and its first sentence where that is another text."""
+    return retrieval.variants(_questions(spark, d), "item_id", F.array("text", F.get(F.split("text", "(?<=[.])"), F.lit(0))))
+
+
+def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
+    """The dense and the lexical list of each question, over its variants; equal documents of one source count once."""
+    docs = table(spark, d, "documents")
+    asked = _variants(spark, d).withColumn("search", F.col("query_id") * 10 + F.col("variant_no"))
+    keys = docs.select("doc_id", F.md5(F.concat_ws("\x01", F.lower(F.trim("source")), fx.squeeze(F.col("text")))).alias("key"))
+    vectors = lambda df, i: retrieval.embed(df, "text").select(F.col(i).alias("doc_id"), "embedding")
+    searches = asked.select("search", F.col("variant").alias("text"))
+    found = {"dense": retrieval.topk_dense(vectors(docs, "doc_id"), vectors(searches, "search"), K, id_col="doc_id"), "bm25": retrieval.topk_bm25(docs, searches, K, query_id="search")}
+    back = lambda h: h.withColumnRenamed("query_id", "search").join(asked.select("search", "query_id", "variant_no"), "search").drop("search")
+    return {name: retrieval.union_candidates(back(h), keys, "doc_id", K) for name, h in found.items()}
 
 
 _COVER = """
-cov as (select query_id, doc_id, round(count(*) / sqrt(any_value(n)::double), 6) as score from
-  (select doc_id, count(*) over (partition by doc_id) as n, term from (select distinct doc_id, term from terms)) join q using (term) group by 1, 2),
-cover as (select query_id, doc_id, score, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from cov qualify rank <= 20)
+key as (select doc_id, lower(trim(source)) || chr(1) || lower(regexp_replace(text, '\\s+', '', 'g')) as key from documents),
+dd as (select doc_id, ('0x' || left(md5(term), 7))::bigint % 64 as dim, count(*) as c from terms group by 1, 2),
+qd as (select query_id, ('0x' || left(md5(term), 7))::bigint % 64 as dim, count(*) as c from (select query_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from asked) group by 1, 2),
+dn as (select doc_id, sqrt(sum(c * c)) as n from dd group by 1), qn as (select query_id, sqrt(sum(c * c)) as n from qd group by 1),
+near0 as (select qd.query_id, dd.doc_id, sum(qd.c * dd.c) as dot from qd join dd using (dim) group by 1, 2),
+near1 as (select query_id, doc_id, round((1 + dot / (qn.n * dn.n)) / 2, 6) as score from near0 join dn using (doc_id) join qn using (query_id)),
+near as (select *, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from near1 qualify rank <= 20),
+cover0 as (select query_id // 10 as query_id, doc_id, score, query_id % 10 as variant_no, rank as r, key from near join key using (doc_id) qualify row_number() over (partition by query_id // 10, key order by query_id % 10, rank) = 1),
+cover as (select query_id, doc_id, score, (row_number() over (partition by query_id order by variant_no, r))::int as rank from cover0 qualify rank <= 20),
+lex0 as (select query_id // 10 as query_id, doc_id, score, query_id % 10 as variant_no, rank as r, key from bm25 join key using (doc_id) qualify row_number() over (partition by query_id // 10, key order by query_id % 10, rank) = 1),
+lex as (select query_id, doc_id, score, (row_number() over (partition by query_id order by variant_no, r))::int as rank from lex0 qualify rank <= 20)
+"""
+_ASKED = """
+sentence as (select item_id, trim(text) as a, trim(regexp_extract(text, '^[^.]*[.]?')) as b from benchmark),
+asked as (select item_id * 10 as query_id, a as text from sentence where a <> '' union all select item_id * 10 + (a <> '')::int, b from sentence where b <> '' and b <> a)
 """
-_FUSED = f"""{_TERMS}, {_COVER},
-both_lists as (select *, 0 as list_no, 'dense' as source from cover union all select *, 1, 'bm25' from bm25),
+_FUSED = f"""{_ASKED}, {_TOKENS}, {_COVER},
+both_lists as (select *, 0 as list_no, 'dense' as source from cover union all select *, 1, 'bm25' from lex),
 fused0 as (select query_id, doc_id, round(sum(1.0::double / (60 + rank)), 9) as rrf_score, max(score) filter (source = 'dense') as dense_score, max(score) filter (source = 'bm25') as bm25_score,
   string_agg(source, ',' order by list_no) as sources from both_lists group by 1, 2),
 fused as (select *, (row_number() over (partition by query_id order by rrf_score desc, doc_id))::int as rank from fused0 qualify rank <= 20)
@@ -85,7 +105,14 @@ fused as (select *, (row_number() over (partition by query_id order by rrf_score
 
 
 def _fused(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.rrf({"dense": _coverage(spark, d), "bm25": _bm25(spark, d)}, "doc_id", K)
+    return retrieval.rrf(_lists(spark, d), "doc_id", K)
+
+
+def set_union_candidates(spark: SparkSession, d: str) -> DataFrame:
+    return _lists(spark, d)["bm25"]
+
+
+SET_UNION_CANDIDATES = f"with {_ASKED}, {_TOKENS}, {_COVER} select query_id, doc_id, score, rank from lex"
 
 
 def agg_rrf(spark: SparkSession, d: str) -> DataFrame:
@@ -146,51 +173,79 @@ select lang, doc_id, (row_number() over (partition by lang order by doc_id))::in
 """
 
 
-def _judged(spark: SparkSession, d: str) -> DataFrame:
-    """Hits of the hybrid search with relevance: 2 if the document contains the question's passage, else its quality
-    label, else 0."""
+def _relevance() -> Column:
+    """2 or 1 (by its quality label) if the document contains the question's passage, else 0."""
+    return F.when(F.contains("text", F.col("question")), 1 + (F.coalesce("quality", F.lit(0)) > 0).cast("int")).otherwise(0)
+
+
+def _judged(spark: SparkSession, d: str, hits: DataFrame) -> DataFrame:
     q = _questions(spark, d).select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
     labels = table(spark, d, "labels").select("doc_id", "quality")
-    hits = _hybrid(spark, d).select("query_id", "doc_id", "text", "rank").join(q, "query_id").join(labels, "doc_id", "left")
-    rel = F.when(F.contains("text", F.col("question")), 2).otherwise(F.coalesce("quality", F.lit(0))).cast("int")
-    return hits.select("query_id", "doc_id", "rank", rel.alias("relevance"))
+    return hits.drop("question").join(q, "query_id").join(labels, "doc_id", "left").select("query_id", "doc_id", "rank", "rerank_score", _relevance().alias("relevance"))
 
 
-_JUDGED = f"""{_HYBRID},
-judged as (select hy.query_id, hy.doc_id, hy.rank, (case when contains(hy.text, b.text) then 2 else coalesce(l.quality, 0) end)::int as relevance
-  from hy join benchmark b on b.item_id = hy.query_id left join labels l on l.doc_id = hy.doc_id)
-"""
+_JUDGE = lambda name: f"""select {name}.query_id, {name}.doc_id, {name}.rank, {name}.rerank_score, (case when contains({name}.text, b.text) then 1 + (coalesce(l.quality, 0) > 0)::int else 0 end)::int as relevance
+  from {name} join benchmark b on b.item_id = {name}.query_id left join labels l on l.doc_id = {name}.doc_id"""
+_JUDGED = f"{_HYBRID}, judged as ({_JUDGE('hy')}), pooled as ({_JUDGE('re')})"
 
 
 def join_qrels(spark: SparkSession, d: str) -> DataFrame:
-    return _judged(spark, d)
+    return _judged(spark, d, _hybrid(spark, d)).drop("rerank_score")
+
 
+JOIN_QRELS = f"with {_JUDGED} select query_id, doc_id, rank, relevance from judged"
 
-JOIN_QRELS = f"with {_JUDGED} select * from judged"
+
+def _cases(spark: SparkSession, d: str) -> DataFrame:
+    """Every question with what was found for it: hits below the gate are not given out. All candidates that were reranked
+    are judged; a question none of them answers has no answer."""
+    pool = _judged(spark, d, _reranked(spark, d))
+    hits = _judged(spark, d, _hybrid(spark, d)).filter(F.coalesce("rerank_score", F.lit(0.0)) >= retrieval.GATE)
+    answered = pool.groupBy("query_id").agg(F.max(F.col("relevance") > 0).alias("answerable"))
+    q = _questions(spark, d).select(F.col("item_id").alias("query_id"), F.concat(F.lit("c"), F.col("item_id") % 4).alias("category"))
+    cases = q.join(answered, "query_id", "left").withColumn("answerable", F.coalesce("answerable", F.lit(False)))
+    return evaluation.per_case(cases, hits, TOP, pool.select("query_id", "relevance"))
 
 
 def agg_eval(spark: SparkSession, d: str) -> DataFrame:
-    return evaluation.evaluate(evaluation.per_case(_judged(spark, d), TOP))
+    return evaluation.evaluate(_cases(spark, d))
 
 
 _CASES = f"""{_JUDGED},
-cases as (select query_id, max((relevance > 0)::int) as hit, coalesce(max(1.0::double / rank) filter (relevance > 0), 0.0) as rr,
-    sum((pow(2, relevance) - 1) / log2(rank + 1)) as dcg, count(*) as n_hits, count(*) filter (relevance > 0) as n_relevant from judged group by 1),
-ideal as (select query_id, sum((pow(2, relevance) - 1) / log2(i + 1)) as idcg from
-  (select query_id, relevance, row_number() over (partition by query_id order by relevance desc, rank) as i from judged) group by 1),
-scores as (select query_id, hit, rr, case when idcg > 0 then dcg / idcg else 0.0 end as ndcg, n_hits, n_relevant from cases join ideal using (query_id))
+given as (select * from judged where coalesce(rerank_score, 0) >= 0.78),
+found as (select query_id, max((relevance > 0)::int) as hit, max(1.0::double / rank) filter (relevance > 0) as rr, sum((pow(2, relevance) - 1) / log2(rank + 1)) as dcg, count(*) as n_hits, count(*) filter (relevance > 0) as n_relevant from given group by 1),
+ideal as (select query_id, sum((pow(2, relevance) - 1) / log2(i + 1)) as idcg from (select query_id, relevance, row_number() over (partition by query_id order by relevance desc) as i from pooled) where i <= 5 group by 1),
+answered as (select query_id, max((relevance > 0)::int) = 1 as answerable from pooled group by 1),
+scores as (select b.item_id as query_id, 'c' || (b.item_id % 4) as category, coalesce(answerable, false) as yes, coalesce(hit, 0) as hit, coalesce(rr, 0.0) as rr, case when idcg > 0 then coalesce(dcg, 0) / idcg else 0.0 end as ndcg,
+  coalesce(n_hits, 0) as n_hits, coalesce(n_relevant, 0) as n_relevant, not coalesce(answerable, false) and n_hits is null as rejected
+  from benchmark b left join answered a on a.query_id = b.item_id left join found f on f.query_id = b.item_id left join ideal i on i.query_id = b.item_id)
 """
-AGG_EVAL = f"with {_CASES} select count(*) as cases, round(avg(hit), 6) as recall, round(avg(rr), 6) as mrr, round(avg(ndcg), 6) as ndcg, round(sum(n_relevant)::double / sum(n_hits), 6) as citation_correctness from scores"
+_MEASURES = """count(*) as cases, count(*) filter (yes) as answerable, round(coalesce(avg(hit) filter (yes), 0.0), 6) as recall, round(coalesce(avg(rr) filter (yes), 0.0), 6) as mrr, round(coalesce(avg(ndcg) filter (yes), 0.0), 6) as ndcg,
+  round(coalesce(sum(n_relevant) filter (yes)::double / nullif(sum(n_hits) filter (yes), 0), 0.0), 6) as citation_correctness, round(coalesce(avg(rejected::int) filter (not yes), 0.0), 6) as rejection_rate"""
+AGG_EVAL = f"with {_CASES} select {_MEASURES} from scores"
 
 
 def agg_eval_cat(spark: SparkSession, d: str) -> DataFrame:
-    cases = evaluation.per_case(_judged(spark, d), TOP).withColumn("category", F.concat(F.lit("c"), F.col("query_id") % 4))
-    return evaluation.by_category(cases)
+    """By category; seconds are made up of each case's number."""
+    return evaluation.by_category(_cases(spark, d).withColumn("seconds", (F.col("query_id") * 37 % 101).cast("double")), "seconds")
 
 
 AGG_EVAL_CAT = f"""with {_CASES}
-select coalesce(category, '(all)') as category, count(*) as cases, round(avg(hit), 6) as recall, round(avg(rr), 6) as mrr, round(quantile_cont(ndcg, 0.5), 6) as ndcg_p50, round(quantile_cont(ndcg, 0.95), 6) as ndcg_p95
-from (select *, 'c' || (query_id % 4) as category from scores) group by grouping sets ((), (category))
+select coalesce(category, '(all)') as category, {_MEASURES}, round(quantile_cont((query_id * 37 % 101)::double, 0.5), 6) as seconds_p50, round(quantile_cont((query_id * 37 % 101)::double, 0.95), 6) as seconds_p95
+from scores group by grouping sets ((), (category))
+"""
+
+
+def agg_keyword_support(spark: SparkSession, d: str) -> DataFrame:
+    """The share of each question's first five words that its hits have."""
+    cases = _questions(spark, d).select(F.col("item_id").alias("query_id"), F.slice(fx.words(F.col("text")), 1, 5).alias("keywords"))
+    return evaluation.keyword_support(cases, _hybrid(spark, d).filter("rank = 1"), "keywords", "text")
+
+
+AGG_KEYWORD_SUPPORT = f"""with {_HYBRID},
+w as (select distinct item_id as query_id, unnest(list_slice(regexp_extract_all(lower(text), '[a-z0-9]+'), 1, 5)) as word from benchmark),
+m as (select query_id, word, max(coalesce(contains(lower(hy.text), word), false)::int) as met from w left join (select * from hy where rank = 1) hy using (query_id) group by 1, 2)
+select query_id, round(avg(met), 6) as support from m group by 1
 """
 
 
@@ -249,21 +304,20 @@ select query_id, (row_number() over (partition by query_id order by rank, sent_r
 def prj_evidence(spark: SparkSession, d: str) -> DataFrame:
     """The evidence block of each question: numbered hits with score, one text per question."""
     hits = _hybrid(spark, d).select("query_id", "rank", "doc_id", "rrf_score", fx.preview(F.col("text"), 200).alias("content"))
-    line = F.concat(F.lit("["), "rank", F.lit("] doc_id: "), "doc_id", F.lit("\nscore: "), F.format_string("%.4f", "rrf_score"), F.lit("\n"), "content")
+    line = F.concat(F.lit("["), "rank", F.lit("] doc_id: "), "doc_id", F.lit("\nscore: "), F.format_string("%.4f", F.round("rrf_score", 4)), F.lit("\n"), "content")
     return hits.groupBy("query_id").agg(F.md5(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", line.alias("line")))), lambda x: x["line"]), "\n\n")).alias("evidence_md5"), F.count("*").alias("n"))
 
 
 PRJ_EVIDENCE = rf"""with {_HYBRID},
 c as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from hy)
-select query_id, md5(string_agg('[' || rank || '] doc_id: ' || doc_id || chr(10) || 'score: ' || printf('%.4f', rrf_score) || chr(10) || case when length(t) <= 200 then t else left(t, 197) || '...' end, chr(10) || chr(10) order by rank)) as evidence_md5, count(*) as n
+select query_id, md5(string_agg('[' || rank || '] doc_id: ' || doc_id || chr(10) || 'score: ' || printf('%.4f', round(rrf_score, 4)) || chr(10) || case when length(t) <= 200 then t else left(t, 197) || '...' end, chr(10) || chr(10) order by rank)) as evidence_md5, count(*) as n
 from c group by 1
 """
 
 
 def set_variants(spark: SparkSession, d: str) -> DataFrame:
     """The question and its first sentence as search variants, distinct, original first."""
-    q = _questions(spark, d).withColumn("v", F.array_distinct(F.filter(F.array(F.trim("text"), F.trim(F.get(F.split("text", "(?<=[.])"), F.lit(0)))), lambda x: x != "")))
-    return q.select(F.col("item_id").alias("query_id"), F.posexplode("v").alias("variant_no", "variant"))
+    return _variants(spark, d)
 
 
 SET_VARIANTS = """
@@ -315,5 +369,7 @@ QUERIES = {
     "topk_sentences": (topk_sentences, TOPK_SENTENCES),
     "prj_evidence": (prj_evidence, PRJ_EVIDENCE),
     "set_variants": (set_variants, SET_VARIANTS),
+    "set_union_candidates": (set_union_candidates, SET_UNION_CANDIDATES),
+    "agg_keyword_support": (agg_keyword_support, AGG_KEYWORD_SUPPORT),
     "join_neighbors": (join_neighbors, JOIN_NEIGHBORS),
 }

@@ -26,31 +26,63 @@ def tool_list_documents(spark: SparkSession, d: str) -> DataFrame:
 TOOL_LIST_DOCUMENTS = "select doc_id, source, n_chars from documents where lang = 'de' order by n_chars desc, doc_id limit 50"
 
 
-def fn_tool_plan(spark: SparkSession, d: str) -> DataFrame:
-    """Plans of made-up questions, one for each message, and whether the role may make the call."""
-    n = F.col("turn").cast("string")
-    q = F.element_at(F.array(F.concat(F.lit("show document "), n), F.concat(F.lit("what is around chunk "), n), F.lit("list all documents"), F.concat(F.lit("item "), n), F.lit("how much is it")), (F.col("conv_id") % 5 + 1).cast("int"))
+_ASKED = [*tools.CASES, "这段话的出处是哪里", "请列出文件列表"]
+_TOOLS = [tools.CASES.get(q, "get_document" if "出处" in q else "list_knowledge_base_documents") for q in _ASKED]
+
+
+def _asked(spark: SparkSession, d: str) -> DataFrame:
+    """A question about each message, its first hit (none at every fourth turn) and the last citation (at every third)."""
+    pick = (F.col("conv_id") + F.col("turn")) % len(_ASKED) + 1
+    ids = F.struct(F.col("conv_id").alias("doc_id"), F.col("turn").alias("chunk_id"), (F.col("conv_id") * 2).alias("knowledge_item_id"))
     role = F.element_at(F.array(F.lit("viewer"), F.lit("editor"), F.lit("guest")), (F.col("turn") % 3 + 1).cast("int"))
-    m = table(spark, d, "conversations").select("conv_id", "turn", role.alias("role"), tools.plan(q).alias("p"))
-    m = tools.authorised(m.select("conv_id", "turn", "role", F.col("p.tool").alias("tool"), F.array_join(F.map_values(F.col("p.args")), ",").alias("arg")))
-    return m
+    m = table(spark, d, "conversations").select("conv_id", "turn", role.alias("role"), F.element_at(F.array(*map(F.lit, _ASKED)), pick.cast("int")).alias("question"), F.element_at(F.array(*[F.lit(t) for t in _TOOLS]), pick.cast("int")).alias("expected"), F.when(F.col("turn") % 4 != 3, ids).alias("first"), F.when(F.col("turn") % 3 == 0, F.col("conv_id") + 7).alias("cited"))
+    return m.withColumn("p", tools.plan(F.col("question"), F.col("first"), F.col("cited")))
 
 
-FN_TOOL_PLAN = """
-with m as (select conv_id, turn, ['viewer', 'editor', 'guest'][turn % 3 + 1] as role, ['get_document', 'get_chunk_neighbors', 'list_knowledge_base_documents', 'get_knowledge_item', null][conv_id % 5 + 1] as tool from conversations)
-select conv_id, turn, role, tool, case when tool is null then null when tool = 'list_knowledge_base_documents' then '' else turn::varchar end as arg,
-  tool is not null and (role = 'editor' or (role = 'viewer' and tool <> 'list_knowledge_base_documents')) as allowed from m
+def fn_tool_plan(spark: SparkSession, d: str) -> DataFrame:
+    """Plans of questions, and whether the role may make the call."""
+    args = F.array_join(F.transform(F.array_sort(F.map_entries("p.args")), lambda e: F.concat_ws("=", e["key"], e["value"])), ",")
+    m = _asked(spark, d).select("conv_id", "turn", "role", F.col("p.tool").alias("tool"), args.alias("args"))
+    return tools.authorised(m)
+
+
+_ANY = lambda marks: " or ".join(f"contains(question, '{m}')" for m in marks)
+_SQL_PLANS = f"""
+with a as (select conv_id, turn, ['viewer', 'editor', 'guest'][turn % 3 + 1] as role, {_ASKED}[(conv_id + turn) % {len(_ASKED)} + 1] as question,
+    [{", ".join("null" if t is None else f"'{t}'" for t in _TOOLS)}][(conv_id + turn) % {len(_ASKED)} + 1] as expected, turn % 4 <> 3 as hit, turn % 3 = 0 as cited from conversations),
+p as (select *, case when ({_ANY(["出处", "来源", "哪个文件", "哪份文件", "来自哪个", "原文位置", "具体文件", "文件名"])}) and (hit or cited) then 'source'
+    when ({_ANY(["上一段", "下一段", "相邻", "前后文", "上下文"])}) and hit then 'get_chunk_neighbors'
+    when {_ANY(["有哪些文档", "文档列表", "所有文档", "文件列表"])} then 'list_knowledge_base_documents'
+    when ({_ANY(["完整原文", "全文", "详细内容", "整份文档", "这份文档内容"])}) and hit then 'get_document'
+    when ({_ANY(["知识条目详情", "条目内容", "这个知识条目"])}) and hit then 'get_knowledge_item' end as found from a),
+t as (select *, case when found = 'source' then 'get_document' else found end as tool from p)
+"""
+
+FN_TOOL_PLAN = f"""{_SQL_PLANS}
+select conv_id, turn, role, tool, case found when 'source' then 'document_id=' || case when hit then conv_id else conv_id + 7 end when 'get_chunk_neighbors' then 'chunk_id=' || turn || ',radius=2'
+    when 'list_knowledge_base_documents' then 'limit=20' when 'get_document' then 'document_id=' || conv_id when 'get_knowledge_item' then 'knowledge_item_id=' || 2 * conv_id end as args,
+  tool is not null and (role = 'editor' or (role = 'viewer' and tool <> 'list_knowledge_base_documents')) as allowed from t
 """
 
 
 def agg_tool_eval(spark: SparkSession, d: str) -> DataFrame:
-    """Accuracy of the planner on the made-up questions, by expected tool."""
-    m = fn_tool_plan(spark, d)
-    expected = F.element_at(F.array(F.lit("get_document"), F.lit("get_chunk_neighbors"), F.lit("list_knowledge_base_documents"), F.lit("get_knowledge_item"), F.lit("none")), (F.col("conv_id") % 5 + 1).cast("int"))
-    return m.groupBy(expected.alias("expected")).agg(F.count("*").alias("n"), F.round(F.avg((F.coalesce("tool", F.lit("none")) == expected).cast("int")), 6).alias("accuracy"))
+    """Accuracy of the planner by expected tool: questions without a hit to take the id from count as misses."""
+    tool, expected = F.coalesce("p.tool", F.lit("none")), F.coalesce("expected", F.lit("none"))
+    return _asked(spark, d).groupBy(expected.alias("expected")).agg(F.count("*").alias("n"), F.round(F.avg((tool == expected).cast("int")), 6).alias("accuracy"))
 
 
-AGG_TOOL_EVAL = "select ['get_document', 'get_chunk_neighbors', 'list_knowledge_base_documents', 'get_knowledge_item', 'none'][conv_id % 5 + 1] as expected, count(*) as n, 1.0::double as accuracy from conversations group by 1"
+AGG_TOOL_EVAL = f"{_SQL_PLANS} select coalesce(expected, 'none') as expected, count(*) as n, round(avg((tool is not distinct from expected)::int), 6) as accuracy from t group by 1"
+
+
+def tool_get_item(spark: SparkSession, d: str) -> DataFrame:
+    out = tools.get_knowledge_item(table(spark, d, "documents"), table(spark, d, "labels").filter("toxic = 1"))
+    return out.select("doc_id", "title", "length", F.md5("content").alias("content_md5"), "truncated")
+
+
+TOOL_GET_ITEM = r"""
+select doc_id, left(trim(regexp_replace(split_part(text, chr(10), 1), '\s+', ' ', 'g')), 120) as title, length(text)::int as length, md5(left(text, 24000)) as content_md5, length(text) > 24000 as truncated
+from documents where doc_id in (select doc_id from labels where toxic = 1)
+"""
 
 
 def fn_answer_parse(spark: SparkSession, d: str) -> DataFrame:

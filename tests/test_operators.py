@@ -17,11 +17,54 @@ def test_fusion_order_and_zero_scores(spark):
 
 
 def test_evaluation_arithmetic(spark):
-    j = spark.createDataFrame([(1, 99, 1, 0), (1, 10, 2, 1), (2, 20, 1, 1)], "query_id long, doc_id long, rank int, relevance int")
-    ideal = spark.createDataFrame([(1, 1), (2, 1)], "query_id long, relevance int")
-    r = evaluation.evaluate(evaluation.per_case(j, 5, ideal)).first()
+    j = spark.createDataFrame([(1, 99, 1, 0), (1, 10, 2, 1), (2, 20, 1, 1), (4, 7, 1, 0)], "query_id long, doc_id long, rank int, relevance int")
+    ideal = spark.createDataFrame([(1, 1), (2, 1), (6, 1)], "query_id long, relevance int")
+    cases = lambda ids: spark.createDataFrame([(i, i not in (4, 5), f"c{i % 2}") for i in ids], "query_id long, answerable boolean, category string")
+    r = evaluation.evaluate(evaluation.per_case(cases([1, 2]), j, 5, ideal)).first()
     assert (r.recall, r.mrr) == (1.0, 0.75)
     assert math.isclose(r.ndcg, 0.815465, abs_tol=1e-6)
+    # 6 has an answer but no hit and counts as missed; of 4 and 5, which have none, only 5 was turned away
+    r = evaluation.evaluate(evaluation.per_case(cases([1, 2, 4, 5, 6]), j, 5, ideal)).first()
+    assert (r.cases, r.answerable, r.recall, r.mrr, r.rejection_rate) == (5, 3, 0.666667, 0.5, 0.5)
+    assert r.citation_correctness == 0.666667
+    by = {x.category: x for x in evaluation.by_category(evaluation.per_case(cases([4, 5]), j, 5, ideal)).collect()}
+    assert (by["c0"].recall, by["c0"].rejection_rate, by["c1"].rejection_rate) == (0.0, 0.0, 1.0)
+    words = spark.createDataFrame([(1, ["A", "b"]), (2, [])], "query_id long, keywords array<string>")
+    got = evaluation.keyword_support(words, spark.createDataFrame([(1, "xax")], "query_id long, text string"), "keywords", "text")
+    assert {x.query_id: x.support for x in got.collect()} == {1: 0.5, 2: 1.0}
+
+
+def test_candidates_of_variants(spark):
+    hits = spark.createDataFrame([(1, 0, 10, 0.9, 1), (1, 0, 11, 0.8, 2), (1, 1, 12, 0.99, 1), (1, 1, 10, 0.5, 2)], "query_id long, variant_no int, doc_id long, score double, rank int")
+    keys = spark.createDataFrame([(10, "a"), (11, "a"), (12, "b")], "doc_id long, key string")
+    got = retrieval.union_candidates(hits, keys, "doc_id", 5).orderBy("rank").collect()
+    assert [(r.doc_id, r.rank, r.score) for r in got] == [(10, 1, 0.9), (12, 2, 0.99)]
+    q = spark.createDataFrame([(1, "a b"), (2, "")], "item_id long, text string")
+    assert [(r.query_id, r.variant) for r in retrieval.variants(q, "item_id", F.array("text", F.lit(" a b "), F.lit("c"))).collect()] == [(1, "a b"), (1, "c"), (2, "a b"), (2, "c")]
+    v = {r.item_id: r.embedding for r in retrieval.embed(q).collect()}
+    assert sum(v[1]) == 2 and sum(v[2]) == 0 and len(v[1]) == retrieval.DIMS
+
+
+def test_rules_of_questions(spark):
+    one = lambda c: spark.range(1).select(c.alias("c")).first().c
+    yes, no = F.lit(True), F.lit(False)
+    route = lambda q, base=True, cited=False: one(conversation.route(F.lit(q), F.lit(base), F.lit(cited)))
+    assert [route(q) for q in ("你好", "Hello!", "什么是 RAG？", "公司制度怎么报销", "这个知识库有哪些文档", "")] == ["direct", "direct", "direct", "rag", "tool", "direct"]
+    assert [route("来源是哪个文件", cited=True), route("来源是哪个文件"), route("怎么报销", base=False), route("hithere")] == ["tool", "rag", "direct", "rag"]
+    why = lambda q, past=yes: one(conversation.rewrite(F.lit(q), past))["reason"]
+    assert why("这个流程需要多少天才能完成") == "contains_context_reference" and why("这个流程", no) == "no_conversation_context"
+    assert why("需要多久？") == "question_is_too_short" and why("采购合同盖章以后归档工作谁负责呢？") == "matches_context_dependent_pattern" and why("采购复核的触发条件是什么？") == "question_is_self_contained"
+    gap = lambda q, known="": one(conversation.gap(F.lit(q), F.lit(known)))["triggers"]
+    assert gap("之前说过的条件还有效吗", "采购") == ["explicit_history_reference"]
+    assert gap("它的审批条件是什么样子的呢") == ["pronoun_without_antecedent"] and gap("它的审批条件是什么样子的呢", "采购流程") == []
+    assert gap("那谁负责") == ["short_question_without_context", "continuation_without_context"] and gap("采购复核的触发条件是什么？") == [] and gap("") == []
+
+
+def test_history_scores(spark):
+    m = spark.createDataFrame([(1, 1, "the audit Report of may"), (1, 2, "no match"), (1, 3, "audit"), (1, 4, "")], "g long, id long, text string").withColumn("q", F.lit("audit report"))
+    got = conversation.history(m, ["g"], "id", "text", "q", (4 - F.col("id")).cast("double"), 200, 2).collect()
+    # the phrase without blanks is one term: 5 + 1 + 8/8, and 1 / (1 + 3 days)
+    assert [(r.id, r.score, r["rank"]) for r in got] == [(1, 7.25, 1), (3, 0.5, 2)]
 
 
 def test_recent_rounds_without_users(spark):

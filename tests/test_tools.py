@@ -6,15 +6,13 @@ from docweave.operators import tools
 
 
 def test_planner(spark):
-    cases = {
-        "Show document 12": ("get_document", {"document_id": "12"}),
-        "What comes next after chunk 3?": ("get_chunk_neighbors", {"chunk_id": "3"}),
-        "list all documents": ("list_knowledge_base_documents", {}),
-        "item #7 please": ("get_knowledge_item", {"knowledge_item_id": "7"}),
-        "How long is leave?": None,
-    }
-    r = spark.createDataFrame([(q,) for q in cases], "q string").select("q", tools.plan(F.col("q")).alias("p")).collect()
-    assert {x.q: x.p and (x.p.tool, x.p.args) for x in r} == cases
+    """The golden cases, given a first hit; without one only the listing needs no id."""
+    hit, none = "named_struct('doc_id', 5L, 'chunk_id', 6L, 'knowledge_item_id', 7L)", "cast(null as struct<doc_id:bigint,chunk_id:bigint,knowledge_item_id:bigint>)"
+    ask = lambda first, cited: {x.q: x.p and (x.p.tool, x.p.args) for x in spark.createDataFrame([(q,) for q in (*tools.CASES, "出处？")], "q string").select("q", tools.plan(F.col("q"), F.expr(first), F.lit(cited).cast("long")).alias("p")).collect()}
+    got = ask(hit, None)
+    assert {q: p and p[0] for q, p in got.items() if q in tools.CASES} == tools.CASES
+    assert got["请补充上一段和下一段上下文"][1] == {"chunk_id": "6", "radius": "2"} and got["出处？"] == ("get_document", {"document_id": "5"})
+    assert {q: p and p[0] for q, p in ask(none, 9).items() if p} == {"这个知识库有哪些文档？": "list_knowledge_base_documents", "出处？": "get_document"}
 
 
 def test_replies(spark):
@@ -35,6 +33,6 @@ def test_replies(spark):
 
 
 def test_workflow(spark):
-    q = spark.createDataFrame([(1, "hello", "viewer"), (2, "list all documents", "viewer"), (3, "what is the limit", "viewer"), (4, "what about AB12?", "viewer")], "id long, question string, role string")
+    q = spark.createDataFrame([(1, "hello", "viewer"), (2, "有哪些文档", "viewer"), (3, "what is the limit", "viewer"), (4, "what about AB12?", "viewer")], "id long, question string, role string")
     h = spark.createDataFrame([(3, 1, 0.9, "the limit"), (4, 1, 0.9, "other")], "id long, rank int, score double, content string")
     assert {r.id: (r.route, r.status) for r in tools.workflow(q, h).collect()} == {1: ("direct", "answered"), 2: ("tool", "denied"), 3: ("rag", "answered"), 4: ("rag", "review")}
