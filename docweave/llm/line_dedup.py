@@ -8,12 +8,14 @@ from pyspark.sql import functions as F
 from docweave.llm.common import Scratch, row_key, text_or_empty
 
 PERCENT = 80
-#: Words are counted in 2 ** CELL_BITS cells: a byte each, whatever the input.
+#: Words are counted in 2 ** CELL_BITS cells, whatever the input.
 CELL_BITS = 16
 #: Bits of a word that hold its level of rarity; the others hold its hash.
 LEVEL_BITS = 7
 #: Sets of at least this size have their bitmap in two halves.
 WIDE = 64
+#: Documents with lines to verify are told in so many cells before they are joined.
+DOC_CELLS = 1 << 18
 #: Lines of about one size that chose the same word are first held against a few of them if they are so many.
 CROWD, HEADS = 64, 4
 _NO_ID = -(1 << 63)
@@ -30,15 +32,16 @@ def _cell(told: Column) -> Column:
 
 
 def _rarity(texts: DataFrame) -> Column:
-    """How often words occur, over all texts: a byte for each cell of word hashes, the rounded logarithm of its count."""
+    """How often words occur, over all texts: for each cell of word hashes the rounded logarithm of its count, in the upper
+    bits of a long."""
     words = texts.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
     counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).count()
     level = F.least(F.floor(F.log2("count") * 1.5), F.lit((1 << LEVEL_BITS - 1) - 1)).cast("int")
-    table = bytearray(1 << CELL_BITS)
+    table = [0] * (1 << CELL_BITS)
     found = counts.select("cell", level.alias("level")).toArrow()
     for cell, of in zip(found["cell"].to_pylist(), found["level"].to_pylist(), strict=True):
-        table[cell] = of
-    return F.lit(table)
+        table[cell] = of << 64 - LEVEL_BITS
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # Spark folds it into one literal
 
 
 def _told(line: Column) -> Column:
@@ -49,10 +52,11 @@ def _set(line: Column, levels: Column) -> Column:
     """A line's distinct words as longs, rarest first: level above, hash below."""
 
     def ranked(told: Column) -> Column:
-        level = F.ascii(F.substring(levels, _cell(told) + 1, F.lit(1)).cast("string"))
-        return F.shiftleft(level.cast("long"), 64 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(told, LEVEL_BITS))
+        return F.get(levels, _cell(told)).bitwiseOR(F.shiftrightunsigned(told, LEVEL_BITS))
 
-    return F.sort_array(F.array_remove(F.array_distinct(F.transform(_told(line), ranked)), ranked(F.xxhash64(F.lit("")))))
+    words = F.array_distinct(F.transform(_told(line), ranked))
+    gaps = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
+    return F.sort_array(F.when(gaps, F.array_remove(words, ranked(F.xxhash64(F.lit(""))))).otherwise(words))
 
 
 def _signed(texts: DataFrame, levels: Column, percent: int) -> DataFrame:
@@ -143,6 +147,12 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch
     place = [c for c in pairs.columns if not c.endswith("_0")]
     doc, other = place[:-1], [f"{c}_0" for c in place]
     ends = pairs.select(*place).union(pairs.select(*other)).groupBy(*doc).agg(F.collect_set("pos").alias("wanted"))
+    # Most texts hold no line in question: a table of bounded size keeps them from the shuffle.
+    cell = lambda: F.pmod(F.xxhash64(*doc), F.lit(DOC_CELLS)).cast("int")
+    table = bytearray(DOC_CELLS)
+    for i in ends.select(cell().alias("cell")).distinct().toArrow()["cell"].to_pylist():
+        table[i] = 1
+    texts = texts.filter(F.substring(F.lit(table), cell() + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
     lines = F.transform(F.sort_array("wanted"), lambda i: F.struct(i.alias("pos"), F.get(F.col("lines"), i).alias("line")))
     asked = texts.join(ends, doc).select(*doc, "wanted", _lines(F.col("text")).alias("lines")).select(*doc, F.explode(lines).alias("x"))
     words = F.array_remove(F.array_distinct(_told(F.col("x.line"))), F.xxhash64(F.lit("")))
