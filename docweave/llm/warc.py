@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
-import gzip
+import http
+import re
+import zlib
 from collections.abc import Iterator
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,10 +16,11 @@ from pyspark.sql.window import Window
 PERMITTED = ("cache-control", "content-location", "date", "etag", "expires", "last-modified", "vary")
 # Query parameters that never name another page.
 TRACKING = "^(utm_[a-z]+|ref|fbclid|gclid)(=|$)"
-#: Ranges of time a URL's history is cut into, so that one URL's captures never meet in one task.
-RANGES = 64
+#: Ranges of time with about as many captures each, so that one URL's history never meets in one task: PARTS of them, each
+#: cut in up to PARTS again, for about RANGE_ROWS captures in a range.
+PARTS, RANGE_ROWS = 32, 1_000_000
 
-RECORD = "record_id string, warc_type string, target_uri string, warc_date long, headers map<string,string>, body string"
+RECORD = "record_id string, warc_type string, target_uri string, warc_date long, http_status int, profile string, headers map<string,string>, body binary"
 
 
 def canonical_url(url: Column) -> Column:
@@ -35,43 +39,62 @@ def _validator(headers: Column, name: str) -> Column:
     return F.nullif(F.trim(F.regexp_replace(F.element_at(headers, name), "^W/", "")), F.lit(""))
 
 
+def _range_of(rows: DataFrame) -> Column:
+    """The number of a row's range: bounds are quantiles of the dates, found in two looks."""
+    n = rows.count()
+    fine = min(PARTS, max(2, -(-n // (PARTS * RANGE_ROWS))))
+    at = rows.agg(F.percentile_approx("at", [i / (PARTS * fine) for i in range(1, PARTS * fine)], 100_000).alias("q")).first().q or []
+    bounds = sorted(set(at))
+    coarse = bounds[fine - 1 :: fine]
+    parts = [bounds[i * fine : (i + 1) * fine - 1] for i in range(len(coarse) + 1)]
+    longs = lambda xs: F.array(*map(F.lit, xs)).cast("array<bigint>")
+    below = lambda xs: F.size(F.filter(xs, lambda b: b < F.col("at")))
+    part = below(longs(coarse))
+    return F.coalesce(part * PARTS + below(F.get(F.array(*map(longs, parts)), part)), F.lit(-1))
+
+
 def resolve_revisits(records: DataFrame) -> DataFrame:
     """Every revisit of ``records`` (record_id, warc_type response/revisit, target_uri, warc_date long, headers with
-    lower-case names): ``record_id``, ``url`` (canonical), ``refers_to``, ``status`` and ``headers``.
+    lower-case names; http_status int and profile string where there are such columns): ``record_id``, ``url``
+    (canonical), ``refers_to``, ``status`` and ``headers``.
 
-    An as-of join finds the latest response of the same canonical URL with an earlier date (on equal dates the greater
-    record id). Status is ``resolved`` if an entity tag (weak comparison) or, where either side has none, a date of last
+    An as-of join finds the latest full response (status 200, or none known) of the same canonical URL with an earlier
+    date (on equal dates the greater record id). A revisit whose profile is another than not-modified stands for equal
+    bytes, not for a validator: its status is ``other`` and it refers to nothing. Else status is ``resolved`` if an entity tag (weak comparison) or, where either side has none, a date of last
     change is equal on both sides; ``changed`` if they differ or are missing; ``unresolved`` without an earlier
     response. A resolved revisit's headers are the response's, with those updated that a 304 may update; otherwise
     they are its own.
 
-    Histories are cut into ranges of time: a window within each range, then one row per range carried forward; a URL
-    with a third of all captures is spread over the ranges. Bodies are not read. Records without URL or date
-    resolve to nothing; repeated revisits each give a row; null headers are none. Other columns are not read.
+    Histories are cut into ranges of time that hold about as many captures each: a window within each range, then one row
+    per range carried forward; a URL with a third of all captures is spread over the ranges. Bodies are not read. Records
+    without URL or date resolve to nothing (and are dealt out by their ids); repeated revisits each give a row; null
+    headers are none. An empty table gives no rows. Other columns are not read, so their names cannot clash.
     """
     none = F.from_json(F.lit("{}"), "map<string,string>")
-    rows = records.filter(F.col("warc_type").isin("response", "revisit")).select("record_id", "warc_type", canonical_url(F.col("target_uri")).alias("url"), F.col("warc_date").cast("long").alias("at"), F.coalesce("headers", none).alias("headers"))
-    span = rows.agg(F.min("at").alias("lo"), F.max("at").alias("hi")).first()
-    lo, hi = (span.lo or 0), (span.hi or 0)
-    width = max(1, -(-(hi - lo + 1) // RANGES))
-    rows = rows.withColumn("range", F.floor((F.col("at") - lo) / F.lit(width)).cast("int"))
-    full = (F.col("warc_type") == "response") & F.col("at").isNotNull() & F.col("url").isNotNull()
+    known = lambda c, kind: F.col(c).cast(kind) if c in records.columns else F.lit(None).cast(kind)
+    rows = records.filter(F.col("warc_type").isin("response", "revisit")).select(
+        "record_id", "warc_type", canonical_url(F.col("target_uri")).alias("url"), F.col("warc_date").cast("long").alias("at"), known("http_status", "int").alias("code"), known("profile", "string").alias("profile"), F.coalesce("headers", none).alias("headers")
+    )
+    dated = F.col("at").isNotNull() & F.col("url").isNotNull()
+    rows = rows.withColumns({"range": _range_of(rows.filter(dated)), "group": F.when(dated, F.col("url")).otherwise(F.concat(F.lit("\x00"), F.coalesce("record_id", F.lit(""))))})
+    full = (F.col("warc_type") == "response") & dated & (F.coalesce("code", F.lit(200)) == 200)
     able = rows.withColumn("full", F.when(full, F.struct("at", "record_id", "headers")))
     # A response of the same date is no earlier one: revisits come first.
-    before = Window.partitionBy("url", "range").orderBy("at", (F.col("warc_type") == "response").cast("int"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
+    before = Window.partitionBy("group", "range").orderBy("at", (F.col("warc_type") == "response").cast("int"), "record_id").rowsBetween(Window.unboundedPreceding, -1)
     seen = able.withColumn("near", F.last("full", ignorenulls=True).over(before)).filter("warc_type = 'revisit'")
     stamp = F.when(F.col("full").isNotNull(), F.struct("at", "record_id"))
-    ends = able.groupBy("url", "range").agg(F.max_by("full", stamp).alias("last"))
+    ends = able.groupBy("group", "range").agg(F.max_by("full", stamp).alias("last"))
     # What each range that the URL has is handed by those before it.
-    earlier = Window.partitionBy("url").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    reach = ends.select("url", "range", F.last("last", ignorenulls=True).over(earlier).alias("final"))
-    met = seen.join(reach, ["url", "range"], "left").withColumn("base", F.coalesce("near", "final"))
+    earlier = Window.partitionBy("group").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    reach = ends.select("group", "range", F.last("last", ignorenulls=True).over(earlier).alias("final"))
+    met = seen.join(reach, ["group", "range"], "left").withColumn("base", F.coalesce("near", "final"))
     theirs, own = F.col("base.headers"), F.col("headers")
     tags = (_validator(own, "etag"), _validator(theirs, "etag"))
     dates = (_validator(own, "last-modified"), _validator(theirs, "last-modified"))
     same = F.when(tags[0].isNotNull() & tags[1].isNotNull(), tags[0] == tags[1]).otherwise(F.coalesce(dates[0] == dates[1], F.lit(False)))
-    usable = F.col("url").isNotNull() & F.col("at").isNotNull() & F.col("base").isNotNull()
-    status = F.when(~usable, "unresolved").when(same, "resolved").otherwise("changed")
+    other = F.coalesce(~F.contains("profile", F.lit("not-modified")), F.coalesce("code", F.lit(304)) != 304)
+    usable = ~other & dated & F.col("base").isNotNull()
+    status = F.when(other, "other").when(~usable, "unresolved").when(same, "resolved").otherwise("changed")
     updates = F.map_filter(own, lambda k, v: k.isin(*PERMITTED))
     merged = F.map_concat(F.map_filter(theirs, lambda k, v: ~F.array_contains(F.map_keys(updates), k)), updates)
     out = met.withColumn("status", status)
@@ -84,39 +107,73 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
     return resolved.join(bodies, "refers_to", "left")
 
 
-def parse_records(raw: bytes) -> Iterator[tuple[str, str, str, int, dict[str, str], str]]:
-    """The response and revisit records of one file's bytes (plain, or gzip with a member for each record). A block
-    that is cut short ends the file."""
-    from datetime import datetime
-
-    data = gzip.decompress(raw) if raw[:2] == b"\x1f\x8b" else raw
+def _unzipped(raw: bytes) -> bytes:
+    """All whole gzip members, and of one that is cut or broken what can be read of it."""
+    out, rest = [], raw
+    while rest[:2] == b"\x1f\x8b":
+        member = zlib.decompressobj(wbits=31)
+        try:
+            out.append(member.decompress(rest))
+        except zlib.error:
+            break
+        if not member.eof:
+            break
+        rest = member.unused_data.lstrip(b"\0")
+    return b"".join(out)
+
+
+def _fields(lines: list[str]) -> dict[str, str]:
+    """Headers by lower-case name; values of a name that repeats are joined by a comma."""
+    out: dict[str, str] = {}
+    for line in lines:
+        k, colon, v = line.partition(":")
+        if colon:
+            name = k.strip().lower()
+            out[name] = f"{out[name]}, {v.strip()}" if name in out else v.strip()
+    return out
+
+
+def _epoch(date: str) -> int | None:
+    try:
+        at = datetime.fromisoformat(date)
+    except ValueError:
+        return None
+    return int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp())
+
+
+def parse_records(raw: bytes) -> Iterator[tuple[str, str, str, int | None, int | None, str | None, dict[str, str], bytes]]:
+    """The response and revisit records of one file's bytes (plain, or gzip with a member for each record), as RECORD has
+    them. A record whose length is no number is passed over; one that is cut short ends the file; a date that is none is
+    null."""
+    data = _unzipped(raw) if raw[:2] == b"\x1f\x8b" else raw
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         head_end = data.find(b"\r\n\r\n", at)
         if head_end < 0:
             return
-        head = dict(line.split(":", 1) for line in data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:] if ":" in line)
-        fields = {k.strip().lower(): v.strip() for k, v in head.items()}
-        size = int(fields.get("content-length", "0"))
+        fields = _fields(data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:])
+        length = fields.get("content-length", "0")
+        if not (length.isascii() and length.isdigit()):
+            at = head_end
+            continue
+        size = int(length)
         block = data[head_end + 4 : head_end + 4 + size]
         if len(block) < size:
             return
         at = head_end + 4 + size
         if (kind := fields.get("warc-type", "")) in ("response", "revisit"):
             top, _, body = block.partition(b"\r\n\r\n")
-            headers = {k.strip().lower(): v.strip() for k, _, v in (line.partition(":") for line in top.decode("utf-8", "replace").split("\r\n")[1:])}
-            when = int(datetime.fromisoformat(fields.get("warc-date", "1970-01-01T00:00:00Z")).timestamp())
-            yield fields.get("warc-record-id", ""), kind, fields.get("warc-target-uri", ""), when, headers, body.decode("utf-8", "replace")
+            first, *lines = top.decode("utf-8", "replace").split("\r\n")
+            code = re.match(r"HTTP/\S+ (\d{3})\b", first)
+            yield fields.get("warc-record-id", ""), kind, fields.get("warc-target-uri", ""), _epoch(fields.get("warc-date", "")), int(code[1]) if code else None, fields.get("warc-profile"), _fields(lines), body
 
 
-def format_record(record_id: str, kind: str, url: str, when: int, headers: dict[str, str], body: str) -> bytes:
+def format_record(record_id: str, kind: str, url: str, when: int, headers: dict[str, str], body: bytes = b"", code: int | None = None, profile: str | None = None) -> bytes:
     """One record as WARC/1.1 bytes; ``parse_records`` gives the same fields again."""
-    from datetime import UTC, datetime
-
-    status = "304 Not Modified" if kind == "revisit" else "200 OK"
-    block = (f"HTTP/1.1 {status}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + "\r\n" + body).encode()
+    code = code or (304 if kind == "revisit" else 200)
+    block = (f"HTTP/1.1 {code} {http.HTTPStatus(code).phrase}\r\n" + "".join(f"{k}: {v}\r\n" for k, v in headers.items()) + "\r\n").encode() + body
     date = datetime.fromtimestamp(when, UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
-    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {record_id}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\nContent-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
+    head = f"WARC/1.1\r\nWARC-Type: {kind}\r\nWARC-Record-ID: {record_id}\r\nWARC-Target-URI: {url}\r\nWARC-Date: {date}\r\n" + (f"WARC-Profile: {profile}\r\n" if profile else "") + f"Content-Type: application/http\r\nContent-Length: {len(block)}\r\n\r\n"
     return head.encode() + block + b"\r\n\r\n"
 
 
@@ -124,12 +181,12 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """The records of all files under ``path``, a task for each file (WARC files are cut at about 1 GB by custom)."""
     import pyarrow as pa
 
-    schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.int64()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.string())])
+    schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.int64()), ("http_status", pa.int32()), ("profile", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def some(rows: list) -> pa.RecordBatch:
             cols = list(zip(*rows, strict=True))
-            cols[4] = [list(h.items()) for h in cols[4]]
+            cols[6] = [list(h.items()) for h in cols[6]]
             return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
 
         for batch in batches:
