@@ -9,10 +9,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm.common import shared_dir, text_or_empty
+from docweave.llm.common import blocks, shared_dir, text_or_empty
 
 #: Changes with any rule; the ledger keeps a blob's findings by this version.
-RULE_VERSION = 2
+RULE_VERSION = 3
 # The contract's base kinds first, in its order, then the kinds that this operator adds.
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "pem", "jwt", "url")
@@ -20,10 +20,11 @@ ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x2
 ASSIGN_WORDS = re.compile("passw|secret|token|api_?key", re.IGNORECASE | re.ASCII)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{14,}")
 HEX = re.compile(r"[0-9a-f]{16,}")
-PEM = re.compile(r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----")
-JWT = re.compile(r"\beyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}")
-# No sign of "://" is in a user or password, and neither gives a sign back, so that long ones take linear time.
-URL = re.compile(r"\b[a-z][a-z0-9+.-]{1,20}://[^\s/:@]++:[^\s/:@]{3,}+@")
+# The added kinds have no bounds. Each can begin at the start of a run of its signs only and gives no sign of it back, so that
+# runs of any length take linear time.
+PEM = re.compile(r"-----BEGIN (?=([A-Z ]*+))\1(?<=PRIVATE KEY)-----")
+JWT = re.compile(r"(?<![A-Za-z0-9_-])eyJ[A-Za-z0-9_-]{8,}+\.eyJ[A-Za-z0-9_-]{8,}+\.[A-Za-z0-9_-]{8,}+")
+URL = re.compile(r"(?<![a-z0-9+.-])[0-9+.-]*+([a-z][a-z0-9+.-]++)://[^\s/:@]++:[^\s/:@]{3,}+@")
 ASSIGN_LEAST = 12
 
 FINDING = "array<struct<start:int,kind_no:int,kind:string,end:int>>"
@@ -45,13 +46,13 @@ def find_secrets(text: str) -> list[tuple[int, int, str, int]]:
     if "eyJ" in text:
         out += [(m.start(), 4, "jwt", m.end()) for m in JWT.finditer(text)]
     if "://" in text:
-        out += [(m.start(), 5, "url", m.end()) for m in URL.finditer(text)]
+        out += [(m.start(1), 5, "url", m.end()) for m in URL.finditer(text)]
     return sorted(out)
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kind = _OUT.field("found").type
-    for batch in batches:
+    for batch in blocks(batches):
         texts = batch.column(batch.schema.get_field_index("text"))
         found = [[{"start": s, "kind_no": k, "kind": name, "end": e} for s, k, name, e in find_secrets(t.as_py() or "")] for t in texts]
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("blob")), pa.array(found, kind)], schema=_OUT)
