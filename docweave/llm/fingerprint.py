@@ -97,6 +97,8 @@ def fingerprint(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 
 _NO_ID = -(1 << 63)
+#: Ranges of ids, whatever the input: their bounds go to the driver and with every task.
+MOST_RANGES = 1 << 15
 
 
 def _with_next(pending: list[tuple], batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int | None, str, str]]:
@@ -155,14 +157,15 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     replaced by the first as many of the next document (by descending id; the first follows the last), and against
     that next document.
 
-    Ids are cut into ranges of about ``bucket_bytes`` of text; the text is shuffled once, to its range, and the
+    Ids are cut into ranges of about ``bucket_bytes`` of text, MOST_RANGES at most (rows of a range pass by one after the other,
+    so a longer range takes no more memory); the text is shuffled once, to its range, and the
     largest id of each range also goes to the range above it, so that every row finds its successor without a
     global sort in one task. Ids should be distinct; rows that share one follow each other by text. A null id
     counts as the smallest. Null texts are empty; one document is its own successor; an empty table gives no rows.
     """
     spark = df.sparkSession
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    n = int(max(4 * partitions(spark), input_bytes(df, text_col) // bucket_bytes, 1))
+    n = int(min(max(4 * partitions(spark), input_bytes(df, text_col) // bucket_bytes, 1), MOST_RANGES))
     cuts = sorted({int(x) for x in rows.approxQuantile("doc_id", [i / n for i in range(1, n)], 0.25 / n)}) if n > 1 else []
     cuts_arr = np.array(cuts, np.int64)
 
@@ -175,11 +178,12 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     tops = {r.bucket: r.top for r in rows.select("doc_id").withColumn("bucket", bucket_of("doc_id")).groupBy("bucket").agg(F.max("doc_id").alias("top")).collect()}  # as many rows as cuts
     order = sorted(tops)
     above = {tops[b]: order[(i + 1) % len(order)] for i, b in enumerate(order)}
+    last = np.array(sorted(above), np.int64)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column(0).to_numpy()
-            for own, at, to in ((True, np.arange(len(ids)), np.searchsorted(cuts_arr, ids, side="left")), (False, at := np.flatnonzero(np.isin(ids, list(above))), [above[int(i)] for i in ids[at]])):
+            for own, at, to in ((True, np.arange(len(ids)), np.searchsorted(cuts_arr, ids, side="left")), (False, at := np.flatnonzero(np.isin(ids, last)), [above[int(i)] for i in ids[at]])):
                 if len(at):
                     taken = batch.take(pa.array(at))
                     yield pa.RecordBatch.from_arrays([pa.array(to, pa.int32()), pa.array([own] * len(at)), taken.column(0), taken.column(1)], names=["bucket", "own", "doc_id", "text"])
