@@ -7,6 +7,7 @@ import heapq
 import re
 from array import array
 from collections.abc import Iterator, Sequence
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -20,11 +21,13 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
 #: Stands for that sign itself in a text; as two signs at one place it is never part of a piece.
 _LITERAL = "\ue000\ue001"
-#: Segmentations of words that a worker keeps; beyond it starts anew.
-CACHE = 300_000
+#: Segmentations of words that a worker keeps, over all its tasks; beyond it starts anew.
+CACHE = 800_000
 _M64 = (1 << 64) - 1
 #: Signs of a unit that is segmented together with others, and units that go together (fewer than _FEW go one by one).
 _LONG, _TOGETHER, _FEW = 64, 20_000, 100
+#: Units of about one length that step together.
+_STEPS_TOGETHER = 4_000
 #: Signs of a unit whose segmentations are kept; longer ones are segmented for each occurrence.
 _KEPT = 20
 #: Bytes of text that are encoded at a time.
@@ -205,6 +208,13 @@ class Pieces:
             out[i] = array("i", ids).tobytes()
         if not len(some):
             return out, turns
+        some = some[np.argsort(size[some], kind="stable")]
+        # short units are done after a few steps, and do not wait for long ones
+        for part in np.array_split(some, max(1, len(some) // _STEPS_TOGETHER)):
+            self._step_together(part, sign, size, at, drops, out, turns)
+        return out, turns
+
+    def _step_together(self, some: np.ndarray, sign: np.ndarray, size: np.ndarray, at: np.ndarray, drops: Sequence[Sequence[int]], out: list[bytes], turns: list[int]) -> None:
         size, old = size[some], at[some]
         at = np.cumsum(size) - size
         place = np.arange(size.sum()) - np.repeat(at, size)
@@ -215,9 +225,10 @@ class Pieces:
         nxt, prev = np.arange(1, n + 2), np.arange(-1, n)
         last = at + size - 1
         nxt[last], prev[at], nxt[n], prev[n] = n, n, n, n
-        due = np.full((len(some), max(len(drops[i]) for i in some.tolist()) + 1), -1)
-        for k, i in enumerate(some.tolist()):
-            due[k, : len(drops[i])] = drops[i]
+        asked = [drops[i] for i in some.tolist()]
+        many = np.fromiter(map(len, asked), np.int64, len(asked))
+        due = np.full((len(some), int(many.max()) + 1), -1)
+        due[np.arange(due.shape[1]) < many[:, None]] = np.fromiter(chain.from_iterable(asked), np.int64, int(many.sum()))
         upto, taken, step = np.zeros(len(some), np.int64), np.zeros(len(some), np.int64), 0
         none = np.int64((1 << 62) - 1)
         entry, makes = np.full(n + 1, none), np.zeros(n + 1, np.int64)
@@ -259,7 +270,6 @@ class Pieces:
         for i, hi, n in zip(some.tolist(), ends.tolist(), taken.tolist(), strict=True):
             out[i], turns[i] = flat[lo:hi], n
             lo = hi
-        return out, turns
 
     def encode_many(self, texts: list[str], draws: Draws | None = None, keys: Sequence[int] = (), memo: Memo | None = None) -> list[np.ndarray]:
         """Ids of each text behind the usual leading space; ``keys`` has a number for each text, from which the draws of its
@@ -297,6 +307,8 @@ class Pieces:
 
 
 _LOADED: dict[str, Pieces] = {}
+#: What a worker has segmented with each vocabulary. It depends on no seed, document or place.
+_MEMOS: dict[str, Memo] = {}
 
 
 def _pieces(name: str) -> Pieces:
@@ -306,6 +318,13 @@ def _pieces(name: str) -> Pieces:
     return _LOADED[name]
 
 
+def _memo(name: str) -> Memo:
+    """The worker's own, as long as it is not full."""
+    if name not in _MEMOS or len(_MEMOS[name].made) > CACHE:
+        _MEMOS[name] = Memo()
+    return _MEMOS[name]
+
+
 def key_of(doc_id: int | None, text: str | None, copy: int | None, seed: int) -> int:
     """What the draws of a row follow from."""
     head = repr((doc_id, copy)).encode()
@@ -329,15 +348,13 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     name = model.rsplit("/", 1)[-1]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces, draws, memo = _pieces(name), Draws(dropout), Memo()
+        pieces, draws = _pieces(name), Draws(dropout)
         for batch in batches:
             for part in blocks([batch], "__text", limit=_BLOCK):
                 kept = part.select(range(part.num_columns - 3))
                 ids, copies, texts = (part.column(part.num_columns - k).to_pylist() for k in (3, 2, 1))
                 keys = [key_of(i, t, c, seed) for i, t, c in zip(ids, texts, copies, strict=True)]
-                ids_of = pieces.encode_many(texts, draws, keys, memo)
-                if len(memo.made) > CACHE:
-                    memo = Memo()
+                ids_of = pieces.encode_many(texts, draws, keys, _memo(name))
                 ok = [not verify or pieces.decode(got.tolist()) == text for got, text in zip(ids_of, texts, strict=True)]
                 flat = np.concatenate(ids_of) if ids_of else np.zeros(0, np.int32)
                 sizes = np.array([len(x) for x in ids_of])
