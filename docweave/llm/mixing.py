@@ -21,8 +21,10 @@ BUCKETS = 1 << 18
 _FEATURES = BUCKETS + len(STATS) * STEPS
 #: What a word's presence counts. Lengths do not scale it: one word can tell the domain of a long text.
 PRESENT = 0.3
-MOST_ROUNDS = 60
-TOLERANCE = 1e-6
+#: What unevenness of the rates counts against the squared error of the totals.
+RIDGE = 1e-8
+MOST_ROUNDS = 300
+TOLERANCE = 1e-7
 
 
 @dataclass
@@ -73,7 +75,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks([batch]):
             offsets, cols, vals = _present(block.column(1))
             offs = pa.array(offsets, pa.int32())
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offs, pa.array(cols)), pa.ListArray.from_arrays(offs, pa.array(vals))], names=["domain", "cols", "vals"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offs, pa.array(cols)), pa.ListArray.from_arrays(offs, pa.array(vals)), block.column(2)], names=["domain", "cols", "vals", "id"])
 
 
 def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col: str = "doc_id", text_col: str = "text", domain_col: str = "domain", max_rows: int = MAX_TRAIN_ROWS) -> Domains:
@@ -83,7 +85,9 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col:
     picked = labelled.filter(F.col(domain_col).isin(names) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(domain_col).alias("domain"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    rows = texts.join(F.broadcast(picked), texts.doc == picked.id).select("domain", "text").mapInArrow(_featurise, "domain string, cols array<int>, vals array<float>").toArrow()
+    # An id that several rows bear teaches once; sorted by id, the rows are the same however the input is cut.
+    one = texts.join(F.broadcast(picked), texts.doc == picked.id).groupBy("id", "domain").agg(F.min("text").alias("text"))
+    rows = one.select("domain", "text", F.col("id").cast("string").alias("id")).mapInArrow(_featurise, "domain string, cols array<int>, vals array<float>, id string").toArrow().sort_by("id")
     y = np.array([names.index(x) for x in rows["domain"].to_pylist()], np.int64)
     cols, vals = (rows[c].combine_chunks() for c in ("cols", "vals"))
     sizes = np.array(cols.value_lengths(), np.int64) if len(y) else np.zeros(0, np.int64)
@@ -111,65 +115,81 @@ def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col
     return kept.withColumn("__text", text_or_empty(text_col)).mapInArrow(run, schema)
 
 
-def _rates(p: np.ndarray, start: float, steps: list[np.ndarray]) -> np.ndarray:
-    """Every document's rate after the given steps: each is a projected gradient step, the same function of the
-    posteriors for all, so the rates of a lost or rerun task come out the same and no state is kept per round."""
-    r = np.full(len(p), start)
-    for s in steps:
-        r = np.maximum(0.0, r - p @ s)
-    return r
+def _rates(p: np.ndarray, start: float, steps: np.ndarray) -> np.ndarray:
+    """Every document's rate: the start less all gradient steps so far, projected on what is not negative. It follows from
+    the posteriors and one vector, so the rates of a lost or rerun task come out the same and no state is kept."""
+    return np.maximum(0.0, start - p @ steps)
 
 
-def fit_rates(soft: DataFrame, targets: list[float], budget: float | None = None, rounds: int = MOST_ROUNDS, tolerance: float = TOLERANCE) -> tuple[float, list[np.ndarray], dict]:
-    """The steps whose result makes the expected token totals of the domains match ``targets`` (weights; scaled to sum to
+def fit_rates(soft: DataFrame, targets: list[float], budget: float | None = None, ridge: float = RIDGE, rounds: int = MOST_ROUNDS) -> tuple[float, np.ndarray, dict]:
+    """The steps whose rates make the expected token totals of the domains match ``targets`` (weights; scaled to sum to
     1) of ``budget`` tokens (default: the corpus's own).
 
-    Minimises the squared error of the totals over rates >= 0 by projected gradients in the metric of the documents'
-    token shares, where a document's gradient is its posterior times the error. Each round is one aggregate over all
-    documents that returns the totals and the curvature among documents with a positive rate (D + D * D numbers);
-    the step is scaled by that curvature while this helps, else by its largest eigenvalue. Returns the starting
-    rate, the steps and a report: totals reached, error, rounds.
+    Minimises the squared error of the totals, and ``ridge`` times the squared distance of the rates from even use
+    weighted by tokens, over rates >= 0. It is projected gradients with lazy projection: a document's gradient is its
+    posterior times the error, steps add up to one vector, and the start less that vector is projected. Each round is one
+    aggregate over all documents that returns the totals, the value and the curvature among documents with a positive
+    rate (D * D + D + 1 numbers); that curvature scales the step, halved until the value falls. The ridge comes down by
+    hundreds, so that targets out of reach end at the nearest totals too. Returns the starting rate, the steps and a
+    report: totals reached, largest error, squared error, rounds. Raises if ``rounds`` are not enough.
     """
     d = len(targets)
     goal = np.array(targets, float) / (sum(targets) or 1.0)
     total = soft.agg(F.sum("n_tokens").alias("n")).first().n or 0
     if not total:
-        return 1.0, [], {"totals": np.zeros(d), "error": 1.0, "rounds": 0}
+        return 1.0, np.zeros(d), {"totals": np.zeros(d), "error": 1.0, "squared": float(goal @ goal), "rounds": 0}
     start = (budget or total) / total
+    done = 0
+
+    def look(steps: np.ndarray) -> tuple[np.ndarray, float, np.ndarray]:
+        """At rates in units of the start: totals, half the weighted sum of squared rates, curvature."""
 
-    def look(steps: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            s, g = np.zeros(d), np.zeros((d, d))
+            s, q, g = np.zeros(d), 0.0, np.zeros((d, d))
             for batch in batches:
                 n, p = batch.column(0).to_numpy() / total, batch.column(1).flatten().to_numpy().reshape(-1, d)
-                r = _rates(p, start, steps)
+                r = _rates(p, 1.0, steps)
                 s += (n * r) @ p
+                q += float(n @ (r * r)) / 2
                 live = r > 0
                 g += (p[live] * n[live, None]).T @ p[live]
-            yield pa.RecordBatch.from_arrays([pa.array([*s, *g.reshape(-1)])[i : i + 1] for i in range(d + d * d)], names=[f"v{i}" for i in range(d + d * d)])
+            yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (*s, q, *g.reshape(-1))], names=cols)
 
-        cols = [f"v{i}" for i in range(d + d * d)]
+        cols = [f"v{i}" for i in range(d + 1 + d * d)]
         row = soft.select("n_tokens", "posterior").mapInArrow(run, ", ".join(f"{c} double" for c in cols)).agg(*[F.sum(c).alias(c) for c in cols]).first()
         v = np.array([row[c] for c in cols])
-        return v[:d], v[d:].reshape(d, d)
-
-    steps: list[np.ndarray] = []
-    sums, curve = look(steps)
-    error = sums - goal * start
-    done, scaled = 0, True
-    while np.abs(error).max() > tolerance * start and done < rounds:
-        done += 1
-        top = max(float(np.linalg.eigvalsh(curve)[-1]), 1e-12)
-        step = np.linalg.solve(curve + 1e-9 * top * np.eye(d), error) if scaled else error / top
-        got, new_curve = look([*steps, step])
-        new = got - goal * start
-        if np.square(new).sum() >= np.square(error).sum() * (0.9 if scaled else 1 - 1e-9):
-            if not scaled:
-                break  # a plain projected gradient step no longer helps: the least-squares solution
-            scaled = False
-            continue
-        steps, sums, curve, error = [*steps, step], got, new_curve, new
-    return start, steps, {"totals": sums * total, "error": float(np.abs(error).max() / start), "rounds": done}
+        return v[:d], float(v[d]), v[d + 1 :].reshape(d, d)
+
+    steps = np.zeros(d)
+    sums, half, curve = look(steps)
+    weight = max(ridge, 1e-2)
+    while True:
+        value = lambda s, h, w: w / 2 * s @ s + h + goal @ s  # noqa: E731  convex; its gradient is the one below
+        slope = weight * steps - sums + goal
+        while np.abs(slope).max() > TOLERANCE:
+            move, share, now = -np.linalg.solve(curve + weight * np.eye(d), slope), 1.0, value(steps, half, weight)
+            while True:
+                if done >= rounds:
+                    raise RuntimeError(f"rates did not settle in {rounds} rounds")
+                done += 1
+                got = look(steps + share * move)
+                if value(steps + share * move, got[1], weight) <= now + 1e-4 * share * (slope @ move) + 1e-15:
+                    break
+                share /= 2
+            steps = steps + share * move
+            sums, half, curve = got
+            slope = weight * steps - sums + goal
+        if weight <= ridge:
+            break
+        less = max(ridge, weight / 100)
+        if np.abs(sums - goal).max() > TOLERANCE:  # out of reach so far: the error stays, and steps are the error over the weight
+            trial = steps * (weight / less)
+            got = look(trial)
+            if np.abs(less * trial - got[0] + goal).max() < np.abs(less * steps - sums + goal).max():
+                steps, (sums, half, curve) = trial, got
+        weight = less
+    miss = sums - goal
+    return start, steps * start, {"totals": sums * start * total, "error": float(np.abs(miss).max()), "squared": float(miss @ miss), "rounds": done}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -178,7 +198,7 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
 
     The posteriors are written once to the shared folder; rounds read only tokens and posteriors. A document
     without words has rate as any other and adds nothing. Null texts are empty. If the targets cannot be reached the
-    rates are the nearest in least squares. An empty table gives no rows. Columns of the new names are replaced.
+    totals are the nearest in least squares (see fit_rates for the ridge). An empty table gives no rows. Columns of the new names are replaced.
     """
     names = list(targets)
     model = fit_domains(docs, labelled, names, id_col, text_col)

@@ -132,7 +132,7 @@ def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for block in blocks([batch]):
             offsets, cols, vals = features(block.column(1))
             offs = pa.array(offsets, pa.int32())
-            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offs, pa.array(cols)), pa.ListArray.from_arrays(offs, pa.array(vals))], names=["y", "cols", "vals"])
+            yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offs, pa.array(cols)), pa.ListArray.from_arrays(offs, pa.array(vals)), block.column(2)], names=["y", "cols", "vals", "id"])
 
 
 def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", max_rows: int = MAX_TRAIN_ROWS) -> Model:
@@ -142,8 +142,9 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
     picked = labels.filter(F.col(label_col).isNotNull() & F.col(id_col).isNotNull() & ~held_out(id_col)).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label_col)).cast("double").alias("y"))
     picked = picked.orderBy(F.xxhash64("id"), "id").limit(max_rows)
     texts = docs.select(F.col(id_col).alias("doc"), F.col(text_col).cast("string").alias("text")).filter(F.col("text").isNotNull())
-    taught = texts.join(F.broadcast(picked), texts.doc == picked.id).select("y", "text", "doc")
-    rows = taught.select("y", "text").mapInArrow(_featurise, "y double, cols array<int>, vals array<float>").toArrow()
+    # An id that several rows bear teaches once; sorted by id, the rows are the same however the input is cut.
+    one = texts.join(F.broadcast(picked), texts.doc == picked.id).groupBy("id", "y").agg(F.min("text").alias("text"))
+    rows = one.select("y", "text", F.col("id").cast("string").alias("id")).mapInArrow(_featurise, "y double, cols array<int>, vals array<float>, id string").toArrow().sort_by("id")
     if rows.num_rows == 0:
         return fit(np.zeros(1, np.int64), np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(0))
     cols, vals = rows["cols"].combine_chunks(), rows["vals"].combine_chunks()
