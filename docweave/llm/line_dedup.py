@@ -14,8 +14,8 @@ CELL_BITS = 16
 LEVEL_BITS = 7
 #: Sets of at least this size have their bitmap in two halves.
 WIDE = 64
-#: Documents with lines to verify are told in so many cells before they are joined.
-DOC_CELLS = 1 << 18
+#: Rows that a join is about are told in so many cells, so that most others need not meet it.
+CELLS = 1 << 18
 #: Lines of about one size that chose the same word are first held against a few of them if they are so many.
 CROWD, HEADS = 64, 4
 _NO_ID = -(1 << 63)
@@ -52,7 +52,8 @@ def _set(line: Column, levels: Column) -> Column:
     """A line's distinct words as longs, rarest first: level above, hash below."""
 
     def ranked(told: Column) -> Column:
-        return F.get(levels, _cell(told)).bitwiseOR(F.shiftrightunsigned(told, LEVEL_BITS))
+        level = F.coalesce(F.get(levels, _cell(told)), F.lit(0))  # never null, which makes the list of plain longs below
+        return level.bitwiseOR(F.shiftrightunsigned(told, LEVEL_BITS))
 
     words = F.array_distinct(F.transform(_told(line), ranked))
     gaps = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
@@ -63,8 +64,7 @@ def _signed(texts: DataFrame, levels: Column, percent: int) -> DataFrame:
     """A row for each line with words: its place, two hashes of its set, its size, its bitmap and its prefix."""
     place = [c for c in texts.columns if c != "text"]
     lines = texts.select(*place, F.posexplode(_lines(F.col("text"))).alias("pos", "line")).filter(F.trim("line") != "")
-    # Exploding an array of one set makes each set once, where a projection would make it for every use.
-    sets = lines.select(*place, "pos", F.explode(F.array(_set(F.col("line"), levels))).alias("s")).withColumn("n", F.size("s"))
+    sets = lines.select(*place, "pos", _set(F.col("line"), levels).alias("s")).withColumn("n", F.size("s"))
     n = F.col("n")
     flip = lambda bit, x: F.call_function("shiftleft", bit, x.bitwiseAND(63).cast("int"))
     all_bits = F.aggregate("s", F.lit(0).cast("long"), lambda acc, x: acc.bitwiseXOR(flip(F.lit(1).cast("long"), x)))
@@ -110,8 +110,9 @@ def _near_heads(reps: DataFrame, place: list[str], percent: int, scratch: Scratc
     if crowds.isEmpty():
         return None
     part = F.pmod(F.xxhash64(*place), F.lit(HEADS)).alias("part")
-    heads = keyed.join(crowds, on).groupBy(*on, part).agg(F.min(F.struct(*traits)).alias("h")).select(*on, "h.*")
-    near = keyed.alias("a").join(heads.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.of_size") == F.col("b.of_size")) & _before(place) & _may_match(percent, F.col("a.n"), F.col("b.n")))
+    crowded = keyed.join(crowds, on)
+    heads = crowded.groupBy(*on, part).agg(F.min(F.struct(*traits)).alias("h")).select(*on, "h.*")
+    near = crowded.alias("a").join(heads.alias("b"), (F.col("a.word") == F.col("b.word")) & (F.col("a.of_size") == F.col("b.of_size")) & _before(place) & _may_match(percent, F.col("a.n"), F.col("b.n")))
     return scratch.put("heads", _pairs(near, [(f"a.{c}", f"b.{c}") for c in place], place))
 
 
@@ -141,27 +142,44 @@ def _word_pairs(marked: DataFrame, place: list[str], percent: int) -> DataFrame:
     return _pairs(met, [(f"a_{c}", f"b_{c}") for c in place], place)
 
 
+def _maybe(of: DataFrame, keys: list[str]) -> Column:
+    """Whether a row's keys may be among those of ``of``: a look into a table of bounded size."""
+    cell = lambda: F.pmod(F.xxhash64(*keys), F.lit(CELLS)).cast("int")
+    table = bytearray(CELLS)
+    for i in of.select(cell().alias("cell")).distinct().toArrow()["cell"].to_pylist():
+        table[i] = 1
+    return F.substring(F.lit(table), cell() + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+
+
+def _marked(reps: DataFrame, settled: DataFrame | None, place: list[str]) -> DataFrame:
+    """``reps`` with ``open`` 1, or 0 for settled lines."""
+    if settled is None:
+        return reps.withColumn("open", F.lit(1))
+    maybe = _maybe(settled, place)
+    told = reps.filter(maybe).join(settled.withColumn("closed", F.lit(0)), place, "left").withColumn("open", F.coalesce("closed", F.lit(1)))
+    return reps.filter(~maybe).withColumn("open", F.lit(1)).unionByName(told.drop("closed"))
+
+
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
     """Of ``pairs`` (place, place_0) the lines whose word sets really are that alike. The words are read again from the
-    texts, for the lines in question only."""
+    texts, for the lines in question only. One pair of each line goes first, which settles most lines; the other pairs of
+    those still open follow."""
     place = [c for c in pairs.columns if not c.endswith("_0")]
     doc, other = place[:-1], [f"{c}_0" for c in place]
     ends = pairs.select(*place).union(pairs.select(*other)).groupBy(*doc).agg(F.collect_set("pos").alias("wanted"))
-    # Most texts hold no line in question: a table of bounded size keeps them from the shuffle.
-    cell = lambda: F.pmod(F.xxhash64(*doc), F.lit(DOC_CELLS)).cast("int")
-    table = bytearray(DOC_CELLS)
-    for i in ends.select(cell().alias("cell")).distinct().toArrow()["cell"].to_pylist():
-        table[i] = 1
-    texts = texts.filter(F.substring(F.lit(table), cell() + 1, F.lit(1)) == F.lit(bytearray(b"\x01")))
     lines = F.transform(F.sort_array("wanted"), lambda i: F.struct(i.alias("pos"), F.get(F.col("lines"), i).alias("line")))
-    asked = texts.join(ends, doc).select(*doc, "wanted", _lines(F.col("text")).alias("lines")).select(*doc, F.explode(lines).alias("x"))
+    asked = texts.filter(_maybe(ends, doc)).join(ends, doc).select(*doc, "wanted", _lines(F.col("text")).alias("lines")).select(*doc, F.explode(lines).alias("x"))
     words = F.array_remove(F.array_distinct(_told(F.col("x.line"))), F.xxhash64(F.lit("")))
     words = scratch.put(f"{name}-words", asked.select(*doc, F.col("x.pos").alias("pos"), words.alias("words")))
     first = words.select(*[F.col(c).alias(f"{c}_0") for c in place], F.col("words").alias("words_0"))
-    met = pairs.join(words, place).join(first, other)
     shared = F.size(F.array_intersect("words", "words_0"))
-    out = scratch.put(name, met.filter(shared * 100 >= (F.size("words") + F.size("words_0") - shared) * percent).select(*place).distinct())
-    scratch.drop(f"{name}-words")
+    alike = shared * 100 >= (F.size("words") + F.size("words_0") - shared) * percent
+    true_ones = lambda some: some.join(words, place).join(first, other).filter(alike).select(*place).distinct()
+    one = pairs.groupBy(*place).agg(F.min(F.struct(*other)).alias("o")).select(*place, "o.*")
+    most = scratch.put(f"{name}-first", true_ones(one))
+    rest = true_ones(pairs.join(most, place, "left_anti").join(one, [*place, *other], "left_anti"))
+    out = scratch.put(name, most.union(rest))
+    scratch.drop(f"{name}-words", f"{name}-first")
     return out
 
 
@@ -204,8 +222,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     reps = lines.filter("not copy")
     near = _near_heads(reps, place, percent, scratch)
     settled = _verified(near, texts, percent, scratch, "settled") if near is not None else None
-    marked = reps.withColumn("open", F.lit(1)) if settled is None else reps.join(settled.withColumn("closed", F.lit(0)), place, "left").withColumn("open", F.coalesce("closed", F.lit(1)))
-    met = scratch.put("pairs", _word_pairs(marked, place, percent))
+    met = scratch.put("pairs", _word_pairs(_marked(reps, settled, place), place, percent))
     found = _verified(met, texts, percent, scratch, "found")
     gone = lines.filter("copy").select(*place).union(found)
     gone = scratch.put("gone", (gone if settled is None else gone.union(settled)).groupBy(*doc).agg(F.collect_set("pos").alias("gone")))

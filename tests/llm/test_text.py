@@ -2,6 +2,7 @@
 
 import hashlib
 import random
+import re
 import zlib
 
 import numpy as np
@@ -156,6 +157,21 @@ def test_secrets_against_brute_force(spark, tmp_path):
     assert secret_scan.scan_secrets(d.limit(0)).count() == 0
 
 
+def test_added_kinds_have_no_bounds_and_take_linear_time():
+    import time
+
+    long = "x" * 500
+    spans = lambda t: [(k, t[a:b]) for a, _, k, b in secret_scan.find_secrets(t) if k in ("pem", "jwt", "url")]
+    assert spans(f"-----BEGIN {'VERY ' * 20}PRIVATE KEY-----") == [("pem", f"-----BEGIN {'VERY ' * 20}PRIVATE KEY-----")]
+    assert spans("-----BEGIN PRIVATE KEY-----x-----BEGIN PUBLIC KEY-----") == [("pem", "-----BEGIN PRIVATE KEY-----")]
+    assert spans(f"(1-{'a' * 40}://u:{long}@h)") == [("url", f"{'a' * 40}://u:{long}@")]
+    assert spans(f"t=eyJ{long}.eyJ{long}.{long}!") == [("jwt", f"eyJ{long}.eyJ{long}.{long}")]
+    for text in ("eyJ-" * 100_000, "a." * 200_000, "-----BEGIN " + "A " * 200_000, "a://b:" * 80_000, "eyJaaaaaaaa." * 40_000):
+        began = time.process_time()
+        secret_scan.find_secrets(text)
+        assert time.process_time() - began < 3
+
+
 def test_urls_with_long_credentials():
     for user, password in (("u", "abc"), ("u" * 101, "abc"), ("u", "p" * 5000), ("u" * 300, "p" * 300)):
         text = f"see https://{user}:{password}@host/x"
@@ -202,11 +218,41 @@ def test_rates_meet_the_targets(spark):
         rates = mixing._rates(p, start, steps)
         assert (rates >= 0).all() and report["error"] < 1e-5
         assert np.allclose((n * rates) @ p / n.sum(), targets, atol=1e-5)
-    start, steps, report = mixing.fit_rates(soft, [0.0, 0.0, 1.0])  # cannot be reached: still nonnegative, and nearer than before
-    rates = mixing._rates(p, start, steps)
-    before, after = (np.square((n * x) @ p / n.sum() - [0, 0, 1]).sum() for x in (np.ones(400), rates))
-    assert (rates >= 0).all() and after < before
-    assert mixing.fit_rates(soft.limit(0), [0.5, 0.5])[1] == []
+    assert list(mixing.fit_rates(soft.limit(0), [0.5, 0.5])[1]) == [0, 0]
+
+
+def nearest(a, b):
+    """Nonnegative least squares by active sets."""
+    x, free = np.zeros(a.shape[1]), np.zeros(a.shape[1], bool)
+    slope = a.T @ b
+    while not free.all() and slope[~free].max() > 1e-12:
+        free[np.argmax(np.where(free, -np.inf, slope))] = True
+        while True:
+            new = np.zeros(len(x))
+            new[free] = np.linalg.lstsq(a[:, free], b, rcond=None)[0]
+            if new[free].min() > 0:
+                break
+            down = free & (new <= 0)
+            x = x + np.min(x[down] / (x[down] - new[down])) * (new - x)
+            free &= x > 1e-14
+        x = new
+        slope = a.T @ (b - a @ x)
+    return x
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_rates_out_of_reach_are_the_nearest(spark, seed):
+    r = np.random.default_rng(seed)
+    d = 3 + seed % 2
+    p, n, goal = r.dirichlet(np.ones(d), 60), r.integers(1, 500, 60), np.eye(d)[0] * 0.97 + 0.03 / d
+    soft = spark.createDataFrame([(int(a), [float(x) for x in b]) for a, b in zip(n, p)], "n_tokens long, posterior array<double>").repartition(3)
+    start, steps, report = mixing.fit_rates(soft, list(goal))
+    a = (p * (n / n.sum())[:, None]).T
+    best = np.square(a @ nearest(a, goal) - goal).sum()
+    got = np.square(a @ mixing._rates(p, start, steps) - goal).sum()
+    assert best > 1e-5 and got <= best * 1.001 + 1e-9 and np.isclose(got, report["squared"], rtol=1e-6)
+    with pytest.raises(RuntimeError):
+        mixing.fit_rates(soft, list(goal), rounds=2)
 
 
 def test_mix_and_realise(spark, docs):
@@ -219,15 +265,21 @@ def test_mix_and_realise(spark, docs):
     assert {x["count"] for x in c} == {2, 3} and 8700 < sum(x["count"] for x in c) < 9300
 
 
+NOT_MODIFIED, SAME_BYTES = "http://netpreserve.org/warc/1.1/revisit/server-not-modified", "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
+
+
 def plain_revisits(records):
     out = {}
-    for rid, kind, url, at, head, _ in records:
+    for rid, kind, url, at, code, profile, head, _ in records:
         if kind == "revisit":
-            old = [r for r in records if r[1] == "response" and r[2] == url and url is not None and at is not None and r[3] is not None and r[3] < at]
+            if (profile and "not-modified" not in profile) or (not profile and code not in (None, 304)):
+                out[rid] = (None, "other", head)
+                continue
+            old = [r for r in records if r[1] == "response" and r[4] in (None, 200) and r[2] == url and url is not None and at is not None and r[3] is not None and r[3] < at]
             best = max(old, key=lambda r: (r[3], r[0]), default=None)
             tag = lambda h: h.get("etag", "").removeprefix("W/").strip() or None
-            ok = best and (tag(head) == tag(best[4]) if tag(head) and tag(best[4]) else "last-modified" in head and head.get("last-modified") == best[4].get("last-modified"))
-            merged = best[4] | {k: v for k, v in head.items() if k in warc.PERMITTED} if ok else head
+            ok = best and (tag(head) == tag(best[6]) if tag(head) and tag(best[6]) else "last-modified" in head and head.get("last-modified") == best[6].get("last-modified"))
+            merged = best[6] | {k: v for k, v in head.items() if k in warc.PERMITTED} if ok else head
             out[rid] = (best and best[0], "resolved" if ok else "changed" if best else "unresolved", merged)
     return out
 
@@ -239,13 +291,16 @@ def test_revisits_against_brute_force(spark):
         head = {"etag": r.choice(["a", "W/a", "b", ""]), "cache-control": str(i), "content-length": "1"}
         if r.random() < 0.3:
             head = {"last-modified": r.choice("xy")}
-        recs.append((f"r{i:03}", r.choice(["response", "revisit"]), r.choice(["h.org/a", "h.org/b", "h.org/c", None]), r.choice([None, *range(60)]), head, f"body{i}"))
-    df = spark.createDataFrame([(a, b, c and f"https://www.{c}/?utm_source=x#f", d, e, f) for a, b, c, d, e, f in recs], warc.RECORD)
+        kind = r.choice(["response", "revisit"])
+        code = r.choice([200, 200, 200, None, 404, 206] if kind == "response" else [304, 304, None, 200])
+        profile = r.choice([None, NOT_MODIFIED, NOT_MODIFIED, SAME_BYTES]) if kind == "revisit" else None
+        recs.append((f"r{i:03}", kind, r.choice(["h.org/a", "h.org/b", "h.org/c", None]), r.choice([None, *range(60)]), code, profile, head, b"body%d" % i))
+    df = spark.createDataFrame([(a, b, c and f"https://www.{c}/?utm_source=x#f", *more, "other") for a, b, c, *more in recs], warc.RECORD + ", url string").withColumn("status", F.lit("x"))
     got = {x.record_id: (x.refers_to, x.status, x.headers) for x in warc.resolve_revisits(df).collect()}
     assert got == plain_revisits(recs)
     assert warc.with_bodies(warc.resolve_revisits(df), df).filter("status = 'resolved' and body is null").count() == 0
     assert warc.resolve_revisits(df.limit(0)).count() == 0
-    assert [x.headers for x in warc.resolve_revisits(spark.createDataFrame([("v", "revisit", "http://a/", 1, None, None)], warc.RECORD)).collect()] == [{}]
+    assert [x.headers for x in warc.resolve_revisits(spark.createDataFrame([("v", "revisit", "http://a/", 1, None, None, None, None)], warc.RECORD)).collect()] == [{}]
 
 
 def test_canonical_urls(spark):
@@ -257,11 +312,17 @@ def test_canonical_urls(spark):
 def test_warc_round_trip(spark, tmp_path):
     import gzip
 
-    recs = [("<urn:1>", "response", "http://a/é", 86400, {"etag": "x"}, "body\r\n\r\nmore"), ("<urn:2>", "revisit", "http://a/é", 90000, {"etag": "x"}, "")]
-    (tmp_path / "a.warc.gz").write_bytes(b"".join(gzip.compress(warc.format_record(*r)) for r in recs))
-    (tmp_path / "b.warc").write_bytes(warc.format_record(*recs[0]) + warc.format_record(*recs[1])[:-9])
-    got = sorted((x.record_id, x.warc_type, x.target_uri, x.warc_date, x.headers, x.body) for x in warc.read_warc(spark, str(tmp_path)).collect())
-    assert got == sorted([*recs, recs[0]], key=lambda r: r[0])
+    recs = [("<urn:1>", "response", "http://a/é", 86400, 200, None, {"etag": "x"}, b"body\r\n\r\n\xff more"), ("<urn:2>", "revisit", "http://a/é", 90000, 304, NOT_MODIFIED, {"etag": "x"}, b"")]
+    made = [warc.format_record(i, kind, url, at, head, body, code, profile) for i, kind, url, at, code, profile, head, body in recs]
+    (tmp_path / "a.warc.gz").write_bytes(b"".join(map(gzip.compress, made)))
+    (tmp_path / "b.warc").write_bytes(made[0] + made[1][:-9])
+    (tmp_path / "c.warc.gz").write_bytes(gzip.compress(made[0]) + gzip.compress(made[1])[:-20])
+    odd = made[0].replace(b"1970-01-02T00:00:00Z", b"some day").replace(b"etag: x", b"etag: x\r\nVia: a\r\nvia: b").replace(b"Content-Length: ", b"Content-Length: x")
+    right = len(made[0].split(b"\r\n\r\n", 1)[1]) - 4 + len(b"\r\nVia: a\r\nvia: b")
+    (tmp_path / "d.warc").write_bytes(odd + re.sub(rb"Content-Length: x\d+", b"Content-Length: %d" % right, odd))
+    got = [(*x[:-1], bytes(x[-1])) for x in warc.read_warc(spark, str(tmp_path)).collect()]
+    late = (*recs[0][:3], None, 200, None, {"etag": "x", "via": "a, b"}, recs[0][7])
+    assert sorted(map(repr, got)) == sorted(map(repr, [*recs, recs[0], recs[0], late]))
 
 
 def test_pipeline_stage_by_stage(spark):
