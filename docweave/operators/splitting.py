@@ -84,6 +84,7 @@ def headings(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Every line that may be a heading with its confidence, from the lines around it: ``keep`` tells those that score
     enough and own some body text before the next candidate."""
     w = Window.partitionBy(id_col).orderBy("line_no")
+    back = Window.partitionBy(id_col).orderBy(F.desc("line_no"))  # a frame that grows, where one that shrinks is evaluated anew for each row
     s = fx.collapse(F.col("line"))
     filled = F.nullif(s, F.lit(""))
     r = rows.withColumns(
@@ -93,7 +94,7 @@ def headings(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
             "prev_blank": F.coalesce(F.lag(s == "").over(w), F.lit(True)),
             "next_blank": F.coalesce(F.lead(s == "").over(w), F.lit(True)),
             "prev": F.last(filled, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
-            "next": F.first(filled, ignorenulls=True).over(w.rowsBetween(1, Window.unboundedFollowing)),
+            "next": F.last(filled, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
         }
     )
     n = F.length("s")
@@ -152,11 +153,18 @@ def markdown_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 
 
 def with_heading_paths(elements: DataFrame, id_col: str, order: str) -> DataFrame:
-    """Adds heading_path: a fold over the document's headings in order."""
+    """Adds heading_path: one fold over each document's headings in order; the elements take the last one's path."""
+    heads = elements.filter("kind = 'heading'").groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "level", "text"))).alias("hs"))
+    none = F.array().cast("array<string>")
+    start = F.struct(none.alias("path"), F.array().cast(f"array<struct<at:{dict(elements.dtypes)[order]},path:array<string>>>").alias("out"))
+
+    def step(a: Column, h: Column) -> Column:
+        path = F.concat(F.slice(a["path"], 1, h["level"] - 1), F.array(h["text"]))
+        return F.struct(path.alias("path"), F.concat(a["out"], F.array(F.struct(h["at"].alias("at"), path.alias("path")))).alias("out"))
+
+    paths = heads.select(id_col, F.explode(F.aggregate("hs", start, step, lambda a: a["out"])).alias("h")).select(id_col, F.col("h.at").alias(order), F.col("h.path").alias("__path"))
     w = Window.partitionBy(id_col).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    so_far = F.collect_list(F.when(F.col("kind") == "heading", F.struct("level", "text"))).over(w)
-    path = F.aggregate(so_far, F.array().cast("array<string>"), lambda a, h: F.concat(F.slice(a, 1, h["level"] - 1), F.array(h["text"])))
-    return elements.withColumn("heading_path", path)
+    return elements.join(paths, [id_col, order], "left").withColumn("heading_path", F.coalesce(F.last("__path", ignorenulls=True).over(w), none)).drop("__path")
 
 
 def sections(elements: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -216,27 +224,87 @@ def overlapped(chunks: Column, overlap: int = OVERLAP) -> Column:
     return F.transform(chunks, one)
 
 
+def list_items(text: Column) -> Column:
+    """The items of a list, each with the lines that go on with it; what stands before the first item belongs to none."""
+    rows = F.filter(F.split(text, "\n"), lambda r: F.trim(r) != "")
+    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+
+    def step(a: Column, r: Column) -> Column:
+        item = F.trim(r).rlike(r"^([-*+]|[0-9]+\.)\s+")
+        return F.struct(F.when(item & a["cur"].isNotNull(), F.concat(a["done"], F.array(F.trim(a["cur"])))).otherwise(a["done"]).alias("done"), F.when(item, r).when(a["cur"].isNotNull(), F.concat(a["cur"], F.lit("\n"), r)).alias("cur"))
+
+    return F.aggregate(rows, start, step, lambda a: F.when(a["cur"].isNotNull(), F.concat(a["done"], F.array(F.trim(a["cur"])))).otherwise(a["done"]))
+
+
+def block_units(kind: Column, text: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:
+    """A block in units that are packed whole: itself if it fits; else a table by rows, code by lines, a list by items, all
+    other text by sentences; text that is one sentence in windows that overlap."""
+    check_options(most, most, overlap)
+    plain = lambda t: F.when(F.size(fx.sentences(t, fx.PACKER_ENDS)) > 1, fx.sentences(t, fx.PACKER_ENDS)).otherwise(windows(t, most, overlap))
+    items = list_items(text)
+    listed = F.flatten(F.transform(items, lambda i: F.when(F.length(i) <= most, F.array(i)).otherwise(plain(i))))
+    long = F.when(kind == "table", split_table(text, most)).when(kind == "code", split_code(text, most)).when((kind == "list") & (F.size(items) > 1), listed).otherwise(plain(text))
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(long)
+
+
+def pack_blocks(units: Column, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> Column:
+    """Chunks of units (struct of text, kind and grp: the number of the block that was split, null for a whole one), packed as by
+    ``pack``. Where a chunk ends inside a split block, the next one begins with the last whole sentences or items of it
+    that fit in ``overlap``."""
+    check_options(target, most, overlap)
+    unit = "struct<text:string,kind:string,grp:int>"
+    none = F.array().cast(f"array<{unit}>")
+    start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("cur"), F.lit(0).alias("len"))
+    glued = lambda cur: F.array_join(F.transform(cur, lambda x: x["text"]), "\n\n")
+
+    def parts(u: Column) -> Column:
+        cut = F.when(u["kind"] == "paragraph", fx.sentences(u["text"], fx.PACKER_ENDS)).when(u["kind"] == "list", list_items(u["text"]))
+        cut = F.when(F.size(cut) > 0, cut).when(u["kind"] == "paragraph", F.array(u["text"])).otherwise(F.array().cast("array<string>"))
+        return F.transform(cut, lambda t: F.struct(t.alias("text"), u["kind"].alias("kind"), u["grp"].alias("grp")).cast(unit))
+
+    def tail(cur: Column) -> Column:
+        begin = F.struct(none.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("go"))
+
+        def take(a: Column, u: Column) -> Column:
+            go = a["go"] & (a["n"] + F.length(u["text"]) <= overlap)
+            return F.struct(F.when(go, F.concat(F.array(u), a["kept"])).otherwise(a["kept"]).alias("kept"), F.when(go, a["n"] + F.length(u["text"]) + 2).otherwise(a["n"]).alias("n"), go.alias("go"))
+
+        return F.aggregate(F.reverse(F.flatten(F.transform(cur, parts))), begin, take, lambda a: a["kept"])
+
+    def step(a: Column, u: Column) -> Column:
+        nxt = a["len"] + F.when(a["len"] > 0, 2).otherwise(0) + F.length(u["text"])
+        flush = (a["len"] > 0) & (((a["len"] >= target) & (nxt > target)) | (nxt > most))
+        again = F.when(u["grp"].isNotNull() & F.element_at(a["cur"], -1)["grp"].eqNullSafe(u["grp"]), tail(a["cur"])).otherwise(none) if overlap else none
+        cur = F.concat(F.when(flush, again).otherwise(a["cur"]), F.array(u))
+        return F.struct(F.when(flush, F.concat(a["done"], F.array(glued(a["cur"])))).otherwise(a["done"]).alias("done"), cur.alias("cur"), F.length(glued(cur)).alias("len"))
+
+    kept = F.filter(F.transform(units, lambda u: u.cast(unit)), lambda u: F.trim(u["text"]) != "")
+    return F.aggregate(kept, start, step, lambda a: F.when(a["len"] > 0, F.concat(a["done"], F.array(glued(a["cur"])))).otherwise(a["done"]))
+
+
 def heading_prefix(path: Column, content: Column) -> Column:
     """The last heading of the path in Markdown before the content, unless it is there already."""
     mark = F.concat(F.repeat(F.lit("#"), F.least(F.size(path), F.lit(6))), F.lit(" "), F.element_at(path, -1))
     return F.when((F.size(path) == 0) | content.startswith(mark), content).otherwise(F.concat(mark, F.lit("\n\n"), content))
 
 
-def chunk_elements(elements: DataFrame, id_col: str = "doc_id", target: int = TARGET, most: int = MOST) -> DataFrame:
+def chunk_elements(elements: DataFrame, id_col: str = "doc_id", target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of sections: a table stands alone, code goes with code only, other blocks are packed, each chunk under its
-    heading."""
-    check_options(target, most, 0)
+    heading. Long blocks are split by their kind, and chunks inside one overlap."""
+    check_options(target, most, overlap)
     e = sections(elements, id_col).filter("not context_only and not (kind = 'heading')")
     w = Window.partitionBy(id_col).orderBy("n")
     before = F.lag("kind").over(w)
     apart = (F.col("kind") == "table") | (before == "table") | ((F.col("kind") == "code") != (before == "code"))
     change = F.coalesce((F.lag("section_no").over(w) != F.col("section_no")) | apart, F.lit(True))
     e = e.withColumn("run", F.sum(change.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = e.groupBy(id_col, "run").agg(F.min("n").alias("at"), F.first("heading_path").alias("heading_path"), F.array_sort(F.collect_list(F.struct("n", split_units(F.col("text"), most).alias("units")))).alias("blocks"))
-    units = F.flatten(F.transform("blocks", lambda b: b["units"]))
-    c = runs.select(id_col, "run", "heading_path", F.posexplode(pack(units, target, most)).alias("piece", "content"))
+    group = F.when(F.length("text") > most, F.col("n").cast("int"))
+    units = F.transform(block_units(F.col("kind"), F.col("text"), most, overlap), lambda t: F.struct(t.alias("text"), F.col("kind").alias("kind"), group.alias("grp")))
+    runs = e.groupBy(id_col, "run").agg(F.min("n").alias("at"), F.first("heading_path").alias("heading_path"), F.array_distinct(F.collect_list("kind")).alias("kinds"), F.array_sort(F.collect_list(F.struct("n", units.alias("units")))).alias("blocks"))
+    packed = pack_blocks(F.flatten(F.transform("blocks", lambda b: b["units"])), target, most, overlap)
+    c = runs.select(id_col, "run", "heading_path", "kinds", F.posexplode(packed).alias("piece", "content"))
     c = c.withColumn("content", heading_prefix(F.col("heading_path"), F.col("content")))
-    return c.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("run", "piece")) - 1).alias("chunk_index"), "heading_path", "content")
+    return c.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("run", "piece")) - 1).alias("chunk_index"), "heading_path", F.array_sort("kinds").alias("block_types"), "content")
 
 
 def quality(chunks: DataFrame, content: str = "content", most: int = MOST) -> DataFrame:

@@ -78,3 +78,68 @@ def test_memories_and_summary(spark):
     m = spark.createDataFrame([(1, 1, 5, "2024-01-01", "active"), (1, 2, 5, "2024-01-02", "active"), (1, 3, 9, "2024-01-01", "archived")], "conv int, memory_id int, importance int, updated_at string, status string")
     assert [r.memory_id for r in conversation.top_memories(m, ["conv"], 99).orderBy("rank").collect()] == [2, 1]
     assert one(spark, conversation.labelled_summary(F.lit("g"), F.lit(""), F.lit("d"), F.lit(None))) == "Goal: g\nDecisions: d"
+
+
+def plain_chunks(blocks, target, most, overlap):
+    """Packing of (kind, units) as plain Python; units of a block that was split may overlap."""
+    import re
+
+    sentences = lambda t: [x.strip() for x in re.split(r"(?<=[。！？；.!?;])\s*", t) if x.strip()]
+    out, cur = [], []
+    for n, (kind, units) in enumerate(blocks):
+        group = n if len(units) > 1 else None
+        for u in units:
+            size = len("\n\n".join(x for x, *_ in cur))
+            nxt = size + (2 if size else 0) + len(u)
+            if cur and ((size >= target and nxt > target) or nxt > most):
+                out.append("\n\n".join(x for x, *_ in cur))
+                kept, total = [], 0
+                if group is not None and cur[-1][2] == group:
+                    for x, k, g in reversed([(p, k, g) for t, k, g in cur for p in (sentences(t) if k == "paragraph" else [t])]):
+                        if total + len(x) > overlap:
+                            break
+                        kept, total = [(x, k, g), *kept], total + len(x) + 2
+                cur = kept
+            cur.append((u, kind, group))
+    return [*out, "\n\n".join(x for x, *_ in cur)] if cur else out
+
+
+def test_packing_with_overlap_against_plain_python(spark):
+    import random
+
+    r = random.Random(6)
+    cases = []
+    for _ in range(30):
+        blocks = []
+        for _ in range(r.randrange(1, 5)):
+            sentence = lambda: "".join(r.choice("abc ") for _ in range(r.randrange(3, 40))).strip() + "x."
+            kind = r.choice(["paragraph", "list"])
+            blocks.append((kind, [("- " if kind == "list" else "") + sentence() for _ in range(r.choice([1, 1, 9]))]))
+        cases.append(blocks)
+    rows = [(i, [(u, k, n if len(us) > 1 else None) for n, (k, us) in enumerate(b) for u in us]) for i, b in enumerate(cases)]
+    d = spark.createDataFrame(rows, "i int, units array<struct<text:string,kind:string,grp:int>>")
+    got = {x.i: x.c for x in d.select("i", splitting.pack_blocks(F.col("units"), 80, 120, 50).alias("c")).collect()}
+    assert got == {i: plain_chunks(b, 80, 120, 50) for i, b in enumerate(cases)}
+    assert any(len(set(c)) > 1 for c in got.values())
+
+
+def test_blocks_split_by_their_kind(spark):
+    items = [f"- item {i} " + "w" * 30 for i in range(12)]
+    text = "intro\n" + "\n".join(x if i % 3 else x + "\n  goes on" for i, x in enumerate(items))
+    assert one(spark, splitting.list_items(F.lit(text))) == [x if i % 3 else x + "\n  goes on" for i, x in enumerate(items)]
+    units = lambda kind, t: one(spark, splitting.block_units(F.lit(kind), F.lit(t), 200, 20))
+    assert units("list", text)[1] == items[1] and units("paragraph", "short") == ["short"]
+    assert units("paragraph", "One is here. " * 30) == ["One is here."] * 30
+    assert all(len(x) <= 200 for x in units("paragraph", "y" * 900)) and len(units("paragraph", "y" * 900)) == 5
+    doc = "# T\n\n## A\n\n" + "A sentence of the text. " * 60 + "\n\n" + text + "\n\n## B\n\n| a | b |\n| --- | --- |\n" + "\n".join(f"| {i} | {'v' * 30} |" for i in range(60))
+    c = splitting.chunk_elements(splitting.markdown_elements(spark.createDataFrame([(1, doc)], "doc_id long, text string"))).orderBy("chunk_index").collect()
+    assert all(x.content.startswith("## A\n\n") for x in c if x.heading_path == ["T", "A"]) and all("| --- |" in x.content for x in c if x.block_types == ["table"])
+    first, second = c[0].content, c[1].content
+    shared = second.removeprefix("## A\n\n")[:148]
+    assert len(first) <= 1010 and first.endswith(shared) and shared.startswith("A sentence of the text.")
+
+
+def test_heading_paths_keep_odd_levels(spark):
+    d = spark.createDataFrame([(1, "### B\n\nx\n\n## C\n\ny\n\n## D\n\nz\n\n# E\n\nw")], "doc_id long, text string")
+    got = {r.text: r.heading_path for r in splitting.markdown_elements(d).collect() if r.kind == "paragraph"}
+    assert got == {"x": ["B"], "y": ["B", "C"], "z": ["B", "D"], "w": ["E"]}
