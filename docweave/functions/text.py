@@ -157,3 +157,18 @@ def column_name(index: Column) -> Column:
 
 def is_number(s: Column) -> Column:
     return F.replace(F.replace(F.trim(s), F.lit(","), F.lit("")), F.lit("%"), F.lit("")).rlike(r"^[+-]?([0-9]+(\.[0-9]*)?|\.[0-9]+)([eE][+-]?[0-9]+)?$")
+
+
+def range_label(first_row: Column, last_row: Column, first_col: Column, last_col: Column) -> Column:
+    """A sheet's range as A1:D5; rows and columns count from 1."""
+    return F.concat(column_name(first_col - 1), first_row, F.lit(":"), column_name(last_col - 1), last_row)
+
+
+# What a scrap of a page may begin with, and how long it is at most.
+SCRAP_STARTS, SCRAP_CHARS = "，。、；：）】》", 24
+
+
+def is_scrap(s: Column) -> Column:
+    """Paragraphs that are left over beside tables: empty, or short and begun by a closing sign."""
+    t = F.trim(s)
+    return (t == "") | ((F.length(t) <= SCRAP_CHARS) & F.contains(F.lit(SCRAP_STARTS), F.left(t, F.lit(1))))

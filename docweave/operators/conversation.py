@@ -235,3 +235,12 @@ def top_memories(memories: DataFrame, group: list[str], limit: int) -> DataFrame
     """Active memories by importance, then newest; the limit is held within 1 and 50."""
     rank = F.row_number().over(Window.partitionBy(*group).orderBy(F.desc("importance"), F.desc("updated_at"), F.desc("memory_id")))
     return memories.filter("status = 'active'").withColumn("rank", rank).filter(F.col("rank") <= max(1, min(limit, 50)))
+
+
+def input_budget(configured: Column, window: Column, *reserves: Column) -> Column:
+    """Tokens that a request may use: the configured number, within the model's window less all reserves; window 0 is no
+    bound. At least 1."""
+    free = window
+    for r in reserves:
+        free = free - F.greatest(r, F.lit(0))
+    return F.greatest(F.lit(1), F.when(window <= 0, configured).otherwise(F.least(configured, free)))

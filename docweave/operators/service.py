@@ -103,9 +103,15 @@ def transitions(states: DataFrame, task: str, order: str, status: str) -> DataFr
     return s.withColumn("valid", F.concat_ws(">", "before", status).isin(*[f"{a}>{b}" for a, b in sorted(TRANSITIONS)]))
 
 
-def upsert(table: DataFrame, rows: DataFrame, key: str) -> DataFrame:
-    """Rows by key over those of the table; of equal keys in ``rows`` all are kept, as given."""
-    return table.join(rows.select(key), key, "left_anti").unionByName(rows)
+def upsert(table: DataFrame, rows: DataFrame, key: str, order: str | None = None) -> DataFrame:
+    """Rows by key over those of the table. Of equal keys in ``rows`` the last by ``order`` counts; without one, any of
+    them."""
+    if order:
+        last = F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))
+        rows = rows.withColumn("__n", last).filter("__n = 1").drop("__n")
+    else:
+        rows = rows.dropDuplicates([key])
+    return table.join(rows.select(key), key, "left_anti").unionByName(rows.select(*table.columns))
 
 
 def delete(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
@@ -113,11 +119,54 @@ def delete(table: DataFrame, ids: DataFrame, key: str) -> DataFrame:
     return table.join(ids.select(key).distinct(), key, "left_anti")
 
 
-def sample_negatives(pairs: DataFrame, pool: DataFrame, k: int, seed: int, query: str, doc: str, buckets: int = 16) -> DataFrame:
-    """k documents for each query that are not among its pairs, by a seeded hash. A query draws from a seeded part of the
-    pool (one of ``buckets``), so that queries never meet the whole pool."""
-    q = pairs.select(query).distinct().withColumn("__b", F.pmod(F.xxhash64(F.lit(seed), query), F.lit(buckets)))
-    p = pool.select(doc).withColumn("__b", F.pmod(F.xxhash64(F.lit(seed + 1), doc), F.lit(buckets)))
-    drawn = q.join(p, "__b").join(pairs.select(query, doc), [query, doc], "left_anti")
-    order = Window.partitionBy(query).orderBy(F.xxhash64(F.lit(seed), query, doc), doc)
-    return drawn.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k).select(query, doc, "n")
+def sample_negatives(pairs: DataFrame, pool: DataFrame, k: int, query: str, doc: str, salt: str = "") -> DataFrame:
+    """k documents of the pool for each query that are none of its pairs, all documents being as likely: ``n`` from 1 to k, fewer
+    only if the pool has no more.
+
+    The pool is numbered in the order of a hash (MD5 of ``salt`` and the id), number by number within ranges of the hash, so
+    no task sorts it whole. A query takes the numbers from a place of its own on, as many as k and its pairs, so that k are
+    left when its pairs are gone. Queries meet just those rows: the join is on the number.
+    """
+    cells = 4096
+    told = lambda c: F.md5(F.concat(F.lit(salt), F.col(c).cast("string")))
+    cell = lambda h: F.conv(F.left(h, F.lit(3)), 16, 10).cast("int")
+    p = pool.select(doc).distinct().withColumn("h", told(doc)).withColumn("cell", cell(F.col("h")))
+    sizes = p.groupBy("cell").count()
+    before = F.coalesce(F.sum("count").over(Window.orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # at most 4096 rows
+    within = F.row_number().over(Window.partitionBy("cell").orderBy("h", doc))
+    numbered = p.join(sizes.select("cell", before.alias("first")), "cell").select(doc, (F.col("first") + within - 1).alias("number"))
+    total = numbered.count()
+    own = pairs.groupBy(query).agg(F.count_distinct(doc).alias("taken"))
+    at = F.pmod(F.conv(F.left(told(query), F.lit(15)), 16, 10).cast("long"), F.lit(max(total, 1)))
+    steps = F.sequence(F.lit(0), F.least(F.col("taken") + k, F.lit(total)).cast("int") - 1)
+    asked = own.filter(F.lit(total > 0)).select(query, F.posexplode(steps).alias("step", "_"), at.alias("at")).withColumn("number", (F.col("at") + F.col("step")) % max(total, 1))
+    drawn = asked.join(numbered, "number").join(pairs.select(query, doc).distinct(), [query, doc], "left_anti")
+    return drawn.withColumn("n", F.row_number().over(Window.partitionBy(query).orderBy("step"))).filter(F.col("n") <= k).select(query, doc, "n")
+
+
+def total_parts(size: Column, part: Column) -> Column:
+    return F.floor((size + part - 1) / part).cast("long")
+
+
+def part_bytes(size: Column, part: Column, number: Column) -> Column:
+    """Bytes of one part, counted from 1; the last may be shorter. Numbers that there are not give null."""
+    n = total_parts(size, part)
+    return F.when((number >= 1) & (number < n), part).when(number == n, size - part * (n - 1))
+
+
+def within(asked: Column, there: Column) -> Column:
+    """Whether all elements of the one array are in the other."""
+    return F.size(F.array_except(asked, there)) == 0
+
+
+def touch(conversations: DataFrame, messages: DataFrame, key: str = "thread", order: str = "at") -> DataFrame:
+    """Conversations (key, title, at) after messages (key, at, text): a new thread is added under its first message's first
+    80 signs, one that is there keeps its title, and each has the date of its last message."""
+    seen = messages.groupBy(key).agg(F.max(order).alias("__at"), F.left(F.min_by("text", order), F.lit(80)).alias("__title"))
+    both = conversations.join(seen, key, "full_outer")
+    return both.select(key, F.coalesce("title", "__title").alias("title"), F.greatest(order, "__at").alias(order))
+
+
+def cascade(ids: DataFrame, key: str, *tables: DataFrame) -> list[DataFrame]:
+    """Each table less the rows of those conversations."""
+    return [delete(t, ids, key) for t in tables]

@@ -160,3 +160,59 @@ def workflow(questions: DataFrame, hits: DataFrame, threshold: float = 0.78) ->
     gated = retrieval.gate(found, threshold)
     status = F.when(F.col("route") == "direct", "answered").when((F.col("route") == "tool") & ~F.col("allowed"), "denied").when(F.col("decision") == "confident", "answered").otherwise("review")
     return gated.select("id", "route", "tool", "allowed", status.alias("status"), "decision")
+
+
+def is_source_question(question: Column) -> Column:
+    return conversation.mentions(fx.squeeze(question), conversation.SOURCE_MARKERS)
+
+
+def clip(s: Column, most: int = 480) -> Column:
+    """White space collapsed, cut with three dots."""
+    c = fx.collapse(F.coalesce(s, F.lit("")))
+    return F.when(F.length(c) <= most, c).otherwise(F.concat(F.rtrim(F.left(c, F.lit(most - 3))), F.lit("...")))
+
+
+def tool_summary(tool: Column, ok: Column, error: Column, data: Column) -> Column:
+    """A tool result in one line, from the shape of its data (JSON): a failure's message, a content under its name, the first
+    three of chunks, the first five of documents, else the data itself."""
+    text = lambda path: F.get_json_object(data, path)
+    first = lambda j, *keys: F.coalesce(*[F.nullif(F.get_json_object(j, f"$.{k}"), F.lit("")) for k in keys], F.lit(""))
+    rows = lambda path: F.from_json(text(path), "array<string>")
+    some = lambda path, n, most, *keys: F.transform(F.slice(rows(path), 1, n), lambda j: clip(first(j, *keys), most))
+    label = F.coalesce(first(data, "filename", "title"), F.lit(""))
+    return (
+        F.when(~ok, clip(F.coalesce(F.nullif(error, F.lit("")), F.lit("工具执行失败"))))
+        .when(text("$.content").isNotNull(), clip(F.concat(F.when(label == "", tool).otherwise(label), F.lit(": "), text("$.content"))))
+        .when(rows("$.chunks").isNotNull(), clip(F.concat(tool, F.lit(" 返回 "), F.size(rows("$.chunks")), F.lit(" 个 chunk；"), F.array_join(some("$.chunks", 3, 180, "content", "title"), "；"))))
+        .when(rows("$.documents").isNotNull(), clip(F.concat(tool, F.lit(" 返回 "), F.size(rows("$.documents")), F.lit(" 个文档："), F.array_join(some("$.documents", 5, 80, "filename", "title"), "、"))))
+        .otherwise(clip(F.coalesce(data, F.lit("{}"))))
+    )
+
+
+def citation(doc_id: Column, chunk_id: Column, item_id: Column, title: Column, score: Column) -> Column:
+    return F.struct(doc_id.alias("doc_id"), chunk_id.alias("chunk_id"), item_id.alias("knowledge_item_id"), title.alias("title"), score.alias("score"))
+
+
+def docs_preview(hits: DataFrame, by: str, most: int = 3) -> DataFrame:
+    """(by, preview): a line for each of the first hits (rank, title, chunk_id, score, content)."""
+    line = F.concat(F.lit("["), F.col("rank"), F.lit("] "), F.col("title"), F.lit(" | chunk_id="), F.coalesce(F.col("chunk_id").cast("string"), F.lit("None")), F.lit(" | score="), F.format_string("%.4f", F.round("score", 4)), F.lit(" | "), fx.preview(F.col("content"), 80))
+    lines = F.array_sort(F.collect_list(F.struct("rank", line.alias("line"))))
+    return hits.filter(F.col("rank") <= most).groupBy(by).agg(F.array_join(F.transform(lines, lambda x: x["line"]), "\n").alias("preview"))
+
+
+def source_of(asked: DataFrame, hits: DataFrame, previous: DataFrame) -> DataFrame:
+    """The source of an answer for each (id, document_id, filename): the first hit of that document (rank, doc_id, chunk_id,
+    title, content), else the last answer's citation of it (doc_id, chunk_id, title), else the document itself."""
+    top = hits.groupBy("id", F.col("doc_id").alias("document_id")).agg(F.min_by(F.struct("chunk_id", "title", "content"), "rank").alias("hit"))
+    old = previous.groupBy("id", F.col("doc_id").alias("document_id")).agg(F.min_by(F.struct("chunk_id", "title"), "n").alias("old"))
+    both = asked.join(top, ["id", "document_id"], "left").join(old, ["id", "document_id"], "left")
+    title = F.coalesce("filename", "hit.title", "old.title", F.lit("-"))
+    kind = F.when(F.col("hit").isNotNull(), "hit").when(F.col("old").isNotNull(), "citation").otherwise("document")
+    return both.select("id", "document_id", title.alias("title"), F.coalesce("hit.chunk_id", "old.chunk_id").alias("chunk_id"), kind.alias("found_in"), F.col("hit.content").alias("content"))
+
+
+def response(states: DataFrame) -> DataFrame:
+    """What a caller gets of a question's end state (id, answer, route, citations and more): every field has its default."""
+    has = lambda c, default: F.coalesce(F.col(c), default).alias(c) if c in states.columns else default.alias(c)
+    none = F.array().cast("array<bigint>")
+    return states.select("id", has("answer", F.lit("")), has("route", F.lit("rag")), has("citations", none), has("used_fallback", F.lit(False)), has("need_review", F.lit(False)), has("rewritten", F.lit("")))

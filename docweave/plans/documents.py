@@ -333,11 +333,21 @@ def gen_subset(spark: SparkSession, d: str) -> DataFrame:
     b = table(spark, d, "benchmark").select(F.col("item_id").alias("query_id"))
     docs = _docs(spark, d).select("doc_id")
     pairs = b.withColumn("m", F.col("query_id") % 40).join(docs.withColumn("m", F.col("doc_id") % 40), "m").select("query_id", "doc_id")
-    return service.sample_negatives(pairs, docs, 5, 17, "query_id", "doc_id", buckets=4)
+    return service.sample_negatives(pairs, docs, 5, "query_id", "doc_id")
+
+
+GEN_SUBSET = """
+with pairs as (select item_id as query_id, doc_id from benchmark join documents on item_id % 40 = doc_id % 40),
+num as (select doc_id, row_number() over (order by md5(doc_id::varchar), doc_id) - 1 as number from (select distinct doc_id from documents)),
+own as (select query_id, count(distinct doc_id) as taken, ('0x' || left(md5(query_id::varchar), 15))::bigint % (select count(*) from num) as place from pairs group by 1),
+asked as (select query_id, step, (place + step) % (select count(*) from num) as number from (select *, unnest(range(least(taken + 5, (select count(*) from num)))) as step from own)),
+drawn as (select query_id, doc_id, step from asked join num using (number) where (query_id, doc_id) not in (select query_id, doc_id from pairs))
+select query_id, doc_id, (row_number() over (partition by query_id order by step))::int as n from drawn qualify n <= 5
+"""
 
 
 def _rows_only() -> dict:
-    return {"tvf_split": (tvf_split, None), "tvf_snapshot": (tvf_snapshot, None), "gen_subset": (gen_subset, None)}
+    return {"tvf_split": (tvf_split, None), "tvf_snapshot": (tvf_snapshot, None)}
 
 
 QUERIES = {k: (globals()[k], globals()[k.upper()]) for k in [x for x in list(globals()) if x.upper() in globals() and x.islower() and not x.startswith("_") and callable(globals()[x])]} | _rows_only()

@@ -369,4 +369,63 @@ def snk_benchmark_import(spark: SparkSession, d: str) -> DataFrame:
 
 SNK_BENCHMARK_IMPORT = "select 'benchmark:' || item_id as tag, sha256(text) as content_sha256 from benchmark where item_id % 4 <> 0"
 
+
+def fn_parts(spark: SparkSession, d: str) -> DataFrame:
+    """Orders as uploads of as many bytes as their price, in parts of 5000; the size of every part."""
+    o = table(spark, d, "orders").select("o_orderkey", F.col("o_totalprice").cast("long").alias("size"))
+    o = o.withColumn("parts", service.total_parts(F.col("size"), F.lit(5000)))
+    o = o.filter("parts > 0").select("o_orderkey", "size", "parts", F.explode(F.sequence(F.lit(1).cast("long"), F.col("parts"))).alias("part"))
+    return o.select("o_orderkey", "parts", "part", service.part_bytes(F.col("size"), F.lit(5000), F.col("part")).alias("bytes"))
+
+
+FN_PARTS = """
+with o as (select o_orderkey, trunc(o_totalprice)::bigint as size, (trunc(o_totalprice)::bigint + 4999) // 5000 as parts from orders)
+select o_orderkey, parts, part, case when part < parts then 5000 else size - 5000 * (parts - 1) end as bytes from (select *, unnest(range(1, parts + 1)) as part from o)
+"""
+
+
+def set_subset(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the line numbers of an order are all among 1 to 4."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.collect_set("l_linenumber").alias("have"))
+    return lines.select("l_orderkey", service.within(F.col("have"), F.array(*map(F.lit, (1, 2, 3, 4)))).alias("inside"))
+
+
+SET_SUBSET = "select l_orderkey, max(l_linenumber) <= 4 and min(l_linenumber) >= 1 as inside from lineitem group by 1"
+
+
+def st_conversation(spark: SparkSession, d: str) -> DataFrame:
+    """Conversations of even id exist with a title of their own; all messages touch them or add them; every tenth is deleted
+    with its messages, which are counted."""
+    m = table(spark, d, "conversations").select(F.col("conv_id").alias("thread"), F.col("turn").alias("at"), "text")
+    have = m.select("thread").distinct().filter("thread % 2 = 0").select("thread", F.concat(F.lit("kept "), "thread").alias("title"), F.lit(-1).cast("long").alias("at"))
+    gone = m.select("thread").distinct().filter("thread % 10 = 0")
+    left, messages = service.cascade(gone, "thread", service.touch(have, m), m)
+    return left.join(messages.groupBy("thread").agg(F.count("*").alias("messages")), "thread").select("thread", F.md5("title").alias("title_md5"), "at", "messages")
+
+
+ST_CONVERSATION = """
+select conv_id as thread, md5(case when conv_id % 2 = 0 then 'kept ' || conv_id else left(arg_min(text, turn), 80) end) as title_md5, max(turn) as at, count(*) as messages from conversations where conv_id % 10 <> 0 group by 1
+"""
+
+
+def fn_budget(spark: SparkSession, d: str) -> DataFrame:
+    """Budgets of requests: the price is what is configured, the window is 0 for every third order."""
+    from docweave.operators import conversation
+
+    configured, window = F.col("o_totalprice").cast("int"), F.when(F.col("o_orderkey") % 3 == 0, 0).otherwise(F.col("o_orderkey") * 100).cast("int")
+    return table(spark, d, "orders").select("o_orderkey", conversation.input_budget(configured, window, F.lit(2000), F.lit(-5), F.lit(300)).alias("budget"))
+
+
+FN_BUDGET = """
+select o_orderkey, greatest(1, case when o_orderkey % 3 = 0 then trunc(o_totalprice)::int else least(trunc(o_totalprice)::int, (o_orderkey * 100)::int - 2300) end) as budget from orders
+"""
+
+
+def fn_range_label(spark: SparkSession, d: str) -> DataFrame:
+    key = F.col("p_partkey").cast("int")
+    return table(spark, d, "part").select("p_partkey", fx.range_label(key, key + F.col("p_size"), key % 26 + 1, key % 26 + 27).alias("label"))
+
+
+FN_RANGE_LABEL = "select p_partkey, chr((65 + p_partkey % 26)::int) || p_partkey || ':A' || chr((65 + p_partkey % 26)::int) || (p_partkey + p_size) as label from part"
+
 QUERIES = {k: (globals()[k], globals()[k.upper()]) for k in [x for x in list(globals()) if x.upper() in globals() and x.islower() and callable(globals()[x])]}

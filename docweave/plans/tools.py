@@ -163,4 +163,94 @@ def wf_questions(spark: SparkSession, d: str) -> DataFrame:
     return tools.workflow(q, hits)
 
 
+
+def fn_source_q(spark: SparkSession, d: str) -> DataFrame:
+    return _asked(spark, d).select("conv_id", "turn", tools.is_source_question(F.col("question")).alias("source"))
+
+
+FN_SOURCE_Q = f"select conv_id, turn, contains({_ASKED}[(conv_id + turn) % {len(_ASKED)} + 1], '出处') as source from conversations"
+
+
+def fn_tool_summary(spark: SparkSession, d: str) -> DataFrame:
+    """Results made of messages, of each shape by turn; every fifth failed, every tenth without a message."""
+    t = F.col("text")
+    row = lambda name: F.struct(t.alias(name))
+    data = F.element_at(F.array(F.to_json(F.struct(F.col("role").alias("filename"), t.alias("content"))), F.to_json(F.struct(F.array(*[row("content")] * 4).alias("chunks"))), F.to_json(F.struct(F.array(row("filename"), row("filename")).alias("documents"))), F.lit('{"n":1}')), (F.col("turn") % 4 + 1).cast("int"))
+    error = F.when(F.col("conv_id") % 10 == 0, "").otherwise(t)
+    out = table(spark, d, "conversations").select("conv_id", "turn", tools.tool_summary(F.lit("tool"), F.col("conv_id") % 5 != 0, error, data).alias("summary"))
+    return out.select("conv_id", "turn", F.md5("summary").alias("summary_md5"))
+
+
+_CLIP = lambda c, n: f"case when length({c}) <= {n} then {c} else rtrim(left({c}, {n - 3}), ' ') || '...' end"
+FN_TOOL_SUMMARY = rf"""
+with m as (select conv_id, turn, role, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from conversations),
+p as (select *, {_CLIP("t", 180)} as chunk, {_CLIP("t", 80)} as doc from m),
+q as (select *, case when conv_id % 10 = 0 then '工具执行失败' when conv_id % 5 = 0 then t when turn % 4 = 0 then trim(role || ': ' || t) when turn % 4 = 1 then trim('tool 返回 4 个 chunk；' || chunk || '；' || chunk || '；' || chunk)
+  when turn % 4 = 2 then trim('tool 返回 2 个文档：' || doc || '、' || doc) else '{{"n":1}}' end as s from p)
+select conv_id, turn, md5({_CLIP("s", 480)}) as summary_md5 from q
+"""
+
+
+def _message_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Messages of a conversation as hits: their number is document and rank, role the title."""
+    return table(spark, d, "conversations").select(F.col("conv_id").alias("id"), (F.col("turn") + 1).cast("int").alias("rank"), F.col("turn").alias("doc_id"), F.when(F.col("turn") % 3 != 0, F.col("turn") * 10).alias("chunk_id"), F.col("role").alias("title"), (1 / (F.col("turn") + 1)).alias("score"), F.col("text").alias("content"))
+
+
+def prj_citation(spark: SparkSession, d: str) -> DataFrame:
+    c = _message_hits(spark, d).select("id", "rank", tools.citation(F.col("doc_id"), F.col("chunk_id"), F.lit(None).cast("long"), F.col("title"), F.round("score", 6)).alias("c"))
+    return c.select("id", "rank", "c.*")
+
+
+PRJ_CITATION = "select conv_id as id, (turn + 1)::int as rank, turn as doc_id, case when turn % 3 <> 0 then turn * 10 end as chunk_id, null::bigint as knowledge_item_id, role as title, round(1.0::double / (turn + 1), 6) as score from conversations"
+
+
+def prj_docs_preview(spark: SparkSession, d: str) -> DataFrame:
+    return tools.docs_preview(_message_hits(spark, d), "id").select("id", F.md5("preview").alias("preview_md5"))
+
+
+PRJ_DOCS_PREVIEW = r"""
+with c as (select *, trim(regexp_replace(text, '\s+', ' ', 'g')) as t from conversations where turn < 3)
+select conv_id as id, md5(string_agg('[' || (turn + 1) || '] ' || role || ' | chunk_id=' || case when turn % 3 <> 0 then (turn * 10)::varchar else 'None' end || ' | score=' || printf('%.4f', round(1.0::double / (turn + 1), 4)) || ' | ' || case when length(t) <= 80 then t else left(t, 77) || '...' end, chr(10) order by turn)) as preview_md5 from c group by 1
+"""
+
+
+def join_source(spark: SparkSession, d: str) -> DataFrame:
+    """The source of each conversation's answer, message 2 (for every second conversation 9): among the hits, else among the
+    citations (turns from 8 on), else as the tool named it."""
+    hits = _message_hits(spark, d).filter("rank <= 4")
+    asked = hits.select("id").distinct().select("id", F.when(F.col("id") % 2 == 0, 9).otherwise(2).cast("long").alias("document_id"), F.when(F.col("id") % 4 == 0, "file").alias("filename"))
+    old = _message_hits(spark, d).filter("rank > 8").select("id", "doc_id", "chunk_id", "title", F.col("rank").alias("n"))
+    out = tools.source_of(asked, hits, old)
+    return out.select("id", "document_id", "title", "chunk_id", "found_in", F.md5("content").alias("content_md5"))
+
+
+JOIN_SOURCE = """
+with a as (select distinct conv_id as id, case when conv_id % 2 = 0 then 9 else 2 end::bigint as document_id, case when conv_id % 4 = 0 then 'file' end as filename from conversations)
+select id, document_id, coalesce(filename, h.role, o.role, '-') as title, case when h.conv_id is not null and h.turn % 3 <> 0 then h.turn * 10 when o.conv_id is not null and o.turn % 3 <> 0 then o.turn * 10 end as chunk_id,
+  case when h.conv_id is not null then 'hit' when o.conv_id is not null then 'citation' else 'document' end as found_in, md5(h.text) as content_md5
+from a left join (select * from conversations where turn < 4) h on h.conv_id = id and h.turn = document_id left join (select * from conversations where turn >= 8) o on o.conv_id = id and o.turn = document_id
+"""
+
+
+def prj_response(spark: SparkSession, d: str) -> DataFrame:
+    states = table(spark, d, "conversations").filter("turn = 0").select(F.col("conv_id").alias("id"), F.when(F.col("conv_id") % 2 == 0, F.col("text")).alias("answer"), F.when(F.col("conv_id") % 3 == 0, "direct").alias("route"))
+    out = tools.response(states)
+    return out.select("id", F.md5("answer").alias("answer_md5"), "route", F.size("citations").alias("n_citations"), "used_fallback", "need_review", "rewritten")
+
+
+PRJ_RESPONSE = "select conv_id as id, md5(case when conv_id % 2 = 0 then text else '' end) as answer_md5, case when conv_id % 3 = 0 then 'direct' else 'rag' end as route, 0::int as n_citations, false as used_fallback, false as need_review, '' as rewritten from conversations where turn = 0"
+
+
+def fn_pdf_noise(spark: SparkSession, d: str) -> DataFrame:
+    """Messages from their 20th sign on, behind a closing sign in every third conversation."""
+    s = F.concat(F.when(F.col("conv_id") % 3 == 0, "，").otherwise(""), F.substring("text", 20, 60))
+    return table(spark, d, "conversations").select("conv_id", "turn", fx.is_scrap(s).alias("scrap"))
+
+
+FN_PDF_NOISE = """
+with c as (select conv_id, turn, trim(case when conv_id % 3 = 0 then '，' else '' end || substring(text, 20, 60), ' ') as s from conversations)
+select conv_id, turn, s = '' or (length(s) <= 24 and contains('，。、；：）】》', left(s, 1))) as scrap from c
+"""
+
+
 QUERIES = {k: (globals()[k], globals()[k.upper()]) for k in [x for x in list(globals()) if x.upper() in globals() and x.islower() and callable(globals()[x])]} | {"fn_sse_split": (fn_sse_split, None), "wf_questions": (wf_questions, None)}

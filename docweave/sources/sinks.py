@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,18 +13,43 @@ def write_version(chunks: DataFrame, base: str, version: int, partition: str = "
     return path
 
 
-def activate(spark: SparkSession, base: str, version: int, alias: str) -> None:
-    """Readers of the alias see this version from now on; a view is swapped in one step."""
-    spark.read.parquet(f"{base.rstrip('/')}/v={version}").createOrReplaceTempView(alias)
+def activate(spark: SparkSession, base: str, version: int) -> None:
+    """Readers that come from now on see this version: a pointer beside the versions names it. Pointers are only added, each
+    under the number of the change, so no reader ever finds none or half of one; the last one counts."""
+    at = f"{base.rstrip('/')}/_current"
+    last = _pointers(spark, base)
+    n = (last.agg(F.max("change")).first()[0] or 0) + 1 if last is not None else 1
+    spark.createDataFrame([(n, version)], "change long, version long").coalesce(1).write.mode("append").parquet(at)
 
 
-def reindex(chunks: DataFrame, base: str, version: int, alias: str, partition: str = "knowledge_base_id") -> None:
-    """Writes all knowledge bases and activates only if every row arrived."""
-    path = write_version(chunks, base, version, partition)
+def _pointers(spark: SparkSession, base: str) -> DataFrame | None:
+    from pyspark.errors import AnalysisException
+
+    try:
+        return spark.read.schema("change long, version long").parquet(f"{base.rstrip('/')}/_current")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return None
+
+
+def read_current(spark: SparkSession, base: str) -> DataFrame:
+    """The version of the index that is in force, in any session."""
+    last = _pointers(spark, base)
+    if last is None:
+        raise FileNotFoundError(f"no version of {base} is in force")
+    version = last.agg(F.max_by("version", "change")).first()[0]
+    return spark.read.parquet(f"{base.rstrip('/')}/v={version}")
+
+
+def reindex(chunks: DataFrame, base: str, version: int, partition: str = "knowledge_base_id") -> None:
+    """Writes all knowledge bases and activates only if every row that went in can be read again."""
     spark = chunks.sparkSession
-    if spark.read.parquet(path).count() != chunks.count():
-        raise RuntimeError("the new version is not whole; the alias stays")
-    activate(spark, base, version, alias)
+    seen = Observation()
+    path = write_version(chunks.observe(seen, F.count(F.lit(1)).alias("n")), base, version, partition)
+    if spark.read.parquet(path).count() != seen.get["n"]:
+        raise RuntimeError("the new version is not whole; the one in force stays")
+    activate(spark, base, version)
 
 
 def overwrite_documents(chunks: DataFrame, path: str) -> None:

@@ -5,6 +5,8 @@ import zipfile
 
 from pyspark.sql import functions as F
 
+import pytest
+
 from docweave.sources import files, sinks
 
 
@@ -72,9 +74,14 @@ def test_qrels_and_cases(spark, tmp_path):
 
 def test_versions_and_frames(spark, tmp_path):
     c = spark.createDataFrame([(1, "a"), (2, "b")], "knowledge_base_id long, content string")
-    sinks.reindex(c, str(tmp_path / "ix"), 1, "idx")
-    assert spark.table("idx").count() == 2
-    sinks.reindex(c.limit(1), str(tmp_path / "ix"), 2, "idx")
-    assert spark.table("idx").count() == 1
+    base = str(tmp_path / "ix")
+    with pytest.raises(FileNotFoundError):
+        sinks.read_current(spark, base)
+    sinks.reindex(c, base, 1)
+    assert sinks.read_current(spark, base).count() == 2
+    sinks.reindex(c.limit(1), base, 2)
+    assert sinks.read_current(spark.newSession(), base).count() == 1
+    sinks.activate(spark, base, 1)
+    assert sinks.read_current(spark, base).count() == 2
     f = sinks.event_frames(spark.createDataFrame([("t", 0, "answer", "a\nb")], "thread string, n int, event string, data string")).first().frame
     assert f == "event: answer\ndata: a\ndata: b\n\n"
