@@ -422,3 +422,54 @@ def text_sections(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     r = rows.join(kept, [id_col, "line_no"], "left").withColumn("section_no", F.sum(F.col("heading").isNotNull().cast("int")).over(w))
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("heading").isNull() & (F.trim("line") != ""), F.struct("line_no", F.trim("line").alias("line"))))), lambda x: x["line"]), "\n")
     return r.groupBy(id_col, "section_no").agg(F.max("heading").alias("heading"), F.max("level").alias("level"), body.alias("text")).filter("heading is not null or text <> ''")
+
+
+def heading_levels(headings_: DataFrame, id_col: str, order: str) -> DataFrame:
+    """Plain text's headings (order, heading, pattern, level) with ``level`` brought in line and ``heading_path``: a heading is at
+    most one below the last one's depth, the first is at the top, and one of an enumeration follows its like as a sibling."""
+    rows = headings_.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), "heading", "pattern", "level"))).alias("hs"))
+    part = "struct<heading:string,pattern:string>"
+    start = F.struct(F.array().cast(f"array<{part}>").alias("stack"), F.array().cast(f"array<struct<at:{dict(headings_.dtypes)[order]},heading:string,level:int,path:array<string>>>").alias("out"))
+
+    def step(a: Column, h: Column) -> Column:
+        depth = F.size(a["stack"])
+        sibling = h["pattern"].isin("cn_enum", "paren_enum") & F.get(a["stack"], depth - 1)["pattern"].eqNullSafe(h["pattern"])
+        level = F.when((h["level"] <= 1) | (depth == 0), 1).when(sibling, depth).otherwise(F.least(h["level"], depth + 1))
+        stack = F.concat(F.slice(a["stack"], 1, level - 1), F.array(F.struct(h["heading"].alias("heading"), h["pattern"].alias("pattern")).cast(part)))
+        row = F.struct(h["at"].alias("at"), h["heading"].alias("heading"), level.cast("int").alias("level"), F.transform(stack, lambda x: x["heading"]).alias("path"))
+        return F.struct(stack.alias("stack"), F.concat(a["out"], F.array(row)).alias("out"))
+
+    out = rows.select(id_col, F.explode(F.aggregate("hs", start, step, lambda a: a["out"])).alias("h"))
+    return out.select(id_col, F.col("h.at").alias(order), "h.heading", "h.level", F.col("h.path").alias("heading_path"))
+
+
+def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+    """Plain text as elements: its headings (where ``least`` of them stay) and the paragraphs between them, else its
+    paragraphs only."""
+    rows = lines(docs, id_col, text_col)
+    kept = headings(rows, id_col).filter("keep").withColumn("__n", F.count("*").over(Window.partitionBy(id_col))).filter(F.col("__n") >= least)
+    levels = heading_levels(kept.select(id_col, "line_no", "heading", "pattern", "level"), id_col, "line_no")
+    w = Window.partitionBy(id_col).orderBy("line_no")
+    so_far = w.rowsBetween(Window.unboundedPreceding, 0)
+    r = rows.join(levels, [id_col, "line_no"], "left").withColumn("kind", F.when(F.col("heading").isNotNull(), "heading").when(F.trim("line") == "", "blank").otherwise("paragraph"))
+    new = (F.col("kind") == "heading") | (F.col("kind") != F.coalesce(F.lag("kind").over(w), F.lit("blank")))
+    r = r.withColumns({"el": F.sum(new.cast("int")).over(so_far), "path": F.coalesce(F.last("heading_path", ignorenulls=True).over(so_far), F.array().cast("array<string>"))}).filter("kind <> 'blank'")
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))), lambda x: x["line"]), "\n")
+    e = r.groupBy(id_col, "el").agg(F.first("kind").alias("kind"), F.coalesce(F.max("heading"), body).alias("text"), F.max("level").alias("level"), F.min_by("path", "line_no").alias("heading_path"))
+    return e.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("el")).alias("n"), "kind", "text", "level", "heading_path")
+
+
+#: File types and who reads them; a type is lower-cased, without blanks and a leading dot.
+MARKDOWN, PLAIN = ("md", "markdown"), ("txt", "text")
+
+
+def file_type(name: Column) -> Column:
+    return F.lower(F.regexp_replace(F.trim(name), "^\\.", ""))
+
+
+def elements_of(docs: DataFrame, type_col: str = "file_type", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Elements of text documents by the parser of their type. Types that none reads are refused when the rows are read."""
+    kind = file_type(F.col(type_col))
+    known = F.when(kind.isin(*MARKDOWN, *PLAIN), kind).otherwise(F.raise_error(F.concat(F.lit("no parser for the file type "), F.coalesce(kind, F.lit("null")))))
+    told = docs.select(id_col, text_col, known.alias("__type"))
+    return markdown_elements(told.filter(F.col("__type").isin(*MARKDOWN)), id_col, text_col).unionByName(text_elements(told.filter(F.col("__type").isin(*PLAIN)), id_col, text_col))

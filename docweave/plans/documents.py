@@ -180,6 +180,13 @@ def tvf_split(spark: SparkSession, d: str) -> DataFrame:
     return c.select("doc_id", F.col("chunk_index").cast("long").alias("chunk_index"), F.array_join("heading_path", " > ").alias("heading_path"), F.length("content").alias("length"), F.md5("content").alias("content_md5"))
 
 
+def src_type_dispatch(spark: SparkSession, d: str) -> DataFrame:
+    """Elements of all documents, every third read as plain text, the others as Markdown."""
+    kind = F.when(F.col("doc_id") % 3 == 0, " .TXT").otherwise("md")
+    e = splitting.elements_of(_docs(spark, d).withColumn("file_type", kind))
+    return e.groupBy("doc_id").agg(F.count("*").alias("elements"), F.count_if(F.col("kind") == "heading").alias("headings"), F.max(F.size("heading_path")).alias("depth"))
+
+
 def tvf_snapshot(spark: SparkSession, d: str) -> DataFrame:
     """All elements of a document as one JSON text; nulls are left out."""
     e = splitting.sections(splitting.markdown_elements(_docs(spark, d)))
@@ -347,7 +354,7 @@ select query_id, doc_id, (row_number() over (partition by query_id order by step
 
 
 def _rows_only() -> dict:
-    return {"tvf_split": (tvf_split, None), "tvf_snapshot": (tvf_snapshot, None)}
+    return {"src_type_dispatch": (src_type_dispatch, None), "tvf_split": (tvf_split, None), "tvf_snapshot": (tvf_snapshot, None)}
 
 
 QUERIES = {k: (globals()[k], globals()[k.upper()]) for k in [x for x in list(globals()) if x.upper() in globals() and x.islower() and not x.startswith("_") and callable(globals()[x])]} | _rows_only()

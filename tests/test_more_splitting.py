@@ -143,3 +143,23 @@ def test_heading_paths_keep_odd_levels(spark):
     d = spark.createDataFrame([(1, "### B\n\nx\n\n## C\n\ny\n\n## D\n\nz\n\n# E\n\nw")], "doc_id long, text string")
     got = {r.text: r.heading_path for r in splitting.markdown_elements(d).collect() if r.kind == "paragraph"}
     assert got == {"x": ["B"], "y": ["B", "C"], "z": ["B", "D"], "w": ["E"]}
+
+
+def test_plain_text_elements(spark):
+    text = "第一章 总则\n本章说明适用范围和基本要求。\n\n1.1 目的\n为了规范流程，特制定本办法。\n\n第 二 章 职责\n各部门应当按照分工履行职责。"
+    d = spark.createDataFrame([(1, text, "TXT "), (2, "Only one line of text here.\n\nAnd a second paragraph.", ".text"), (3, "# A\n\nb", "md")], "doc_id long, text string, file_type string")
+    got = {}
+    for r in splitting.elements_of(d).orderBy("doc_id", "n").collect():
+        got.setdefault(r.doc_id, []).append((r.kind, r.level, r.heading_path))
+    a, b, c = got[1][0][2][0], got[1][2][2][-1], got[1][4][2][0]
+    assert got[1] == [("heading", 1, [a]), ("paragraph", None, [a]), ("heading", 2, [a, b]), ("paragraph", None, [a, b]), ("heading", 1, [c]), ("paragraph", None, [c])]
+    assert [k for k, *_ in got[2]] == ["paragraph", "paragraph"] and got[3] == [("heading", 1, ["A"]), ("paragraph", None, ["A"])]
+    with __import__("pytest").raises(Exception, match="no parser"):
+        splitting.elements_of(d.withColumn("file_type", F.lit("exe"))).collect()
+
+
+def test_heading_levels_stay_in_line(spark):
+    rows = [(1, 0, "二、x", "cn_enum", 2), (1, 1, "三、y", "cn_enum", 2), (1, 2, "1.1.1 z", "decimal", 3), (1, 3, "1.1.1.1 w", "decimal", 4), (1, 4, "四、v", "cn_enum", 2), (1, 5, "top", "chapter", 1)]
+    d = spark.createDataFrame(rows, "doc_id long, line_no int, heading string, pattern string, level int")
+    got = [(r.level, r.heading_path) for r in splitting.heading_levels(d, "doc_id", "line_no").orderBy("line_no").collect()]
+    assert got == [(1, ["二、x"]), (1, ["三、y"]), (2, ["三、y", "1.1.1 z"]), (3, ["三、y", "1.1.1 z", "1.1.1.1 w"]), (2, ["三、y", "四、v"]), (1, ["top"])]
