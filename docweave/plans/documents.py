@@ -150,7 +150,7 @@ def tvf_pack_simple(spark: SparkSession, d: str) -> DataFrame:
     return _chunks(spark, d).select("doc_id", "chunk_index", F.length("content").alias("length"), F.md5("content").alias("content_md5"))
 
 
-_PACKED = f"""
+PACKED = f"""
 p as (select doc_id, {_parts(fx.PACKER_ENDS)} as parts from documents),
 f as (select doc_id, list_reduce(list_prepend({{'done': []::varchar[], 'cur': ''}}, list_transform(parts, lambda x : {{'done': []::varchar[], 'cur': x}})),
   lambda a, x : case when length(a.cur) = 0 then {{'done': a.done, 'cur': x.cur}}
@@ -159,14 +159,14 @@ f as (select doc_id, list_reduce(list_prepend({{'done': []::varchar[], 'cur': ''
 k as (select doc_id, case when length(r.cur) > 0 then list_append(r.done, r.cur) else r.done end as chunks from f),
 chunks as (select doc_id, unnest(chunks) as content, (generate_subscripts(chunks, 1) - 1)::int as chunk_index from k)
 """
-TVF_PACK_SIMPLE = f"with {_PACKED} select doc_id, chunk_index, length(content)::int as length, md5(content) as content_md5 from chunks"
+TVF_PACK_SIMPLE = f"with {PACKED} select doc_id, chunk_index, length(content)::int as length, md5(content) as content_md5 from chunks"
 
 
 def agg_split_quality(spark: SparkSession, d: str) -> DataFrame:
     return splitting.quality(_chunks(spark, d))
 
 
-AGG_SPLIT_QUALITY = rf"""with {_PACKED}
+AGG_SPLIT_QUALITY = rf"""with {PACKED}
 select count(*) as chunks, round(avg(length(content)), 4) as avg_length, min(length(content))::int as min_length, max(length(content))::int as max_length, count(*) filter (length(content) > 1000) as oversized,
   count(*) filter (regexp_matches(trim(regexp_replace(content, '\s+', ' ', 'g')), '^(第?\s*[0-9]+\s*页?|[pP]age\s+[0-9]+|[0-9]+\s*/\s*[0-9]+|[ivxlcIVXLC]+|[-_=*·.\s]{{3,}})$')) as noise,
   count(*) filter (regexp_matches(trim(string_split(content, chr(10))[1], ' '), '^[,，。.;；:：、)）\]】]')) as suspicious_starts,

@@ -9,6 +9,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from docweave.plans.documents import PACKED
 from docweave.streaming import jobs
 
 
@@ -50,4 +51,22 @@ def st_job_states(spark: SparkSession, d: str) -> DataFrame:
     return out.groupBy("job_id").agg(F.max_by(F.struct("failures", "status"), "batch").alias("s")).select("job_id", "s.failures", "s.status")
 
 
-QUERIES = {"st_pipeline": (st_pipeline, None), "st_sessions": (st_sessions, None), "st_job_states": (st_job_states, None)}
+ST_PIPELINE = f"""with {PACKED}
+select doc_id, count(content) as chunks, sum(length(content))::bigint as chars from documents left join chunks using (doc_id) group by 1
+"""
+
+#: A session ends 30 minutes after its last event, and is given out once the watermark (an hour behind the last event) has passed its end.
+ST_SESSIONS = """
+with e as (select user_id, ts, value, coalesce((ts - lag(ts) over (partition by user_id order by ts)) > interval 30 minute, true)::int as fresh from events),
+n as (select *, sum(fresh) over (partition by user_id order by ts rows unbounded preceding) as no from e),
+s as (select user_id, no, max(ts) + interval 30 minute as ends, count(*) as events from n group by 1, 2)
+select user_id, count(*) as sessions, sum(events)::bigint as events from s where ends <= (select max(ts) - interval 1 hour from events) group by 1
+"""
+
+ST_JOB_STATES = """
+with l as (select user_id as job_id, list({'f': (event_type = 'error')::int, 'dead': false} order by ts) as xs from events where event_type in ('error', 'purchase') group by 1),
+r as (select job_id, list_reduce(list_prepend({'f': 0, 'dead': false}, xs), lambda a, x : case when a.dead then a when x.f = 1 then {'f': a.f + 1, 'dead': a.f + 1 >= 5} else {'f': 0, 'dead': false} end) as z from l)
+select job_id, z.f::int as failures, case when z.dead then 'dead' when z.f > 0 then 'retry' else 'done' end as status from r
+"""
+
+QUERIES = {"st_pipeline": (st_pipeline, ST_PIPELINE), "st_sessions": (st_sessions, ST_SESSIONS), "st_job_states": (st_job_states, ST_JOB_STATES)}
