@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +16,7 @@ LEVEL_BITS = 7
 #: Sets of at least this size have their bitmap in two halves.
 WIDE = 64
 #: Rows that a join is about are told in so many cells, so that most others need not meet it.
-CELLS = 1 << 18
+CELLS = 1 << 20
 #: Lines of about one size that chose the same word are first held against a few of them if they are so many.
 CROWD, HEADS = 64, 4
 _NO_ID = -(1 << 63)
@@ -32,16 +33,15 @@ def _cell(told: Column) -> Column:
 
 
 def _rarity(texts: DataFrame) -> Column:
-    """How often words occur, over all texts: for each cell of word hashes the rounded logarithm of its count, in the upper
-    bits of a long."""
+    """How often words occur, over all texts: for each cell of word hashes the rounded logarithm of its count."""
     words = texts.select(F.explode(F.split(F.lower(F.replace("text", F.lit("\n"), F.lit(" "))), " ")).alias("w"))
     counts = words.groupBy(_cell(F.xxhash64("w")).alias("cell")).count()
     level = F.least(F.floor(F.log2("count") * 1.5), F.lit((1 << LEVEL_BITS - 1) - 1)).cast("int")
     table = [0] * (1 << CELL_BITS)
     found = counts.select("cell", level.alias("level")).toArrow()
     for cell, of in zip(found["cell"].to_pylist(), found["level"].to_pylist(), strict=True):
-        table[cell] = of << 64 - LEVEL_BITS
-    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<bigint>")  # Spark folds it into one literal
+        table[cell] = of
+    return F.split(F.lit(",".join(map(str, table))), ",").cast("array<tinyint>")  # Spark folds it into one literal
 
 
 def _told(line: Column) -> Column:
@@ -52,8 +52,8 @@ def _set(line: Column, levels: Column) -> Column:
     """A line's distinct words as longs, rarest first: level above, hash below."""
 
     def ranked(told: Column) -> Column:
-        level = F.coalesce(F.get(levels, _cell(told)), F.lit(0))  # never null, which makes the list of plain longs below
-        return level.bitwiseOR(F.shiftrightunsigned(told, LEVEL_BITS))
+        level = F.coalesce(F.get(levels, _cell(told)).cast("long"), F.lit(0))  # never null, which makes the list of plain longs below
+        return F.shiftleft(level, 64 - LEVEL_BITS).bitwiseOR(F.shiftrightunsigned(told, LEVEL_BITS))
 
     words = F.array_distinct(F.transform(_told(line), ranked))
     gaps = F.contains(line, F.lit("  ")) | F.startswith(line, F.lit(" ")) | F.endswith(line, F.lit(" "))
@@ -143,12 +143,13 @@ def _word_pairs(marked: DataFrame, place: list[str], percent: int) -> DataFrame:
 
 
 def _maybe(of: DataFrame, keys: list[str]) -> Column:
-    """Whether a row's keys may be among those of ``of``: a look into a table of bounded size."""
+    """Whether a row's keys may be among those of ``of``: a look into a table of CELLS bits."""
     cell = lambda: F.pmod(F.xxhash64(*keys), F.lit(CELLS)).cast("int")
-    table = bytearray(CELLS)
-    for i in of.select(cell().alias("cell")).distinct().toArrow()["cell"].to_pylist():
-        table[i] = 1
-    return F.substring(F.lit(table), cell() + 1, F.lit(1)) == F.lit(bytearray(b"\x01"))
+    bits = np.zeros(CELLS, bool)
+    bits[of.select(cell().alias("cell")).distinct().toArrow()["cell"].to_numpy()] = True
+    longs = np.packbits(bits, bitorder="little").view(np.int64)
+    table = F.split(F.lit(",".join(map(str, longs.tolist()))), ",").cast("array<bigint>")
+    return F.call_function("shiftrightunsigned", F.get(table, F.shiftright(cell(), 6)), cell().bitwiseAND(63)).bitwiseAND(1) == 1
 
 
 def _marked(reps: DataFrame, settled: DataFrame | None, place: list[str]) -> DataFrame:
@@ -166,11 +167,11 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch
     those still open follow."""
     place = [c for c in pairs.columns if not c.endswith("_0")]
     doc, other = place[:-1], [f"{c}_0" for c in place]
-    ends = pairs.select(*place).union(pairs.select(*other)).groupBy(*doc).agg(F.collect_set("pos").alias("wanted"))
-    lines = F.transform(F.sort_array("wanted"), lambda i: F.struct(i.alias("pos"), F.get(F.col("lines"), i).alias("line")))
-    asked = texts.filter(_maybe(ends, doc)).join(ends, doc).select(*doc, "wanted", _lines(F.col("text")).alias("lines")).select(*doc, F.explode(lines).alias("x"))
-    words = F.array_remove(F.array_distinct(_told(F.col("x.line"))), F.xxhash64(F.lit("")))
-    words = scratch.put(f"{name}-words", asked.select(*doc, F.col("x.pos").alias("pos"), words.alias("words")))
+    ends = scratch.put(f"{name}-ends", pairs.select(*place).union(pairs.select(*other)).distinct())
+    lines = texts.select(*doc, F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    asked = lines.filter(_maybe(ends, place)).join(ends, place, "left_semi")  # the table keeps most lines from the shuffle
+    words = F.array_remove(F.array_distinct(_told(F.col("line"))), F.xxhash64(F.lit("")))
+    words = scratch.put(f"{name}-words", asked.select(*place, words.alias("words")))
     first = words.select(*[F.col(c).alias(f"{c}_0") for c in place], F.col("words").alias("words_0"))
     shared = F.size(F.array_intersect("words", "words_0"))
     alike = shared * 100 >= (F.size("words") + F.size("words_0") - shared) * percent
@@ -179,7 +180,7 @@ def _verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch
     most = scratch.put(f"{name}-first", true_ones(one))
     rest = true_ones(pairs.join(most, place, "left_anti").join(one, [*place, *other], "left_anti"))
     out = scratch.put(name, most.union(rest))
-    scratch.drop(f"{name}-words", f"{name}-first")
+    scratch.drop(f"{name}-ends", f"{name}-words", f"{name}-first")
     return out
 
 

@@ -155,6 +155,29 @@ def test_line_dedup_edges(spark, docs):
     assert got == [(0, "a b\n\n\n", 1), (2, "c", 1), (3, "z z", 0), (3, "z z", 0)]
 
 
+def test_line_dedup_where_lines_crowd(spark, monkeypatch):
+    """One very common line, a large family of near ones, and lines that share a frequent word only."""
+    r = random.Random(8)
+    base = [f"b{i}" for i in range(20)]
+
+    def near():
+        w = list(base)
+        for _ in range(r.randrange(4)):
+            w[r.randrange(20)] = f"n{r.randrange(400)}"
+        return " ".join(w)
+
+    def line():
+        return r.choice([near, near, lambda: " ".join(base), lambda: "all " + " ".join(f"x{r.randrange(3000)}" for _ in range(12))])()
+
+    rows = [(i, "\n".join(line() for _ in range(3))) for i in range(150)]
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    want = plain_lines(rows, 80)
+    for crowd in (3, 20, 10_000):
+        monkeypatch.setattr(line_dedup, "CROWD", crowd)
+        assert {x.doc_id: (x.n_lines, x.n_removed, x.text) for x in line_dedup.dedup_lines(d).collect()} == want
+    assert sum(w[1] for w in want.values()) > 200
+
+
 SHARED = [(None, "p q r s t u v w x y z " * 3 + "a b c d"), (None, "k l"), (None, "a b c d"), (None, None), (4, "m n o p q r s t u"), (4, "e f g\nh i j"), (4, "e f g\nh i j"), (9, "h i j"), (9, "1 2 3 4 5\ne f g")]
 
 
