@@ -22,7 +22,7 @@ SPACE = "▁"
 #: Stands for that sign itself in a text; as two signs at one place it is never part of a piece.
 _LITERAL = "\ue000\ue001"
 #: Segmentations of words that a worker keeps, over all its tasks; beyond it starts anew.
-CACHE = 800_000
+CACHE = 300_000
 _M64 = (1 << 64) - 1
 #: Signs of a unit that is segmented together with others, and units that go together (fewer than _FEW go one by one).
 _LONG, _TOGETHER, _FEW = 64, 20_000, 100
