@@ -253,4 +253,4 @@ select conv_id, turn, s = '' or (length(s) <= 24 and contains('，。、；：
 """
 
 
-QUERIES = {k: (globals()[k], globals()[k.upper()]) for k in [x for x in list(globals()) if x.upper() in globals() and x.islower() and callable(globals()[x])]} | {"fn_sse_split": (fn_sse_split, None), "wf_questions": (wf_questions, None)}
+QUERIES = {k: (globals()[k], globals()[k.upper()]) for k in [x for x in list(globals()) if x.upper() in globals() and x.islower() and not x.startswith("_")]} | {"fn_sse_split": (fn_sse_split, None), "wf_questions": (wf_questions, None)}
