@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docweave.llm import exact_dedup, fingerprint, line_dedup, mixing, ngram_join, quality, repeats, secret_scan, sentencepiece_bpe, warc
+from docweave.llm import exact_dedup, fingerprint, line_dedup, mixing, ngram_join, quality, repeats, secret_scan, sentencepiece_bpe, simhash, token_alignment, warc, whitening
 from docweave.llm.common import documents, text_or_empty
 
 
@@ -104,6 +104,20 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"))
 
 
+def op11_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.simhash(documents(spark, sf_dir))
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = token_alignment.align(documents(spark, sf_dir))
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).otherwise("").alias("groups_sha256")
+    return out.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", digest)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_mixing": op1_mixing,
@@ -116,6 +130,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_exact_dedup": op8_exact_dedup,
         "op9_quality": op9_quality,
         "op10_secret_scan": op10_secret_scan,
+        "op11_whitening": op11_whitening,
+        "op12_simhash": op12_simhash,
+        "op13_token_alignment": op13_token_alignment,
     }
 
 
