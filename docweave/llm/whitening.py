@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from decimal import Decimal
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +34,23 @@ def _matrix(batch: pa.RecordBatch, at: int) -> np.ndarray:
     return whole.astype(np.int64).reshape(len(column), -1)
 
 
+_SUMS = "pos int, rows long, total decimal(38,0)"
+_SUMS_ARROW = pa.schema([("pos", pa.int32()), ("rows", pa.int64()), ("total", pa.decimal128(38, 0))])
+
+
+def _sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each task and dimension: exact sums."""
+    rows, total = 0, 0
+    for batch in batches:
+        for lo in range(0, batch.num_rows, BLOCK):
+            x = _matrix(batch.slice(lo, BLOCK), 0)
+            small = float(np.abs(x.astype(np.float64)).max()) * len(x) < 2.0**62
+            total = total + (x if small else x.astype(object)).sum(axis=0).astype(object)
+            rows += len(x)
+    if rows:
+        yield batch_of(_SUMS_ARROW, np.arange(len(total), dtype=np.int32), np.full(len(total), rows), [Decimal(int(t)) for t in total])
+
+
 _PART = "rows long, numbers binary"
 _PART_ARROW = pa.schema([("rows", pa.int64()), ("numbers", pa.binary())])
 
@@ -199,9 +217,8 @@ def fit(df: DataFrame, vector: str = "embedding", components: int = COMPONENTS)
         raise ValueError("vectors have different lengths")
     if not sizes or not sizes[0]:
         return None
-    whole = F.transform("v", lambda x: F.floor(x * F.lit(SCALE)).cast("decimal(38,0)"))
-    each = rows.select(whole.alias("x")).agg(F.count("*").alias("n"), *[F.sum(F.col("x")[i]).alias(f"s{i}") for i in range(sizes[0])]).first()
-    n, sums = each["n"], [int(each[f"s{i}"]) for i in range(sizes[0])]
+    each = {r["pos"]: r for r in rows.mapInArrow(_sums, _SUMS).groupBy("pos").agg(F.sum("rows").alias("n"), F.sum("total").alias("total")).collect()}
+    n, sums = each[0]["n"], [int(each[i]["total"]) for i in range(sizes[0])]
     d = len(sums)
     _, r = tree(rows.mapInArrow(_fold(lambda x: triangle(_centred(x, n, sums).astype(np.float64) / n), _stack), _PART), _stack, (d, d), scratch, "r")
     sigma, v = jacobi_svd(r)
