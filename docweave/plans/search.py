@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as fx
-from docweave.operators import evaluation, retrieval
-from docweave.session import table
+from docweave.operators import evaluation, lexical_index, retrieval
+from docweave.session import shared_folder, table
 
 K = 20
 TOP = 5
@@ -44,8 +44,22 @@ bm25 as (select query_id, doc_id, score, (row_number() over (partition by query_
 _TERMS = f"asked as (select item_id as query_id, text from benchmark), {_TOKENS}"
 
 
+#: By application and files: the lexical index of the documents, made when it is first asked for and kept.
+_INDEXES: dict[tuple, str] = {}
+
+
+def _index(spark: SparkSession, d: str) -> lexical_index.LexicalIndex:
+    docs = table(spark, d, "documents")
+    key = (spark.sparkContext.applicationId, *sorted(docs.inputFiles()))
+    if key not in _INDEXES:
+        path = shared_folder(spark, "lexical")
+        lexical_index.create(docs, path, keep=("lang",))
+        _INDEXES[key] = path
+    return lexical_index.open_index(spark, _INDEXES[key])
+
+
 def _bm25(spark: SparkSession, d: str, k: int = K) -> DataFrame:
-    return retrieval.topk_bm25(table(spark, d, "documents"), _questions(spark, d), k)
+    return lexical_index.search(_index(spark, d), _questions(spark, d), k)
 
 
 def topk_bm25(spark: SparkSession, d: str) -> DataFrame:
@@ -56,12 +70,54 @@ TOPK_BM25 = f"with {_TERMS} select * from bm25 where rank <= 5"
 
 
 def topk_bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
-    return retrieval.topk_bm25(table(spark, d, "documents"), _questions(spark, d), TOP, filters=F.col("lang") == "en")
+    return lexical_index.search(_index(spark, d), _questions(spark, d), TOP, filters=F.col("lang") == "en")
 
 
 TOPK_BM25_SCOPED = f"with {_TERMS} select query_id, doc_id, score, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from scored where lang = 'en' qualify rank <= 5"
 
 
+def topk_bm25_scan(spark: SparkSession, d: str) -> DataFrame:
+    """Without an index, each language being a scope: questions of odd number ask the English documents, the others the German ones."""
+    asked = _questions(spark, d).withColumn("lang", F.when(F.col("item_id") % 2 == 1, "en").otherwise("de"))
+    return retrieval.topk_bm25(table(spark, d, "documents"), asked, TOP, scope_col="lang")
+
+
+TOPK_BM25_SCAN = """
+with t as (select doc_id, lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from documents),
+tf as (select doc_id, lang, term, count(*) as tf from t group by all),
+dl as (select doc_id, lang, len(regexp_extract_all(lower(text), '[a-z0-9]+')) as dl from documents),
+st as (select lang, count(*) as n, avg(dl) as avgdl from dl group by 1), df as (select lang, term, count(*) as df from tf group by all),
+q as (select distinct item_id as query_id, case when item_id % 2 = 1 then 'en' else 'de' end as lang, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from benchmark),
+scored as (select query_id, tf.doc_id, round(sum(ln(1 + (n - df + 0.5) / (df + 0.5)) * tf / (tf + 1.2 * (1 - 0.75 + 0.75 * dl / avgdl))), 6) as score
+  from q join tf using (lang, term) join df using (lang, term) join dl on dl.doc_id = tf.doc_id join st on st.lang = q.lang group by 1, 2)
+select query_id, doc_id, score, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from scored qualify rank <= 5
+"""
+
+
+def topk_bm25_upserted(spark: SparkSession, d: str) -> DataFrame:
+    """An index of earlier versions (the first half of each even document), then all documents upserted, every seventh deleted,
+    and every ninth put back: the search sees what is left."""
+    docs = table(spark, d, "documents")
+    index = lexical_index.create(docs.filter("doc_id % 2 = 0").withColumn("text", F.expr("left(text, length(text) div 2)")), shared_folder(spark, "lexical"))
+    index = lexical_index.delete(lexical_index.upsert(index, docs), docs.filter("doc_id % 7 = 0"))
+    return lexical_index.search(lexical_index.upsert(index, docs.filter("doc_id % 9 = 0")), _questions(spark, d), TOP)
+
+
+TOPK_BM25_UPSERTED = f"with documents as (from documents where doc_id % 7 <> 0 or doc_id % 9 = 0), {_TERMS} select * from bm25 where rank <= 5"
+
+
+def agg_bm25_stats(spark: SparkSession, d: str) -> DataFrame:
+    """Document frequency of every term, from the kept index."""
+    return _index(spark, d).statistics().select("term", "df", "n", F.round("avgdl", 6).alias("avgdl"))
+
+
+AGG_BM25_STATS = """
+with w as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as words from documents)
+select term, count(*) as df, (select count(*) from w) as n, (select round(avg(len(coalesce(words, []))), 6) from w) as avgdl
+from (select distinct doc_id, unnest(words) as term from w) group by 1
+"""
+
+
 def _variants(spark: SparkSession, d: str) -> DataFrame:
     """Every question, and its first sentence where that is another text."""
     return retrieval.variants(_questions(spark, d), "item_id", F.array("text", F.get(F.split("text", "(?<=[.])"), F.lit(0))))
@@ -74,7 +130,7 @@ def _lists(spark: SparkSession, d: str) -> dict[str, DataFrame]:
     keys = docs.select("doc_id", F.md5(F.concat_ws("\x01", F.lower(F.trim("source")), fx.squeeze(F.col("text")))).alias("key"))
     vectors = lambda df, i: retrieval.embed(df, "text").select(F.col(i).alias("doc_id"), "embedding")
     searches = asked.select("search", F.col("variant").alias("text"))
-    found = {"dense": retrieval.topk_dense(vectors(docs, "doc_id"), vectors(searches, "search"), K, id_col="doc_id"), "bm25": retrieval.topk_bm25(docs, searches, K, query_id="search")}
+    found = {"dense": retrieval.topk_dense(vectors(docs, "doc_id"), vectors(searches, "search"), K, id_col="doc_id"), "bm25": lexical_index.search(_index(spark, d), searches, K, query_id="search")}
     back = lambda h: h.withColumnRenamed("query_id", "search").join(asked.select("search", "query_id", "variant_no"), "search").drop("search")
     return {name: retrieval.union_candidates(back(h), keys, "doc_id", K) for name, h in found.items()}
 

@@ -2,25 +2,16 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.plans.documents import PACKED
+from docweave.session import shared_folder
 from docweave.streaming import jobs
 
 
 def _folder(spark: SparkSession) -> str:
-    """A fresh folder in the one that driver and executors share; only a local master does with one of this machine."""
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        base = f"file://{tempfile.mkdtemp(prefix='docweave-')}"
-    return f"{base.rstrip('/')}/streams-{uuid.uuid4().hex}"
+    return shared_folder(spark, "streams")
 
 
 def st_pipeline(spark: SparkSession, d: str) -> DataFrame:

@@ -13,33 +13,38 @@ def write_version(chunks: DataFrame, base: str, version: int, partition: str = "
     return path
 
 
-def activate(spark: SparkSession, base: str, version: int) -> None:
-    """Readers that come from now on see this version: a pointer beside the versions names it. Pointers are only added, each
-    under the number of the change, so no reader ever finds none or half of one; the last one counts."""
-    at = f"{base.rstrip('/')}/_current"
-    last = _pointers(spark, base)
-    n = (last.agg(F.max("change")).first()[0] or 0) + 1 if last is not None else 1
-    spark.createDataFrame([(n, version)], "change long, version long").coalesce(1).write.mode("append").parquet(at)
+def publish(spark: SparkSession, at: str, value: str) -> int:
+    """Adds the next change of a pointer. Each change is a folder of its own that may not be there yet: of two writers that
+    saw the same last change one fails, and no reader ever finds half a pointer."""
+    n = max([0, *(c for c, _ in changes(spark, at))]) + 1
+    spark.createDataFrame([(value,)], "value string").coalesce(1).write.mode("errorifexists").parquet(f"{at.rstrip('/')}/change={n}")
+    return n
 
 
-def _pointers(spark: SparkSession, base: str) -> DataFrame | None:
+def changes(spark: SparkSession, at: str) -> list[tuple[int, str]]:
+    """All changes of a pointer so far, in order."""
     from pyspark.errors import AnalysisException
 
     try:
-        return spark.read.schema("change long, version long").parquet(f"{base.rstrip('/')}/_current")
+        found = spark.read.schema("value string, change int").parquet(at)
+        return sorted((r["change"], r["value"]) for r in found.collect())
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
-        return None
+        return []
+
+
+def activate(spark: SparkSession, base: str, version: int) -> None:
+    """Readers that come from now on see this version: a pointer beside the versions names it, and its last change counts."""
+    publish(spark, f"{base.rstrip('/')}/_current", str(version))
 
 
 def read_current(spark: SparkSession, base: str) -> DataFrame:
     """The version of the index that is in force, in any session."""
-    last = _pointers(spark, base)
-    if last is None:
+    last = changes(spark, f"{base.rstrip('/')}/_current")
+    if not last:
         raise FileNotFoundError(f"no version of {base} is in force")
-    version = last.agg(F.max_by("version", "change")).first()[0]
-    return spark.read.parquet(f"{base.rstrip('/')}/v={version}")
+    return spark.read.parquet(f"{base.rstrip('/')}/v={last[-1][1]}")
 
 
 def reindex(chunks: DataFrame, base: str, version: int, partition: str = "knowledge_base_id") -> None:
