@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as fx
-from docweave.operators import evaluation, lexical_index, retrieval
+from docweave.operators import evaluation, lexical_index, retrieval, vector_index
 from docweave.session import shared_folder, table
 
 K = 20
@@ -76,6 +76,20 @@ def topk_bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
 TOPK_BM25_SCOPED = f"with {_TERMS} select query_id, doc_id, score, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from scored where lang = 'en' qualify rank <= 5"
 
 
+def topk_dense_lists(spark: SparkSession, d: str) -> DataFrame:
+    """The nearest vectors through inverted lists, with the usual number of candidates."""
+    v = table(spark, d, "embeddings")
+    index = vector_index.create(v, shared_folder(spark, "vectors"), scope_col="label")
+    return vector_index.search(index, v.filter("vec_id % 25 = 0"), TOP, scope_col="label")
+
+
+def topk_dense_lists_exact(spark: SparkSession, d: str) -> DataFrame:
+    """The same index, all lists."""
+    v = table(spark, d, "embeddings")
+    index = vector_index.create(v, shared_folder(spark, "vectors"), scope_col="label")
+    return vector_index.search(index, v.filter("vec_id % 25 = 0"), TOP, scope_col="label", exact=True)
+
+
 def topk_bm25_scan(spark: SparkSession, d: str) -> DataFrame:
     """Without an index, each language being a scope: questions of odd number ask the English documents, the others the German ones."""
     asked = _questions(spark, d).withColumn("lang", F.when(F.col("item_id") % 2 == 1, "en").otherwise("de"))
@@ -414,6 +428,11 @@ select doc_id, sent_no, round(matched + 0.01 * greatest(0, 5 - sent_no), 6)::dou
 QUERIES = {
     "topk_dense": (topk_dense, TOPK_DENSE),
     "topk_bm25": (topk_bm25, TOPK_BM25),
+    "topk_dense_lists": (topk_dense_lists, None),
+    "topk_dense_lists_exact": (topk_dense_lists_exact, TOPK_DENSE),
+    "topk_bm25_scan": (topk_bm25_scan, TOPK_BM25_SCAN),
+    "topk_bm25_upserted": (topk_bm25_upserted, TOPK_BM25_UPSERTED),
+    "agg_bm25_stats": (agg_bm25_stats, AGG_BM25_STATS),
     "topk_bm25_scoped": (topk_bm25_scoped, TOPK_BM25_SCOPED),
     "agg_rrf": (agg_rrf, AGG_RRF),
     "topk_rerank": (topk_rerank, TOPK_RERANK),

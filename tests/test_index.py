@@ -2,10 +2,11 @@
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from docweave.operators import lexical_index, retrieval
+from docweave.operators import lexical_index, retrieval, vector_index
 from docweave.sources import sinks
 
 WORDS = ["the", "of"] * 20 + [f"w{i}" for i in range(60)] + [f"rare{i}" for i in range(40)]
@@ -87,3 +88,36 @@ def test_two_writers(spark, tmp_path):
     with pytest.raises(Exception, match="ALREADY_EXISTS"):
         spark.createDataFrame([("c",)], "value string").write.mode("errorifexists").parquet(f"{at}/change=2")
     assert sinks.changes(spark, at) == [(1, "a"), (2, "b")]
+
+
+def hits(df):
+    by = {}
+    for r in df.collect():
+        by.setdefault(r.query_id, {})[r.rank] = (r.vec_id, r.score)
+    return by
+
+
+def test_vector_index(spark, tmp_path):
+    r = np.random.default_rng(3)
+    centres = r.normal(size=(30, 16))
+    made = (centres[r.integers(0, 30, 3000)] + r.normal(scale=0.7, size=(3000, 16))).tolist()
+    made[50] = made[51] = made[52]
+    rows = [(i, v, i % 3) for i, v in enumerate(made)] + [(9000, None, 0)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").repartition(4)
+    asked = df.filter("vec_id % 40 = 10")
+    index = vector_index.create(df, f"file://{tmp_path}/v", scope_col="label")
+    assert len(index.sizes) == 219 and index.share < 0.2 and index.sizes.sum() == 3000 and index.vectors().count() == 3000
+    want = hits(retrieval.topk_dense(df.filter("embedding is not null"), asked, 5, scope_col="label"))
+    assert hits(vector_index.search(index, asked, 5, scope_col="label", exact=True)) == want
+    found = hits(vector_index.search(index, asked, 5, scope_col="label"))
+    recall = np.mean([len({i for i, _ in w.values()} & {i for i, _ in found[q].values()}) / 5 for q, w in want.items()])
+    assert recall >= 0.9
+    few = hits(vector_index.search(index, asked, 5, scope_col="label", num_candidates=20))
+    assert set(few) == set(want)
+    assert vector_index.search(index, asked.limit(0), 5, scope_col="label").collect() == []
+
+
+def test_best_of_ties():
+    score = np.array([[0.5, 0.9, 0.5, 0.5, -1.0], [0.1, 0.2, 0.3, 0.4, 0.5], [-1.0, -1.0, 0.3, -1.0, -1.0]])
+    i, j = retrieval.best(score, np.array([5, 4, 3, 2, 1]), 2)
+    assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1), (0, 3), (1, 3), (1, 4), (2, 2)]
