@@ -163,12 +163,33 @@ def gap(question: Column, context: Column) -> Column:
     return F.struct((F.size(hit) > 0).alias("needed"), hit.alias("triggers"), missing.alias("missing"))
 
 
+#: What an explicit memory looks like, in order, and the signs that are cut off its ends.
+MEMORY_PATTERNS = (
+    ("constraint", "^(?:请)?记住[：:]?\\s*(.+)$"),
+    ("constraint", "^以后(?:都|请)?按[：:]?\\s*(.+)$"),
+    ("decision", "^(?:最终决定|确定采用|确定使用)[：:]?\\s*(.+)$"),
+    ("constraint", "^不要再改[：:]?\\s*(.+)$"),
+)
+MEMORY_ENDS = " \t\r\n。！？!?；;"
+
+
 def memory(s: Column) -> Column:
-    """struct(kind, content) of an explicit request to remember, else null."""
+    """struct(kind, content) of an explicit request to remember, else null: the first pattern that fits counts, and what it
+    has found must be two signs or longer."""
     c = fx.collapse(s)
-    found = F.coalesce(*[F.when(c.rlike(p), F.struct(F.lit(kind).alias("kind"), F.regexp_extract(c, p, 1).alias("content"))) for kind, p in (("preference", "(?i)^(?:i prefer|我喜欢|我偏好)\\s*(.+)$"), ("fact", "(?i)^(?:please )?remember (?:that )?(.+)$"), ("fact", "^(?:请)?记住[:：,，]?\\s*(.+)$"), ("instruction", "(?i)^(?:from now on|以后)[,，]?\\s*(.+)$"))])
-    content = F.regexp_replace(F.regexp_replace(F.left(found["content"], F.lit(2000)), "^[ ,.;:，。；：]+", ""), "[ ,.;:，。；：]+$", "")
-    return F.when(F.length(content) >= 2, F.struct(found["kind"].alias("kind"), content.alias("content")))
+    found = F.coalesce(*[F.when(c.rlike(p), F.struct(F.lit(kind).alias("kind"), F.btrim(F.regexp_extract(c, p, 1), F.lit(MEMORY_ENDS)).alias("content"))) for kind, p in MEMORY_PATTERNS])
+    return F.when(F.length(found["content"]) >= 2, F.struct(found["kind"].alias("kind"), F.left(found["content"], F.lit(2000)).alias("content")))
+
+
+def archive(memories: DataFrame, requests: DataFrame) -> DataFrame:
+    """Memories (memory_id, org, created_by, status, updated_at, ...) after requests (memory_id, org, actor, role, at) to archive
+    them. Only their creator, an owner or an admin of the same organisation may; the first such request counts."""
+    allowed = requests.withColumnsRenamed({"memory_id": "__id", "org": "__org"})
+    may = (F.col("__id") == F.col("memory_id")) & (F.col("__org") == F.col("org")) & ((F.col("actor") == F.col("created_by")) | F.col("role").isin("owner", "admin"))
+    hit = memories.select("memory_id", "org", "created_by").join(allowed, may).groupBy("memory_id").agg(F.min("at").alias("__at"))
+    out = memories.join(hit, "memory_id", "left")
+    now = (F.col("status") == "active") & F.col("__at").isNotNull()
+    return out.withColumns({"status": F.when(now, "archived").otherwise(F.col("status")), "updated_at": F.when(now, F.col("__at")).otherwise(F.col("updated_at"))}).drop("__at").select(*memories.columns)
 
 
 def new_memories(found: DataFrame, group: list[str], content: str, order: str, active: DataFrame | None = None) -> DataFrame:

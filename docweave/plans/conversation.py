@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -182,16 +182,52 @@ select conv_id, turn, case when q = '' or regexp_matches(q, '^(你好|您好|hi|
 """
 
 
+#: How users of these tables begin a message that shall be remembered; the last two are no such message.
+_ASKS = ("请记住：", "以后都按 ", "最终决定:", "不要再改", "确定使用", "记住 ", "please remember ", "")
+
+
+def asked_to_remember() -> Column:
+    return F.concat(F.element_at(F.array(*map(F.lit, _ASKS)), ((F.col("conv_id") + F.col("turn")) % 8 + 1).cast("int")), F.col("text"))
+
+
+MEMORIES_SQL = r"""
+b as (select conv_id, turn, (conv_id + turn) % 8 as p, trim(regexp_replace(['请记住：', '以后都按 ', '最终决定:', '不要再改', '确定使用', '记住 ', 'please remember ', ''][(conv_id + turn) % 8 + 1] || text, '\s+', ' ', 'g')) as c from conversations where role = 'user'),
+m as (select conv_id, turn, case when p in (2, 4) then 'decision' else 'constraint' end as kind,
+  trim(regexp_extract(c, '^(?:(?:请)?记住[：:]?|以后都按|最终决定[：:]?|确定使用[：:]?|不要再改[：:]?)\s*(.+)$', 1), ' \t\r\n。！？!?；;') as content from b where p < 6),
+k as (select conv_id, turn, kind, left(content, 2000) as content, lower(regexp_replace(left(content, 2000), '\s+', '', 'g')) as key from m where length(content) >= 2)
+"""
+
+
 def fn_memory(spark: SparkSession, d: str) -> DataFrame:
-    """Explicit memories in user messages; a memory that a conversation already has is not taken again."""
-    m = _messages(spark, d).filter("role = 'user'").select("conv_id", "turn", conv.memory(F.concat(F.lit("please remember that "), F.col("text"))).alias("m"))
+    """Explicit memories in user messages; one that a conversation already has (here: those of turns under 4) is not taken again."""
+    m = _messages(spark, d).filter("role = 'user'").select("conv_id", "turn", conv.memory(asked_to_remember()).alias("m"))
     m = m.filter("m is not null").select("conv_id", "turn", "m.kind", "m.content")
-    return conv.new_memories(m, ["conv_id"], "content", "turn").select("conv_id", "turn", "kind", F.md5("content").alias("content_md5"))
+    return conv.new_memories(m.filter("turn >= 4"), ["conv_id"], "content", "turn", active=m.filter("turn < 4")).select("conv_id", "turn", "kind", F.md5("content").alias("content_md5"))
+
 
+FN_MEMORY = f"""
+with {MEMORIES_SQL}
+select conv_id, turn, kind, md5(content) as content_md5 from k where turn >= 4 and not exists (select 1 from k o where o.conv_id = k.conv_id and o.key = k.key and o.turn < 4)
+qualify row_number() over (partition by conv_id, key order by turn) = 1
+"""
 
-FN_MEMORY = r"""
-with m as (select conv_id, turn, regexp_replace(regexp_replace(left(trim(regexp_replace(text, '\s+', ' ', 'g')), 2000), '^[ ,.;:，。；：]+', ''), '[ ,.;:，。；：]+$', '') as c from conversations where role = 'user')
-select conv_id, turn, 'fact' as kind, md5(c) as content_md5 from m where length(c) >= 2 qualify row_number() over (partition by conv_id, lower(regexp_replace(c, '\s+', '', 'g')) order by turn) = 1
+
+def st_memory_archive(spark: SparkSession, d: str) -> DataFrame:
+    """Memories of user messages, and the assistant's next message as a request to archive them: by their creator (even
+    conversations), an admin (every fifth), or somebody who may not."""
+    m = _messages(spark, d)
+    made = m.filter("role = 'user'").select("conv_id", "turn", conv.memory(asked_to_remember()).alias("m")).filter("m is not null")
+    made = made.select((F.col("conv_id") * 1000 + F.col("turn")).alias("memory_id"), (F.col("conv_id") % 7).alias("org"), F.col("conv_id").alias("created_by"), F.lit("active").alias("status"), F.col("turn").alias("updated_at"), "m.kind")
+    actor = F.when(F.col("conv_id") % 2 == 0, F.col("conv_id")).otherwise(F.lit(-1).cast("long"))
+    asks = m.filter("role = 'assistant'").select((F.col("conv_id") * 1000 + F.col("turn") - 1).alias("memory_id"), (F.col("conv_id") % 7).alias("org"), actor.alias("actor"), F.when(F.col("conv_id") % 5 == 0, "admin").otherwise("editor").alias("role"), F.col("turn").alias("at"))
+    return conv.archive(made, asks).select("memory_id", "kind", "status", F.col("updated_at").cast("long").alias("updated_at"))
+
+
+ST_MEMORY_ARCHIVE = f"""
+with {MEMORIES_SQL},
+a as (select conv_id, turn - 1 as turn, turn as "at" from conversations where role = 'assistant' and (conv_id % 2 = 0 or conv_id % 5 = 0))
+select conv_id * 1000 + turn as memory_id, any_value(kind) as kind, case when min("at") is null then 'active' else 'archived' end as status, coalesce(min("at"), turn)::bigint as updated_at
+from k left join a using (conv_id, turn) group by conv_id, turn
 """
 
 
@@ -243,6 +279,7 @@ QUERIES = {
     "topk_history": (topk_history, TOPK_HISTORY),
     "fn_route_rule": (fn_route_rule, FN_ROUTE_RULE),
     "fn_memory": (fn_memory, FN_MEMORY),
+    "st_memory_archive": (st_memory_archive, ST_MEMORY_ARCHIVE),
     "st_summary_trigger": (st_summary_trigger, ST_SUMMARY_TRIGGER),
     "ctx_purposes": (ctx_purposes, CTX_PURPOSES),
     "set_dedupe_refs": (set_dedupe_refs, SET_DEDUPE_REFS),

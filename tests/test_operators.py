@@ -124,3 +124,23 @@ def test_job_states_over_batches(spark, tmp_path):
         q = jobs.job_states(s).writeStream.foreachBatch(keep).outputMode("update").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
         q.awaitTermination()
     assert out == {1: (2, "retry", 12.0), 2: (1, "retry", 8.0)}
+
+
+def test_streams_restart_with_their_state(spark, tmp_path):
+    """Retries over two runs of a stream: the second run finds the state of the first."""
+    from pyspark.sql import functions as F
+
+    from docweave.streaming import processors
+
+    kind = "job_id long, n long, ts timestamp, failed boolean"
+    at = lambda df: df.withColumn("at", F.unix_millis("ts"))
+    out, seen = f"{tmp_path}/out", []
+    for rows in ([(1, 1, "2024-01-01 00:00:00", True), (2, 2, "2024-01-01 00:00:00", True)], [(1, 3, "2024-01-01 00:00:03", True), (2, 4, "2024-01-01 05:00:00", False)]):
+        spark.createDataFrame([(j, n, __import__("datetime").datetime.fromisoformat(t), f) for j, n, t, f in rows], kind).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+        stream = processors.retries(at(spark.readStream.schema(kind).parquet(f"{tmp_path}/in")), delay="10 seconds")
+        stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{tmp_path}/cp").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+        seen.append(sorted((r.job_id, r.at % 100_000_000 // 1000 - 67_200, r.status, r.failures) for r in spark.read.parquet(out).collect()))
+    first = [(1, 0, "retry", 1), (2, 0, "retry", 1)]
+    assert seen[0] == first
+    # job 1 failed again before its time; its second wait is over behind the watermark, as job 2's first was before it was done
+    assert seen[1] == sorted([*first, (1, 3, "retry", 2), (1, 13, "pending", 2), (2, 5, "pending", 1), (2, 18000, "done", 0)])
