@@ -7,6 +7,8 @@ is a fold over one document's blocks, which a task holds as one array.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -14,18 +16,26 @@ from pyspark.sql.window import Window
 from docweave.functions import text as fx
 
 TARGET, MOST, OVERLAP = 850, 1000, 200
-# Heading patterns with level and confidence, and lines that are noise.
+# Heading patterns of plain text with level and confidence (a numeric one has as many levels as parts), what
+# no heading may look like, and lines that are noise in plain text and in page layouts.
 HEADINGS = (
-    ("chapter", r"^第[一二三四五六七八九十百0-9]+[章篇部]\s*.*$", 1, 0.97),
-    ("numbered", r"^[0-9]+(\.[0-9]+)+[\s、.]?\s*.+$", 2, 0.94),
-    ("enumerated_cn", r"^[一二三四五六七八九十]+、\s*.+$", 2, 0.87),
-    ("numbered_top", r"^[0-9]+[\.、]\s*.+$", 1, 0.85),
+    ("chapter_cn", r"^第[0-9一二三四五六七八九十百千零]+[章节部分篇卷](?:\s*\S+.*)?$", 1, 0.97),
+    ("numeric", r"^([0-9]{1,2}(?:\.[0-9]{1,2}){0,3})(?:[、.．)]|\s)\s*\S+.*$", None, 0.94),
+    ("cn_enum", r"^[一二三四五六七八九十百千零]+[、.．)]\s*\S+.*$", 2, 0.87),
+    ("paren_enum", r"^[(（][0-9一二三四五六七八九十百千零]+[)）]\s*\S+.*$", 2, 0.85),
 )
-NOISE = r"^(第?\s*[0-9]+\s*页?|[pP]age\s+[0-9]+|[0-9]+\s*/\s*[0-9]+|[ivxlcIVXLC]+|[-_=*·.\s]{3,})$"
-SENTENCE_END = "[。！？；：.!?;:]$"
+DOT_LEADERS = r"\.{4,}|·{3,}|…{2,}"
+NOISE = r"^(第?\s*[0-9]+\s*页|page\s*[0-9]+|[0-9]+|[ivxlcdm]+|[-_=]{3,})$"
+PAGE_MARKS = r"^(page\s+[0-9]+|[0-9]+\s*/\s*[0-9]+|第\s*[0-9]+\s*页)$"
+SENTENCE_END = "[。！？；.!?]$"
 HEADING_LEAST = 0.85
 
 
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def check_options(target: int, most: int, overlap: int) -> None:
     if target <= 0 or most <= 0 or overlap < 0:
         raise ValueError("sizes must be positive and the overlap not negative")
@@ -58,10 +68,20 @@ def paragraphs(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def heading_text(line: Column) -> Column:
-    """OCR's spaces inside chapter marks and numbers removed."""
+    """A line as it is looked at for headings: spaces that OCR put into chapter marks, numbers and words of single CJK signs
+    are removed."""
     s = fx.collapse(line)
-    s = F.regexp_replace(s, "第\\s*([一二三四五六七八九十百0-9](?:\\s*[一二三四五六七八九十百0-9])*)\\s*([章节篇部])", "第$1$2")
-    return F.regexp_replace(s, r"([0-9])\s*\.\s*(?=[0-9])", "$1.")
+    s = F.regexp_replace(s, "第\\s+([0-9一二三四五六七八九十百千零]+)\\s*([章节部分篇卷])", "第$1$2")
+    s = F.regexp_replace(s, r"(?<=[0-9])\s*[.．]\s*(?=[0-9])", ".")
+    spaced = "[一-鿿](?: [一-鿿])+"
+    whole = F.replace(s, F.lit(" "), F.lit(""))
+    mark = f"^(第[0-9一二三四五六七八九十百千零]+[章节部分篇卷]|[0-9]{{1,2}}(?:[.][0-9]{{1,2}}){{0,3}}) ({spaced})$"
+    behind = F.concat(F.regexp_extract(s, mark, 1), F.lit(" "), F.replace(F.regexp_extract(s, mark, 2), F.lit(" "), F.lit("")))
+    return F.when(s.rlike("^[一-鿿](?: [一-鿿]){2,}$"), whole).when(s.rlike(mark), behind).otherwise(s)
+
+
+def is_noise(line: Column) -> Column:
+    return F.lower(F.trim(line)).rlike(NOISE)
 
 
 def heading_match(line: Column) -> Column:
@@ -69,30 +89,32 @@ def heading_match(line: Column) -> Column:
     s = heading_text(line)
     out = F.lit(None)
     for name, pattern, level, base in reversed(HEADINGS):
-        hit = F.struct(F.lit(name).alias("pattern"), F.lit(level).alias("level"), F.lit(base).alias("base"))
+        number = F.regexp_extract(s, pattern, 1) if level is None else None
+        at = F.least(F.length(number) - F.length(F.replace(number, F.lit("."), F.lit(""))) + 1, F.lit(6)).cast("int") if level is None else F.lit(level)
+        hit = F.struct(F.lit(name).alias("pattern"), at.alias("level"), F.lit(base).alias("base"))
         out = F.when(s.rlike(pattern), hit).otherwise(out)
-    odd = (F.length(s) > 60) | s.rlike("[。！？；，,.!?;]$") | s.rlike(NOISE) | s.rlike(r"\.{3,}|…{2,}")
+    odd = (s == "") | (F.length(s) > 60) | s.rlike(SENTENCE_END) | is_noise(s) | s.rlike(DOT_LEADERS)
     return F.when(~odd, out)
 
 
 def body_like(line: Column) -> Column:
-    s = fx.collapse(line)
+    s = heading_text(line)
     return (s != "") & (s.rlike(SENTENCE_END) | (F.length(s) >= 12))
 
 
 def headings(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Every line that may be a heading with its confidence, from the lines around it: ``keep`` tells those that score
-    enough and own some body text before the next candidate."""
+    enough and have some line that is no noise before the next one that does."""
     w = Window.partitionBy(id_col).orderBy("line_no")
     back = Window.partitionBy(id_col).orderBy(F.desc("line_no"))  # a frame that grows, where one that shrinks is evaluated anew for each row
-    s = fx.collapse(F.col("line"))
-    filled = F.nullif(s, F.lit(""))
+    filled = F.nullif(F.trim(F.col("line")), F.lit(""))
+    blank = F.trim(F.col("line")) == ""
     r = rows.withColumns(
         {
-            "s": s,
+            "s": heading_text(F.col("line")),
             "m": heading_match(F.col("line")),
-            "prev_blank": F.coalesce(F.lag(s == "").over(w), F.lit(True)),
-            "next_blank": F.coalesce(F.lead(s == "").over(w), F.lit(True)),
+            "prev_blank": F.coalesce(F.lag(blank).over(w), F.lit(True)),
+            "next_blank": F.coalesce(F.lead(blank).over(w), F.lit(True)),
             "prev": F.last(filled, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, -1)),
             "next": F.last(filled, ignorenulls=True).over(back.rowsBetween(Window.unboundedPreceding, -1)),
         }
@@ -109,9 +131,10 @@ def headings(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
         - F.when(spaces >= 5, 0.04).otherwise(0.0)
     )
     r = r.withColumn("score", F.round(F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)), 6)).withColumn("candidate", F.col("m").isNotNull())
-    r = r.withColumn("own", F.sum(F.col("candidate").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    r = r.withColumn("has_body", F.max(~F.col("candidate") & body_like(F.col("s"))).over(Window.partitionBy(id_col, "own")))
-    return r.filter("candidate").select(id_col, "line_no", F.col("s").alias("heading"), F.col("m.pattern").alias("pattern"), F.col("m.level").alias("level"), "score", ((F.col("score") >= HEADING_LEAST) & F.col("has_body")).alias("keep"))
+    r = r.withColumn("sure", F.coalesce(F.col("candidate") & (F.col("score") >= HEADING_LEAST), F.lit(False)))
+    r = r.withColumn("own", F.sum(F.col("sure").cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    r = r.withColumn("has_body", F.max(~F.col("sure") & (F.trim("line") != "") & ~is_noise(F.col("line"))).over(Window.partitionBy(id_col, "own")))
+    return r.filter("candidate").select(id_col, "line_no", F.col("s").alias("heading"), F.col("m.pattern").alias("pattern"), F.col("m.level").alias("level"), "score", (F.col("sure") & F.col("has_body")).alias("keep"))
 
 
 def markdown_lines(rows: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -236,31 +259,46 @@ def list_items(text: Column) -> Column:
     return F.aggregate(rows, start, step, lambda a: F.when(a["cur"].isNotNull(), F.concat(a["done"], F.array(F.trim(a["cur"])))).otherwise(a["done"]))
 
 
-def block_units(kind: Column, text: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:
-    """A block in units that are packed whole: itself if it fits; else a table by rows, code by lines, a list by items, all
-    other text by sentences; text that is one sentence in windows that overlap."""
+def block_parts(kind: Column, text: Column, most: int = MOST, overlap: int = OVERLAP, row_start: Column | None = None) -> Column:
+    """A block in units (text, row_start, row_end, row_count) that are packed whole: itself if it fits; else a table by rows, code
+    by lines, a list by items, all other text by sentences; text that is one sentence in windows that overlap."""
     check_options(most, most, overlap)
     plain = lambda t: F.when(F.size(fx.sentences(t, fx.PACKER_ENDS)) > 1, fx.sentences(t, fx.PACKER_ENDS)).otherwise(windows(t, most, overlap))
     items = list_items(text)
     listed = F.flatten(F.transform(items, lambda i: F.when(F.length(i) <= most, F.array(i)).otherwise(plain(i))))
-    long = F.when(kind == "table", split_table(text, most)).when(kind == "code", split_code(text, most)).when((kind == "list") & (F.size(items) > 1), listed).otherwise(plain(text))
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(long)
+    none = F.lit(None).cast("int")
+    bare = lambda ts: F.transform(ts, lambda t: F.struct(t.alias("text"), none.alias("row_start"), none.alias("row_end"), none.alias("row_count")).cast(_PART))
+    long = F.when(kind == "code", split_code(text, most, overlap)).when((kind == "list") & (F.size(items) > 1), listed).otherwise(plain(text))
+    return F.when(kind == "table", table_parts(text, most, overlap, row_start)).when(F.length(text) <= most, bare(F.array(text))).otherwise(bare(long))
+
+
+def block_units(kind: Column, text: Column, most: int = MOST, overlap: int = OVERLAP) -> Column:
+    """The texts of ``block_parts``."""
+    return F.transform(block_parts(kind, text, most, overlap), lambda p: p["text"])
+
+
+#: What a unit tells of the block that it comes from.
+ABOUT = "row_start:int,row_end:int,row_count:int,page_start:int,page_end:int,paragraph:int,heading_path:array<string>,sheet_name:string"
 
 
-def pack_blocks(units: Column, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> Column:
+def pack_blocks(units: Column, target: int = TARGET, most: int = MOST, overlap: int = OVERLAP, about: str = "") -> Column:
     """Chunks of units (struct of text, kind and grp: the number of the block that was split, null for a whole one), packed as by
     ``pack``. Where a chunk ends inside a split block, the next one begins with the last whole sentences or items of it
-    that fit in ``overlap``."""
+    that fit in ``overlap``. With ``about`` (more fields of the units) each chunk is a struct of its content and the units
+    that it really holds, those carried over too; else just the content."""
     check_options(target, most, overlap)
-    unit = "struct<text:string,kind:string,grp:int>"
+    unit = f"struct<text:string,kind:string,grp:int{',' + about if about else ''}>"
+    more = [f.split(":", 1)[0] for f in about.split(",")] if about else []
+    chunk = f"struct<content:string,units:array<{unit}>>"
     none = F.array().cast(f"array<{unit}>")
-    start = F.struct(F.array().cast("array<string>").alias("done"), none.alias("cur"), F.lit(0).alias("len"))
+    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), none.alias("cur"), F.lit(0).alias("len"))
     glued = lambda cur: F.array_join(F.transform(cur, lambda x: x["text"]), "\n\n")
+    closed = lambda cur: F.struct(glued(cur).alias("content"), cur.alias("units")).cast(chunk)
 
     def parts(u: Column) -> Column:
         cut = F.when(u["kind"] == "paragraph", fx.sentences(u["text"], fx.PACKER_ENDS)).when(u["kind"] == "list", list_items(u["text"]))
         cut = F.when(F.size(cut) > 0, cut).when(u["kind"] == "paragraph", F.array(u["text"])).otherwise(F.array().cast("array<string>"))
-        return F.transform(cut, lambda t: F.struct(t.alias("text"), u["kind"].alias("kind"), u["grp"].alias("grp")).cast(unit))
+        return F.transform(cut, lambda t: F.struct(t.alias("text"), u["kind"].alias("kind"), u["grp"].alias("grp"), *[u[c].alias(c) for c in more]).cast(unit))
 
     def tail(cur: Column) -> Column:
         begin = F.struct(none.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("go"))
@@ -276,10 +314,48 @@ def pack_blocks(units: Column, target: int = TARGET, most: int = MOST, overlap:
         flush = (a["len"] > 0) & (((a["len"] >= target) & (nxt > target)) | (nxt > most))
         again = F.when(u["grp"].isNotNull() & F.element_at(a["cur"], -1)["grp"].eqNullSafe(u["grp"]), tail(a["cur"])).otherwise(none) if overlap else none
         cur = F.concat(F.when(flush, again).otherwise(a["cur"]), F.array(u))
-        return F.struct(F.when(flush, F.concat(a["done"], F.array(glued(a["cur"])))).otherwise(a["done"]).alias("done"), cur.alias("cur"), F.length(glued(cur)).alias("len"))
+        return F.struct(F.when(flush, F.concat(a["done"], F.array(closed(a["cur"])))).otherwise(a["done"]).alias("done"), cur.alias("cur"), F.length(glued(cur)).alias("len"))
 
     kept = F.filter(F.transform(units, lambda u: u.cast(unit)), lambda u: F.trim(u["text"]) != "")
-    return F.aggregate(kept, start, step, lambda a: F.when(a["len"] > 0, F.concat(a["done"], F.array(glued(a["cur"])))).otherwise(a["done"]))
+    out = F.aggregate(kept, start, step, lambda a: F.when(a["len"] > 0, F.concat(a["done"], F.array(closed(a["cur"])))).otherwise(a["done"]))
+    return out if about else F.transform(out, lambda c: c["content"])
+
+
+def unit_metadata(units: Column) -> Column:
+    """What a chunk's units say together: first starts, last ends, the most rows, the first sheet, the distinct kinds and heading
+    paths in order."""
+    each = lambda c: F.transform(units, lambda u: u[c])
+    lists = F.array_distinct(F.filter(each("heading_path"), lambda p: F.size(p) > 0))
+    firsts, lasts = {c: F.array_min(F.array_compact(each(c))).alias(c) for c in ("page_start", "row_start")}, {c: F.array_max(F.array_compact(each(c))).alias(c) for c in ("page_end", "row_end", "row_count")}
+    return F.struct(
+        F.array_distinct(each("kind")).alias("block_types"), lists.alias("heading_paths"), *firsts.values(), *lasts.values(),
+        F.array_min(F.array_compact(each("paragraph"))).alias("paragraph_start"), F.array_max(F.array_compact(each("paragraph"))).alias("paragraph_end"),
+        F.get(F.array_compact(each("sheet_name")), F.lit(0)).alias("sheet_name"),
+    )
+
+
+def align_sections(elements: DataFrame, blocks: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Elements (n, kind, text) with the block of a section that they are, both in order: an element that is the next block
+    (same kind and text, ends stripped) takes its ``section_no`` and ``block_no`` and goes on to the following one; any other
+    stands before the next block as context of its section. Behind the last block what is left belongs to the last
+    section, without being context; a document without blocks has section 0."""
+    line = F.struct(F.col("section_no").cast("int").alias("section_no"), F.col("block_no").cast("int").alias("block_no"), "kind", F.trim("text").alias("text"))
+    b = blocks.groupBy(id_col).agg(F.array_sort(F.collect_list(line)).alias("bs"))
+    e = elements.groupBy(id_col).agg(F.array_sort(F.collect_list(F.struct(F.col("n").cast("int").alias("n"), "kind", F.trim("text").alias("text")))).alias("es"))
+    row = "struct<n:int,section_no:int,block_no:int,context_only:boolean>"
+    both = e.join(b, id_col, "left").withColumn("bs", F.coalesce("bs", F.expr("cast(array() as array<struct<section_no:int,block_no:int,kind:string,text:string>>)")))
+
+    def step(a: Column, x: Column) -> Column:
+        nxt = F.get(F.col("bs"), a["i"])
+        hit = F.coalesce((nxt["kind"] == x["kind"]) & (nxt["text"] == x["text"]), F.lit(False))
+        over = a["i"] >= F.size("bs")
+        section = F.when(over, F.coalesce(F.get(F.col("bs"), F.size("bs") - 1)["section_no"], F.lit(0))).otherwise(nxt["section_no"])
+        told = F.struct(x["n"].alias("n"), section.alias("section_no"), F.when(~over, nxt["block_no"]).alias("block_no"), (~over & ~hit).alias("context_only")).cast(row)
+        return F.struct((a["i"] + hit.cast("int")).alias("i"), F.concat(a["out"], F.array(told)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("i"), F.array().cast(f"array<{row}>").alias("out"))
+    placed = both.select(id_col, F.explode(F.aggregate("es", start, step, lambda a: a["out"])).alias("x")).select(id_col, "x.n", "x.section_no", "x.block_no", "x.context_only")
+    return elements.join(placed, [id_col, "n"])
 
 
 def heading_prefix(path: Column, content: Column) -> Column:
@@ -290,7 +366,9 @@ def heading_prefix(path: Column, content: Column) -> Column:
 
 def chunk_elements(elements: DataFrame, id_col: str = "doc_id", target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
     """Chunks of sections: a table stands alone, code goes with code only, other blocks are packed, each chunk under its
-    heading. Long blocks are split by their kind, and chunks inside one overlap."""
+    heading. Long blocks are split by their kind, and chunks inside one overlap. ``metadata`` is merged of the units that a
+    chunk holds: kinds, heading paths, pages, rows (where ``elements`` have page_start, page_end, row_start or sheet_name)
+    and the first and last element."""
     check_options(target, most, overlap)
     e = sections(elements, id_col).filter("not context_only and not (kind = 'heading')")
     w = Window.partitionBy(id_col).orderBy("n")
@@ -299,12 +377,16 @@ def chunk_elements(elements: DataFrame, id_col: str = "doc_id", target: int = TA
     change = F.coalesce((F.lag("section_no").over(w) != F.col("section_no")) | apart, F.lit(True))
     e = e.withColumn("run", F.sum(change.cast("int")).over(w.rowsBetween(Window.unboundedPreceding, 0)))
     group = F.when(F.length("text") > most, F.col("n").cast("int"))
-    units = F.transform(block_units(F.col("kind"), F.col("text"), most, overlap), lambda t: F.struct(t.alias("text"), F.col("kind").alias("kind"), group.alias("grp")))
-    runs = e.groupBy(id_col, "run").agg(F.min("n").alias("at"), F.first("heading_path").alias("heading_path"), F.array_distinct(F.collect_list("kind")).alias("kinds"), F.array_sort(F.collect_list(F.struct("n", units.alias("units")))).alias("blocks"))
-    packed = pack_blocks(F.flatten(F.transform("blocks", lambda b: b["units"])), target, most, overlap)
-    c = runs.select(id_col, "run", "heading_path", "kinds", F.posexplode(packed).alias("piece", "content"))
-    c = c.withColumn("content", heading_prefix(F.col("heading_path"), F.col("content")))
-    return c.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("run", "piece")) - 1).alias("chunk_index"), "heading_path", F.array_sort("kinds").alias("block_types"), "content")
+    have = lambda c, kind: F.col(c).cast(kind) if c in elements.columns else F.lit(None).cast(kind)
+    told = [have("page_start", "int").alias("page_start"), have("page_end", "int").alias("page_end"), F.col("n").cast("int").alias("paragraph"), F.col("heading_path"), have("sheet_name", "string").alias("sheet_name")]
+    parts = block_parts(F.col("kind"), F.col("text"), most, overlap, have("row_start", "int"))
+    units = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), F.col("kind").alias("kind"), group.alias("grp"), p["row_start"].alias("row_start"), p["row_end"].alias("row_end"), p["row_count"].alias("row_count"), *told))
+    e = e.withColumn("units", units)
+    runs = e.groupBy(id_col, "run").agg(F.min_by("heading_path", "n").alias("heading_path"), F.array_sort(F.collect_list(F.struct("n", "units"))).alias("blocks"))
+    packed = pack_blocks(F.flatten(F.transform("blocks", lambda b: b["units"])), target, most, overlap, ABOUT)
+    c = runs.select(id_col, "run", "heading_path", F.posexplode(packed).alias("piece", "chunk"))
+    c = c.withColumns({"content": heading_prefix(F.col("heading_path"), F.col("chunk.content")), "metadata": unit_metadata(F.col("chunk.units"))})
+    return c.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("run", "piece")) - 1).alias("chunk_index"), "heading_path", F.array_sort("metadata.block_types").alias("block_types"), "content", "metadata")
 
 
 def quality(chunks: DataFrame, content: str = "content", most: int = MOST) -> DataFrame:
@@ -317,7 +399,7 @@ def quality(chunks: DataFrame, content: str = "content", most: int = MOST) -> Da
         F.min(n).alias("min_length"),
         F.max(n).alias("max_length"),
         F.count_if(n > most).alias("oversized"),
-        F.count_if(fx.collapse(F.col(content)).rlike(NOISE)).alias("noise"),
+        F.count_if(is_noise(fx.collapse(F.col(content)))).alias("noise"),
         F.count_if(first.rlike("^[,，。.;；:：、)）\\]】]")).alias("suspicious_starts"),
         F.count_if(first.rlike("^\\|[-:| ]+\\|$")).alias("table_fragments"),
     )
@@ -340,18 +422,25 @@ def header_votes(first: Column, second: Column) -> Column:
 _ENDS = "。！？；.!?;\\n，, "
 
 
-def windows(text: Column, most: int = MOST, overlap: int = OVERLAP, near: int = 80) -> Column:
+def windows(text: Column, most: int | Column = MOST, overlap: int = OVERLAP, near: int = 80) -> Column:
     """A long text in windows: each ends at the last boundary within ``near`` signs before ``most``, else at the first one
     as far behind it, else right there; the next begins ``overlap`` earlier, moved on to a boundary, and always
-    further than the last one began."""
-    check_options(most, most, overlap)
+    further than the last one began. ``most`` may differ from row to row."""
+    if isinstance(most, int):
+        check_options(most, most, overlap)
+        most = F.lit(most)
+    return _let(F.struct(text.alias("text"), most.cast("int").alias("most")), lambda x: _windows(x["text"], x["most"], overlap, near))
+
+
+def _windows(text: Column, most: Column, overlap: int, near: int) -> Column:
     n = F.length(text)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
 
     def step(a: Column, _: Column) -> Column:
-        left = F.length(F.regexp_extract(F.substring(text, a["at"] + most - near + 1, F.lit(near)), f"(?s)^(.*[{_ENDS}])", 1))
+        back_by = F.least(F.lit(near), most)
+        left = F.length(F.regexp_extract(F.substring(text, a["at"] + most - back_by + 1, back_by), f"(?s)^(.*[{_ENDS}])", 1))
         right = F.length(F.regexp_extract(F.substring(text, a["at"] + most + 1, F.lit(near)), f"(?s)^([^{_ENDS}]*[{_ENDS}])", 1))
-        end = F.when(a["at"] + most >= n, n).when(left > 0, a["at"] + most - near + left).when(right > 0, a["at"] + most + right).otherwise(a["at"] + most)
+        end = F.when(a["at"] + most >= n, n).when(left > 0, a["at"] + most - back_by + left).when(right > 0, a["at"] + most + right).otherwise(a["at"] + most)
         back = F.greatest(end - overlap, F.lit(0))
         skip = F.length(F.regexp_extract(F.substring(text, back + 1, F.lit(max(overlap, 1))), f"(?s)^([^{_ENDS}]*[{_ENDS}]\\s*)", 1))
         nxt = F.when(end >= n, n).when(back + skip > a["at"], F.least(back + skip, end)).otherwise(end)
@@ -359,47 +448,103 @@ def windows(text: Column, most: int = MOST, overlap: int = OVERLAP, near: int =
         more = F.when(piece != "", F.concat(a["out"], F.array(piece))).otherwise(a["out"])
         return F.when(a["at"] >= n, a).otherwise(F.struct(nxt.cast("int").alias("at"), more.alias("out")))
 
-    rounds = F.floor(n / max(1, most - overlap - near)).cast("int") + 2
+    rounds = F.floor(n / F.greatest(F.lit(1), most - overlap - near)).cast("int") + 2
     return F.aggregate(F.sequence(F.lit(1), rounds), start, step, lambda a: a["out"])
 
 
-def split_table(text: Column, most: int = MOST) -> Column:
-    """A Markdown table in parts that each keep the header; rows stay whole, a row that is too long is cut in windows. No
-    row comes twice."""
-    rows = F.split(text, "\n")
-    has = F.get(rows, F.lit(1)).rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$")
-    head = F.when(has, F.concat(F.get(rows, F.lit(0)), F.lit("\n"), F.get(rows, F.lit(1)), F.lit("\n"))).otherwise("")
-    body = F.slice(rows, F.when(has, 3).otherwise(1), F.greatest(F.size(rows), F.lit(1)))
-    room = F.greatest(F.lit(most) - F.length(head), F.lit(1))
-    cut = F.flatten(F.transform(body, lambda r: F.transform(F.sequence(F.lit(0), F.floor((F.length(r) - 1) / room).cast("int")), lambda i: F.substring(r, i * room + 1, room))))
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.transform(_pack_to(cut, room, "\n"), lambda p: F.concat(head, p)))
-
-
-def split_code(text: Column, most: int = MOST) -> Column:
-    """A fenced block in parts that each keep the fences; lines stay whole unless one is too long. No line comes twice."""
-    lines_ = F.split(text, "\n")
-    fenced = F.get(lines_, F.lit(0)).startswith("```")
-    first = F.when(fenced, F.concat(F.get(lines_, F.lit(0)), F.lit("\n"))).otherwise("")
-    closed = fenced & F.trim(F.element_at(lines_, -1)).eqNullSafe("```") & (F.size(lines_) > 1)
-    last = F.when(fenced, "\n```").otherwise("")
-    body = F.slice(lines_, F.when(fenced, 2).otherwise(1), F.size(lines_) - F.when(fenced, 1).otherwise(0) - F.when(closed, 1).otherwise(0))
-    room = F.greatest(F.lit(most) - F.length(first) - F.length(last), F.lit(1))
-    cut = F.flatten(F.transform(body, lambda r: F.when(F.length(r) <= room, F.array(r)).otherwise(F.transform(F.sequence(F.lit(0), F.floor((F.length(r) - 1) / room).cast("int")), lambda i: F.substring(r, i * room + 1, room)))))
-    return F.when(F.length(text) <= most, F.array(text)).otherwise(F.transform(_pack_to(cut, room, "\n"), lambda p: F.concat(first, p, last)))
-
-
-def _pack_to(units: Column, room: Column, glue: str) -> Column:
-    """Units joined as long as they fit in ``room``; blank ones count, for lines of code may be blank."""
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit(None).cast("string").alias("cur"))
+_ENTRY = "struct<text:string,row:int,alone:boolean>"
 
-    def step(a: Column, u: Column) -> Column:
-        fits = F.length(a["cur"]) + len(glue) + F.length(u) <= room
-        return F.struct(
-            F.when(a["cur"].isNotNull() & ~fits, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]).alias("done"),
-            F.when(a["cur"].isNotNull() & fits, F.concat(a["cur"], F.lit(glue), u)).otherwise(u).alias("cur"),
-        )
 
-    return F.aggregate(units, start, step, lambda a: F.when(a["cur"].isNotNull(), F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+def _carried(entries: Column, room: Column, overlap: int, base: Column) -> Column:
+    """Lines (text, row, alone) in groups that fit in ``room``, joined by line ends; behind a full group the next one begins with
+    its last whole lines that fit in ``overlap`` along with ``base`` signs, if they leave room. Lines that are ``alone``
+    (pieces of one that is too long) are groups of their own. No group exceeds the room."""
+    none = F.array().cast(f"array<{_ENTRY}>")
+    size = lambda xs: F.aggregate(xs, F.lit(-1), lambda a, x: a + F.length(x["text"]) + 1)
+
+    def tail(cur: Column) -> Column:
+        begin = F.struct(none.alias("kept"), base.cast("int").alias("n"), F.lit(True).alias("go"))
+
+        def take(a: Column, x: Column) -> Column:
+            go = a["go"] & (a["n"] + F.length(x["text"]) + 1 <= overlap)
+            return F.struct(F.when(go, F.concat(F.array(x), a["kept"])).otherwise(a["kept"]).alias("kept"), F.when(go, a["n"] + F.length(x["text"]) + 1).otherwise(a["n"]).alias("n"), go.alias("go"))
+
+        return F.aggregate(F.reverse(cur), begin, take, lambda a: a["kept"])
+
+    def step(a: Column, x: Column) -> Column:
+        empty = F.size(a["cur"]) == 0
+        alone = x["alone"] | F.coalesce(F.get(a["cur"], F.lit(0))["alone"], F.lit(False))
+        fits = ~alone & (size(a["cur"]) + 1 + F.length(x["text"]) <= room)
+        kept = F.when(alone, none).otherwise(tail(a["cur"])) if overlap else none
+        left = _let(kept, lambda k: F.when(size(k) + 1 + F.length(x["text"]) <= room, k).otherwise(none))
+        joins = empty | fits
+        whole = F.struct(F.when(joins, a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"]))).alias("done"), F.concat(F.when(joins, a["cur"]).otherwise(left), F.array(x)).alias("cur"))
+        return whole
+
+    start = F.struct(F.array().cast(f"array<array<{_ENTRY}>>").alias("done"), none.alias("cur"))
+    return F.aggregate(entries, start, step, lambda a: F.when(F.size(a["cur"]) > 0, F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+
+
+_PART = "struct<text:string,row_start:int,row_end:int,row_count:int>"
+
+
+def _entries(rows: Column, room: Column, overlap: int, first: Column) -> Column:
+    """Lines with their number (from ``first``, null where that is null); one that is too long as windows of the same number."""
+
+    def one(r: Column, i: Column) -> Column:
+        number = (first + i).cast("int")
+        whole = F.array(F.struct(r.alias("text"), number.alias("row"), F.lit(False).alias("alone")).cast(_ENTRY))
+        cut = F.transform(windows(r, room, overlap), lambda t: F.struct(t.alias("text"), number.alias("row"), F.lit(True).alias("alone")).cast(_ENTRY))
+        return F.when(F.length(r) <= room, whole).otherwise(cut)
+
+    return F.flatten(F.transform(rows, one))
+
+
+def table_parts(text: Column, most: int = MOST, overlap: int = 0, row_start: Column | None = None) -> Column:
+    """A Markdown table in parts (text, row_start, row_end, row_count) that each keep the header. Rows stay whole; a part begins
+    with the last whole rows of the one before that fit in ``overlap`` beside the header. ``row_start`` is the number of the
+    first row below the header; without it rows have no numbers. A row that is too long is cut in windows."""
+    first = F.lit(None).cast("int") if row_start is None else row_start
+    rows = F.filter(F.transform(F.split(text, "\n"), lambda r: F.rtrim(r)), lambda r: F.trim(r) != "")
+
+    def cut(rows: Column) -> Column:
+        has = F.coalesce(F.get(rows, F.lit(1)).rlike(r"^\s*\|?[\s:|-]*-[\s:|-]*\|?\s*$"), F.lit(False))
+        return _let(F.struct(rows.alias("rows"), has.alias("has")), lambda t: F.struct(F.when(t["has"], F.concat(F.get(t["rows"], F.lit(0)), F.lit("\n"), F.get(t["rows"], F.lit(1)), F.lit("\n"))).otherwise("").alias("head"), F.slice(t["rows"], F.when(t["has"], 3).otherwise(1), F.greatest(F.size(t["rows"]), F.lit(1))).alias("body")))
+
+    def part(g: Column, head: Column) -> Column:
+        joined = F.concat(head, F.array_join(F.transform(g, lambda x: x["text"]), "\n"))
+        return _let(F.array_compact(F.transform(g, lambda x: x["row"])), lambda n: F.struct(joined.alias("text"), F.array_min(n).alias("row_start"), F.array_max(n).alias("row_end"), F.nullif(F.size(F.array_distinct(n)), F.lit(0)).alias("row_count")).cast(_PART))
+
+    def parts(t: Column) -> Column:
+        room = F.greatest(F.lit(most) - F.length(t["head"]), F.lit(1))
+        n = F.size(t["body"])
+        whole = F.struct(text.alias("text"), first.alias("row_start"), (first + n - 1).alias("row_end"), F.when(first.isNotNull(), n).alias("row_count")).cast(_PART)
+        several = _let(room, lambda r: F.transform(_carried(_entries(t["body"], r, overlap, first), r, overlap, F.greatest(F.length(t["head"]) - 1, F.lit(0))), lambda g: part(g, t["head"])))
+        return F.when((F.length(text) <= most) | (n <= 0), F.array(whole)).otherwise(several)
+
+    return _let(_let(rows, cut), parts)
+
+
+def split_table(text: Column, most: int = MOST, overlap: int = 0) -> Column:
+    """The texts of ``table_parts``."""
+    return F.transform(table_parts(text, most, overlap), lambda p: p["text"])
+
+
+def split_code(text: Column, most: int = MOST, overlap: int = 0) -> Column:
+    """A fenced block in parts that each keep the fences. Lines stay whole unless one is too long; a part begins with the last
+    whole lines of the one before that fit in ``overlap`` beside the fences."""
+    def shells(rows: Column) -> Column:
+        fenced = F.get(rows, F.lit(0)).startswith("```")
+        closed = fenced & F.trim(F.element_at(rows, -1)).eqNullSafe("```") & (F.size(rows) > 1)
+        body = F.slice(rows, F.when(fenced, 2).otherwise(1), F.size(rows) - F.when(fenced, 1).otherwise(0) - F.when(closed, 1).otherwise(0))
+        return F.struct(F.when(fenced, F.concat(F.get(rows, F.lit(0)), F.lit("\n"))).otherwise("").alias("first"), F.when(fenced, "\n```").otherwise("").alias("last"), body.alias("body"))
+
+    def parts(t: Column) -> Column:
+        shell = F.length(t["first"]) + F.length(t["last"])
+        groups = lambda r: _carried(_entries(t["body"], r, overlap, F.lit(None).cast("int")), r, overlap, shell)
+        return _let(F.greatest(F.lit(most) - shell, F.lit(1)), lambda r: F.transform(groups(r), lambda g: F.concat(t["first"], F.array_join(F.transform(g, lambda x: x["text"]), "\n"), t["last"])))
+
+    return F.when(F.length(text) <= most, F.array(text)).otherwise(_let(_let(F.split(text, "\n"), shells), parts))
 
 
 def merged_metadata(blocks: DataFrame, by: list[str]) -> DataFrame:

@@ -112,21 +112,22 @@ def fn_heading_score(spark: SparkSession, d: str) -> DataFrame:
 FN_HEADING_SCORE = rf"""
 with {_LINES},
 l as (select doc_id, line_no, case when line_no % 7 = 0 then (line_no % 3 + 1) || '. ' || regexp_replace(left(line, 30), '[.,;:!?]', '', 'g') else line end as line from l0),
-s0 as (select doc_id, line_no, trim(regexp_replace(line, '\s+', ' ', 'g')) as s from l),
-h as (select *, regexp_replace(regexp_replace(s, '([0-9])\s*\.\s*([0-9])', '\1.\2', 'g'), '第\s*([一二三四五六七八九十百0-9])\s*([章节篇部])', '第\1\2', 'g') as t from s0),
-m as (select *, case when length(t) > 60 or regexp_matches(t, '[。！？；，,.!?;]$') or regexp_matches(t, '^(第?\s*[0-9]+\s*页?|[pP]age\s+[0-9]+|[0-9]+\s*/\s*[0-9]+|[ivxlcIVXLC]+|[-_=*·.\s]{{3,}})$') or regexp_matches(t, '\.{{3,}}|…{{2,}}') then null
-   when regexp_matches(t, '^第[一二三四五六七八九十百0-9]+[章篇部]\s*.*$') then 'chapter' when regexp_matches(t, '^[0-9]+(\.[0-9]+)+[\s、.]?\s*.+$') then 'numbered'
-   when regexp_matches(t, '^[一二三四五六七八九十]+、\s*.+$') then 'enumerated_cn' when regexp_matches(t, '^[0-9]+[\.、]\s*.+$') then 'numbered_top' end as pattern,
-  coalesce(lag(s = '') over w, true) as prev_blank, coalesce(lead(s = '') over w, true) as next_blank,
-  last_value(nullif(s, '') ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding) as prev,
-  first_value(nullif(s, '') ignore nulls) over (partition by doc_id order by line_no rows between 1 following and unbounded following) as next
-  from h window w as (partition by doc_id order by line_no)),
-c as (select *, sum((pattern is not null)::int) over (partition by doc_id order by line_no) as own, s <> '' and (regexp_matches(s, '[。！？；：.!?;:]$') or length(s) >= 12) as body,
-  case pattern when 'chapter' then .97 when 'numbered' then .94 when 'enumerated_cn' then .87 when 'numbered_top' then .85 end as base from m),
-b as (select *, max((pattern is null and body)::int) over (partition by doc_id, own) = 1 as has_body,
-  round(least(1.0, greatest(0.0, base::double + case when prev_blank then 0.03 else 0 end + case when next_blank then 0.03 else 0 end + case when coalesce(regexp_matches(next, '[。！？；：.!?;:]$') or length(next) >= 12, false) then 0.04 else 0 end
-   + case when coalesce(regexp_matches(prev, '[。！？；：.!?;:]$'), false) then 0.02 else 0 end + case when length(s) <= 20 then 0.02 when length(s) > 40 then -0.06 else 0 end - case when length(s) - length(replace(s, ' ', '')) >= 5 then 0.04 else 0 end)), 6)::double as score from c)
-select doc_id, line_no::int as line_no, s as heading, pattern, case pattern when 'chapter' then 1 when 'numbered_top' then 1 else 2 end::int as level, score, score >= 0.85 and has_body as keep from b where pattern is not null
+s0 as (select doc_id, line_no, trim(line, ' ') as bare, trim(regexp_replace(line, '\s+', ' ', 'g')) as c from l),
+s1 as (select *, regexp_replace(regexp_replace(c, '第\s+([0-9一二三四五六七八九十百千零]+)\s*([章节部分篇卷])', '第\1\2', 'g'), '([0-9])\s*[.．]\s*([0-9])', '\1.\2', 'g') as s from s0),
+m as (select *, case when s = '' or length(s) > 60 or regexp_matches(s, '[。！？；.!?]$') or regexp_matches(lower(s), '^(第?\s*[0-9]+\s*页|page\s*[0-9]+|[0-9]+|[ivxlcdm]+|[-_=]{{3,}})$') or regexp_matches(s, '\.{{4,}}|·{{3,}}|…{{2,}}') then null
+   when regexp_matches(s, '^第[0-9一二三四五六七八九十百千零]+[章节部分篇卷](?:\s*\S+.*)?$') then 'chapter_cn' when regexp_matches(s, '^([0-9]{{1,2}}(?:\.[0-9]{{1,2}}){{0,3}})(?:[、.．)]|\s)\s*\S+.*$') then 'numeric'
+   when regexp_matches(s, '^[一二三四五六七八九十百千零]+[、.．)]\s*\S+.*$') then 'cn_enum' when regexp_matches(s, '^[(（][0-9一二三四五六七八九十百千零]+[)）]\s*\S+.*$') then 'paren_enum' end as pattern,
+  coalesce(lag(bare = '') over w, true) as prev_blank, coalesce(lead(bare = '') over w, true) as next_blank,
+  last_value(nullif(bare, '') ignore nulls) over (partition by doc_id order by line_no rows between unbounded preceding and 1 preceding) as prev,
+  first_value(nullif(c, '') ignore nulls) over (partition by doc_id order by line_no rows between 1 following and unbounded following) as next
+  from s1 window w as (partition by doc_id order by line_no)),
+p as (select *, case pattern when 'chapter_cn' then .97 when 'numeric' then .94 when 'cn_enum' then .87 when 'paren_enum' then .85 end as base from m),
+c as (select *, round(least(1.0, greatest(0.0, base::double + case when prev_blank then 0.03 else 0 end + case when next_blank then 0.03 else 0 end + case when coalesce(regexp_matches(next, '[。！？；.!?]$') or length(next) >= 12, false) then 0.04 else 0 end
+   + case when coalesce(regexp_matches(prev, '[。！？；.!?]$'), false) then 0.02 else 0 end + case when length(s) <= 20 then 0.02 when length(s) > 40 then -0.06 else 0 end - case when length(s) - length(replace(s, ' ', '')) >= 5 then 0.04 else 0 end)), 6)::double as score from p),
+o as (select *, coalesce(pattern is not null and score >= 0.85, false) as sure, sum(coalesce(pattern is not null and score >= 0.85, false)::int) over (partition by doc_id order by line_no) as own from c),
+b as (select *, max((not sure and bare <> '' and not regexp_matches(lower(bare), '^(第?\s*[0-9]+\s*页|page\s*[0-9]+|[0-9]+|[ivxlcdm]+|[-_=]{{3,}})$'))::int) over (partition by doc_id, own) = 1 as has_body from o)
+select doc_id, line_no::int as line_no, s as heading, pattern, case pattern when 'chapter_cn' then 1 when 'numeric' then 1 + length(regexp_extract(s, '^([0-9]{{1,2}}(?:\.[0-9]{{1,2}}){{0,3}})', 1)) - length(replace(regexp_extract(s, '^([0-9]{{1,2}}(?:\.[0-9]{{1,2}}){{0,3}})', 1), '.', '')) else 2 end::int as level, score, sure and has_body as keep
+from b where pattern is not null
 """
 
 
@@ -168,7 +169,7 @@ def agg_split_quality(spark: SparkSession, d: str) -> DataFrame:
 
 AGG_SPLIT_QUALITY = rf"""with {PACKED}
 select count(*) as chunks, round(avg(length(content)), 4) as avg_length, min(length(content))::int as min_length, max(length(content))::int as max_length, count(*) filter (length(content) > 1000) as oversized,
-  count(*) filter (regexp_matches(trim(regexp_replace(content, '\s+', ' ', 'g')), '^(第?\s*[0-9]+\s*页?|[pP]age\s+[0-9]+|[0-9]+\s*/\s*[0-9]+|[ivxlcIVXLC]+|[-_=*·.\s]{{3,}})$')) as noise,
+  count(*) filter (regexp_matches(lower(trim(regexp_replace(content, '\s+', ' ', 'g'))), '^(第?\s*[0-9]+\s*页|page\s*[0-9]+|[0-9]+|[ivxlcdm]+|[-_=]{{3,}})$')) as noise,
   count(*) filter (regexp_matches(trim(string_split(content, chr(10))[1], ' '), '^[,，。.;；:：、)）\]】]')) as suspicious_starts,
   count(*) filter (regexp_matches(trim(string_split(content, chr(10))[1], ' '), '^\|[-:| ]+\|$')) as table_fragments from chunks
 """

@@ -163,3 +163,58 @@ def test_heading_levels_stay_in_line(spark):
     d = spark.createDataFrame(rows, "doc_id long, line_no int, heading string, pattern string, level int")
     got = [(r.level, r.heading_path) for r in splitting.heading_levels(d, "doc_id", "line_no").orderBy("line_no").collect()]
     assert got == [(1, ["二、x"]), (1, ["三、y"]), (2, ["三、y", "1.1.1 z"]), (3, ["三、y", "1.1.1 z", "1.1.1.1 w"]), (2, ["三、y", "四、v"]), (1, ["top"])]
+
+
+def test_headings_from_raw_text(spark):
+    """Enumerated headings are siblings, a number has as many levels as parts, brackets make a heading."""
+    body = "这里是正文内容，说明本节的要求和范围。"
+    text = "\n".join(f"{h}\n{body}" for h in ("一、总则", "二、范围", "三、职责", "1.1.1 细则", "（一）附件", "（二）说明"))
+    d = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    got = [(r.text, r.level) for r in splitting.text_elements(d).orderBy("n").collect() if r.kind == "heading"]
+    assert got == [("一、总则", 1), ("二、范围", 1), ("三、职责", 1), ("1.1.1 细则", 2), ("（一）附件", 2), ("（二）说明", 2)]
+    found = spark.createDataFrame([("1.2.3 Title",), ("（一） 范围",), ("目录....... 3",), ("第 3 部 分 工 总 则",), ("1 范 围 说 明",), ("xviii",), ("page3",), ("结束。",)], "s string")
+    rows = found.select(splitting.heading_match(F.col("s")).alias("m"), splitting.heading_text(F.col("s")).alias("t"), splitting.is_noise(F.col("s")).alias("x")).collect()
+    assert [(r.m.pattern, r.m.level) if r.m else None for r in rows] == [("numeric", 3), ("paren_enum", 2), None, ("chapter_cn", 1), ("numeric", 1), None, None, None]
+    assert rows[4].t == "1 范围说明" and [r.x for r in rows] == [False] * 5 + [True, True, False]
+
+
+def test_tables_carry_rows_over(spark):
+    rows = [f"| {i:02} | {'v' * 10} |" for i in range(20)]  # 19 signs each; the header takes 26 with its line ends
+    text = "\n".join(["| a | b |", "| --- | --- |", *rows])
+    parts = spark.range(1).select(splitting.table_parts(F.lit(text), 130, 70, F.lit(5)).alias("p")).first().p
+    assert [(p.row_start, p.row_end, p.row_count) for p in parts][:3] == [(5, 9, 5), (8, 12, 5), (11, 15, 5)]
+    assert parts[-1].row_end == 24 and all(len(p.text) <= 130 and p.text.startswith("| a | b |\n| --- | --- |\n| ") for p in parts)
+    assert {r for p in parts for r in p.text.split("\n")[2:]} == set(rows)
+    long = "\n".join(["| a |", "| --- |", "| short |", "| " + "word " * 60 + "|", "| end |"])
+    cut = spark.range(1).select(splitting.table_parts(F.lit(long), 120, 30, F.lit(1)).alias("p")).first().p
+    assert [p.row_start for p in cut] == [1, *[2] * (len(cut) - 2), 3] and all(p.text.startswith("| a |\n| --- |\n") for p in cut)
+
+
+def test_code_carries_lines_over(spark):
+    text = "\n".join(["```py", *[f"line {i:02}" for i in range(12)], "```"])
+    parts = one(spark, splitting.split_code(F.lit(text), 50, 30))
+    assert all(p.startswith("```py\n") and p.endswith("\n```") and len(p) <= 50 for p in parts)
+    got = [p.split("\n")[1:-1] for p in parts]
+    assert all(b[:2] == a[-2:] for a, b in zip(got, got[1:])) and list(dict.fromkeys(x for p in got for x in p)) == [f"line {i:02}" for i in range(12)]
+
+
+def test_chunks_have_the_metadata_of_what_they_hold(spark):
+    rows = [
+        (1, 1, "heading", "A", 1, ["A"], 1, 1, None), (1, 2, "paragraph", "One sentence here. " * 4, None, ["A"], 1, 1, None), (1, 3, "list", "- x\n- y", None, ["A"], 2, 2, None),
+        (1, 4, "table", "\n".join(["| k |", "| --- |", *[f"| r{i:03} |" for i in range(12)]]), None, ["A"], 3, 4, 2), (1, 5, "paragraph", "Long sentence number one. " * 12, None, ["A"], 4, 5, None),
+    ]
+    e = spark.createDataFrame(rows, "doc_id long, n int, kind string, text string, level int, heading_path array<string>, page_start int, page_end int, row_start int")
+    c = splitting.chunk_elements(e, target=100, most=120, overlap=60).orderBy("chunk_index").collect()
+    m = [r.metadata for r in c]
+    assert m[0].block_types == ["paragraph", "list"] and (m[0].page_start, m[0].page_end, m[0].paragraph_start, m[0].paragraph_end) == (1, 2, 2, 3)
+    tables = [x for x in m if x.block_types == ["table"]]
+    assert [(x.row_start, x.row_end) for x in tables] == [(2, 12), (8, 13)] and all((x.page_start, x.page_end) == (3, 4) for x in tables)
+    assert [x.heading_paths for x in m] == [[["A"]]] * len(m) and m[-1].paragraph_start == 5 and m[0].row_start is None
+    assert [r.chunk_index for r in c] == list(range(len(c)))
+
+
+def test_sections_align_in_order(spark):
+    e = [(1, 1, "heading", "T"), (1, 2, "heading", "A"), (1, 3, "paragraph", " same "), (1, 4, "paragraph", "left out"), (1, 5, "paragraph", "same"), (1, 6, "paragraph", "behind"), (2, 1, "paragraph", "x")]
+    b = [(1, 0, 0, "heading", "A"), (1, 0, 1, "paragraph", "same"), (1, 1, 0, "paragraph", "same ")]
+    got = splitting.align_sections(spark.createDataFrame(e, "doc_id long, n int, kind string, text string"), spark.createDataFrame(b, "doc_id long, section_no int, block_no int, kind string, text string")).orderBy("doc_id", "n").collect()
+    assert [(r.n, r.section_no, r.block_no, r.context_only) for r in got] == [(1, 0, 0, True), (2, 0, 0, False), (3, 0, 1, False), (4, 1, 0, True), (5, 1, 0, False), (6, 1, None, False), (1, 0, None, False)]
