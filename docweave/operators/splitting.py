@@ -588,33 +588,113 @@ def heading_levels(headings_: DataFrame, id_col: str, order: str) -> DataFrame:
     return out.select(id_col, F.col("h.at").alias(order), "h.heading", "h.level", F.col("h.path").alias("heading_path"))
 
 
-def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
-    """Plain text as elements: its headings (where ``least`` of them stay) and the paragraphs between them, else its
-    paragraphs only."""
-    rows = lines(docs, id_col, text_col)
-    kept = headings(rows, id_col).filter("keep").withColumn("__n", F.count("*").over(Window.partitionBy(id_col))).filter(F.col("__n") >= least)
+def _elements_of_lines(rows: DataFrame, kept: DataFrame, id_col: str, runs: list[Column] | None = None) -> DataFrame:
+    """Headings among lines, and paragraphs (runs of lines that are not blank) between them, with the pages that they are on
+    where the lines have any. ``runs`` tells what else ends a paragraph."""
     levels = heading_levels(kept.select(id_col, "line_no", "heading", "pattern", "level"), id_col, "line_no")
     w = Window.partitionBy(id_col).orderBy("line_no")
     so_far = w.rowsBetween(Window.unboundedPreceding, 0)
     r = rows.join(levels, [id_col, "line_no"], "left").withColumn("kind", F.when(F.col("heading").isNotNull(), "heading").when(F.trim("line") == "", "blank").otherwise("paragraph"))
     new = (F.col("kind") == "heading") | (F.col("kind") != F.coalesce(F.lag("kind").over(w), F.lit("blank")))
+    for other in runs or []:
+        new = new | ~other.eqNullSafe(F.lag(other).over(w))
     r = r.withColumns({"el": F.sum(new.cast("int")).over(so_far), "path": F.coalesce(F.last("heading_path", ignorenulls=True).over(so_far), F.array().cast("array<string>"))}).filter("kind <> 'blank'")
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", F.trim("line").alias("line")))), lambda x: x["line"]), "\n")
-    e = r.groupBy(id_col, "el").agg(F.first("kind").alias("kind"), F.coalesce(F.max("heading"), body).alias("text"), F.max("level").alias("level"), F.min_by("path", "line_no").alias("heading_path"))
-    return e.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("el")).alias("n"), "kind", "text", "level", "heading_path")
+    pages = [F.min("page").alias("page_start"), F.max("page").alias("page_end")] if "page" in rows.columns else []
+    e = r.groupBy(id_col, "el").agg(F.first("kind").alias("kind"), F.coalesce(F.max("heading"), body).alias("text"), F.max("level").alias("level"), F.min_by("path", "line_no").alias("heading_path"), *pages)
+    return e.select(id_col, F.row_number().over(Window.partitionBy(id_col).orderBy("el")).alias("n"), "kind", "text", "level", "heading_path", *[c for c in ("page_start", "page_end") if pages])
+
+
+def text_elements(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", least: int = 2) -> DataFrame:
+    """Plain text as elements: its headings (where ``least`` of them stay) and the paragraphs between them, else its
+    paragraphs only."""
+    rows = lines(docs, id_col, text_col)
+    kept = headings(rows, id_col).filter("keep").withColumn("__n", F.count("*").over(Window.partitionBy(id_col))).filter(F.col("__n") >= least)
+    return _elements_of_lines(rows, kept, id_col)
+
+
+#: Lines that a page may have; a document's lines are numbered across its pages.
+_PAGE_LINES = 1 << 24
+
+
+def page_lines(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """The lines of all pages (id, page_number, text) of a document in one sequence. A page that does not end blank has a blank
+    line behind it, unless it is the last: no paragraph goes on over a page's end, but headings and what they rule do."""
+    clean = F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "\r\n?", "\n"), r"(?U)^\s+|\s+$", "")
+    last = F.max("page_number").over(Window.partitionBy(id_col)) == F.col("page_number")
+    split = F.split(clean, "\n")
+    kept = F.when(last | (clean == ""), split).otherwise(F.concat(split, F.array(F.lit(""))))
+    rows = pages.select(id_col, F.col("page_number").alias("page"), kept.alias("__kept")).select(id_col, "page", F.posexplode("__kept").alias("__at", "line"))
+    return rows.select(id_col, (F.col("page").cast("long") * _PAGE_LINES + F.col("__at")).alias("line_no"), "page", "line")
+
+
+def page_text_elements(pages: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Elements of documents given as text pages (id, page_number, text), with pages and ``splitter``, which says how a document
+    was read: by its headings where any of them stays, their sections running across pages; else page by page, each
+    being a section (``section_no``) of paragraphs without a heading."""
+    rows = page_lines(pages, id_col)
+    found = headings(rows, id_col).filter("keep")
+    titled = found.select(id_col).distinct().withColumn("__titled", F.lit(True))
+    told = rows.join(titled, id_col, "left")
+    by_heading = _elements_of_lines(told.filter("__titled").drop("__titled"), found, id_col)
+    none = found.limit(0)
+    by_page = _elements_of_lines(told.filter("__titled is null").drop("__titled"), none, id_col, [F.col("page")])
+    sections_ = F.sum((F.col("kind") == "heading").cast("int")).over(Window.partitionBy(id_col).orderBy("n").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    places = (F.dense_rank().over(Window.partitionBy(id_col).orderBy("page_start")) - 1).cast("int")
+    return by_heading.withColumns({"section_no": sections_, "splitter": F.lit("pdf_heading_structure")}).unionByName(by_page.withColumns({"section_no": places, "splitter": F.lit("pdf_page_structure")}))
+
+
+def table_elements(cells: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Table elements of rows of cells (id, sheet, row_no from 0, cells): a run of rows that are not blank is a region, its first
+    row a header or not by vote. ``row_start`` and ``row_end`` count the data rows from 1, as in a sheet."""
+    blank = F.forall("cells", lambda c: F.trim(c) == "")
+    sheet = F.coalesce("sheet", F.lit(""))
+    r = islands(cells.withColumn("__sheet", sheet), [id_col, "__sheet"], "row_no", blank, "region")
+    t = r.groupBy(id_col, "__sheet", "region").agg(F.transform(F.array_sort(F.collect_list(F.struct("row_no", "cells"))), lambda x: x["cells"]).alias("rows"), F.min("row_no").alias("first"), F.max("row_no").alias("last"))
+    width = F.array_max(F.transform("rows", F.size))
+    even = F.transform("rows", lambda x: F.concat(x, F.array_repeat(F.lit(""), F.greatest(width - F.size(x), F.lit(0)))))
+    t = t.withColumn("rows", even)
+    t = t.withColumn("has_header", (F.size("rows") >= 2) & F.coalesce(header_votes(F.get("rows", F.lit(0)), F.get("rows", F.lit(1))), F.lit(False)))
+    names = F.transform(F.sequence(F.lit(0), width - 1), column_name)
+    t = t.withColumn("text", table_markdown(F.when(F.col("has_header"), F.col("rows")).otherwise(F.concat(F.array(names), F.col("rows")))))
+    n = F.row_number().over(Window.partitionBy(id_col).orderBy("__sheet", "first"))
+    none = F.array().cast("array<string>")
+    return t.select(id_col, n.alias("n"), F.lit("table").alias("kind"), "text", F.lit(None).cast("int").alias("level"), none.alias("heading_path"), (F.col("first") + 1 + F.col("has_header").cast("int")).cast("int").alias("row_start"), (F.col("last") + 1).cast("int").alias("row_end"), F.nullif("__sheet", F.lit("")).alias("sheet_name"), "has_header")
+
 
+def column_name(i: Column) -> Column:
+    """0 is A, 25 Z, 26 AA; up to three letters."""
+    letter = lambda x: F.chr((F.lit(65) + x).cast("int"))
+    return F.when(i < 26, letter(i)).when(i < 702, F.concat(letter(F.floor(i / 26) - 1), letter(i % 26))).otherwise(F.concat(letter(F.floor((i - 702) / 676)), letter(F.floor((i - 702) / 26) % 26), letter(i % 26)))
 
-#: File types and who reads them; a type is lower-cased, without blanks and a leading dot.
-MARKDOWN, PLAIN = ("md", "markdown"), ("txt", "text")
+
+#: File types and who reads them; a type is lower-cased, without blanks and a leading dot. Workbooks and word files whose bytes
+#: are not at hand are read as the plain text that was extracted from them.
+MARKDOWN, PLAIN, DELIMITED, PAGED = ("md", "markdown"), ("txt", "text", "xlsx", "docx"), ("csv",), ("pdf",)
 
 
 def file_type(name: Column) -> Column:
     return F.lower(F.regexp_replace(F.trim(name), "^\\.", ""))
 
 
-def elements_of(docs: DataFrame, type_col: str = "file_type", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Elements of text documents by the parser of their type. Types that none reads are refused when the rows are read."""
+def elements_of(docs: DataFrame, type_col: str = "file_type", id_col: str = "doc_id", text_col: str = "text", pages: DataFrame | None = None) -> DataFrame:
+    """Elements (id, n, kind, text, level, heading_path, pages, rows and sheet where there are any) of documents by the parser of
+    their type: Markdown, plain text, delimited tables, and, for pdf, the ``pages`` (id, page_number, text) of the same ids; without
+    any, a text of form feeds is cut at them. Types that none reads are refused when the rows are read."""
+    from docweave.sources import files
+
     kind = file_type(F.col(type_col))
-    known = F.when(kind.isin(*MARKDOWN, *PLAIN), kind).otherwise(F.raise_error(F.concat(F.lit("no parser for the file type "), F.coalesce(kind, F.lit("null")))))
+    known = F.when(kind.isin(*MARKDOWN, *PLAIN, *DELIMITED, *PAGED), kind).otherwise(F.raise_error(F.concat(F.lit("no parser for the file type "), F.coalesce(kind, F.lit("null")))))
     told = docs.select(id_col, text_col, known.alias("__type"))
-    return markdown_elements(told.filter(F.col("__type").isin(*MARKDOWN)), id_col, text_col).unionByName(text_elements(told.filter(F.col("__type").isin(*PLAIN)), id_col, text_col))
+    of = lambda types: told.filter(F.col("__type").isin(*types))
+    if pages is None:
+        pages = of(PAGED).select(id_col, F.posexplode(F.split(text_col, "\f")).alias("page_number", "text")).withColumn("page_number", F.col("page_number") + 1)
+    else:
+        pages = pages.join(of(PAGED).select(id_col), id_col, "left_semi")
+    tables = files.csv_cells(of(DELIMITED).select(F.col(id_col).cast("string").alias("path"), F.encode(F.coalesce(text_col, F.lit("")), "utf-8").alias("content")))
+    tables = table_elements(tables.withColumn(id_col, F.col("path").cast(docs.schema[id_col].dataType)), id_col).drop("has_header")
+    parsed = [markdown_elements(of(MARKDOWN), id_col, text_col), text_elements(of(PLAIN), id_col, text_col), page_text_elements(pages, id_col).drop("section_no", "splitter"), tables]
+    out = parsed[0]
+    for other in parsed[1:]:
+        out = out.unionByName(other, allowMissingColumns=True)
+    return out

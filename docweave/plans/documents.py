@@ -182,10 +182,37 @@ def tvf_split(spark: SparkSession, d: str) -> DataFrame:
 
 
 def src_type_dispatch(spark: SparkSession, d: str) -> DataFrame:
-    """Elements of all documents, every third read as plain text, the others as Markdown."""
-    kind = F.when(F.col("doc_id") % 3 == 0, " .TXT").otherwise("md")
-    e = splitting.elements_of(_docs(spark, d).withColumn("file_type", kind))
-    return e.groupBy("doc_id").agg(F.count("*").alias("elements"), F.count_if(F.col("kind") == "heading").alias("headings"), F.max(F.size("heading_path")).alias("depth"))
+    """Elements of all documents by a made-up type: plain text, Markdown, tables (words of a line as cells), pages of 30 lines."""
+    kind = F.element_at(F.array(*map(F.lit, (" .TXT", "md", "csv", "PDF"))), (F.col("doc_id") % 4 + 1).cast("int"))
+    table_text = F.regexp_replace(F.regexp_replace("text", "[,;|\"\t]", ""), " +", ",")
+    docs = _docs(spark, d).withColumn("file_type", kind).withColumn("text", F.when(F.col("doc_id") % 4 == 2, table_text).otherwise(F.col("text")))
+    e = splitting.elements_of(docs, pages=_pages(spark, d))
+    return e.groupBy("doc_id").agg(F.count("*").alias("elements"), F.count_if(F.col("kind") == "heading").alias("headings"), F.max(F.size("heading_path")).alias("depth"), F.max("page_end").alias("pages"), F.max("row_end").alias("rows"))
+
+
+def _pages(spark: SparkSession, d: str) -> DataFrame:
+    """Documents as pages of 30 lines; every seventh line of every fifth document is a heading."""
+    numbered = F.concat((F.col("line_no") % 3 + 1).cast("string"), F.lit(". "), F.regexp_replace(F.left("line", F.lit(30)), "[.,;:!?]", ""))
+    rows = splitting.lines(_docs(spark, d)).withColumn("line", F.when((F.col("line_no") % 7 == 0) & (F.col("doc_id") % 5 == 0), numbered).otherwise(F.col("line")))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n")
+    return rows.groupBy("doc_id", (F.floor(F.col("line_no") / 30) + 1).cast("int").alias("page_number")).agg(text.alias("text"))
+
+
+def tvf_parse_pages(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs of documents read page by page, for want of headings."""
+    e = splitting.page_text_elements(_pages(spark, d)).filter("splitter = 'pdf_page_structure'")
+    return e.select("doc_id", F.col("n").cast("long").alias("n"), F.col("page_start").alias("page"), F.col("section_no").alias("section_no"), F.md5("text").alias("text_md5"))
+
+
+TVF_PARSE_PAGES = rf"""
+with {_LINES},
+h as (select doc_id from ({FN_HEADING_SCORE.replace("when line_no % 7 = 0 then", "when line_no % 7 = 0 and doc_id % 5 = 0 then")}) where keep group by 1),
+r as (select doc_id, line_no, line_no // 30 + 1 as page, line, trim(line, ' ') = '' as blank from l0 where doc_id not in (select doc_id from h) and not (line_no % 7 = 0 and doc_id % 5 = 0)
+  union all select doc_id, line_no, line_no // 30 + 1, (line_no % 3 + 1) || '. ' || regexp_replace(left(line, 30), '[.,;:!?]', '', 'g'), false from l0 where doc_id not in (select doc_id from h) and line_no % 7 = 0 and doc_id % 5 = 0),
+i as (select *, sum((not blank and coalesce(lag_blank, true))::int) over (partition by doc_id order by line_no) as run from (select *, lag(blank) over (partition by doc_id, page order by line_no) as lag_blank from r)),
+e as (select doc_id, run, min(page) as page, string_agg(trim(line, ' '), chr(10) order by line_no) as text from i where not blank group by 1, 2)
+select doc_id, row_number() over (partition by doc_id order by run) as n, page::int as page, (dense_rank() over (partition by doc_id order by page) - 1)::int as section_no, md5(text) as text_md5 from e
+"""
 
 
 def tvf_snapshot(spark: SparkSession, d: str) -> DataFrame:

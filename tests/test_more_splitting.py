@@ -218,3 +218,25 @@ def test_sections_align_in_order(spark):
     b = [(1, 0, 0, "heading", "A"), (1, 0, 1, "paragraph", "same"), (1, 1, 0, "paragraph", "same ")]
     got = splitting.align_sections(spark.createDataFrame(e, "doc_id long, n int, kind string, text string"), spark.createDataFrame(b, "doc_id long, section_no int, block_no int, kind string, text string")).orderBy("doc_id", "n").collect()
     assert [(r.n, r.section_no, r.block_no, r.context_only) for r in got] == [(1, 0, 0, True), (2, 0, 0, False), (3, 0, 1, False), (4, 1, 0, True), (5, 1, 0, False), (6, 1, None, False), (1, 0, None, False)]
+
+
+def test_pages_with_headings_and_without(spark):
+    body = "这里是正文内容，说明本节的要求和范围。"
+    rows = [(1, 1, f"一、总则\n{body}\n\n第二段。"), (1, 2, f"接上页的段落，没有标题。\n二、范围\n{body}"), (2, 1, "First paragraph,\ntwo lines.\n\n\nSecond."), (2, 2, "  "), (2, 3, "Third page."), (3, 1, None)]
+    e = splitting.page_text_elements(spark.createDataFrame(rows, "doc_id long, page_number int, text string")).orderBy("doc_id", "n").collect()
+    one_ = [(r.kind, r.text, r.page_start, r.page_end, r.section_no, r.heading_path) for r in e if r.doc_id == 1]
+    assert one_ == [
+        ("heading", "一、总则", 1, 1, 1, ["一、总则"]), ("paragraph", body, 1, 1, 1, ["一、总则"]), ("paragraph", "第二段。", 1, 1, 1, ["一、总则"]),
+        ("paragraph", "接上页的段落，没有标题。", 2, 2, 1, ["一、总则"]), ("heading", "二、范围", 2, 2, 2, ["二、范围"]), ("paragraph", body, 2, 2, 2, ["二、范围"]),
+    ]
+    assert [(r.text, r.page_start, r.section_no, r.splitter) for r in e if r.doc_id != 1] == [("First paragraph,\ntwo lines.", 1, 0, "pdf_page_structure"), ("Second.", 1, 0, "pdf_page_structure"), ("Third page.", 3, 1, "pdf_page_structure")]
+
+
+def test_types_go_to_their_parsers(spark):
+    text = "name;score\na;1\nb;2\n\nx;y;z\n"
+    rows = [(1, text, "CSV"), (2, "Page one.\fPage two.", "pdf"), (3, "| a |\n| --- |\n| 1 |", "md"), (4, "Some text here.", ".docx")]
+    e = splitting.elements_of(spark.createDataFrame(rows, "doc_id long, text string, file_type string")).orderBy("doc_id", "n").collect()
+    assert [(r.doc_id, r.kind, r.row_start, r.row_end, r.page_start) for r in e] == [(1, "table", 2, 3, None), (1, "table", 5, 5, None), (2, "paragraph", None, None, 1), (2, "paragraph", None, None, 2), (3, "table", None, None, None), (4, "paragraph", None, None, None)]
+    assert e[0].text == "| name | score |\n| --- | --- |\n| a | 1 |\n| b | 2 |" and e[1].text.startswith("| A | B | C |\n| --- | --- | --- |\n| x | y | z |")
+    names = spark.createDataFrame([(i,) for i in (0, 25, 26, 701, 702, 18277)], "i int").select(splitting.column_name(F.col("i")).alias("n")).collect()
+    assert [r.n for r in names] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ"]
