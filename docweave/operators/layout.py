@@ -89,6 +89,49 @@ def lines_of_words(words: DataFrame, by: list[str], apart: float = 4.0) -> DataF
     return page.select(*by, F.explode(F.aggregate("ws", start, step)["out"]).alias("w")).select(*by, "w.*")
 
 
+#: Signs that open and close, and spaces that joining lines leaves behind.
+_OPENING, _CLOSING, _ASCII_ENDS, _ASCII_WORD = r"[(\[{<“‘]", r"[，。！？；：、,.!?;:)\]}>”’]", r"[.!?;:,)\]}]", r"[A-Za-z0-9_\-/]"
+_LEFT_SPACES = (
+    (r"(?<=[0-9])\s+\.(?=\s*\S)", "."),
+    (r"(?<=[一-鿿])\s+(?=[一-鿿])", ""),
+    (r"(?<=[A-Za-z0-9])\s+(?=[一-鿿])", ""),
+    (r"(?<=[一-鿿])\s+(?=[A-Za-z0-9])", ""),
+    (r"(?<=[一-鿿])\s+(?=[，。！？；：、])", ""),
+    (r"(?<=[（【《“‘])\s+(?=[一-鿿A-Za-z0-9])", ""),
+    (r"(?<=[A-Za-z])\s+(?=[,.!?;:])", ""),
+)
+
+
+def join_lines(texts: Column) -> Column:
+    """The lines of a paragraph as one text: a space between two words of ASCII letters and behind ASCII punctuation before
+    such a word, none elsewhere; what depends on the line before is told by its last sign, so no line waits for all before it.
+    Spaces left between CJK signs, before punctuation and in split numbers are removed."""
+    kept = F.filter(F.transform(texts, lambda t: F.regexp_replace(t, r"(?U)^\s+|\s+$", "")), lambda t: t != "")
+
+    def glued(xs: Column) -> Column:
+        def one(x: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.get(xs, i - 1))
+            tight = before.isNull() | before.rlike(_OPENING + "$") | x.rlike("^" + _CLOSING)
+            spaced = x.rlike("^" + _ASCII_WORD) & (before.rlike(_ASCII_WORD + "$") | before.rlike(_ASCII_ENDS + "$"))
+            return F.when(tight | ~spaced, x).otherwise(F.concat(F.lit(" "), x))
+
+        return F.array_join(F.transform(xs, one), "")
+
+    out = fx.collapse(F.get(F.transform(F.array(kept), glued), F.lit(0)))
+    for pattern, by in _LEFT_SPACES:
+        out = F.regexp_replace(out, pattern, by)
+    return fx.collapse(out)
+
+
+def without_headers_footers(lines: DataFrame, doc: str, height: Column) -> DataFrame:
+    """Lines less those in a top or bottom zone whose text stands in that zone on two pages or more of the document. The repeated
+    texts come from one aggregate; lines meet them by document, zone and text."""
+    zone = F.when(F.col("bottom") <= height * HEADER_ZONE, "header").when(F.col("top") >= height * FOOTER_ZONE, "footer")
+    told = lines.withColumns({"__zone": zone, "__norm": repeated_text(F.col("text"))})
+    found = headers_footers(lines, doc, height).select(F.col(doc).alias("__doc"), F.col("zone").alias("__z"), F.col("norm").alias("__n"))
+    return told.join(found, (F.col(doc) == F.col("__doc")) & (F.col("__zone") == F.col("__z")) & (F.col("__norm") == F.col("__n")), "left_anti").drop("__zone", "__norm")
+
+
 def page_elements(lines: DataFrame, doc: str, page: str = "page") -> DataFrame:
     """Lines (doc, page, position, text, size, top, bottom) as headings and paragraphs: a line is a heading if it is short
     and larger than its page's median by 1.2; a paragraph ends at a heading, a new page, or a wide gap."""
@@ -100,6 +143,5 @@ def page_elements(lines: DataFrame, doc: str, page: str = "page") -> DataFrame:
     tall = F.greatest(F.col("bottom") - F.col("top"), F.col("height"))
     new = F.coalesce(F.col("heading") | F.lag("heading").over(w) | (F.lag(page).over(w) != F.col(page)) | (gap > 1.65 * tall), F.lit(True))
     m = m.withColumn("__new", new.cast("int")).withColumn("element", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)) - 1)
-    glued = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(page, "position", "text"))), lambda x: x["text"]), " ")
-    joined = F.regexp_replace(glued, "(?<=[一-鿿，。；：！？]) (?=[一-鿿，。；：！？])", "")
+    joined = join_lines(F.transform(F.array_sort(F.collect_list(F.struct(page, "position", "text"))), lambda x: x["text"]))
     return m.groupBy(doc, "element").agg(F.when(F.first("heading"), "heading").otherwise("paragraph").alias("kind"), joined.alias("text"), F.min(page).alias("page_start"), F.max(page).alias("page_end"))

@@ -9,11 +9,12 @@ from pyspark.sql.window import Window
 from docweave.functions import text as fx
 
 #: What each role may do.
+_EVERYTHING = ("knowledge_base:read", "knowledge_base:write", "knowledge_base:delete", "content:read", "content:write", "content:delete", "search:use", "chat:use", "upload:create", "user:manage")
 PERMISSIONS = {
-    "owner": ("read", "write", "review", "manage", "audit"),
-    "admin": ("read", "write", "review", "manage", "audit"),
-    "editor": ("read", "write"),
-    "viewer": ("read",),
+    "owner": _EVERYTHING,
+    "admin": _EVERYTHING,
+    "editor": ("knowledge_base:read", "knowledge_base:write", "content:read", "content:write", "search:use", "chat:use", "upload:create"),
+    "viewer": ("knowledge_base:read", "content:read", "search:use", "chat:use"),
 }
 #: How an upload may go on.
 TRANSITIONS = {("initiated", "uploading"), ("uploading", "completed"), ("uploading", "aborted"), ("initiated", "aborted"), ("initiated", "expired"), ("uploading", "expired")}

@@ -8,12 +8,22 @@ from pyspark.sql.window import Window
 
 from docweave.functions import text as fx
 from docweave.operators import conversation
+from docweave.operators.service import PERMISSIONS
 
 #: What a tool may return at most.
 MOST_CHARS, MOST_ROWS = 24_000, 50
 TOOLS = ("search_knowledge_base", "get_document", "get_knowledge_item", "get_chunk_neighbors", "list_knowledge_base_documents", "search_conversation_history")
+#: The permission that each tool asks for.
+NEEDS = {
+    "search_knowledge_base": "search:use",
+    "get_document": "content:read",
+    "get_knowledge_item": "content:read",
+    "get_chunk_neighbors": "content:read",
+    "list_knowledge_base_documents": "content:read",
+    "search_conversation_history": "chat:use",
+}
 #: Which roles may call which tool; all others none.
-ALLOWED = {"owner": TOOLS, "admin": TOOLS, "editor": TOOLS, "viewer": TOOLS[:4]}
+ALLOWED = {role: tuple(t for t in TOOLS if NEEDS[t] in had) for role, had in PERMISSIONS.items()}
 
 
 def get_document(docs: DataFrame, wanted: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -70,9 +80,17 @@ def get_knowledge_item(items: DataFrame, wanted: DataFrame, id_col: str = "doc_i
 
 
 def authorised(calls: DataFrame) -> DataFrame:
-    """Calls (role, tool) with ``allowed``."""
+    """Calls (role, tool) with ``allowed``. Where calls tell their scope (org, kb) both must be there; a search of the history
+    also needs conversation and user, where calls have these columns."""
     pair = F.concat_ws("/", "role", "tool")
-    return calls.withColumn("allowed", F.coalesce(pair.isin(*[f"{r}/{t}" for r, ts in ALLOWED.items() for t in ts]), F.lit(False)))
+    ok = F.coalesce(pair.isin(*[f"{r}/{t}" for r, ts in ALLOWED.items() for t in ts]), F.lit(False))
+    for c in ("org", "kb"):
+        if c in calls.columns:
+            ok = ok & F.coalesce(F.col(c) > 0, F.lit(False))
+    for c in ("conversation_id", "user_id"):
+        if c in calls.columns:
+            ok = ok & ((F.col("tool") != "search_conversation_history") | F.col(c).isNotNull())
+    return calls.withColumn("allowed", ok)
 
 
 def tool_call(response: Column) -> Column:
@@ -120,11 +138,23 @@ def partial_answer(prefix: Column) -> Column:
 
 
 def stream_pieces(text: Column, most: int = 24) -> Column:
-    """An answer in pieces for sending: whole sentences up to ``most`` signs together, longer ones cut."""
-    whole = F.flatten(F.transform(fx.sentences(text, fx.ANSWER_ENDS), lambda s: F.transform(F.sequence(F.lit(0), F.floor((F.length(s) - 1) / most).cast("int")), lambda i: F.substring(s, i * most + 1, F.lit(most)))))
-    start = F.struct(F.array().cast("array<string>").alias("done"), F.lit("").alias("cur"))
-    step = lambda a, s: F.when(F.length(a["cur"]) + F.length(s) <= most, F.struct(a["done"].alias("done"), F.concat(a["cur"], s).alias("cur"))).otherwise(F.struct(F.when(a["cur"] != "", F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]).alias("done"), s.alias("cur")))
-    return F.aggregate(whole, start, step, lambda a: F.when(a["cur"] != "", F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+    """An answer in pieces for sending: paragraph by paragraph, sentences (up to a full stop, mark or line end) joined while they
+    fit in ``most`` signs. A longer sentence is a piece of its own; no piece goes beyond a paragraph."""
+    clean = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    trimmed = lambda xs: F.filter(F.transform(xs, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: x != "")
+    none = F.array().cast("array<string>")
+
+    def step(a: Column, s: Column) -> Column:
+        fits = F.length(a["cur"]) + F.length(s) <= most
+        done = F.when(fits | (a["cur"] == ""), a["done"]).otherwise(F.concat(a["done"], F.array(a["cur"])))
+        return F.struct(done.alias("done"), F.when(fits, F.concat(a["cur"], s)).otherwise(s).alias("cur"))
+
+    def pieces(paragraph: Column) -> Column:
+        sentences = trimmed(F.split(paragraph, "(?<=[。！？；\n])"))
+        start = F.struct(none.alias("done"), F.lit("").alias("cur"))
+        return F.aggregate(sentences, start, step, lambda a: F.when(a["cur"] != "", F.concat(a["done"], F.array(a["cur"]))).otherwise(a["done"]))
+
+    return F.when(F.coalesce(clean, F.lit("")) == "", none).otherwise(F.flatten(F.transform(trimmed(F.split(clean, "\n\n")), pieces)))
 
 
 def index_documents(chunks: DataFrame) -> DataFrame:

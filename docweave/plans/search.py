@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as fx
-from docweave.operators import evaluation, lexical_index, retrieval, vector_index
+from docweave.operators import evaluation, lexical_index, retrieval, table_functions, vector_index
 from docweave.session import shared_folder, table
 
 K = 20
@@ -76,6 +76,36 @@ def topk_bm25_scoped(spark: SparkSession, d: str) -> DataFrame:
 TOPK_BM25_SCOPED = f"with {_TERMS} select query_id, doc_id, score, (row_number() over (partition by query_id order by score desc, doc_id))::int as rank from scored where lang = 'en' qualify rank <= 5"
 
 
+def _functions(spark: SparkSession, d: str) -> None:
+    docs, m = table(spark, d, "documents"), table(spark, d, "conversations")
+    chunks = m.select(F.col("conv_id").cast("long").alias("item_id"), F.col("turn").cast("int").alias("chunk_index"), F.col("text").alias("content"))
+    items = docs.select(F.col("doc_id").alias("item_id"), F.col("source").alias("title"), F.col("text").alias("content"))
+    named = docs.select("doc_id", F.col("lang").alias("knowledge_base"), F.col("source").alias("name"), "text")
+    messages = m.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), "role", F.col("text").alias("content"))
+    table_functions.register(spark, named, chunks, items, messages, _index(spark, d))
+
+
+def tool_functions(spark: SparkSession, d: str) -> DataFrame:
+    """Table functions called for many rows: neighbours of every user message, documents of labelled ids, and messages of every
+    conversation that hold a word."""
+    _functions(spark, d)
+    c = table(spark, d, "conversations")
+    c.filter("role = 'user'").select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("int").alias("turn")).createOrReplaceTempView("asked_turns")
+    table(spark, d, "labels").select(F.col("doc_id").cast("long").alias("doc_id")).distinct().createOrReplaceTempView("asked_docs")
+    return spark.sql("""
+        SELECT 'neighbors' AS tool, q.conv_id * 1000 + q.turn AS asked, CAST(n.chunk_index AS BIGINT) AS found, md5(n.content) AS content_md5 FROM asked_turns q, LATERAL get_chunk_neighbors(q.conv_id, q.turn, 2) n
+        UNION ALL SELECT 'document', q.doc_id, CAST(g.truncated AS BIGINT), md5(g.content) FROM asked_docs q, LATERAL get_document(q.doc_id) g
+        UNION ALL SELECT 'list', place, doc_id, md5(name) FROM list_knowledge_base_documents('de', 99)
+    """)
+
+
+TOOL_FUNCTIONS = """
+select 'neighbors' as tool, q.conv_id * 1000 + q.turn as asked, c.turn::bigint as found, md5(c.text) as content_md5 from conversations q join conversations c on c.conv_id = q.conv_id and c.turn between q.turn - 2 and q.turn + 2 where q.role = 'user'
+union all select 'document', doc_id, (length(text) > 24000)::bigint, md5(left(text, 24000)) from documents where doc_id in (select doc_id from labels)
+union all select 'list', row_number() over (order by doc_id desc), doc_id, md5(source) from documents where lang = 'de' qualify row_number() over (order by doc_id desc) <= 50
+"""
+
+
 def topk_dense_lists(spark: SparkSession, d: str) -> DataFrame:
     """The nearest vectors through inverted lists, with the usual number of candidates."""
     v = table(spark, d, "embeddings")
@@ -428,6 +458,7 @@ select doc_id, sent_no, round(matched + 0.01 * greatest(0, 5 - sent_no), 6)::dou
 QUERIES = {
     "topk_dense": (topk_dense, TOPK_DENSE),
     "topk_bm25": (topk_bm25, TOPK_BM25),
+    "tool_functions": (tool_functions, TOOL_FUNCTIONS),
     "topk_dense_lists": (topk_dense_lists, None),
     "topk_dense_lists_exact": (topk_dense_lists_exact, TOPK_DENSE),
     "topk_bm25_scan": (topk_bm25_scan, TOPK_BM25_SCAN),

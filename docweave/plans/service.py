@@ -95,13 +95,14 @@ AGG_OWNER_GUARD = "select c_nationkey, count(*) filter (c_acctbal > 0) as active
 
 def flt_rbac(spark: SparkSession, d: str) -> DataFrame:
     role = F.element_at(F.array(*map(F.lit, ("owner", "admin", "editor", "viewer", "guest"))), (F.col("user_id") % 5 + 1).cast("int"))
-    need = F.when(F.col("event_type") == "purchase", "write").when(F.col("event_type") == "error", "audit").otherwise("read")
+    need = F.element_at(F.array(*map(F.lit, ("content:read", "content:write", "content:delete", "upload:create", "user:manage", "chat:use", "nothing:known"))), (F.col("event_id") % 7 + 1).cast("int"))
     return service.authorise(table(spark, d, "events").select("event_id", role.alias("role"), need.alias("permission"))).select("event_id", "role", "permission", "allowed")
 
 
 FLT_RBAC = """
-with e as (select event_id, ['owner', 'admin', 'editor', 'viewer', 'guest'][user_id % 5 + 1] as role, case event_type when 'purchase' then 'write' when 'error' then 'audit' else 'read' end as permission from events)
-select event_id, role, permission, case when role in ('owner', 'admin') then true when role = 'editor' then permission in ('read', 'write') when role = 'viewer' then permission = 'read' else false end as allowed from e
+with e as (select event_id, ['owner', 'admin', 'editor', 'viewer', 'guest'][user_id % 5 + 1] as role, ['content:read', 'content:write', 'content:delete', 'upload:create', 'user:manage', 'chat:use', 'nothing:known'][event_id % 7 + 1] as permission from events)
+select event_id, role, permission, case when role in ('owner', 'admin') then permission <> 'nothing:known' when role = 'editor' then permission in ('content:read', 'content:write', 'upload:create', 'chat:use')
+  when role = 'viewer' then permission in ('content:read', 'chat:use') else false end as allowed from e
 """
 
 

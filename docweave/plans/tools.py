@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docweave.functions import text as fx
@@ -61,7 +61,7 @@ t as (select *, case when found = 'source' then 'get_document' else found end as
 FN_TOOL_PLAN = f"""{_SQL_PLANS}
 select conv_id, turn, role, tool, case found when 'source' then 'document_id=' || case when hit then conv_id else conv_id + 7 end when 'get_chunk_neighbors' then 'chunk_id=' || turn || ',radius=2'
     when 'list_knowledge_base_documents' then 'limit=20' when 'get_document' then 'document_id=' || conv_id when 'get_knowledge_item' then 'knowledge_item_id=' || 2 * conv_id end as args,
-  tool is not null and (role = 'editor' or (role = 'viewer' and tool <> 'list_knowledge_base_documents')) as allowed from t
+  tool is not null and role in ('editor', 'viewer') as allowed from t
 """
 
 
@@ -114,9 +114,31 @@ select id, (row_number() over (partition by id order by pick))::int as n, doc_id
 """
 
 
+def _answers() -> Column:
+    """Messages as answers: commas end sentences, and every fourth blank a paragraph or a line."""
+    s = F.replace(F.replace("text", F.lit(","), F.lit("；")), F.lit("."), F.lit("。"))
+    return F.when(F.col("turn") % 2 == 0, F.regexp_replace(s, "([^ ]+ [^ ]+ [^ ]+ [^ ]+) ", "$1\n")).otherwise(F.regexp_replace(s, "([^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+) ", "$1\n\n"))
+
+
 def fn_sse_split(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "benchmark").select("item_id", tools.stream_pieces(F.col("text")).alias("p"))
-    return p.select("item_id", F.size("p").cast("long").alias("pieces"), F.array_max(F.transform("p", lambda x: F.length(x))).alias("longest"))
+    p = table(spark, d, "conversations").select("conv_id", "turn", F.posexplode(tools.stream_pieces(_answers())).alias("n", "piece"))
+    return p.select("conv_id", "turn", F.col("n").cast("long").alias("n"), "piece")
+
+
+FN_SSE_SPLIT = r"""
+with s as (select conv_id, turn, replace(replace(text, ',', '；'), '.', '。') as t from conversations),
+a as (select conv_id, turn, trim(case when turn % 2 = 0 then regexp_replace(t, '([^ ]+ [^ ]+ [^ ]+ [^ ]+) ', '\1' || chr(10), 'g') else regexp_replace(t, '([^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+ [^ ]+) ', '\1' || chr(10) || chr(10), 'g') end, ' ' || chr(9) || chr(10) || chr(13)) as t from s),
+p as (select conv_id, turn, unnest(ps) as paragraph, generate_subscripts(ps, 1) as pno from (select conv_id, turn, string_split(t, chr(10) || chr(10)) as ps from a)),
+x as (select conv_id, turn, pno, list_filter(list_transform(regexp_extract_all(paragraph, '[^。！？；
+]*[。！？；
+]|[^。！？；
+]+$'), lambda q : trim(q, ' ' || chr(9) || chr(10) || chr(13))), lambda q : q <> '') as ss from p),
+f as (select conv_id, turn, pno, list_reduce(list_prepend({'done': []::varchar[], 'cur': ''}, list_transform(ss, lambda q : {'done': []::varchar[], 'cur': q})),
+  lambda b, q : case when length(b.cur) + length(q.cur) <= 24 then {'done': b.done, 'cur': b.cur || q.cur} when b.cur = '' then {'done': b.done, 'cur': q.cur} else {'done': list_append(b.done, b.cur), 'cur': q.cur} end) as z from x where len(ss) > 0),
+g as (select conv_id, turn, pno, list_append(z.done, z.cur) as out from f),
+u as (select conv_id, turn, pno, unnest(out) as piece, generate_subscripts(out, 1) as k from g)
+select conv_id, turn, row_number() over (partition by conv_id, turn order by pno, k) - 1 as n, piece from u
+"""
 
 
 def prj_index_doc(spark: SparkSession, d: str) -> DataFrame:
@@ -253,4 +275,4 @@ select conv_id, turn, s = '' or (length(s) <= 24 and contains('，。、；：
 """
 
 
-QUERIES = {k: (globals()[k], globals()[k.upper()]) for k in [x for x in list(globals()) if x.upper() in globals() and x.islower() and not x.startswith("_")]} | {"fn_sse_split": (fn_sse_split, None), "wf_questions": (wf_questions, None)}
+QUERIES = {k: (globals()[k], globals()[k.upper()]) for k in [x for x in list(globals()) if x.upper() in globals() and x.islower() and not x.startswith("_")]} | {"wf_questions": (wf_questions, None)}

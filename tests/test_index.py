@@ -121,3 +121,22 @@ def test_best_of_ties():
     score = np.array([[0.5, 0.9, 0.5, 0.5, -1.0], [0.1, 0.2, 0.3, 0.4, 0.5], [-1.0, -1.0, 0.3, -1.0, -1.0]])
     i, j = retrieval.best(score, np.array([5, 4, 3, 2, 1]), 2)
     assert sorted(zip(i.tolist(), j.tolist(), strict=True)) == [(0, 1), (0, 3), (1, 3), (1, 4), (2, 2)]
+
+
+def test_table_functions(spark, tmp_path):
+    from docweave.operators import table_functions
+
+    docs = spark.createDataFrame([(i, "k" if i % 2 else "l", f"n{i}", f"text number {i} " + "alpha " * i) for i in range(6)], "doc_id long, knowledge_base string, name string, text string")
+    chunks = spark.createDataFrame([(1, i, f"c{i}") for i in range(6)], "item_id long, chunk_index int, content string")
+    items = spark.createDataFrame([(3, "T", "body")], "item_id long, title string, content string")
+    messages = spark.createDataFrame([(1, 0, "user", "Hello there"), (1, 1, "assistant", "hello"), (2, 0, "user", "hello")], "conv_id long, turn long, role string, content string")
+    index = lexical_index.create(docs, f"file://{tmp_path}/t", docs_per_bucket=2)
+    table_functions.register(spark, docs, chunks, items, messages, index)
+    rows = lambda q: [tuple(r) for r in spark.sql(q).collect()]
+    want = [tuple(r) for r in retrieval.topk_bm25(docs, spark.createDataFrame([(1, "alpha number 3")], "item_id long, text string"), 3).select("doc_id", "score", "rank").orderBy("rank").collect()]
+    assert rows("SELECT * FROM search_knowledge_base('alpha number 3', 3) ORDER BY place") == want
+    assert rows("SELECT chunk_index FROM get_chunk_neighbors(1, 0, 9) ORDER BY 1") == [(0,), (1,), (2,), (3,)]
+    assert rows("SELECT title FROM get_knowledge_item(3)") == [("T",)] and rows("SELECT * FROM get_document(77)") == []
+    assert rows("SELECT name, place FROM list_knowledge_base_documents('k', 2) ORDER BY place") == [("n5", 1), ("n3", 2)]
+    assert rows("SELECT turn FROM search_conversation_history(1, 'HELLO', 5) ORDER BY 1") == [(0,), (1,)]
+    assert rows("SELECT q.id, count(*) FROM range(1, 3) q, LATERAL document_chunks(q.id) GROUP BY 1") == [(1, 6)]

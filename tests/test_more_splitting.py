@@ -240,3 +240,18 @@ def test_types_go_to_their_parsers(spark):
     assert e[0].text == "| name | score |\n| --- | --- |\n| a | 1 |\n| b | 2 |" and e[1].text.startswith("| A | B | C |\n| --- | --- | --- |\n| x | y | z |")
     names = spark.createDataFrame([(i,) for i in (0, 25, 26, 701, 702, 18277)], "i int").select(splitting.column_name(F.col("i")).alias("n")).collect()
     assert [r.n for r in names] == ["A", "Z", "AA", "ZZ", "AAA", "ZZZ"]
+
+
+def test_lines_join_as_they_read(spark):
+    cases = [
+        (["The quick", "brown fox.", "It runs"], "The quick brown fox. It runs"), (["第一行", "第二行 ABC", "继续"], "第一行第二行ABC继续"), (["see (", "below", ") now"], "see (below) now"),
+        (["see 3", ".5 mm"], "see 3.5 mm"), ([" ", "a-", "b"], "a- b"), (["end ,", "then"], "end, then"), ([], ""), (["数值 为 12 个", "，即 可"], "数值为12个，即可"),
+    ]
+    got = spark.createDataFrame([(i, x) for i, (x, _) in enumerate(cases)], "i int, x array<string>").select("i", layout.join_lines(F.col("x")).alias("t")).orderBy("i").collect()
+    assert [r.t for r in got] == [w for _, w in cases]
+
+
+def test_headers_and_footers_go(spark):
+    rows = [(1, p, "Report 2024", 10.0, 20.0) for p in (1, 2, 3)] + [(1, p, f"Page {p}", 980.0, 990.0) for p in (1, 2, 3)] + [(1, 1, "Only here", 10.0, 20.0), (1, 2, "Report 2024", 500.0, 510.0), (2, 1, "Report 2024", 10.0, 20.0)]
+    left = layout.without_headers_footers(spark.createDataFrame(rows, "doc int, page int, text string, top double, bottom double"), "doc", F.lit(1000.0)).collect()
+    assert sorted((r.doc, r.page, r.text) for r in left) == [(1, 1, "Only here"), (1, 2, "Report 2024"), (2, 1, "Report 2024")]
