@@ -91,6 +91,31 @@ def summary_batch(df: DataFrame, group: list[str], id_col: str, cost: str, keep:
     return m.filter((F.col("__rn") <= F.col("__n") - keep) & (F.col("__rn") <= most) & ((F.col("__rn") - 1 < least) | (F.col("__freed") < need))).drop("__rn", "__freed", "__n")
 
 
+def apply_summaries(conversations: DataFrame, updates: DataFrame, key: str = "conv_id") -> DataFrame:
+    """Conversations (key, summary, version, cursor) after summaries (key, based_version, based_cursor, summary, cursor, at) that were
+    made meanwhile. A summary counts only if the conversation still has the version and cursor that it was made from; of
+    several that do, the first one to be finished does, and the others have come too late. ``updated`` tells which
+    conversations took one."""
+    u = updates.select(F.col(key).alias("__key"), F.col("based_version").alias("__v"), F.col("based_cursor").alias("__c"), F.struct("at", F.col("summary").alias("s"), F.col("cursor").alias("c")).alias("__u"))
+    same = (F.col(key) == F.col("__key")) & (F.col("version") == F.col("__v")) & F.col("cursor").eqNullSafe(F.col("__c"))
+    first = conversations.select(key, "version", "cursor").join(u, same).groupBy(F.col(key).alias("__key")).agg(F.min("__u").alias("__u"))
+    hit = F.col("__u").isNotNull()
+    out = conversations.join(first, F.col(key) == F.col("__key"), "left").withColumn("updated", hit)
+    new = {"summary": F.when(hit, F.col("__u.s")).otherwise(F.col("summary")), "version": F.col("version") + hit.cast("int"), "cursor": F.when(hit, F.col("__u.c")).otherwise(F.col("cursor"))}
+    return out.withColumns(new).select(*conversations.columns, "updated")
+
+
+def recover(questions: DataFrame, messages: DataFrame, key: str = "conv_id", last: int = 200, most: int = 10) -> DataFrame:
+    """What the history has on questions (key, question; context, if there is any) that refer to something not said in it: messages (key, turn, role, text,
+    age_days) by ``history``, as lines of a context. Questions without a gap read no message."""
+    context = F.coalesce("context", F.lit("")) if "context" in questions.columns else F.lit("")
+    flagged = questions.withColumn("__gap", gap(F.col("question"), context)).filter("__gap.needed").select(key, "question", F.array_join("__gap.triggers", ",").alias("reason"))
+    met = messages.join(flagged, key)
+    found = history(met, [key], "turn", "text", "question", F.col("age_days"), last, most)
+    lines = met.select(key, "turn", "reason", F.concat_ws(": ", F.coalesce("role", F.lit("history")), F.col("text")).alias("content"))
+    return found.join(lines, [key, "turn"])
+
+
 def history(df: DataFrame, group: list[str], order: str, text: str, query: str, age_days: Column, last: int, most: int) -> DataFrame:
     """Of the last ``last`` messages of each group the ``most`` that answer ``query`` best: 5 for the whole phrase, and for
     each of its terms 1 and an eighth for each sign up to 8; newer ones win where that is equal."""

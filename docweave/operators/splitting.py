@@ -389,6 +389,43 @@ def chunk_elements(elements: DataFrame, id_col: str = "doc_id", target: int = TA
     return c.select(id_col, (F.row_number().over(Window.partitionBy(id_col).orderBy("run", "piece")) - 1).alias("chunk_index"), "heading_path", F.array_sort("metadata.block_types").alias("block_types"), "content", "metadata")
 
 
+def blocks(elements: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """Elements that sections are made of, as blocks (section_no, block_no, kind, text, heading_path, section_heading_path,
+    section_level): numbers are dense, context that belongs to no section is left out, and an element without a path of its own
+    takes its section's."""
+    e = sections(elements, id_col).filter("not context_only")
+    w = Window.partitionBy(id_col, "section_no").orderBy("n")
+    e = e.withColumns({"section_heading_path": F.first("heading_path").over(w), "section_level": F.coalesce(F.first(F.when(F.col("kind") == "heading", F.col("level"))).over(w), F.lit(0)), "block_no": F.row_number().over(w) - 1})
+    dense = F.dense_rank().over(Window.partitionBy(id_col).orderBy("section_no")) - 1
+    path = F.when(F.size("heading_path") > 0, F.col("heading_path")).otherwise(F.col("section_heading_path"))
+    return e.select(id_col, dense.alias("section_no"), "block_no", "n", "kind", F.trim("text").alias("text"), path.alias("heading_path"), "section_heading_path", "section_level")
+
+
+def under_title(title: Column, content: Column) -> Column:
+    """A knowledge item's chunk under the item's title, unless it begins with a heading or there is no title."""
+    bare = F.regexp_replace(content, r"(?U)^\s+", "")
+    return F.when((F.trim(F.coalesce(title, F.lit(""))) != "") & ~bare.startswith("#"), F.concat(F.lit("# "), title, F.lit("\n\n"), content)).otherwise(content)
+
+
+def item_chunks(items: DataFrame, id_col: str = "item_id", target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of knowledge items (id, title, content), read as plain text, with the title before those without a heading, and
+    ``metadata_json`` of what they hold. Items without text have none."""
+    told = items.select(id_col, "title", F.col("content").alias("text"))
+    c = chunk_elements(text_elements(told, id_col), id_col, target, most, overlap).join(told.select(id_col, "title"), id_col)
+    path = F.when(F.size("heading_path") > 0, F.col("heading_path")).when(F.trim("title") != "", F.array("title"))
+    meta = F.struct("metadata.*", path.alias("heading_path"), F.col(id_col).alias("knowledge_item_id"), F.col("title").alias("knowledge_item_title"), "chunk_index")
+    return c.select(id_col, "chunk_index", under_title(F.col("title"), F.col("content")).alias("content"), F.to_json(meta).alias("metadata_json"))
+
+
+def document_chunks(docs: DataFrame, pages: DataFrame | None = None, id_col: str = "doc_id", target: int = TARGET, most: int = MOST, overlap: int = OVERLAP) -> DataFrame:
+    """Chunks of documents (id, organization_id, knowledge_base_id, filename, file_type, text) by the parser of their type, with
+    where they come from in ``metadata_json``. ``sinks.overwrite_documents`` puts them in place of what was there."""
+    c = chunk_elements(elements_of(docs, id_col=id_col, pages=pages), id_col, target, most, overlap)
+    c = c.join(docs.select(id_col, "organization_id", "knowledge_base_id", "filename", file_type(F.col("file_type")).alias("file_type")), id_col)
+    meta = F.struct("metadata.*", "heading_path", F.col(id_col).alias("document_id"), "filename", "file_type", "chunk_index")
+    return c.select("organization_id", "knowledge_base_id", id_col, "chunk_index", "content", F.to_json(meta).alias("metadata_json"))
+
+
 def quality(chunks: DataFrame, content: str = "content", most: int = MOST) -> DataFrame:
     """Sizes and flaws of chunks, over all of them."""
     n = F.length(content)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from docweave.functions import text as fx
 from docweave.operators import conversation as conv
 from docweave.session import table
+from docweave.sources import sinks
 
 
 def _messages(spark: SparkSession, d: str) -> DataFrame:
@@ -265,6 +266,62 @@ with one as (select conv_id, turn, role = 'system' as protected from conversatio
 select conv_id, turn from one qualify protected or row_number() over (partition by conv_id order by protected desc, turn desc) <= 5
 """
 
+def st_summary_version(spark: SparkSession, d: str) -> DataFrame:
+    """Two summaries of every conversation: one made from the version in force in two of three, a later one from a random state."""
+    c = _messages(spark, d).groupBy("conv_id").agg(F.max("turn").cast("long").alias("last"))
+    now = c.select("conv_id", F.lit("old").alias("summary"), (F.col("conv_id") % 3).cast("int").alias("version"), F.when(F.col("conv_id") % 4 > 0, F.col("conv_id") % 4).alias("cursor"))
+    one = c.select("conv_id", F.lit(0).alias("based_version"), F.when(F.col("conv_id") % 4 > 0, F.col("conv_id") % 4).alias("based_cursor"), F.lit("one").alias("summary"), F.col("last").alias("cursor"), F.lit(2).alias("at"))
+    two = c.select("conv_id", (F.col("conv_id") % 2).cast("int").alias("based_version"), F.lit(None).cast("long").alias("based_cursor"), F.lit("two").alias("summary"), (F.col("last") - 1).alias("cursor"), F.lit(1).alias("at"))
+    return conv.apply_summaries(now, one.union(two))
+
+
+ST_SUMMARY_VERSION = """
+with c as (select conv_id, max(turn)::bigint as last, (conv_id % 3)::int as version, nullif(conv_id % 4, 0) as cursor from conversations group by 1),
+o as (select *, case when cursor is null and version = conv_id % 2 then 'two' when version = 0 then 'one' end as won from c)
+select conv_id, coalesce(won, 'old') as summary, (version + (won is not null)::int)::int as version, case won when 'one' then last when 'two' then last - 1 else cursor end as cursor, won is not null as updated from o
+"""
+
+
+def topk_memories(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as memories: the seven most important active ones of each conversation."""
+    m = _messages(spark, d).select("conv_id", (F.col("turn") * 10).alias("memory_id"), F.when(F.col("turn") % 5 == 0, "archived").otherwise("active").alias("status"), (F.length("text") % 4).alias("importance"), (F.length("text") % 3).alias("updated_at"))
+    return conv.top_memories(m, ["conv_id"], 7).select("conv_id", "memory_id", "rank")
+
+
+TOPK_MEMORIES = """
+select conv_id, turn * 10 as memory_id, (row_number() over (partition by conv_id order by length(text) % 4 desc, length(text) % 3 desc, turn desc))::int as rank from conversations where turn % 5 <> 0 qualify rank <= 7
+"""
+
+
+def ctx_hard_wm(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as tools, history and evidence of a context of 1,000 tokens that is nearly full."""
+    kind = F.element_at(F.array(F.lit("tool"), F.lit("history"), F.lit("evidence")), (F.col("turn") % 3 + 1).cast("int"))
+    m = _messages(spark, d).select("conv_id", F.col("turn").alias("n"), kind.alias("kind"), (F.length("text") % 7 == 0).alias("protected"), (F.length("text") % 5).cast("double").alias("score"), fx.token_estimate(F.col("text")).alias("tokens"), (F.col("conv_id") % 10 * 50 + 600).alias("used"))
+    return conv.hard_limit(m, ["conv_id"], "used", 1000).select("conv_id", "n", "kind")
+
+
+CTX_HARD_WM = f"""
+with m as (select conv_id, turn as n, ['tool', 'history', 'evidence'][turn % 3 + 1] as kind, length(text) % 7 = 0 as protected, length(text) % 5 as score, {_COST} as tokens, conv_id % 10 * 50 + 600 >= 950 as over from conversations),
+r as (select *, row_number() over (partition by conv_id, kind order by protected desc, score desc, n desc) as place from m),
+f as (select *, sum(tokens) over (partition by conv_id) as left_over from r where not over or kind = 'evidence' or place <= 3)
+select conv_id, n, kind from f where not over or left_over <= 750 or place <= case when kind = 'evidence' then 2 else 1 end
+"""
+
+
+def snk_sse(spark: SparkSession, d: str) -> DataFrame:
+    """Messages sent as event frames and read again by a client: answers as text, others as JSON, of which some is broken."""
+    m = _messages(spark, d)
+    event = F.when(F.col("turn") % 2 == 0, "answer").otherwise("node")
+    data = F.when(F.col("turn") % 2 == 0, F.regexp_replace("text", " ", "\n")).when(F.col("turn") % 3 == 0, F.lit("{broken")).otherwise(F.concat(F.lit('{"n": '), F.col("turn"), F.lit("}")))
+    frames = sinks.event_frames(m.select(F.col("conv_id").cast("string").alias("thread"), F.col("turn").alias("n"), event.alias("event"), data.alias("data")))
+    return sinks.parse_frames(frames).select("thread", "n", "event", F.md5("data").alias("data_md5"))
+
+
+SNK_SSE = """
+select conv_id::varchar as thread, turn as n, case when turn % 2 = 0 then 'answer' else 'node' end as event,
+  md5(case when turn % 2 = 0 then replace(text, ' ', chr(10)) when turn % 3 <> 0 then '{"n": ' || turn || '}' end) as data_md5 from conversations
+"""
+
 QUERIES = {
     "win_recent_rounds": (win_recent_rounds, WIN_RECENT_ROUNDS),
     "win_split_rounds": (win_split_rounds, WIN_SPLIT_ROUNDS),
@@ -278,6 +335,10 @@ QUERIES = {
     "flt_cursor": (flt_cursor, FLT_CURSOR),
     "topk_history": (topk_history, TOPK_HISTORY),
     "fn_route_rule": (fn_route_rule, FN_ROUTE_RULE),
+    "st_summary_version": (st_summary_version, ST_SUMMARY_VERSION),
+    "topk_memories": (topk_memories, TOPK_MEMORIES),
+    "ctx_hard_wm": (ctx_hard_wm, CTX_HARD_WM),
+    "snk_sse": (snk_sse, SNK_SSE),
     "fn_memory": (fn_memory, FN_MEMORY),
     "st_memory_archive": (st_memory_archive, ST_MEMORY_ARCHIVE),
     "st_summary_trigger": (st_summary_trigger, ST_SUMMARY_TRIGGER),

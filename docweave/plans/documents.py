@@ -303,6 +303,28 @@ select doc_id, zone, norm, count(distinct page) as pages from z where zone is no
 """
 
 
+def join_hdrftr(spark: SparkSession, d: str) -> DataFrame:
+    return layout.without_headers_footers(_line_boxes(spark, d), "doc_id", F.lit(800.0)).select("doc_id", "page", "line_no")
+
+
+JOIN_HDRFTR = rf"""with {_BOXES},
+z as (select *, case when bottom <= 96 then 'header' when top >= 704 then 'footer' end as zone, regexp_replace(regexp_replace(trim(regexp_replace(lower(text), '\s+', ' ', 'g')), 'page\s+[0-9]+', 'page n', 'g'), '[0-9]+', '<num>', 'g') as norm from bx),
+h as (select doc_id, zone, norm from z where zone is not null group by 1, 2, 3 having count(distinct page) >= 2)
+select doc_id, page, line_no from z where not exists (select 1 from h where h.doc_id = z.doc_id and h.zone = z.zone and h.norm = z.norm)
+"""
+
+
+def tvf_item_chunks(spark: SparkSession, d: str) -> DataFrame:
+    """Packed chunks of documents under their source as a title."""
+    c = _chunks(spark, d).join(_docs(spark, d).select("doc_id", F.when(F.col("doc_id") % 4 > 0, F.col("source")).alias("title")), "doc_id")
+    return c.select("doc_id", "chunk_index", F.md5(splitting.under_title(F.col("title"), F.col("content"))).alias("content_md5"))
+
+
+TVF_ITEM_CHUNKS = f"""with {PACKED}
+select c.doc_id, chunk_index, md5(case when c.doc_id % 4 > 0 and trim(source) <> '' and not starts_with(ltrim(content), '#') then '# ' || source || chr(10) || chr(10) || content else content end) as content_md5 from chunks c join documents d on d.doc_id = c.doc_id
+"""
+
+
 def join_bbox(spark: SparkSession, d: str) -> DataFrame:
     """Lines outside of their page's table (a box in the middle of every second page)."""
     b = _line_boxes(spark, d)

@@ -71,3 +71,14 @@ def event_frames(events: DataFrame) -> DataFrame:
     """Server-sent event frames (thread, n, frame) of (thread, n, event, data): each line of the data is a data line."""
     data = F.array_join(F.transform(F.split("data", "\n"), lambda x: F.concat(F.lit("data: "), x)), "\n")
     return events.select("thread", "n", F.concat(F.lit("event: "), "event", F.lit("\n"), data, F.lit("\n\n")).alias("frame"))
+
+
+def parse_frames(frames: DataFrame) -> DataFrame:
+    """Frames as a client reads them: all columns, ``event`` (message, if the frame names none) and ``data``, its data lines joined,
+    each less one leading blank. An answer's data is text; all other data must be JSON. Frames without data, or with data
+    that is none, have a null there."""
+    lines = F.split(F.regexp_replace("frame", "\r\n", "\n"), "\n")
+    names = F.transform(F.filter(lines, lambda x: x.startswith("event:")), lambda x: F.trim(F.substring(x, 7, F.length(x))))
+    data = F.transform(F.filter(lines, lambda x: x.startswith("data:")), lambda x: F.regexp_replace(F.substring(x, 6, F.length(x)), "^ ", ""))
+    out = frames.withColumns({"event": F.coalesce(F.get(F.reverse(names), F.lit(0)), F.lit("message")), "data": F.when(F.size(data) > 0, F.array_join(data, "\n"))})
+    return out.withColumn("data", F.when((F.col("event") == "answer") | F.try_parse_json("data").isNotNull(), F.col("data")))

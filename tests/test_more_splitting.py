@@ -255,3 +255,35 @@ def test_headers_and_footers_go(spark):
     rows = [(1, p, "Report 2024", 10.0, 20.0) for p in (1, 2, 3)] + [(1, p, f"Page {p}", 980.0, 990.0) for p in (1, 2, 3)] + [(1, 1, "Only here", 10.0, 20.0), (1, 2, "Report 2024", 500.0, 510.0), (2, 1, "Report 2024", 10.0, 20.0)]
     left = layout.without_headers_footers(spark.createDataFrame(rows, "doc int, page int, text string, top double, bottom double"), "doc", F.lit(1000.0)).collect()
     assert sorted((r.doc, r.page, r.text) for r in left) == [(1, 1, "Only here"), (1, 2, "Report 2024"), (2, 1, "Report 2024")]
+
+
+def test_blocks_items_and_documents(spark, tmp_path):
+    import json
+
+    from docweave.sources import sinks
+
+    md = spark.createDataFrame([(1, "# Top\n\n## A\n\ntext a\n\n- x\n\n## B\n\ntext b")], "doc_id long, text string")
+    e = splitting.markdown_elements(md)
+    b = splitting.blocks(e).orderBy("section_no", "block_no")
+    assert [(r.section_no, r.block_no, r.kind, r.heading_path[-1], r.section_level) for r in b.collect()] == [(0, 0, "heading", "A", 2), (0, 1, "paragraph", "A", 2), (0, 2, "list", "A", 2), (1, 0, "heading", "B", 2), (1, 1, "paragraph", "B", 2)]
+    aligned = splitting.align_sections(e, b).orderBy("n").collect()
+    assert [(r.section_no, r.block_no, r.context_only) for r in aligned] == [(0, 0, True), (0, 0, False), (0, 1, False), (0, 2, False), (1, 0, False), (1, 1, False)]
+    items = spark.createDataFrame([(1, "Title", "Plain text of the item."), (2, "", "No title."), (3, "T", "  "), (4, "H", "# own heading")], "item_id long, title string, content string")
+    got = {r.item_id: (r.content, json.loads(r.metadata_json)) for r in splitting.item_chunks(items).collect()}
+    assert {i: c for i, (c, _) in got.items()} == {1: "# Title\n\nPlain text of the item.", 2: "No title.", 4: "# own heading"}
+    assert got[1][1]["heading_path"] == ["Title"] and got[1][1]["block_types"] == ["paragraph"] and got[1][1]["chunk_index"] == 0
+    docs = [(1, 7, 1, "a.md", "md", "# A\n\nbody"), (2, 7, 2, "t.csv", ".CSV", "k;v\na;1\nb;2"), (3, 7, 2, "p.pdf", "pdf", "One.\fTwo.")]
+    made = splitting.document_chunks(spark.createDataFrame(docs, "doc_id long, organization_id int, knowledge_base_id int, filename string, file_type string, text string"))
+    sinks.overwrite_documents(made, f"{tmp_path}/chunks")
+    rows = {(r.doc_id, r.chunk_index): json.loads(r.metadata_json) for r in spark.read.parquet(f"{tmp_path}/chunks").collect()}
+    assert rows[1, 0]["filename"] == "a.md" and rows[1, 0]["heading_path"] == ["A"] and rows[2, 0]["row_start"] == 2 and rows[2, 0]["row_end"] == 3
+    assert (rows[3, 0]["page_start"], rows[3, 0]["page_end"]) == (1, 2) and rows[3, 0]["document_id"] == 3
+
+
+def test_history_is_read_for_gaps_only(spark):
+    from docweave.operators import conversation
+
+    q = spark.createDataFrame([(1, "之前说的那个预算是多少"), (2, "What is the annual budget of the whole department for travel?")], "conv_id long, question string")
+    m = spark.createDataFrame([(c, t, "user", x, 0.0) for c in (1, 2) for t, x in enumerate(["预算是三万元", "hello"])], "conv_id long, turn long, role string, text string, age_days double")
+    got = conversation.recover(q, m).collect()
+    assert [(r.conv_id, r.turn, r.content) for r in got] == [(1, 0, "user: 预算是三万元")] and got[0].reason
