@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import Scratch, blocks, text_buffer, text_or_empty, word_bounds
+from docweave.llm.common import Scratch, blocks, free_name, text_buffer, text_or_empty, word_bounds
 from docweave.llm.quality import STATS, STEPS, features
 
 #: The classifier is fitted on so many labelled rows at most, those with the smallest hashes of their ids.
@@ -97,12 +97,12 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col:
 
 def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns, and ``n_tokens`` (words, long) and ``posterior`` array<double> in the order of the model's names."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared, text_name = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            for block in blocks([batch], "__text"):
+            for block in blocks([batch], text_name):
                 texts = block.column(block.num_columns - 1)
                 offsets, cols, vals = _present(texts)
                 p = _softmax((np.add.reduceat(m.weights[cols] * vals[:, None], offsets[:-1]) + m.bias).astype(np.float64))
@@ -112,7 +112,7 @@ def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col
 
     kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "posterior")])
     schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
-    return kept.withColumn("__text", text_or_empty(text_col)).mapInArrow(run, schema)
+    return kept.withColumn(text_name, text_or_empty(text_col)).mapInArrow(run, schema)
 
 
 def _rates(p: np.ndarray, start: float, steps: np.ndarray) -> np.ndarray:

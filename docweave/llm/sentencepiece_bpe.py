@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import blocks, mix, text_or_empty
+from docweave.llm.common import blocks, free_name, mix, text_or_empty
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -346,11 +346,12 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     spark = df.sparkSession
     spark.sparkContext.addFile(model)
     name = model.rsplit("/", 1)[-1]
+    names = [free_name(df, c) for c in ("__id", "__copy", "__text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces, draws = _pieces(name), Draws(dropout)
         for batch in batches:
-            for part in blocks([batch], "__text", limit=_BLOCK):
+            for part in blocks([batch], names[2], limit=_BLOCK):
                 kept = part.select(range(part.num_columns - 3))
                 ids, copies, texts = (part.column(part.num_columns - k).to_pylist() for k in (3, 2, 1))
                 keys = [key_of(i, t, c, seed) for i, t, c in zip(ids, texts, copies, strict=True)]
@@ -364,7 +365,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     new = ("token_ids", "n_tokens", "lossless")
     kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
     copy = F.col(copy_col).cast("long") if copy_col else F.lit(None).cast("long")
-    fed = kept.withColumns({"__id": F.col(id_col).cast("long"), "__copy": copy, "__text": text_or_empty(text_col)})
+    fed = kept.withColumns(dict(zip(names, (F.col(id_col).cast("long"), copy, text_or_empty(text_col)), strict=True)))
     from pyspark.sql import types as T
 
     schema = T.StructType([*kept.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("lossless", T.BooleanType())])

@@ -107,19 +107,24 @@ def with_bodies(resolved: DataFrame, records: DataFrame) -> DataFrame:
     return resolved.join(bodies, "refers_to", "left")
 
 
-def _unzipped(raw: bytes) -> bytes:
-    """All whole gzip members, and of one that is cut or broken what can be read of it."""
-    out, rest = [], raw
-    while rest[:2] == b"\x1f\x8b":
-        member = zlib.decompressobj(wbits=31)
+_GZIP, _NEXT = b"\x1f\x8b\x08", b"\r\n\r\nWARC/1."
+_STEP = 1 << 16
+
+
+def _members(raw: bytes) -> Iterator[tuple[bytes, bool]]:
+    """The gzip members one by one, and whether each is whole; of one that is cut or broken what can be read of it. Behind a
+    broken one reading goes on at the next place that looks like a member."""
+    at = raw.find(_GZIP)
+    while at >= 0:
+        member, parts, pos = zlib.decompressobj(wbits=31), [], at
         try:
-            out.append(member.decompress(rest))
+            while pos < len(raw) and not member.eof:
+                parts.append(member.decompress(raw[pos : pos + _STEP]))
+                pos += _STEP
         except zlib.error:
-            break
-        if not member.eof:
-            break
-        rest = member.unused_data.lstrip(b"\0")
-    return b"".join(out)
+            pass
+        yield b"".join(parts), member.eof
+        at = raw.find(_GZIP, min(pos, len(raw)) - len(member.unused_data) if member.eof else at + len(_GZIP))
 
 
 def _fields(lines: list[str]) -> dict[str, str]:
@@ -141,31 +146,59 @@ def _epoch(date: str) -> int | None:
     return int((at if at.tzinfo else at.replace(tzinfo=UTC)).timestamp())
 
 
-def parse_records(raw: bytes) -> Iterator[tuple[str, str, str, int | None, int | None, str | None, dict[str, str], bytes]]:
-    """The response and revisit records of one file's bytes (plain, or gzip with a member for each record), as RECORD has
-    them. A record whose length is no number is passed over; one that is cut short ends the file; a date that is none is
-    null."""
-    data = _unzipped(raw) if raw[:2] == b"\x1f\x8b" else raw
+def parse_records(raw: bytes, damaged: bool = False) -> Iterator[tuple[str, str, str, int | None, int | None, str | None, dict[str, str], bytes]]:
+    """The response and revisit records of one file's bytes (plain, or gzip, usually with a member for each record), as RECORD
+    has them. A record that is cut short, or whose length is no number or not what it takes, is passed over, and reading goes
+    on at the next record or gzip member; with ``damaged`` it comes out as a row of type ``damaged`` with the id, if it can
+    be read, and without a body. A date that is none is null. Only the member at hand is held unzipped."""
+    held = b""
+    for piece, whole in _members(raw) if raw[:2] == _GZIP[:2] else [(raw, True)]:
+        if held and piece.startswith(b"WARC/1."):  # a new record begins, so what was waited for will not come
+            yield from (r for r, _ in _parsed(held, True, damaged) if r)
+            held = b""
+        held, used = held + piece, 0
+        for record, used in _parsed(held, not whole, damaged):
+            if record:
+                yield record
+        held = held[used:] if whole else b""
+    yield from (r for r, _ in _parsed(held, True, damaged) if r)
+
+
+def _parsed(data: bytes, final: bool, damaged: bool) -> Iterator[tuple[tuple | None, int]]:
+    """Records and how far each reaches. Without ``final`` more bytes may follow, and a record that is not there whole waits."""
+
+    def bad(record_id: str, upto: int) -> tuple[tuple | None, int]:
+        return ((record_id, "damaged", "", None, None, None, {}, b"") if damaged else None), upto
+
     at = 0
     while (at := data.find(b"WARC/1.", at)) >= 0:
         head_end = data.find(b"\r\n\r\n", at)
         if head_end < 0:
+            if final:
+                yield bad("", len(data))
             return
         fields = _fields(data[at:head_end].decode("utf-8", "replace").split("\r\n")[1:])
-        length = fields.get("content-length", "0")
+        length, name = fields.get("content-length", "0"), fields.get("warc-record-id", "")
         if not (length.isascii() and length.isdigit()):
             at = head_end
+            yield bad(name, at)
             continue
-        size = int(length)
-        block = data[head_end + 4 : head_end + 4 + size]
-        if len(block) < size:
+        end = head_end + 4 + int(length)
+        if end > len(data) and not final:
             return
-        at = head_end + 4 + size
-        if (kind := fields.get("warc-type", "")) in ("response", "revisit"):
-            top, _, body = block.partition(b"\r\n\r\n")
-            first, *lines = top.decode("utf-8", "replace").split("\r\n")
-            code = re.match(r"HTTP/\S+ (\d{3})\b", first)
-            yield fields.get("warc-record-id", ""), kind, fields.get("warc-target-uri", ""), _epoch(fields.get("warc-date", "")), int(code[1]) if code else None, fields.get("warc-profile"), _fields(lines), body
+        if end > len(data) or not (b"\r\n\r\n".startswith(data[end : end + 4]) or data.startswith(b"WARC/1.", end)):
+            following = data.find(_NEXT, head_end)
+            at = following + 4 if following >= 0 else len(data)
+            yield bad(name, at)
+            continue
+        block, at = data[head_end + 4 : end], end
+        if (kind := fields.get("warc-type", "")) not in ("response", "revisit"):
+            yield None, at
+            continue
+        top, _, body = block.partition(b"\r\n\r\n")
+        first, *lines = top.decode("utf-8", "replace").split("\r\n")
+        code = re.match(r"HTTP/\S+ (\d{3})\b", first)
+        yield (name, kind, fields.get("warc-target-uri", ""), _epoch(fields.get("warc-date", "")), int(code[1]) if code else None, fields.get("warc-profile"), _fields(lines), body), at
 
 
 def format_record(record_id: str, kind: str, url: str, when: int, headers: dict[str, str], body: bytes = b"", code: int | None = None, profile: str | None = None) -> bytes:
@@ -177,8 +210,10 @@ def format_record(record_id: str, kind: str, url: str, when: int, headers: dict[
     return head.encode() + block + b"\r\n\r\n"
 
 
-def read_warc(spark: SparkSession, path: str) -> DataFrame:
-    """The records of all files under ``path``, a task for each file (WARC files are cut at about 1 GB by custom)."""
+def read_warc(spark: SparkSession, path: str, damaged: bool = False) -> DataFrame:
+    """The records of all files under ``path``, a task for each file (WARC files are cut at about 1 GB by custom; one may have
+    2 GB at most, as Spark reads it whole, and is unzipped member by member). With ``damaged`` there is a row of that type
+    for each record that had to be passed over."""
     import pyarrow as pa
 
     schema = pa.schema([("record_id", pa.string()), ("warc_type", pa.string()), ("target_uri", pa.string()), ("warc_date", pa.int64()), ("http_status", pa.int32()), ("profile", pa.string()), ("headers", pa.map_(pa.string(), pa.string())), ("body", pa.binary())])
@@ -192,7 +227,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for raw in batch.column(0):
                 held = []
-                for record in parse_records(raw.as_py() or b""):
+                for record in parse_records(raw.as_py() or b"", damaged):
                     held.append(record)
                     if len(held) == 256:
                         yield some(held)

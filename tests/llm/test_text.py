@@ -325,6 +325,47 @@ def test_warc_round_trip(spark, tmp_path):
     assert sorted(map(repr, got)) == sorted(map(repr, [*recs, recs[0], recs[0], late]))
 
 
+def test_warc_goes_on_behind_damage(spark, tmp_path):
+    import gzip
+
+    made = [warc.format_record(f"<urn:{i}>", "response", f"http://a/{i}", 86400, {"etag": str(i)}, b"body %d " % i * 50) for i in range(5)]
+    ids = lambda raw, damaged=False: [(r[0], r[1]) for r in warc.parse_records(raw, damaged)]
+    good = [(f"<urn:{i}>", "response") for i in range(5)]
+    zipped = list(map(gzip.compress, made))
+    broken = bytearray(zipped[1])
+    broken[len(broken) // 2 : len(broken) // 2 + 8] = b"\xff" * 8
+    assert ids(b"".join(zipped)) == good == ids(gzip.compress(b"".join(made)))
+    assert ids(zipped[0] + bytes(broken) + b"".join(zipped[2:])) == [good[0], *good[2:]]
+    assert ids(zipped[0] + zipped[1][:-30] + b"".join(zipped[2:])) in ([good[0], *good[2:]], good)
+    wrong = lambda i, by: re.sub(rb"Content-Length: (\d+)", lambda m: b"Content-Length: %d" % (int(m[1]) + by), made[i])
+    for by in (7, -7, 10**9):
+        plain = made[0] + made[1] + wrong(2, by) + made[3] + made[4]
+        assert ids(plain) == [*good[:2], *good[3:]] and ids(plain, True) == [*good[:2], ("<urn:2>", "damaged"), *good[3:]]
+        assert ids(b"".join(gzip.compress(x) for x in (made[0], made[1], wrong(2, by), made[3], made[4]))) == [*good[:2], *good[3:]]
+    cut = gzip.compress(b"".join(made))
+    assert ids(cut[:-12])[:4] == good[:4] and ids(b"") == ids(b"\x1f\x8b") == ids(b"no warc") == []
+    halves = b"".join(made)
+    assert ids(gzip.compress(halves[:700]) + gzip.compress(halves[700:])) == good  # members that part a record
+    (tmp_path / "a.warc").write_bytes(made[0] + wrong(1, 9) + made[2])
+    assert sorted((r.record_id, r.warc_type) for r in warc.read_warc(spark, str(tmp_path), damaged=True).collect()) == [("<urn:0>", "response"), ("<urn:1>", "damaged"), ("<urn:2>", "response")]
+
+
+def test_columns_with_the_operators_own_names(spark):
+    """Columns that bear names of the operators' working columns pass through as they are."""
+    docs = spark.createDataFrame([(i, f"word{i} and more words", "a", "b", "c") for i in range(8)], "doc_id long, text string, __text string, __ID string, __copy string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(8)], "doc_id long, quality int")
+    kept = lambda df: {(r.doc_id, r["__text"], r["__ID"], r["__copy"]) for r in df.collect()}
+    want = {(i, "a", "b", "c") for i in range(8)}
+    plain = docs.select("doc_id", "text")
+    model = quality.train(docs, labels)
+    assert kept(quality.score(docs, model)) == want
+    assert {(r.doc_id, r.score) for r in quality.score(docs, model).collect()} == {(r.doc_id, r.score) for r in quality.score(plain, model).collect()}
+    encoded = sentencepiece_bpe.encode(docs)
+    assert kept(encoded) == want and {(r.doc_id, tuple(r.token_ids)) for r in encoded.collect()} == {(r.doc_id, tuple(r.token_ids)) for r in sentencepiece_bpe.encode(plain).collect()}
+    named = labels.selectExpr("doc_id", "if(quality = 1, 'x', 'y') as domain")
+    assert kept(mixing.mix(docs, named, {"x": 0.5, "y": 0.5})) == want
+
+
 def test_pipeline_stage_by_stage(spark):
     import os
 
