@@ -80,8 +80,10 @@ def test_greedy_fit_skips_and_goes_on(spark):
 
 
 def test_memory_rules(spark):
-    r = spark.createDataFrame([("Remember that the key is red.",), ("我喜欢 咖啡",), ("hello",)], "s string").select(conversation.memory(F.col("s")).alias("m")).collect()
-    assert [x.m and (x.m.kind, x.m.content) for x in r] == [("fact", "the key is red"), ("preference", "咖啡"), None]
+    said = ["请记住： 预算  是三万元。", "记住x", "以后都按：周报格式！", "最终决定: 用甲方案", "确定使用 乙库；", "不要再改：标题", "Remember that the key is red.", "我喜欢 咖啡", "", None]
+    r = spark.createDataFrame([(i, x) for i, x in enumerate(said)], "i int, s string").orderBy("i").select(conversation.memory(F.col("s")).alias("m")).collect()
+    want = [("constraint", "预算 是三万元"), None, ("constraint", "周报格式"), ("decision", "用甲方案"), ("decision", "乙库"), ("constraint", "标题"), None, None, None, None]
+    assert [x.m and (x.m.kind, x.m.content) for x in r] == want
 
 
 def test_gate(spark):
