@@ -249,9 +249,10 @@ def hard_limit(items: DataFrame, group: list[str], used: str, budget: int) -> Da
 REGIONS = ("system", "memory", "summary", "message", "history", "evidence", "tool")
 
 
-def context_pack(items: DataFrame, group: list[str], budget: int, caps: dict[str, int] | None = None) -> DataFrame:
+def context_pack(items: DataFrame, group: list[str], budget: int, caps: dict[str, int] | None = None, each: tuple[str, ...] = ()) -> DataFrame:
     """Items (kind, n, tokens, pinned, importance) that go into a request, region by region, whole items in order (messages
-    newest first), each region within its cap and all within the budget. What does not fit is skipped, and named."""
+    newest first), each region within its cap and all within the budget. What does not fit is skipped, and named. The cap of
+    the kinds in ``each`` holds for each item alone."""
     caps = caps or {}
     region = F.array_position(F.array(*map(F.lit, REGIONS)), F.col("kind")).cast("int")
     cap = F.coalesce(*[F.when(F.col("kind") == k, F.lit(v)) for k, v in caps.items()], F.lit(budget))
@@ -262,7 +263,8 @@ def context_pack(items: DataFrame, group: list[str], budget: int, caps: dict[str
 
     def step(a: Column, i: Column) -> Column:
         here = F.when(a["r"] == i["r"], a["here"]).otherwise(0)
-        fits = (a["used"] + i["tokens"] <= budget) & (here + i["tokens"] <= i["cap"])
+        before = F.when(i["kind"].isin(*each), 0).otherwise(here) if each else here
+        fits = (a["used"] + i["tokens"] <= budget) & (before + i["tokens"] <= i["cap"])
         add = F.when(fits, i["tokens"]).otherwise(0)
         one = F.struct(i["kind"].alias("kind"), i["n"].alias("n"), i["tokens"].alias("tokens"), fits.alias("selected"))
         return F.struct((a["used"] + add).alias("used"), i["r"].alias("r"), (here + add).cast("long").alias("here"), F.concat(a["out"], F.array(one)).cast(kind).alias("out"))

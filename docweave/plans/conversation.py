@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from docweave.functions import text as fx
+from docweave.operators import context
 from docweave.operators import conversation as conv
 from docweave.session import table
 from docweave.sources import sinks
@@ -322,7 +323,105 @@ select conv_id::varchar as thread, turn as n, case when turn % 2 = 0 then 'answe
   md5(case when turn % 2 = 0 then replace(text, ' ', chr(10)) when turn % 3 <> 0 then '{"n": ' || turn || '}' end) as data_md5 from conversations
 """
 
+
+def ctx_coerce(spark: SparkSession, d: str) -> DataFrame:
+    """Messages as a checkpoint may hold them: whole objects, objects with a summary only, without content, broken, plain text."""
+    t, text = F.col("turn"), F.col("text")
+    whole = F.to_json(F.struct(F.concat(F.lit(" "), text, F.lit("\n")).alias("content"), F.lit("note").alias("kind"), F.array(t, t + 1).alias("source_ids"), F.lit(0).alias("importance"), (t / 2).alias("score"), (t % 2 == 0).alias("pinned"), F.struct(F.col("role")).alias("metadata")))
+    short = F.to_json(F.struct(F.lit("").alias("content"), text.alias("summary"), t.alias("id"), F.lit("much").alias("importance")))
+    raw = F.element_at(F.array(whole, short, F.lit('{"content": " ", "id": 4}'), F.lit('{"content": "cut'), text), (F.expr("pmod(conv_id + turn, 5)") + 1).cast("int"))
+    items = _messages(spark, d).select("conv_id", "turn", context.coerce_item(raw, t, "memory").alias("i"), context.coerce_evidence(raw).alias("e"))
+    return items.select("conv_id", "turn", "i.kind", F.md5("i.content").alias("content_md5"), F.array_join("i.source_ids", ",").alias("sources"), "i.importance", "i.pinned", F.col("i.metadata")["role"].alias("said_by"), F.md5("e.content").alias("evidence_md5"), F.col("e.score").alias("score"))
+
+
+CTX_COERCE = """
+with c as (select *, (conv_id + turn) % 5 as f, regexp_replace(text, '^\\s+|\\s+$', '', 'g') as bare from conversations)
+select conv_id, turn, case f when 0 then 'note' when 2 then null when 3 then null else 'memory' end as kind, case when f in (0, 1, 4) then md5(bare) end as content_md5,
+  case f when 0 then turn || ',' || (turn + 1) when 1 then case when turn > 0 then turn::varchar else '' end when 4 then turn::varchar end as sources,
+  case f when 0 then turn / 2 when 1 then 0 when 4 then 0 end::double as importance, case when f = 0 then turn % 2 = 0 when f in (1, 4) then false end as pinned,
+  case when f = 0 then role end as said_by, case f when 0 then md5(' ' || text || chr(10)) when 1 then md5('') when 2 then md5(' ') when 3 then md5('') end as evidence_md5,
+  case f when 0 then turn / 2 when 1 then 0 when 2 then 0 when 3 then 0 end::double as score from c
+"""
+
+_CAPS = {"system": 40, "memory": 100, "summary": 60, "history": 150, "evidence": 120, "tool": 90}
+_AUX = ("tool", "history", "evidence", "memory")
+
+
+def _requests(spark: SparkSession, d: str) -> DataFrame:
+    """Messages, and beside each an item of another kind; every other conversation has a summary."""
+    m = _messages(spark, d)
+    traits = lambda kind, n, role, text: [kind.alias("kind"), n.cast("long").alias("n"), role.alias("role"), text.alias("text"), (F.col("turn") % 3 == 0).alias("pinned"), (F.length("text") % 3).alias("importance"), (F.length("text") % 7 == 0).alias("protected"), (F.length("text") % 5).cast("double").alias("score")]
+    none = F.lit(None).cast("string")
+    said = m.select("conv_id", *traits(F.lit("message"), F.col("turn"), F.col("role"), F.left("text", F.lit(400))))
+    aux = F.element_at(F.array(*map(F.lit, _AUX)), (F.expr("pmod(conv_id + turn * 3, 4)") + 1).cast("int"))
+    beside = m.select("conv_id", *traits(aux, F.col("turn"), none, F.left("text", F.lit(180))))
+    summed = m.filter("turn = 0 and conv_id % 2 = 0").select("conv_id", *traits(F.lit("summary"), F.lit(0), none, F.left("text", F.lit(150))))
+    return said.unionByName(beside).unionByName(summed)
+
+
+def _gist(lines: Column, prior: Column) -> Column:
+    """Stands in for a model's summary; of an odd number of lines it makes none, as a model that fails."""
+    return F.when(F.size(lines) % 2 == 0, F.concat_ws(" ", prior, F.size(lines).cast("string"), F.left(F.element_at(lines, 1), F.lit(60))))
+
+
+def ctx_answer(spark: SparkSession, d: str) -> DataFrame:
+    """Contexts of 900 tokens: older rounds summed up and candidates thinned out where a request is full."""
+    c = context.answer_context(_requests(spark, d), ["conv_id"], 900, _CAPS, _gist)
+    return c.select("conv_id", "kind", "n", "tokens", "selected", "reason", "used", F.array_join("actions", ",").alias("actions"), F.md5("text").alias("text_md5"))
+
+
+def _sql_tokens(text: str) -> str:
+    return f"(case when length({text}) = 0 then 0 else greatest(1, ceil(length({text}) / 2))::int end)"
+
+
+def _sql_need(counted: str) -> str:
+    of = [f"coalesce(sum(tokens) filter (kind = '{k}' and {counted}) over (partition by conv_id), 0)" for k in conv.REGIONS]
+    return " + ".join(f"least({s}, {_CAPS[k]})" if k in _CAPS else s for s, k in zip(of, conv.REGIONS, strict=True))
+
+
+def _sql_capped(kind: str) -> str:
+    room = f"(case {kind} when 'summary' then 60 else 40 end)"
+    return f"(case when {kind} = 'summary' and {_sql_tokens('text')} > {room} then left(text, 2 * {room} - 4) || '...' else text end)"
+
+
+_STAY = "(kind not in ('tool', 'history') or place <= 3 or (kind = 'tool' and protected))"
+_LAST = "(kind not in ('tool', 'history', 'evidence') or place <= (case kind when 'evidence' then 2 else 1 end) or (kind = 'tool' and protected))"
+_REGION = "list_position(['system', 'memory', 'summary', 'message', 'history', 'evidence', 'tool'], kind)"
+_ASKED = f"""
+t as (select conv_id, turn, role, text, turn % 3 = 0 as pinned, length(text) % 3 as importance, length(text) % 7 = 0 as protected, length(text) % 5 as score from conversations),
+i0 as (select conv_id, 'message' as kind, turn as n, role, left(text, 400) as text, pinned, importance, protected, score from t
+  union all select conv_id, ['tool', 'history', 'evidence', 'memory'][(conv_id + turn * 3) % 4 + 1], turn, null, left(text, 180), pinned, importance, protected, score from t
+  union all select conv_id, 'summary', 0, null, left(text, 150), pinned, importance, protected, score from t where turn = 0 and conv_id % 2 = 0),
+i1 as (select * exclude (text), {_sql_capped('kind')} as text from i0)
+"""
+CTX_ANSWER = f"""
+with {_ASKED},
+i2 as (select *, {_sql_tokens('text')} as tokens from i1),
+i3 as (select *, {_sql_need('true')} >= 855 as full_up, coalesce(sum((kind = 'message' and role = 'user')::int) over (partition by conv_id order by n desc rows between unbounded preceding and 1 preceding), 0) as later from i2),
+i4 as (select *, kind = 'message' and full_up and later >= 2 as old from i3),
+g as (select conv_id, list(role || ': ' || text order by n) filter (old) as lines, max(text) filter (kind = 'summary') as prior from i4 group by 1),
+s as (select conv_id, concat_ws(' ', prior, len(lines)::varchar, left(lines[1], 60)) as text from g where len(lines) > 0 and len(lines) % 2 = 0),
+i5 as (select conv_id, kind, n, text, pinned, importance, protected, score, conv_id in (select conv_id from s) as summed from i4 where not (conv_id in (select conv_id from s) and (old or kind = 'summary'))
+  union all select conv_id, 'summary', 0, {_sql_capped("'summary'")}, false, 0, false, null, true from s),
+i6 as (select *, {_sql_tokens('text')} as tokens, row_number() over (partition by conv_id, kind order by protected desc, case when kind = 'history' then importance else score end desc nulls last, case when kind = 'tool' then -n else n end) as place from i5),
+i7 as (select *, {_sql_need('true')} >= 855 as full_now, {_sql_need(_STAY)} > 675 as much, coalesce(sum((kind = 'tool' and not {_STAY})::int) over (partition by conv_id), 0) > 0 as cut from i6),
+i8 as (select *, concat_ws(',', case when full_now then 'hard_watermark_preflight' end, case when full_now and cut then 'evict_old_tool_results' end, case when full_now then 'reduce_relevant_history,rank_evidence_for_budget' end,
+    case when full_now and much then 'emergency_reduce_context_candidates' end, case when summed then 'hard_conversation_compaction,summary_compact_for_request' end) as actions,
+  case when full_now and kind = 'evidence' then place else n end as spot from i7 where not full_now or ({_STAY} and (not much or {_LAST}))),
+l as (select conv_id, list({{'used': tokens::bigint, 'r': {_REGION}::bigint, 'here': (case kind when 'memory' then 100 when 'summary' then 60 when 'history' then 150 when 'evidence' then 120 when 'tool' then 90 else 900 end)::bigint,
+    'out': [{{'kind': kind, 'spot': spot::bigint, 'ok': true}}]}} order by {_REGION}, (kind in ('memory', 'history') and pinned) desc, case when kind in ('memory', 'history') then importance else 0 end desc, case when kind = 'message' then -spot else spot end) as l from i8 group by 1),
+f as (select conv_id, list_reduce(list_prepend({{'used': 0::bigint, 'r': 0::bigint, 'here': 0::bigint, 'out': []::struct(kind varchar, spot bigint, ok boolean)[]}}, l), lambda a, x : case
+    when a.used + x.used <= 900 and (case when a.r = x.r and x.r <> 6 then a.here else 0 end) + x.used <= x.here
+    then {{'used': a.used + x.used, 'r': x.r, 'here': (case when a.r = x.r then a.here else 0 end) + x.used, 'out': list_concat(a.out, [{{'kind': x.out[1].kind, 'spot': x.out[1].spot, 'ok': true}}])}}
+    else {{'used': a.used, 'r': x.r, 'here': case when a.r = x.r then a.here else 0 end, 'out': list_concat(a.out, [{{'kind': x.out[1].kind, 'spot': x.out[1].spot, 'ok': false}}])}} end) as r from l),
+u as (select conv_id, r.used as used, unnest(r.out) as o from f)
+select i8.conv_id, i8.kind, i8.n::bigint as n, i8.tokens, u.o.ok as selected, case when not u.o.ok then 'over_budget' end as reason, u.used, i8.actions, md5(i8.text) as text_md5
+from i8 join u on u.conv_id = i8.conv_id and u.o.kind = i8.kind and u.o.spot = i8.spot
+"""
+
 QUERIES = {
+    "ctx_coerce": (ctx_coerce, CTX_COERCE),
+    "ctx_answer": (ctx_answer, CTX_ANSWER),
     "win_recent_rounds": (win_recent_rounds, WIN_RECENT_ROUNDS),
     "win_split_rounds": (win_split_rounds, WIN_SPLIT_ROUNDS),
     "win_budget_msgs": (win_budget_msgs, WIN_BUDGET_MSGS),
