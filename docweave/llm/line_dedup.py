@@ -10,7 +10,7 @@ from docweave.llm.common import Scratch, row_key, text_or_empty
 
 PERCENT = 80
 #: Words are counted in 2 ** CELL_BITS cells, whatever the input.
-CELL_BITS = 16
+CELL_BITS = 18
 #: Bits of a word that hold its level of rarity; the others hold its hash.
 LEVEL_BITS = 7
 #: Sets of at least this size have their bitmap in two halves.
@@ -78,14 +78,14 @@ def _signed(texts: DataFrame, levels: Column, percent: int) -> DataFrame:
 
 
 def _may_match(percent: int, n: Column, m: Column) -> Column:
-    """Length and bitmap filters: the sizes allow it, and the words that differ are not too many. Each word flips one bit,
-    so the bits that differ never outnumber the words that do."""
+    """Bitmap and length filters: the words that differ are not too many, and the sizes allow it. Each word flips one bit,
+    so the bits that differ never outnumber the words that do. The bitmap comes first: it is cheap and refuses most."""
     # shared <= (n + m - apart) / 2, and shared * (100 + percent) >= percent * (n + m) is asked for
     close = lambda apart: (n + m - apart) * (100 + percent) >= (n + m) * (2 * percent)
     whole = F.col("a.bits").bitwiseXOR(F.col("b.bits"))
     odd = F.col("a.odd").bitwiseXOR(F.col("b.odd"))
     halves = F.bit_count(odd) + F.bit_count(whole.bitwiseXOR(odd))
-    return (m * 100 >= n * percent) & (n * 100 >= m * percent) & close(F.bit_count(whole)) & ((F.least(n, m) < WIDE) | close(halves))
+    return close(F.bit_count(whole)) & (m * 100 >= n * percent) & (n * 100 >= m * percent) & ((F.least(n, m) < WIDE) | close(halves))
 
 
 def _earlier(parts: list[tuple[Column, Column]]) -> Column:
@@ -137,7 +137,7 @@ def _word_pairs(marked: DataFrame, place: list[str], percent: int) -> DataFrame:
     # Both sides are written alike, so that one shuffle serves both; a settled line is a partner only, no later line any more.
     asks = F.col("a.of_line").bitwiseAND(1) * 2 + F.col("b.of_line").bitwiseAND(1) >= 2
     before = _earlier([*[(F.col(f"a.{c}"), F.col(f"b.{c}")) for c in doc], (top("a.of_line"), top("b.of_line"))])
-    met = entry.alias("a").join(entry.alias("b"), (top("a.of_word") == top("b.of_word")) & room & asks & before & _may_match(percent, n, m))
+    met = entry.alias("a").join(entry.alias("b"), (top("a.of_word") == top("b.of_word")) & _may_match(percent, n, m) & before & asks & room)
     met = met.select(*[F.col(f"{s}.{c}").alias(f"{s}_{c}") for s in "ab" for c in doc], *[top(f"{s}.of_line").cast("int").alias(f"{s}_pos") for s in "ab"])
     return _pairs(met, [(f"a_{c}", f"b_{c}") for c in place], place)
 
@@ -162,25 +162,31 @@ def _marked(reps: DataFrame, settled: DataFrame | None, place: list[str]) -> Dat
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
-    """Of ``pairs`` (place, place_0) the lines whose word sets really are that alike. The words are read again from the
-    texts, for the lines in question only. One pair of each line goes first, which settles most lines; the other pairs of
-    those still open follow."""
+    """Of ``pairs`` (place, place_0) the lines whose word sets really are that alike. The lines in question, and only they,
+    are read again from the texts that hold them, and cross the network as text, which is smaller than hashes of its words.
+    One pair of each line goes first, which settles most lines; the other pairs of those still open follow, with their lines."""
     place = [c for c in pairs.columns if not c.endswith("_0")]
     doc, other = place[:-1], [f"{c}_0" for c in place]
-    ends = scratch.put(f"{name}-ends", pairs.select(*place).union(pairs.select(*other)).distinct())
-    lines = texts.select(*doc, F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
-    asked = lines.filter(_maybe(ends, place)).join(ends, place, "left_semi")  # the table keeps most lines from the shuffle
-    words = F.array_remove(F.array_distinct(_told(F.col("line"))), F.xxhash64(F.lit("")))
-    words = scratch.put(f"{name}-words", asked.select(*place, words.alias("words")))
-    first = words.select(*[F.col(c).alias(f"{c}_0") for c in place], F.col("words").alias("words_0"))
-    shared = F.size(F.array_intersect("words", "words_0"))
-    alike = shared * 100 >= (F.size("words") + F.size("words_0") - shared) * percent
-    true_ones = lambda some: some.join(words, place).join(first, other).filter(alike).select(*place).distinct()
+    both = lambda some: some.select(*place).union(some.select(*other))
+    ends = scratch.put(f"{name}-ends", both(pairs).distinct())
+    lines = texts.filter(_maybe(ends, doc)).select(*doc, F.posexplode(_lines(F.col("text"))).alias("pos", "line"))
+    asked = scratch.put(f"{name}-lines", lines.filter(_maybe(ends, place)).join(ends, place, "left_semi"))
+    words = lambda line: F.array_remove(F.array_distinct(F.split(line, " ")), "")
+    sets = F.array(F.struct(words("line").alias("a"), words("line_0").alias("b")))  # made once a pair
+
+    def alike(pair: Column) -> Column:
+        shared = F.size(F.array_intersect(pair["a"], pair["b"]))
+        return shared * 100 >= (F.size(pair["a"]) + F.size(pair["b"]) - shared) * percent
+
+    def true_ones(some: DataFrame, lines: DataFrame) -> DataFrame:
+        first = lines.select(*[F.col(c).alias(f"{c}_0") for c in place], F.col("line").alias("line_0"))
+        return some.join(lines, place).join(first, other).filter(F.exists(sets, alike)).select(*place).distinct()
+
     one = pairs.groupBy(*place).agg(F.min(F.struct(*other)).alias("o")).select(*place, "o.*")
-    most = scratch.put(f"{name}-first", true_ones(one))
-    rest = true_ones(pairs.join(most, place, "left_anti").join(one, [*place, *other], "left_anti"))
-    out = scratch.put(name, most.union(rest))
-    scratch.drop(f"{name}-ends", f"{name}-words", f"{name}-first")
+    most = scratch.put(f"{name}-first", true_ones(one, asked))
+    rest = scratch.put(f"{name}-rest", pairs.join(most, place, "left_anti").join(one, [*place, *other], "left_anti"))
+    out = scratch.put(name, most.union(true_ones(rest, asked.filter(_maybe(both(rest), place)))))
+    scratch.drop(f"{name}-ends", f"{name}-lines", f"{name}-first", f"{name}-rest")
     return out
 
 
