@@ -152,13 +152,14 @@ def _maybe(of: DataFrame, keys: list[str]) -> Column:
     return F.call_function("shiftrightunsigned", F.get(table, F.shiftright(cell(), 6)), cell().bitwiseAND(63)).bitwiseAND(1) == 1
 
 
-def _marked(reps: DataFrame, settled: DataFrame | None, place: list[str]) -> DataFrame:
-    """``reps`` with ``open`` 1, or 0 for settled lines."""
+def _marked(reps: DataFrame, settled: DataFrame | None, place: list[str], scratch: Scratch) -> DataFrame:
+    """``reps`` with ``open`` 1, or 0 for settled lines. The few that may be settled are a table of their own, so that no
+    join is left in the plan: both sides of the next join are then the same scans, which share one shuffle."""
     if settled is None:
         return reps.withColumn("open", F.lit(1))
     maybe = _maybe(settled, place)
     told = reps.filter(maybe).join(settled.withColumn("closed", F.lit(0)), place, "left").withColumn("open", F.coalesce("closed", F.lit(1)))
-    return reps.filter(~maybe).withColumn("open", F.lit(1)).unionByName(told.drop("closed"))
+    return reps.filter(~maybe).withColumn("open", F.lit(1)).unionByName(scratch.put("marked", told.drop("closed")))
 
 
 def _verified(pairs: DataFrame, texts: DataFrame, percent: int, scratch: Scratch, name: str) -> DataFrame:
@@ -229,11 +230,11 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     reps = lines.filter("not copy")
     near = _near_heads(reps, place, percent, scratch)
     settled = _verified(near, texts, percent, scratch, "settled") if near is not None else None
-    met = scratch.put("pairs", _word_pairs(_marked(reps, settled, place), place, percent))
+    met = scratch.put("pairs", _word_pairs(_marked(reps, settled, place, scratch), place, percent))
     found = _verified(met, texts, percent, scratch, "found")
     gone = lines.filter("copy").select(*place).union(found)
     gone = scratch.put("gone", (gone if settled is None else gone.union(settled)).groupBy(*doc).agg(F.collect_set("pos").alias("gone")))
-    scratch.drop("lines", "crowds", "heads", "pairs", "settled", "found")
+    scratch.drop("lines", "crowds", "heads", "marked", "pairs", "settled", "found")
 
     out = rows.join(gone, doc, "left").withColumn("lines", F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
