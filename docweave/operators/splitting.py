@@ -289,35 +289,52 @@ def pack_blocks(units: Column, target: int = TARGET, most: int = MOST, overlap:
     check_options(target, most, overlap)
     unit = f"struct<text:string,kind:string,grp:int{',' + about if about else ''}>"
     more = [f.split(":", 1)[0] for f in about.split(",")] if about else []
-    chunk = f"struct<content:string,units:array<{unit}>>"
-    none = F.array().cast(f"array<{unit}>")
-    start = F.struct(F.array().cast(f"array<{chunk}>").alias("done"), none.alias("cur"), F.lit(0).alias("len"))
-    glued = lambda cur: F.array_join(F.transform(cur, lambda x: x["text"]), "\n\n")
-    closed = lambda cur: F.struct(glued(cur).alias("content"), cur.alias("units")).cast(chunk)
+    none = F.array().cast("array<struct<at:int,begin:int>>")
+    kept = F.filter(F.transform(units, lambda u: u.cast(unit)), lambda u: F.trim(u["text"]) != "")
 
     def parts(u: Column) -> Column:
-        cut = F.when(u["kind"] == "paragraph", fx.sentences(u["text"], fx.PACKER_ENDS)).when(u["kind"] == "list", list_items(u["text"]))
-        cut = F.when(F.size(cut) > 0, cut).when(u["kind"] == "paragraph", F.array(u["text"])).otherwise(F.array().cast("array<string>"))
+        cut = F.when(u["kind"] == "paragraph", fx.sentences(u["text"], fx.PACKER_ENDS)).when(u["kind"] == "list", list_items(u["text"])).otherwise(F.array().cast("array<string>"))
+        cut = _let(cut, lambda c: F.when((F.size(c) == 0) & (u["kind"] == "paragraph"), F.array(u["text"])).otherwise(c))
         return F.transform(cut, lambda t: F.struct(t.alias("text"), u["kind"].alias("kind"), u["grp"].alias("grp"), *[u[c].alias(c) for c in more]).cast(unit))
 
-    def tail(cur: Column) -> Column:
-        begin = F.struct(none.alias("kept"), F.lit(0).alias("n"), F.lit(True).alias("go"))
-
-        def take(a: Column, u: Column) -> Column:
-            go = a["go"] & (a["n"] + F.length(u["text"]) <= overlap)
-            return F.struct(F.when(go, F.concat(F.array(u), a["kept"])).otherwise(a["kept"]).alias("kept"), F.when(go, a["n"] + F.length(u["text"]) + 2).otherwise(a["n"]).alias("n"), go.alias("go"))
-
-        return F.aggregate(F.reverse(F.flatten(F.transform(cur, parts))), begin, take, lambda a: a["kept"])
+    def sizes(u: Column, i: Column, ps: Column) -> Column:
+        """A unit's length, what its parts measure (each with 2 signs behind it), and those that an overlap may hold: ``back`` from the
+        part's begin to the unit's end."""
+        lens = F.transform(ps, lambda p: F.length(p["text"]) + 2)
+        total = lambda xs: F.aggregate(xs, F.lit(0), lambda n, x: n + x)
+        few = F.least(F.size(lens), F.lit(overlap // 3 + 1))
+        last = lambda xs: F.when(few > 0, F.slice(xs, -few, few)).otherwise(xs)
+        ends = lambda xs: F.transform(xs, lambda x, j: F.struct(i.alias("at"), total(F.slice(xs, j + 1, F.size(xs))).alias("back")))
+        return _let(lens, lambda xs: F.struct(F.length(u["text"]).alias("len"), u["grp"].alias("grp"), total(xs).alias("total"), _let(last(xs), ends).alias("parts")))
 
     def step(a: Column, u: Column) -> Column:
-        nxt = a["len"] + F.when(a["len"] > 0, 2).otherwise(0) + F.length(u["text"])
+        nxt = a["len"] + F.when(a["len"] > 0, 2).otherwise(0) + u["len"]
         flush = (a["len"] > 0) & (((a["len"] >= target) & (nxt > target)) | (nxt > most))
-        again = F.when(u["grp"].isNotNull() & F.element_at(a["cur"], -1)["grp"].eqNullSafe(u["grp"]), tail(a["cur"])).otherwise(none) if overlap else none
-        cur = F.concat(F.when(flush, again).otherwise(a["cur"]), F.array(u))
-        return F.struct(F.when(flush, F.concat(a["done"], F.array(closed(a["cur"])))).otherwise(a["done"]).alias("done"), cur.alias("cur"), F.length(glued(cur)).alias("len"))
-
-    kept = F.filter(F.transform(units, lambda u: u.cast(unit)), lambda u: F.trim(u["text"]) != "")
-    out = F.aggregate(kept, start, step, lambda a: F.when(a["len"] > 0, F.concat(a["done"], F.array(closed(a["cur"])))).otherwise(a["done"]))
+        again = u["grp"].isNotNull() & a["grp"].eqNullSafe(u["grp"])
+        carried = F.when(~flush | again, a["tail"]).otherwise(none)
+        measured = a["sum"] + u["total"]
+        size = F.when(~flush, nxt).otherwise(u["len"] + F.when(again, F.coalesce(a["sum"] - F.get(a["tail"], F.lit(0))["begin"], F.lit(0))).otherwise(0))
+        cut = F.struct(a["i"].alias("first"), F.size(carried).alias("carried"), F.coalesce(F.get(carried, F.lit(0))["at"], a["i"]).alias("at"))
+        more = F.concat(carried, F.transform(u["parts"], lambda p: F.struct(p["at"].alias("at"), (measured - p["back"]).alias("begin"))))
+        return F.struct(
+            size.cast("int").alias("len"), u["grp"].alias("grp"), measured.alias("sum"), (F.filter(more, lambda p: measured - p["begin"] <= overlap + 2) if overlap else none).alias("tail"),
+            (a["i"] + 1).alias("i"), F.when(flush | (a["len"] == 0), F.concat(a["cuts"], F.array(cut))).otherwise(a["cuts"]).alias("cuts"),
+        )
+
+    def cuts(x: Column) -> Column:
+        start = F.struct(F.lit(0).alias("len"), F.lit(None).cast("int").alias("grp"), F.lit(0).alias("sum"), none.alias("tail"), F.lit(0).alias("i"), F.array().cast("array<struct<first:int,carried:int,at:int>>").alias("cuts"))
+        return F.aggregate(F.transform(x["us"], lambda u, i: sizes(u, i, F.get(x["ps"], i))), start, step, lambda a: a["cuts"])
+
+    def chunk(x: Column, cs: Column, c: Column, k: Column) -> Column:
+        until = F.coalesce(F.get(cs, k + 1)["first"], F.size(x["us"]))
+        own = F.slice(x["us"], c["first"] + 1, until - c["first"])
+        held = F.when(c["carried"] > 0, F.concat(F.slice(F.flatten(F.slice(x["ps"], c["at"] + 1, c["first"] - c["at"])), -c["carried"], c["carried"]), own)).otherwise(own)
+        return _let(held, lambda us: F.struct(F.array_join(F.transform(us, lambda u: u["text"]), "\n\n").alias("content"), us.alias("units")))
+
+    # The fold keeps places only: Spark copies its state at each step, and with the texts in it that would grow with the square of their length.
+    split = lambda us: F.exists(us, lambda u: u["grp"].isNotNull())
+    cut = lambda us: F.when(split(us), F.transform(us, parts)).otherwise(F.transform(us, lambda u: F.array().cast(f"array<{unit}>"))) if overlap else F.transform(us, lambda u: F.array().cast(f"array<{unit}>"))
+    out = _let(kept, lambda us: _let(F.struct(us.alias("us"), cut(us).alias("ps")), lambda x: _let(cuts(x), lambda cs: F.transform(cs, lambda c, k: chunk(x, cs, c, k)))))
     return out if about else F.transform(out, lambda c: c["content"])
 
 
@@ -380,8 +397,8 @@ def chunk_elements(elements: DataFrame, id_col: str = "doc_id", target: int = TA
     have = lambda c, kind: F.col(c).cast(kind) if c in elements.columns else F.lit(None).cast(kind)
     told = [have("page_start", "int").alias("page_start"), have("page_end", "int").alias("page_end"), F.col("n").cast("int").alias("paragraph"), F.col("heading_path"), have("sheet_name", "string").alias("sheet_name")]
     parts = block_parts(F.col("kind"), F.col("text"), most, overlap, have("row_start", "int"))
-    units = F.transform(parts, lambda p: F.struct(p["text"].alias("text"), F.col("kind").alias("kind"), group.alias("grp"), p["row_start"].alias("row_start"), p["row_end"].alias("row_end"), p["row_count"].alias("row_count"), *told))
-    e = e.withColumn("units", units)
+    unit = lambda p, g: F.struct(p["text"].alias("text"), F.col("kind").alias("kind"), g.alias("grp"), p["row_start"].alias("row_start"), p["row_end"].alias("row_end"), p["row_count"].alias("row_count"), *told)
+    e = e.withColumn("units", _let(group, lambda g: F.transform(parts, lambda p: unit(p, g))))  # the block's length is worked out once, not for each unit
     runs = e.groupBy(id_col, "run").agg(F.min_by("heading_path", "n").alias("heading_path"), F.array_sort(F.collect_list(F.struct("n", "units"))).alias("blocks"))
     packed = pack_blocks(F.flatten(F.transform("blocks", lambda b: b["units"])), target, most, overlap, ABOUT)
     c = runs.select(id_col, "run", "heading_path", F.posexplode(packed).alias("piece", "chunk"))
@@ -466,27 +483,31 @@ def windows(text: Column, most: int | Column = MOST, overlap: int = OVERLAP, nea
     if isinstance(most, int):
         check_options(most, most, overlap)
         most = F.lit(most)
-    return _let(F.struct(text.alias("text"), most.cast("int").alias("most")), lambda x: _windows(x["text"], x["most"], overlap, near))
+    told = F.struct(text.alias("text"), most.cast("int").alias("most"), F.length(text).alias("n"))
+    return _let(told, lambda x: _windows(x["text"], x["most"], x["n"], overlap, near))
 
 
-def _windows(text: Column, most: Column, overlap: int, near: int) -> Column:
-    n = F.length(text)
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
+def _windows(text: Column, most: Column, n: Column, overlap: int, near: int) -> Column:
+    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<at:int,end:int>>").alias("out"))
 
     def step(a: Column, _: Column) -> Column:
         back_by = F.least(F.lit(near), most)
         left = F.length(F.regexp_extract(F.substring(text, a["at"] + most - back_by + 1, back_by), f"(?s)^(.*[{_ENDS}])", 1))
         right = F.length(F.regexp_extract(F.substring(text, a["at"] + most + 1, F.lit(near)), f"(?s)^([^{_ENDS}]*[{_ENDS}])", 1))
         end = F.when(a["at"] + most >= n, n).when(left > 0, a["at"] + most - back_by + left).when(right > 0, a["at"] + most + right).otherwise(a["at"] + most)
-        back = F.greatest(end - overlap, F.lit(0))
-        skip = F.length(F.regexp_extract(F.substring(text, back + 1, F.lit(max(overlap, 1))), f"(?s)^([^{_ENDS}]*[{_ENDS}]\\s*)", 1))
-        nxt = F.when(end >= n, n).when(back + skip > a["at"], F.least(back + skip, end)).otherwise(end)
-        piece = F.regexp_replace(F.substring(text, a["at"] + 1, end - a["at"]), r"(?U)^\s+|\s+$", "")
-        more = F.when(piece != "", F.concat(a["out"], F.array(piece))).otherwise(a["out"])
-        return F.when(a["at"] >= n, a).otherwise(F.struct(nxt.cast("int").alias("at"), more.alias("out")))
+
+        def cut(end: Column) -> Column:
+            back = F.greatest(end - overlap, F.lit(0))
+            skip = F.length(F.regexp_extract(F.substring(text, back + 1, F.lit(max(overlap, 1))), f"(?s)^([^{_ENDS}]*[{_ENDS}]\\s*)", 1))
+            nxt = F.when(end >= n, n).when(back + skip > a["at"], F.least(back + skip, end)).otherwise(end)
+            return F.struct(nxt.cast("int").alias("at"), F.concat(a["out"], F.array(F.struct(a["at"].alias("at"), end.cast("int").alias("end")))).alias("out"))
+
+        return F.when(a["at"] >= n, a).otherwise(_let(end, cut))
 
     rounds = F.floor(n / F.greatest(F.lit(1), most - overlap - near)).cast("int") + 2
-    return F.aggregate(F.sequence(F.lit(1), rounds), start, step, lambda a: a["out"])
+    places = F.aggregate(F.sequence(F.lit(1), rounds), start, step, lambda a: a["out"])
+    pieces = F.transform(places, lambda p: F.regexp_replace(F.substring(text, p["at"] + 1, p["end"] - p["at"]), r"(?U)^\s+|\s+$", ""))
+    return F.filter(pieces, lambda x: x != "")
 
 
 _ENTRY = "struct<text:string,row:int,alone:boolean>"
