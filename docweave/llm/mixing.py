@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import Scratch, blocks, free_name, text_buffer, text_or_empty, word_bounds
+from docweave.llm.common import Scratch, blocks, free_name, make_room, text_buffer, text_or_empty, word_bounds
 from docweave.llm.quality import STATS, STEPS, features
 
 #: The classifier is fitted on so many labelled rows at most, those with the smallest hashes of their ids.
@@ -71,6 +71,7 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room("mixing")
     for batch in batches:
         for block in blocks([batch]):
             offsets, cols, vals = _present(block.column(1))

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import IS_SPACE, blocks, free_name, text_buffer, text_or_empty, word_bounds, word_hashes
+from docweave.llm.common import IS_SPACE, blocks, free_name, make_room, text_buffer, text_or_empty, word_bounds, word_hashes
 
 #: Buckets for words; above them come the statistics' buckets.
 WORD_BUCKETS = 1 << 14
@@ -21,6 +21,8 @@ RANK = 8
 #: The model is fitted on so many labelled rows at most, those with the smallest hashes of their ids.
 MAX_TRAIN_ROWS = 12_000
 THRESHOLD = 0.3
+#: Bytes of text whose features stand in a worker at a time, the arrays made of them being many times larger.
+BLOCK = 1 << 20
 
 _KIND = np.zeros(256, np.uint8)  # 1 symbol, 2 digit, 3 capital, 4 part of a wide character
 for _b in range(33, 127):
@@ -128,8 +130,9 @@ def held_out(id_col: str = "doc_id") -> Column:
 
 
 def _featurise(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    make_room("quality")
     for batch in batches:
-        for block in blocks([batch]):
+        for block in blocks([batch], limit=BLOCK):
             offsets, cols, vals = features(block.column(1))
             offs = pa.array(offsets, pa.int32())
             yield pa.RecordBatch.from_arrays([block.column(0), pa.ListArray.from_arrays(offs, pa.array(cols)), pa.ListArray.from_arrays(offs, pa.array(vals)), block.column(2)], names=["y", "cols", "vals", "id"])
@@ -158,8 +161,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     shared, text_name = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "__text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("quality")
         for batch in batches:
-            for block in blocks([batch], text_name):
+            for block in blocks([batch], text_name, limit=BLOCK):
                 p = 1 / (1 + np.exp(-np.clip(scores(shared.value, *features(block.column(block.num_columns - 1))), -30, 30)))
                 yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(p, pa.float64())], names=[*block.schema.names[:-1], score_col])
 

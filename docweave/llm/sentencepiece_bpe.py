@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import blocks, free_name, mix, text_or_empty
+from docweave.llm.common import blocks, free_name, kept_in_worker, make_room, mix, text_or_empty
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -308,7 +308,7 @@ class Pieces:
 
 _LOADED: dict[str, Pieces] = {}
 #: What a worker has segmented with each vocabulary. It depends on no seed, document or place.
-_MEMOS: dict[str, Memo] = {}
+_MEMOS: dict[str, Memo] = kept_in_worker("sentencepiece_bpe")
 
 
 def _pieces(name: str) -> Pieces:
@@ -349,6 +349,7 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     names = [free_name(df, c) for c in ("__id", "__copy", "__text")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("sentencepiece_bpe")
         pieces, draws = _pieces(name), Draws(dropout)
         for batch in batches:
             for part in blocks([batch], names[2], limit=_BLOCK):
