@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from docweave.llm.common import Scratch, row_key, text_or_empty
 
 PERCENT = 80
-#: Words are counted in 2 ** CELL_BITS cells, whatever the input.
-CELL_BITS = 18
+#: Words are counted in 2 ** CELL_BITS cells, whatever the input. The table is a literal of the plan, which the driver copies and
+#: prints for every job: four times the cells made its texts of over a megabyte each.
+CELL_BITS = 16
 #: Bits of a word that hold its level of rarity; the others hold its hash.
 LEVEL_BITS = 7
 #: Sets of at least this size have their bitmap in two halves.
