@@ -237,7 +237,8 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", p
     gone = scratch.put("gone", (gone if settled is None else gone.union(settled)).groupBy(*doc).agg(F.collect_set("pos").alias("gone")))
     scratch.drop("lines", "crowds", "heads", "marked", "pairs", "settled", "found")
 
-    out = rows.join(gone, doc, "left").withColumn("lines", F.split("text", "\n"))
+    # What is removed grows with the input: never broadcast, it does not pass through the driver, and texts are not sorted for it.
+    out = rows.join(gone.hint("shuffle_hash"), doc, "left").withColumn("lines", F.split("text", "\n"))
     stay = F.array_except(F.sequence(F.lit(0), F.size("lines") - 1), F.col("gone"))
     kept = F.when(F.col("gone").isNull(), F.col("text")).otherwise(F.array_join(F.transform(stay, lambda i: F.get(F.col("lines"), i)), "\n"))
     own = F.when(F.col("doc_id") != _NO_ID, F.col("doc_id")).cast(df.schema[id_col].dataType)
