@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from docweave.llm.common import Scratch, blocks, free_name, make_room, text_buffer, text_or_empty, word_bounds
+from docweave.llm.common import Scratch, blocks, make_room, text_buffer, with_text, word_bounds
 from docweave.llm.quality import STATS, STEPS, features
 
 #: The classifier is fitted on so many labelled rows at most, those with the smallest hashes of their ids.
@@ -98,22 +98,25 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, names: list[str], id_col:
 
 def posteriors(docs: DataFrame, model: Domains, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """All columns, and ``n_tokens`` (words, long) and ``posterior`` array<double> in the order of the model's names."""
-    shared, text_name = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "__text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "posterior")])
+    n, (fed, text_name) = len(kept.columns), with_text(kept, text_col)
+    at = fed.columns.index(text_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        make_room("mixing")
         m = shared.value
         for batch in batches:
             for block in blocks([batch], text_name):
-                texts = block.column(block.num_columns - 1)
+                texts = block.column(at)
                 offsets, cols, vals = _present(texts)
                 p = _softmax((np.add.reduceat(m.weights[cols] * vals[:, None], offsets[:-1]) + m.bias).astype(np.float64))
                 words = np.diff(word_bounds(*text_buffer(texts))[2])
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(p) + 1) * p.shape[1], pa.int32()), pa.array(p.reshape(-1)))
-                yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(words, pa.int64()), lists], names=[*block.schema.names[:-1], "n_tokens", "posterior"])
+                yield pa.RecordBatch.from_arrays([*block.columns[:n], pa.array(words, pa.int64()), lists], names=[*block.schema.names[:n], "n_tokens", "posterior"])
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in ("n_tokens", "posterior")])
     schema = T.StructType([*kept.schema.fields, T.StructField("n_tokens", T.LongType()), T.StructField("posterior", T.ArrayType(T.DoubleType()))])
-    return kept.withColumn(text_name, text_or_empty(text_col)).mapInArrow(run, schema)
+    return fed.mapInArrow(run, schema)
 
 
 def _rates(p: np.ndarray, start: float, steps: np.ndarray) -> np.ndarray:

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import IS_SPACE, blocks, free_name, make_room, text_buffer, text_or_empty, word_bounds, word_hashes
+from docweave.llm.common import IS_SPACE, blocks, make_room, text_buffer, with_text, word_bounds, word_hashes
 
 #: Buckets for words; above them come the statistics' buckets.
 WORD_BUCKETS = 1 << 14
@@ -158,16 +158,18 @@ def train(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", score_col: str = "score") -> DataFrame:
     """All columns of ``docs`` and the probability of label 1, without a shuffle. Null texts count as empty; an existing
     column of the new name is replaced. The model (under 1 MB, whatever the input) is broadcast."""
-    shared, text_name = docs.sparkSession.sparkContext.broadcast(model), free_name(docs, "__text")
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != score_col])
+    n, (fed, text_name) = len(kept.columns), with_text(kept, text_col)
+    at = fed.columns.index(text_name)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room("quality")
         for batch in batches:
             for block in blocks([batch], text_name, limit=BLOCK):
-                p = 1 / (1 + np.exp(-np.clip(scores(shared.value, *features(block.column(block.num_columns - 1))), -30, 30)))
-                yield pa.RecordBatch.from_arrays([*block.columns[:-1], pa.array(p, pa.float64())], names=[*block.schema.names[:-1], score_col])
+                p = 1 / (1 + np.exp(-np.clip(scores(shared.value, *features(block.column(at))), -30, 30)))
+                yield pa.RecordBatch.from_arrays([*block.columns[:n], pa.array(p, pa.float64())], names=[*block.schema.names[:n], score_col])
 
     from pyspark.sql import types as T
 
-    kept = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c != score_col])
-    return kept.withColumn(text_name, text_or_empty(text_col)).mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())]))
+    return fed.mapInArrow(run, T.StructType([*kept.schema.fields, T.StructField(score_col, T.DoubleType())]))

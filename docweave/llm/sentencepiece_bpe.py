@@ -15,7 +15,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docweave.llm.common import blocks, free_name, kept_in_worker, make_room, mix, text_or_empty
+from docweave.llm.common import blocks, free_name, kept_in_worker, make_room, mix, with_text
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SPACE = "▁"
@@ -71,18 +71,18 @@ class Draws:
 
 
 class Memo:
-    """Segmentations of short units as trees. A node is a unit and the numbers of its skipped candidates; it has the ids and
+    """Segmentations of short units as trees. A node is a unit and the numbers of its skipped candidates (under 256, as bytes); it has the ids and
     how many candidates come after the last skip. An occurrence walks from the unit's root by its own draws, so what is
     kept saves work and ties no two occurrences together."""
 
     def __init__(self) -> None:
         self.root: dict[str, int] = {}
         self.child: dict[int, int] = {}
-        self.made: list[tuple[str, tuple[int, ...]]] = []
+        self.made: list[tuple[str, bytes]] = []
         self.ids: list[bytes] = []
         self.more = np.zeros(1024, np.int64)
 
-    def add(self, pieces: Pieces, made: list[tuple[str, tuple[int, ...]]]) -> range:
+    def add(self, pieces: Pieces, made: list[tuple[str, bytes]]) -> range:
         first = len(self.made)
         for lo in range(0, len(made), _TOGETHER):
             units, drops = zip(*made[lo : lo + _TOGETHER], strict=True)
@@ -98,7 +98,7 @@ class Memo:
     def roots(self, pieces: Pieces, units: list[str]) -> np.ndarray:
         """Nodes of the units, -1 for those that are too long to be kept."""
         new = [u for u in set(units).difference(self.root) if len(u) <= _KEPT]
-        self.root.update(zip(new, self.add(pieces, [(u, ()) for u in new]), strict=True))
+        self.root.update(zip(new, self.add(pieces, [(u, b"") for u in new]), strict=True))
         return np.array([self.root.get(u, -1) for u in units], np.int64)
 
     def children(self, pieces: Pieces, nodes: np.ndarray, runs: np.ndarray) -> np.ndarray:
@@ -108,7 +108,7 @@ class Memo:
         made = []
         for key in new:
             unit, drops = self.made[key >> 8]
-            made.append((unit, (*drops, (drops[-1] + 1 if drops else 0) + (key & 255))))
+            made.append((unit, drops + bytes([(drops[-1] + 1 if drops else 0) + (key & 255)])))
         self.child.update(zip(new, self.add(pieces, made), strict=True))
         return np.array([self.child[k] for k in keys], np.int64)
 
@@ -346,15 +346,19 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
     spark = df.sparkSession
     spark.sparkContext.addFile(model)
     name = model.rsplit("/", 1)[-1]
-    names = [free_name(df, c) for c in ("__id", "__copy", "__text")]
+    new = ("token_ids", "n_tokens", "lossless")
+    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
+    n, (fed, text_name) = len(kept.columns), with_text(kept, text_col)
+    at, of = fed.columns.index(text_name), len(fed.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make_room("sentencepiece_bpe")
         pieces, draws = _pieces(name), Draws(dropout)
         for batch in batches:
-            for part in blocks([batch], names[2], limit=_BLOCK):
-                kept = part.select(range(part.num_columns - 3))
-                ids, copies, texts = (part.column(part.num_columns - k).to_pylist() for k in (3, 2, 1))
+            for part in blocks([batch], text_name, limit=_BLOCK):
+                kept = part.select(range(n))
+                ids, copies, texts = (part.column(k).to_pylist() for k in (of, of + 1, at))
+                texts = [t or "" for t in texts]
                 keys = [key_of(i, t, c, seed) for i, t, c in zip(ids, texts, copies, strict=True)]
                 ids_of = pieces.encode_many(texts, draws, keys, _memo(name))
                 ok = [not verify or pieces.decode(got.tolist()) == text for got, text in zip(ids_of, texts, strict=True)]
@@ -362,11 +366,10 @@ def encode(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", model:
                 sizes = np.array([len(x) for x in ids_of])
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32()), pa.array(flat, pa.int32()))
                 yield pa.RecordBatch.from_arrays([*kept.columns, lists, pa.array(sizes, pa.int32()), pa.array(ok)], names=[*kept.schema.names, "token_ids", "n_tokens", "lossless"])
+            pa.default_memory_pool().release_unused()
 
-    new = ("token_ids", "n_tokens", "lossless")
-    kept = df.select(*[F.col(f"`{c}`") for c in df.columns if c not in new])
     copy = F.col(copy_col).cast("long") if copy_col else F.lit(None).cast("long")
-    fed = kept.withColumns(dict(zip(names, (F.col(id_col).cast("long"), copy, text_or_empty(text_col)), strict=True)))
+    fed = fed.select("*", F.col(id_col).cast("long").alias(free_name(fed, "__id")), copy.alias(free_name(fed, "__copy")))
     from pyspark.sql import types as T
 
     schema = T.StructType([*kept.schema.fields, T.StructField("token_ids", T.ArrayType(T.IntegerType())), T.StructField("n_tokens", T.IntegerType()), T.StructField("lossless", T.BooleanType())])
